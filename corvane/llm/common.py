@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,24 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not on their path already."""
+    root = Path(__file__).resolve().parents[2]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    package = Path(__file__).resolve().parents[1].name
+    target = Path(tempfile.mkdtemp(prefix="corvane-")) / f"{package}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / package).rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Yield (first row, texts as bytes) over a batch, about ``limit`` bytes at a time; null becomes b''."""
     values = batch.column(batch.schema.get_field_index(column))
@@ -60,6 +81,7 @@ def per_text(
     ``make`` runs once in a worker and returns a function from a list of texts (bytes) to columns.
     Only ``keep`` and the text column reach Python; ``ddl`` names the new columns for Spark.
     """
+    ship(frame.sparkSession)
     source = frame.select(*keep, column)
     schema = ", ".join([f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keep] + [ddl])
 

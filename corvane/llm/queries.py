@@ -28,6 +28,36 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(table(spark, sf_dir, "documents"), model_path())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import ogg_media
+
+    return ogg_media(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pages import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import host_rules
+
+    return host_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
