@@ -5,7 +5,8 @@ again by weight. A document then stands for target / size copies, a whole number
 in pairs: probability moves from one document to the other until one of them is whole, in a direction drawn so that each
 document keeps its expectation, and by amounts inverse to the documents' sizes, so that the sum of words stays the same.
 Blocks of a source are rounded on their own and leave one fraction each; these residuals meet, a few dozen at a time, in
-a tree of further rounds. A source's words differ from its target by less than one document.
+a tree of further rounds. Documents meet from the longest on, so that what is left in the end is short: a source's words
+differ from its target by less than one document, mostly a short one.
 """
 
 from __future__ import annotations
@@ -84,12 +85,15 @@ def pivot(x: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool)
 
 
 def _round(frame: DataFrame, last: bool, seed: int) -> DataFrame:
-    """One round of the tree: the rows of a (source, block) in an order drawn from their ids."""
+    """One round of the tree: the rows of a (source, block) from the longest on, equal ones in an order drawn from their ids.
+
+    Neighbours are then of like size, so either may stay open, and the one left at the end is a short one.
+    """
     ship(frame.sparkSession)
     schema = frame.schema
 
     def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__order", "__key", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "__order", "__key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(pdf["__order"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, len(pdf)])
         x = pdf["__x"].to_numpy(float)
         some = pdf["size"].to_numpy() > 0
