@@ -101,6 +101,20 @@ def per_text(
     return source.mapInArrow(run, schema)
 
 
+def where_text(frame: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]], column: str = "text") -> DataFrame:
+    """The rows, with all columns, whose text a worker's function keeps."""
+    ship(frame.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = None
+        for batch in batches:
+            work = work or make()
+            for start, texts in slices(batch, column):
+                yield batch.slice(start, len(texts)).filter(pa.array(work(texts), pa.bool_()))
+
+    return frame.mapInArrow(run, frame.schema)
+
+
 def held_out(column: str, modulus: int) -> F.Column:
     """True where crc32 of the id as text leaves the remainder 1; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus) == 1, F.lit(False))

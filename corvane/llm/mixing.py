@@ -24,6 +24,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 20_000
 FAN_IN = 64
 BROADCAST_SOURCES = 100_000
+#: Up to so many decisions (about 24 bytes each) are broadcast to the rows; beyond, both sides are dealt out by row key.
+BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
@@ -149,3 +151,23 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: int = 7, lim
         every = every.unionByName(more)
     copies = F.when(F.col("size") > 0, F.col("__whole") + F.round("__x").cast("long")).otherwise(F.lit(0))
     return every.select(*keys, "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, seed: int = 7, limit: float = 3.0) -> DataFrame:
+    """The rows, with all columns, as often as the mix takes them.
+
+    Decisions come back by a key of id, source and text. Rows of equal key share their decisions one by one.
+    """
+    columns = docs.columns
+    row = F.xxhash64("doc_id", "source", "text", F.length("text"))
+    decided = mix(docs.select("doc_id", "source", "text", row.alias("__row")), ("doc_id", "__row"), seed, limit)
+    copies = cut(decided.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"), F.sum("copies").alias("__sum")).where("__sum > 0"))
+    hint = F.broadcast if copies.count() <= BROADCAST_ROWS else (lambda x: x)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__all"), row.alias("__row")).join(hint(copies), "__row")
+    alone = rows.where("__n = 1").withColumn("__copies", F.col("__sum"))
+    number = F.row_number().over(Window.partitionBy("__row").orderBy(F.to_json("__all")))
+    several = rows.where("__n > 1").withColumn("__number", number)
+    share = F.floor(F.col("__sum") / F.col("__n")) + F.when(F.col("__number") <= F.col("__sum") % F.col("__n"), 1).otherwise(0)
+    several = several.withColumn("__copies", share).drop("__number")
+    every = alone.unionByName(several).where("__copies > 0")
+    return every.select("__all", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__all.*")

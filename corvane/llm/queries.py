@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import held_out, table
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -22,6 +22,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents")).drop("__set")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_pieces
 
@@ -52,12 +58,28 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, ~held_out("doc_id", 3))
+    out = predict(docs, model)
+    return out.select("doc_id", held_out("doc_id", 3).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import host_rules
 
     return host_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out("doc_id", 5))
+    return lm_scores(docs, ~docs["held_out"], ("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
