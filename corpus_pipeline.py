@@ -1,16 +1,66 @@
-"""The corpus pipeline: five stages over documents, each one operator of the corpus subpackage."""
+"""The corpus pipeline: five stages over documents, each one operator of the corpus subpackage.
+
+Language ID drops what no language's model explains; the n-gram Jaccard join keeps one document of each group of copies;
+personal data is replaced in the texts; sources are mixed to their target weights by repeating or leaving out documents;
+the texts are encoded. Each stage takes the documents that the one before kept; all but the last return their columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import jaccard, language, mixing, pieces, pii
+from corvane.llm.queries import model_path
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fit language models to the labelled documents and drop documents that they reject."""
+    return language.accepted(docs, language.fit(docs, F.lit(True)))
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group."""
+    return jaccard.one_of_each(docs)
+
 
-STAGES: list = []
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and what discloses it; n_chars follows the text."""
+    out = pii.sanitise(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents so that sources come near their targets."""
+    return mixing.mixed_rows(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode each document: its ids, their number and digests."""
+    return pieces.encode_pieces(docs, model_path(), ("doc_id", "source"), texts=True).drop("decoded")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language identification", identify),
+    ("n-gram jaccard join", deduplicate),
+    ("personal data", sanitise),
+    ("mixing sources", mix),
+    ("piece encoding", encode),
+]
+
+#: Language models, the mix's draws and piece encoding are beyond SQL; the tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table."""
+    """All stages in order over the documents table; each stage's result is cut from its lineage."""
+    from corvane.llm.common import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
     return docs
