@@ -1,15 +1,304 @@
-"""All queries of the engine by name, and their SQL."""
+"""All queries of the engine by name over the driver's tables, and equivalent DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import boosts, code, dense, diff, fusion, graph, keyword, shaping
+from ..sources import store
+from . import catalog_sql, literals
+from .search import Search
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _queries(spark: SparkSession) -> DataFrame:
+    return _frame(spark, literals.QUERIES, "query_id int, query string")
+
+
+def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as API chunks: the first capitalised word of five letters or more is the class name."""
+    empty = F.lit(None).cast("string")
+    return _table(spark, folder, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), F.lit("api").alias("source"), F.lit("class_overview").alias("type"), F.concat_ws(".", "source", "lang").alias("fqn"),
+        F.regexp_extract("text", r"[A-Z][a-z]{4,}", 0).alias("class_name"), empty.alias("method_name"), F.col("source").alias("package"), empty.alias("heading"), F.col("text").alias("body"),
+    )
+
+
+def all_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, pages and conversations as the three sources."""
+    empty = F.lit(None).cast("string")
+    pages = _table(spark, folder, "pages").select(
+        F.concat(F.lit("p"), F.col("page_id")).alias("chunk_id"), F.lit("guide").alias("source"), F.lit("guide").alias("type"), F.lit("").alias("fqn"),
+        empty.alias("class_name"), empty.alias("method_name"), empty.alias("package"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.col("html").alias("body"),
+    )
+    talks = _table(spark, folder, "conversations").select(
+        F.concat(F.lit("c"), F.col("conv_id"), F.lit("_"), F.col("turn")).alias("chunk_id"), F.lit("mod").alias("source"), F.lit("mod").alias("type"), F.concat(F.lit("talk"), F.col("conv_id")).alias("fqn"),
+        empty.alias("class_name"), empty.alias("method_name"), empty.alias("package"), empty.alias("heading"), F.col("text").alias("body"),
+    )
+    return document_chunks(spark, folder).unionByName(pages).unionByName(talks)
+
+
+def _vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, queries): every row whose id is divisible by 50 is a query against all rows."""
+    rows = _table(spark, folder, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+    return rows, rows.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _ranked(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("score"), F.col("pos").cast("int").alias("pos"))
+
+
+def bm25_topk(spark, folder):
+    hits = keyword.keyword_search(document_chunks(spark, folder), _queries(spark), 10)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("int").alias("pos"))
+
+
+def bm25_batch_queries(spark, folder):
+    asked = _table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = keyword.keyword_search(document_chunks(spark, folder), asked, 5, parser=keyword.plain_phrases)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("int").alias("pos"))
+
+
+def phrase_topk(spark, folder):
+    hits = keyword.keyword_search(document_chunks(spark, folder), _frame(spark, literals.PHRASES, "query_id int, query string"), 10, parser=keyword.whole_phrases)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("int").alias("pos"))
+
+
+def query_parse_terms(spark, folder):
+    return keyword.parse(_frame(spark, literals.PARSED, "query_id int, query string"))
+
+
+def mini_stem_df(spark, folder):
+    words = _table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(X.tokens(F.col("text")), X.stem))).alias("stem"))
+    return words.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
+
+
+def vector_topk(spark, folder):
+    rows, asked = _vectors(spark, folder)
+    hits = dense.vector_search(rows, asked, 10)
+    return hits.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("pos").cast("int").alias("pos"))
+
+
+def vector_topk_filtered(spark, folder):
+    rows, asked = _vectors(spark, folder)
+    hits = dense.vector_search(rows, asked, 5, F.col("label") == 3)
+    return hits.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("pos").cast("int").alias("pos"))
+
+
+def recall_at_k(spark, folder):
+    rows, asked = _vectors(spark, folder)
+    labels = rows.select("chunk_id", "label")
+    relevant = labels.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "label").join(labels, "label").select("query_id", "chunk_id")
+    found = dense.recall_at(dense.vector_search(rows, asked, 10), relevant, 10)
+    return found.select("query_id", F.round("recall", 6).alias("recall"))
+
+
+def prefix_filter(spark, folder):
+    return store.get(_table(spark, folder, "part"), prefix={"p_type": "S", "p_name": "red "}).select("p_partkey", "p_name", "p_type")
+
+
+def rrf_fusion(spark, folder):
+    chunks, asked = document_chunks(spark, folder), _queries(spark)
+    words = keyword.keyword_search(chunks, asked, 30)
+    graded = _table(spark, folder, "labels").join(_table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
+    best = graded.orderBy(F.desc("quality"), F.desc("n_chars"), "doc_id").limit(30)
+    near = best.select(F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "quality", "n_chars", "doc_id").join(F.broadcast(asked), F.lit(30) >= F.col("query_id"))
+    near = keyword.top(near, 30, F.desc("quality"), F.desc("n_chars"), F.asc("doc_id"))
+    return _ranked(fusion.fuse(near, words, 10, chunks))
+
+
+def identifier_gate(spark, folder):
+    docs = _table(spark, folder, "documents")
+    return docs.groupBy("lang").agg(F.count(F.when(X.names_identifier(F.col("text")), 1)).alias("named"), F.count(F.lit(1)).alias("total"))
+
+
+def _by_length(spark, folder) -> DataFrame:
+    docs = _table(spark, folder, "documents").select(F.col("source").alias("query_id"), F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "lang", "n_chars", "doc_id")
+    return shaping.renumber(docs, F.desc("n_chars"), F.asc("doc_id"))
+
+
+def dedup_per_key(spark, folder):
+    keyed = _by_length(spark, folder).withColumn("fqn", F.when(F.col("lang") == "en", "").otherwise(F.col("lang")))
+    return shaping.first_per_key(keyed).select("query_id", "chunk_id", F.col("pos").cast("int").alias("pos"))
+
+
+def source_slots(spark, folder):
+    source = F.when(F.col("lang") == "en", "api").when(F.col("lang") == "fr", "guide").when(F.col("lang") == "de", "mod").otherwise("other")
+    return shaping.with_slots(_by_length(spark, folder).withColumn("source", source), 8).select("query_id", "chunk_id", F.col("pos").cast("int").alias("pos"))
+
+
+def exact_boost(spark, folder):
+    chunks, asked = document_chunks(spark, folder), _queries(spark)
+    hits = fusion.fuse(_none(asked), keyword.keyword_search(chunks, asked, 30), 10)
+    return _ranked(boosts.exact_identifier_boost(hits, asked, chunks, ("api",)))
+
+
+def _none(asked: DataFrame) -> DataFrame:
+    return asked.where(F.lit(False)).select("query_id", F.lit("").alias("chunk_id"), F.lit(0).alias("pos"))
+
+
+def token_overlap_boost(spark, folder):
+    words = lambda c: F.array_distinct(F.transform(F.split(F.lower(c), " "), X.stem))
+    names = _table(spark, folder, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord")).withColumn("stems", words(F.col("name")))
+    asked = _frame(spark, literals.OVERLAPS, "query_id int, query string").select("query_id", words(F.col("query")).alias("stems"))
+    return boosts.overlapping_names(asked, names).select("query_id", "name", F.round("score", 6).alias("score"), F.col("no").cast("int").alias("no"))
+
+
+def bridge_boost(spark, folder):
+    word = F.regexp_extract("html", "<h1>([A-Z][a-z]{4,})", 1)
+    guides = _table(spark, folder, "pages").select((F.col("page_id") % 7).cast("int").alias("query_id"), "page_id", F.when(word != "", F.concat(F.lit("About `"), word, F.lit("`"))).alias("heading"), F.col("html").alias("body"))
+    guides = shaping.renumber(guides, F.asc("page_id"))
+    chunks = document_chunks(spark, folder)
+    start = chunks.select("chunk_id").orderBy("chunk_id").limit(5)
+    hits = shaping.renumber(guides.select("query_id").distinct().join(F.broadcast(start), F.length("chunk_id") > 0).withColumn("rrf_score", F.lit(0.01)), F.asc("chunk_id"))
+    return _ranked(boosts.guide_bridge_boost(hits, guides, chunks))
+
+
+def search_all_pipeline(spark, folder):
+    return _ranked(Search(all_chunks(spark, folder)).docs(_queries(spark)))
+
+
+def search_single_pipeline(spark, folder):
+    return _ranked(Search(all_chunks(spark, folder)).single(_queries(spark), "api", package="src1"))
+
+
+def search_guides_pipeline(spark, folder):
+    return _ranked(Search(all_chunks(spark, folder)).single(_queries(spark), "guide"))
+
+
+def dashboard_search(spark, folder):
+    return _ranked(Search(all_chunks(spark, folder)).dashboard(_queries(spark)))
+
+
+def package_rollup(spark, folder):
+    found = graph.packages(_table(spark, folder, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("class_name")))
+    return found.select("package", "classes", F.concat_ws(",", "shown").alias("shown"), "more")
+
+
+def _nations(spark, folder) -> DataFrame:
+    regions = _table(spark, folder, "region")
+    rows = _table(spark, folder, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.lit("api").alias("source"), F.lit("class_overview").alias("type"), F.col("n_name").alias("class_name"), F.col("r_name").alias("extends"), F.concat(F.col("r_name"), F.lit(" , I"), (F.col("n_nationkey") % 3).cast("string")).alias("implements"))
+
+
+def subclass_lookup(spark, folder):
+    names = _table(spark, folder, "region").select(F.col("r_regionkey").alias("query_id"), F.col("r_name").alias("name"))
+    return graph.subclasses(_nations(spark, folder), names).select("query_id", "total", F.concat_ws(",", "shown").alias("shown"))
+
+
+def implementors(spark, folder):
+    names = _frame(spark, [(0, "I0"), (1, "I1"), (2, "I2"), (3, "ASIA")], "query_id int, name string")
+    return graph.implementors(_nations(spark, folder), names).select("query_id", "total", F.concat_ws(",", "shown").alias("shown"))
+
+
+def recursive_ancestors(spark, folder):
+    name = lambda n: F.concat_ws("_", "conv_id", n)
+    turns = _table(spark, folder, "conversations").select(name(F.col("turn")).alias("name"), F.when(F.col("turn") > 0, name(F.col("turn") - 1)).otherwise("").alias("parent"), "turn")
+    starts = turns.where(F.col("turn") == 7).select(F.col("name").alias("query_id"), "name")
+    return graph.ancestors(turns, starts).select("query_id", "depth", "name")
+
+
+def find_usages(spark, folder):
+    return code.usages(_table(spark, folder, "documents").select(F.col("doc_id").alias("file"), "text"), "on")
+
+
+def find_usages_topk(spark, folder):
+    pages = _table(spark, folder, "pages").select(F.col("page_id").alias("file"), F.col("html").alias("text"))
+    return code.first_usages(_table(spark, folder, "documents").select(F.col("doc_id").alias("file"), "text"), "stupid", 10, code.usages(pages, "stupid"))
+
+
+def method_span(spark, folder):
+    files = _frame(spark, [("Door.java", literals.SOURCE)], "file string, text string")
+    wanted = _frame(spark, [(i, "Door.java", "Door", m) for i, m in enumerate(("open", "close", "<init>", "absent"))], "query_id int, file string, class_name string, method_name string")
+    return code.method_sources(files, wanted)
+
+
+def field_section(spark, folder):
+    rows = _frame(spark, literals.OVERVIEWS, "id int, body string")
+    return rows.select("id", F.concat_ws("|", X.fields_of(F.col("body"))).alias("fields"))
+
+
+def snapshot_build(spark, folder):
+    rows = _table(spark, folder, "lineitem")
+    flags = diff.sets(rows, "l_orderkey", "l_returnflag", "flags").join(diff.sets(rows, "l_orderkey", "l_linestatus", "states"), "l_orderkey")
+    return flags.select("l_orderkey", F.concat_ws(",", "flags").alias("flags"), F.concat_ws(",", "states").alias("states"))
+
+
+def snapshot_diff(spark, folder):
+    orders = _table(spark, folder, "orders")
+    cut = F.lit(literals.CUT).cast("timestamp")
+    half = lambda d: diff.sets(d, "o_custkey", "o_orderpriority", "priorities")
+    found = diff.differences(half(orders.where(F.col("o_orderdate") < cut)), half(orders.where(F.col("o_orderdate") >= cut)), "o_custkey", (), ("priorities",))
+    return found.select("o_custkey", "kind", F.concat_ws("; ", "changes").alias("changes"))
+
+
+def chunk_windows(spark, folder):
+    return store.chunk_windows(_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+def index_status(spark, folder):
+    meta = _frame(spark, literals.META, "collection string, indexed_at string, embed_model string, repo_count long")
+    return store.status(all_chunks(spark, folder), meta)
+
+
+def tier_asset_sizes(spark, folder):
+    assets = _frame(spark, literals.ASSETS, "name string, size long")
+    parts = [store.tier_assets(assets, "data-", t).agg(F.lit(t).alias("tier"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")) for t in ("lite", "full")]
+    return parts[0].unionByName(parts[1])
+
+
+def _jobs(spark, folder) -> DataFrame:
+    status = F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("running")
+    return _table(spark, folder, "events").select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").alias("started_at"))
+
+
+def job_status(spark, folder):
+    return store.jobs_shown(_jobs(spark, folder)).select("job_id", "status")
+
+
+def log_tail(spark, folder):
+    logs = _table(spark, folder, "events").select(F.col("event_id").alias("log_id"), F.col("ts").alias("time"), F.col("event_type").alias("level"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return store.log_tail(logs).select("log_id", "level", "k")
+
+
+def class_hits_by_source(spark, folder):
+    """Chunks and distinct classes of each source."""
+    return all_chunks(spark, folder).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("fqn").alias("classes"))
+
+
+def last_writer(spark, folder):
+    """The latest order of each customer, as a snapshot keeps the last of several overviews."""
+    order = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))
+    rows = _table(spark, folder, "orders").withColumn("rn", F.row_number().over(order)).where("rn = 1")
+    return rows.select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, vector_topk, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
+        exact_boost, token_overlap_boost, bridge_boost, search_all_pipeline, search_single_pipeline, search_guides_pipeline, dashboard_search, package_rollup, subclass_lookup, implementors, recursive_ancestors,
+        find_usages, find_usages_topk, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,
+    )
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Queries by name."""
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL by name, where SQL can express the result."""
+    return catalog_sql.statements()
