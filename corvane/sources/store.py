@@ -55,7 +55,7 @@ def chunk_windows(texts: DataFrame, size: int = LIMITS.chunk_chars, overlap: int
 def source_files(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame:
     """(file, text) of all files under a folder; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return files.select(F.col("path").alias("file"), F.decode("content", F.lit("utf-8")).alias("text"))
+    return files.select(F.col("path").alias("file"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def skills(spark: SparkSession, root: str) -> DataFrame:
