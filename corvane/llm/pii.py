@@ -51,7 +51,7 @@ def _luhn(digits: Column) -> Column:
 def _valid(kind: str, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     if kind == "ip":
-        octet = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+        octet = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
         return value.rlike(rf"^{octet}\.{octet}\.{octet}\.{octet}$")
     if kind == "card":
         return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
