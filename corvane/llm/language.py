@@ -27,6 +27,7 @@ SAMPLE_BYTES = 4_000_000
 LONGEST_TEXT = 200_000
 #: Every fifth sampled document is held back from counting, for calibration.
 HELD_BACK = 5
+LEAST_CALIBRATION = 5
 MEMO_WORDS = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -186,6 +187,8 @@ class Scorer:
         new = sorted(set().union(*split).difference(self.number)) if split else []
         if new:
             logs, chars = self.model.words(new)
+            lettered = np.array([any(map(str.isalpha, w)) for w in new])
+            logs[~lettered], chars[~lettered] = 0, 0
             at = len(self.number)
             while at + len(new) > len(self.chars):
                 self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
@@ -205,8 +208,8 @@ def calibrate(model: Model, texts: list[tuple[str, str]]) -> Model:
     """Fit limits and sharpness to held-back (language, text) pairs.
 
     A language's limit is the 99.9th percentile of its documents' cross-entropies plus three deviations, with a slack
-    that shrinks with the square root of the length, from the widest deviation seen. Languages without held-back
-    documents reject nothing.
+    that shrinks with the square root of the length, from the widest deviation seen. A language with fewer than
+    LEAST_CALIBRATION held-back documents takes the widest limits of the others; where all have fewer, none rejects.
     """
     if not model.languages or not texts:
         return model
@@ -215,10 +218,13 @@ def calibrate(model: Model, texts: list[tuple[str, str]]) -> Model:
     some = chars > 0
     for j in range(len(model.languages)):
         own, n = entropy[some & (truth == j), j], chars[some & (truth == j)]
-        if len(own) >= 20:
+        if len(own) >= LEAST_CALIBRATION:
             middle = np.average(own, weights=n)
             model.limits[j] = np.quantile(own, 0.999) + 3 * own.std()
             model.slack[j] = max(0.0, ((own - middle) * np.sqrt(n)).max())
+    fitted = np.isfinite(model.limits)
+    if fitted.any():
+        model.limits[~fitted], model.slack[~fitted] = model.limits[fitted].max(), model.slack[fitted].max()
     gaps = entropy[some] - entropy[some].min(axis=1, keepdims=True)
     target = truth[some]
     best = (np.inf, 1.0)
@@ -253,7 +259,7 @@ def fit(docs: DataFrame, usable: Column, label: str = "lang", order: int = ORDER
         if p == 0:
             back.append((x, text))
         else:
-            counts[x].update(_letters(text))
+            counts[x].update(w for w in _letters(text) if any(map(str.isalpha, w)))
     return calibrate(train(counts, order), back)
 
 
