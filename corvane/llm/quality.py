@@ -19,6 +19,8 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Shrunk failure rate from which a host is rejected, by rule.
 THRESHOLDS = {"few_words": 0.6, "repeats": 0.5, "symbols": 0.6, "dup_lines": 0.6}
+#: Documents that the prior stands for at least, so that no host is judged by a few of its own.
+LEAST_STRENGTH = 10.0
 #: Up to so many hosts, verdicts are broadcast (at most about 16 MB); beyond, both sides are dealt out by host and salt.
 BROADCAST_HOSTS = 200_000
 SALTS = 32
@@ -83,7 +85,7 @@ def host_verdicts(measured: DataFrame, host: str = "host", thresholds: dict[str,
     """(a row for each host with its counts, shrunk rates and verdict ``host_ok``, number of hosts).
 
     The prior of a rule: mean m = failures / documents; between-host variance v = variance of the hosts' rates less the
-    mean sampling variance m(1-m)/n; strength m(1-m)/v - 1, held within [1, 10^6]; beta(m * strength, (1-m) * strength).
+    mean sampling variance m(1-m)/n; strength m(1-m)/v - 1, held within [10, 10^6] documents; beta(m * strength, (1-m) * strength).
     One row of sums reaches the driver. Rows without a host are not judged.
     """
     thresholds = THRESHOLDS | (thresholds or {})
@@ -98,7 +100,7 @@ def host_verdicts(measured: DataFrame, host: str = "host", thresholds: dict[str,
         m = (sums[f"k_{r}"] or 0) / sums["n"] if sums["n"] else 0.0
         within = m * (1 - m) * (sums["inverse"] or 0) / max(sums["hosts"], 1)
         between = max((sums[f"v_{r}"] or 0.0) - within, 1e-12)
-        strength = min(max(m * (1 - m) / between - 1, 1.0), 1e6)
+        strength = min(max(m * (1 - m) / between - 1, LEAST_STRENGTH), 1e6)
         out = out.withColumn(f"rate_{r}", (F.col(f"k_{r}") + F.lit(m * strength)) / (F.col("n") + F.lit(strength)))
         verdict = verdict & (F.col(f"rate_{r}") < F.lit(float(thresholds[r])))
     return out.withColumn("host_ok", verdict), sums["hosts"]
