@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import cut, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 FAN_IN = 64
 BROADCAST_SOURCES = 100_000
 #: Up to so many decisions (about 24 bytes each) are broadcast to the rows; beyond, both sides are dealt out by row key.
@@ -94,7 +94,7 @@ def _round(frame: DataFrame, last: bool, seed: int) -> DataFrame:
     ship(frame.sparkSession)
     schema = frame.schema
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "__order", "__key"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.default_rng([seed, int(pdf["__order"].iloc[0]) & 0x7FFFFFFFFFFFFFFF, len(pdf)])
         x = pdf["__x"].to_numpy(float)
