@@ -84,6 +84,12 @@ def mini_stem_df(spark, folder):
     return words.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
 
 
+def postings_stats(spark, folder):
+    """Document and corpus frequency of each term of the inverted index."""
+    found = keyword.postings(document_chunks(spark, folder)).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+
+
 def vector_topk(spark, folder):
     rows, asked = _vectors(spark, folder)
     hits = dense.vector_search(rows, asked, 10)
@@ -287,7 +293,7 @@ def last_writer(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, vector_topk, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
+        bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, postings_stats, vector_topk, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
         exact_boost, token_overlap_boost, bridge_boost, search_all_pipeline, search_single_pipeline, search_guides_pipeline, dashboard_search, package_rollup, subclass_lookup, implementors, recursive_ancestors,
         find_usages, find_usages_topk, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,
     )

@@ -110,6 +110,7 @@ SELECT query_id, unnest(range(len(ps)))::INT AS phrase_no, unnest(ps) AS phrase
 WHEN {w} LIKE '%ly' AND length({w}) > 4 THEN left({w}, length({w}) - 2) WHEN {w} LIKE '%s' AND {w} NOT LIKE '%ss' AND length({w}) > 4 THEN left({w}, length({w}) - 1) ELSE {w} END"""
 
     out["mini_stem_df"] = f"SELECT stem, count(DISTINCT id) AS df FROM (SELECT row_number() OVER () AS id, {TOKENS.format('text')} AS ws FROM documents), LATERAL (SELECT {stem('w')} AS stem FROM (SELECT unnest(ws) AS w)) GROUP BY stem"
+    out["postings_stats"] = f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT row_number() OVER () AS id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term"
     cosine = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 
     def near(n: int, where: str = "TRUE") -> str:

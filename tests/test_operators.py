@@ -244,6 +244,36 @@ def test_search_engine(spark, classes):
     assert engine.single(asked, "api", kind="class_overview").count() >= 2 and engine.dashboard(asked, "mod").first().chunk_id == "m1"
 
 
+def test_records(spark, tmp_path):
+    from corvane.sources import records
+
+    meta = spark.createDataFrame([("api", 1), ("mod", 2)], "collection string, repo_count int")
+    changed = spark.createDataFrame([("mod", 3)], "collection string, repo_count int")
+    assert sorted(tuple(r) for r in records.merge_meta(meta, changed).collect()) == [("api", 1), ("mod", 3)]
+    assert records.version_record(spark, "v1", "lite").first().tier == "lite"
+    (tmp_path / "release.json").write_text('{"tag_name": "v1",\n "assets": [{"name": "data-a.zip", "size": 5}, {"name": "x", "size": 1}]}')
+    assert [(r.tag, r.name, r.size) for r in store.tier_assets(records.release_assets(spark, str(tmp_path / "release.json")), "data-", "full").collect()] == [("v1", "data-a.zip", 5)]
+    root = str(tmp_path / "skills")
+    assert records.write_skill(spark, root, "My ../Skill", "text\nmore") == "myskill"
+    assert records.read_skill(spark, root, "mySkill") == "text\nmore" and records.read_skill(spark, root, "..") is None
+    assert not records.delete_skill(spark, root, "../..") and records.delete_skill(spark, root, "myskill") and not records.delete_skill(spark, root, "myskill")
+    with pytest.raises(ValueError):
+        records.write_skill(spark, root, "../", "x")
+
+
+def test_embedding_and_dense_search(spark):
+    from corvane.operators import dense
+    from corvane.sources.embedding import QUERY_PREFIX, embed, other_models
+
+    letters = lambda texts: [[float(t.split(": ")[1].count(c)) for c in "abc"] for t in texts]
+    chunks = spark.createDataFrame([("x", "aab"), ("y", "bbc"), ("z", ""), ("n", None)], "chunk_id string, body string")
+    asked = embed(spark.createDataFrame([(1, "ab"), (2, "c")], "query_id int, query string"), "query_id", "query", letters, QUERY_PREFIX).withColumnRenamed("embedding", "vector")
+    hits = dense.vector_search(embed(chunks, "chunk_id", "body", letters), asked, 2).orderBy("query_id", "pos").collect()
+    assert [(r.query_id, r.chunk_id) for r in hits] == [(1, "x"), (1, "y"), (2, "y"), (2, "x")]
+    assert abs(hits[0].distance - (1 - 3 / (5**0.5 * 2**0.5))) < 1e-8
+    assert other_models(spark.createDataFrame([("api", "m1"), ("mod", None)], "collection string, embed_model string"), "m2").first().collection == "api"
+
+
 def test_stream_refresh(spark, tmp_path, classes):
     from corvane.streaming.refresh import refresh
 
