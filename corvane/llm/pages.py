@@ -197,29 +197,32 @@ def article(page: Page, share: float = 0.5) -> list[Text]:
     best = {p: float(np.mean(fused[i])) for p, i in by_path.items()}
     threshold = share * float(np.std(list(best.values())))
     seeds = [i for i, t in enumerate(texts) if best[t.path] >= threshold]
-    # Votes: each seed gives its text's length to every element around it.
+    # Votes: each text gives its length, a text that is no seed a tenth of it, to every element around it.
     mass: dict[int, float] = defaultdict(float)
     nodes: dict[int, Node] = {}
-    for i in seeds:
-        weight, node = len(texts[i].value.strip()) + 1e-9, texts[i].node
+    chosen = set(seeds)
+    for i, t in enumerate(texts):
+        weight, node = (len(t.value.strip()) + 1e-9) * (1.0 if i in chosen else 0.1), t.node
         while node is not None:
             mass[node.number] += weight
             nodes[node.number] = node
             node = node.parent
-    whole = mass[0]
     marked = [x for x in nodes.values() if x.tag in CONTENT_TAGS]
     if marked:
-        inner = [x for x in marked if not any(y is not x and _within(y, x) for y in marked)]
-        roots = {x.number for x in inner}
+        # Articles that are in no other one and hold at least half of what the largest holds; a <main> only where it has none.
+        tags = ("article",) if any(x.tag == "article" for x in marked) else CONTENT_TAGS
+        outer = [x for x in marked if x.tag in tags and not _nested(x, tags)]
+        most = max(mass[x.number] for x in outer)
+        roots = {x.number for x in outer if mass[x.number] >= 0.5 * most}
     else:  # the deepest element that most of the content stands in
-        roots = {max((x for x in nodes.values() if mass[x.number] >= 0.8 * whole and x.tag not in ("p", *HEADINGS) and (x.tag in BLOCKS or not x.tag)), key=lambda x: x.depth).number}
+        roots = {max((x for x in nodes.values() if mass[x.number] >= 0.8 * mass[0] and x.tag not in ("p", *HEADINGS) and (x.tag in BLOCKS or not x.tag)), key=lambda x: x.depth).number}
     return [t for t in texts if _under(t.node, roots)]
 
 
-def _within(node: Node, other: Node) -> bool:
+def _nested(node: Node, tags: tuple[str, ...]) -> bool:
     while node.parent is not None:
         node = node.parent
-        if node is other:
+        if node.tag in tags:
             return True
     return False
 

@@ -23,6 +23,13 @@ def test_whole_page():
     assert main_text(FULL) == "Head & line\nThe first paragraph of the story has a good many words, commas, and stops.\nShort.\none\ntwo bold words"
 
 
+def test_several_articles():
+    """Teasers beside or inside the article, and comments marked up as articles."""
+    teaser = "<article class='teaser'><h3>Other</h3><p>Read on.</p></article>"
+    page = f"<main><h1>Section</h1><article><h1>Head</h1>{BODY * 2}<div class='comments'><article><p>I say, no, no, no.</p></article></div></article>{teaser}{teaser}</main>"
+    assert main_text(page) == "\n".join(["Head", *["The first paragraph of the story has a good many words, commas, and stops.", "Short."] * 2])
+
+
 def test_without_article_element():
     page = f"<html><body><div class='menu'><a>Home</a></div><div class='content'><h2>Title</h2>{BODY * 3}</div><div class='footer'>All rights, reserved, here.</div></body></html>"
     assert main_text(page) == "\n".join(["Title", *["The first paragraph of the story has a good many words, commas, and stops.", "Short."] * 3])
