@@ -87,4 +87,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name, where SQL can express the result."""
-    return {}
+    from .oracles import statements
+
+    return statements()
