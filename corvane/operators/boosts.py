@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOOST_SKIP, CLASS_NOISE, LIMITS
 from ..functions import text as X
+from .keyword import light
 from .shaping import promote
 
 OVERVIEW = "class_overview"
@@ -25,8 +26,8 @@ def exact_identifiers(queries: DataFrame, chunks: DataFrame, sources: tuple[str,
     method_tokens = queries.select("query_id", F.posexplode(methods).alias("no", "method_name"))
     place = F.array_position(X.literals(sources), F.col("source")).cast("int")
     rows = chunks.where(F.col("source").isin(*sources)).withColumn("__place", place)
-    overviews = rows.where(F.col("type") == OVERVIEW).join(F.broadcast(class_tokens), "class_name").select("query_id", "chunk_id", "__place", F.lit(0).alias("kind"), "no")
-    called = rows.where(F.col("type") == "method").join(F.broadcast(method_tokens), "method_name")
+    overviews = rows.where(F.col("type") == OVERVIEW).join(light(class_tokens), "class_name").select("query_id", "chunk_id", "__place", F.lit(0).alias("kind"), "no")
+    called = rows.where(F.col("type") == "method").join(light(method_tokens), "method_name")
     called = called.withColumn("__rn", F.row_number().over(Window.partitionBy("query_id", "source", "no").orderBy("chunk_id"))).where(F.col("__rn") <= LIMITS.method_hits)
     called = called.select("query_id", "chunk_id", "__place", F.lit(1).alias("kind"), "no")
     order = Window.partitionBy("query_id").orderBy("__place", "kind", "no", "chunk_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import LIMITS
 from ..functions import text as X
+from .keyword import light
 
 OVERVIEW = "class_overview"
 
@@ -63,7 +64,7 @@ def class_info(chunks: DataFrame, names: DataFrame) -> DataFrame:
     pick = lambda d, tier: d.select("query_id", F.lit(tier).alias("tier"), "chunk_id", "body", F.lit(0).alias("distance"))
     sure = pick(exact, 0).unionByName(pick(any_type, 1))
     missing = names.join(sure.select("query_id").distinct(), "query_id", "left_anti")
-    near = missing.join(overviews(chunks), F.levenshtein(X.last_segment(F.col("name")), F.col("class_name")) <= F.length("name"))
+    near = overviews(chunks).join(light(missing), F.levenshtein(X.last_segment(F.col("name")), F.col("class_name")) <= F.length("name"))
     near = near.withColumn("distance", F.levenshtein(X.last_segment(F.col("name")), F.col("class_name")))
     near = near.withColumn("__rn", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "class_name", "chunk_id"))).where("__rn <= 5")
     every = sure.unionByName(near.select("query_id", F.lit(3).alias("tier"), "chunk_id", "body", "distance"))

@@ -60,8 +60,9 @@ def _score(frequency: Column, length: Column, average: Column, matching: Column,
     return idf * frequency * (LIMITS.k1 + 1) / (frequency + LIMITS.k1 * (1 - LIMITS.b + LIMITS.b * length / average))
 
 
-def _light(frame: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(frame) if rows <= BROADCAST_TERMS else frame
+def light(frame: DataFrame) -> DataFrame:
+    """A query-side frame, marked for broadcast if a count shows that it is small; else it is joined like any other."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_TERMS else frame
 
 
 def bm25(chunks: DataFrame, phrases: DataFrame, fields: tuple[str, ...] = ("body",), analyzer: str = "plain") -> DataFrame:
@@ -74,7 +75,7 @@ def bm25(chunks: DataFrame, phrases: DataFrame, fields: tuple[str, ...] = ("body
     distinct = phrases.select("phrase").distinct().withColumn("parts", X.tokens(F.col("phrase"))).where(F.size("parts") > 0)
     pieces = distinct.select("phrase", F.size("parts").alias("n"), F.posexplode("parts").alias("offset", "word"))
     pieces = _analyse(pieces, "word", analyzer).select("phrase", "n", "offset", "term")
-    found = postings(chunks, fields, analyzer).join(_light(pieces, pieces.count()), "term")
+    found = postings(chunks, fields, analyzer).join(light(pieces), "term")
     hits = found.groupBy("phrase", "n", "chunk_id", "length", "field", (F.col("position") - F.col("offset")).alias("at")).agg(F.count(F.lit(1)).alias("got")).where("got = n")
     frequency = hits.groupBy("phrase", "chunk_id", "length").agg(F.count(F.lit(1)).cast("double").alias("f"))
     matching = frequency.groupBy("phrase").agg(F.count(F.lit(1)).cast("double").alias("matching"))
