@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,9 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """Literal rows as a local relation, which the optimiser can fold."""
+    names = [column.split()[0] for column in schema.split(", ")]
+    return spark.createDataFrame(pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}), schema)
 
 
 def _queries(spark: SparkSession) -> DataFrame:
