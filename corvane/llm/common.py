@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -38,6 +39,30 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Defaults of Spark's Arrow batches, and what the operators on texts use instead.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package known to the workers, and Arrow batches small unless the session has its own setting.
+
+    The JVM holds the buffers of a batch outside its heap, and a worker holds a batch whole.
+    """
+    ship(spark)
+    for key, (default, small) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, small)
+
+
+def trim() -> None:
+    """Give memory that a worker no longer uses back to the system: an idle worker shares its machine with others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Yield (first row, texts as bytes) over a batch, about ``limit`` bytes at a time; null becomes b''."""
     values = batch.column(batch.schema.get_field_index(column))
@@ -62,7 +87,7 @@ def per_text(
     ``make`` runs once in a worker and returns a function from a list of texts (bytes) to columns.
     Only ``keep`` and the text column reach Python; ``ddl`` names the new columns for Spark.
     """
-    ship(frame.sparkSession)
+    prepare(frame.sparkSession)
     source = frame.select(*keep, column)
     schema = ", ".join([f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keep] + [ddl])
 
@@ -78,13 +103,15 @@ def per_text(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index(k)) for k in keep] + [pa.array(got[n], t) for n, t in fields], names=keep + [n for n, _ in fields]
                 )
+        del work
+        trim()
 
     return source.mapInArrow(run, schema)
 
 
 def where_text(frame: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]], column: str = "text") -> DataFrame:
     """The rows, with all columns, whose text a worker's function keeps."""
-    ship(frame.sparkSession)
+    prepare(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -92,6 +119,8 @@ def where_text(frame: DataFrame, make: Callable[[], Callable[[list[bytes]], list
             work = work or make()
             for start, texts in slices(batch, column):
                 yield batch.slice(start, len(texts)).filter(pa.array(work(texts), pa.bool_()))
+        del work
+        trim()
 
     return frame.mapInArrow(run, frame.schema)
 

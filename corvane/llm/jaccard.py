@@ -27,20 +27,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, ship, slices
+from .common import cut, per_text, prepare, slices, trim
 from .components import components
 
 WORDS = 5
 #: Similarity of linked sets: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Postings that a bucket holds on average, and that a task packs at a time.
-BUCKET_POSTINGS = 3_000_000
-PACK_POSTINGS = 3_000_000
+BUCKET_POSTINGS = 1_500_000
+PACK_POSTINGS = 1_500_000
 #: A shingle in so many sets of one pack is not listed set by set: it comes last in every order.
 HOT = 64
 BITS = 2048
 BLOCK_SETS = 512
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 BROADCAST_ROWS = 500_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -196,6 +196,8 @@ def _postings(docs: DataFrame, bits: int, size: int) -> DataFrame:
                         yield flush()
         if sets:
             yield flush()
+        _WORDS.clear()
+        trim()
 
     return docs.select("text").mapInArrow(run, _BLOCK_DDL)
 
@@ -257,6 +259,8 @@ def _count(table: pa.Table) -> pa.Table:
             dup = later.get(pack, [])
             if len(own) or dup:
                 out.append((pack, 2, struct.pack("<qII", bucket, len(own), len(dup)) + _split(flat[own]) + df[own].tobytes() + owner[own].tobytes() + np.array(dup, np.uint16).tobytes()))
+        del flat, owner, src, order, df, by, keys
+    trim()
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -309,6 +313,7 @@ def _survivors(percent: int):
                 out["shared"].append(whole.tobytes())
                 out["bits"].append(bitmap(whole).tobytes())
                 out["prefix"].append(own[: max(first, 0)].astype(np.int64))
+        trim()
         types = {"node": pa.binary(), "size": pa.int32(), "shared": pa.binary(), "bits": pa.binary(), "prefix": pa.list_(pa.int64())}
         return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
 
@@ -403,7 +408,7 @@ def release(spark: SparkSession) -> None:
 def similar_sets(docs: DataFrame, total: int, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
     """(node, root) of all sets that are linked with another one; ``total`` is the number of shingles of all sets."""
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET_POSTINGS)))))
     parts = 1 << bits
     posted = _postings(docs, bits, size).repartition(parts, "key")

@@ -28,7 +28,7 @@ LONGEST_TEXT = 200_000
 #: Every fifth sampled document is held back from counting, for calibration.
 HELD_BACK = 5
 LEAST_CALIBRATION = 5
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
 _WORDS = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)

@@ -34,9 +34,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import prepare, slices, trim
 
-PACK_TOKENS = 2_000_000
+PACK_TOKENS = 1_250_000
 SHARD_TOKENS = 2_500_000
 DISCOUNT = 0.75
 #: Contexts of at least this share of tokens, in a sample of about so many rows, are dealt out by their successors.
@@ -291,6 +291,7 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
                     yield flush()
         if tokens:
             yield flush()
+        trim()
 
     return docs.mapInArrow(run, "key long, kind int, blob binary")
 
@@ -348,6 +349,8 @@ def _answer(hots: int):
                 blob = struct.pack("<IIIqq", n, cold, hot, int(total.sum()), int((total > 0).sum())) + total[mine].astype(np.uint64).tobytes() + types[hots + mine].astype(np.uint32).tobytes() + codes.tobytes() + types[:hots].astype(np.uint32).tobytes()
                 rows.append((number, shard, _squeeze(blob)))
             trie.close()
+        del ranks, words, pair_counts, inverse
+        trim()
         return _table(rows)
 
     return run
@@ -417,6 +420,8 @@ def _sums(keep: list[str], shards: int, hots: int, discount: float):
         score = np.bincount(owner, np.log10(p)[inverse], minlength=n_docs)
         known_tokens = np.bincount(owner, (count > 0)[flat], minlength=n_docs).astype(np.int64)
         out = {name: kept.column(name) for name in keep}
+        del context, pair, inverse, codes, flat
+        trim()
         return pa.table(out | {"n_tokens": lengths, "n_known": known_tokens, "train_tokens": np.full(n_docs, total_n), "base_score": base, "score": score})
 
     return run
@@ -446,7 +451,7 @@ def lm_scores(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",
     and shards (one longer text is a pack of its own); both exchanges are linear in the input.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     columns = list(keep)
     source = docs.select(*columns, "text", F.coalesce(train, F.lit(False)).alias("__train"))
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 2_000
@@ -91,7 +91,7 @@ def _round(frame: DataFrame, last: bool, seed: int) -> DataFrame:
 
     Neighbours are then of like size, so either may stay open, and the one left at the end is a short one.
     """
-    ship(frame.sparkSession)
+    prepare(frame.sparkSession)
     schema = frame.schema
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from .common import per_text
 
 SPACE = "▁"
-MEMO_UNITS = 250_000
-MEMO_PAIRS = 1_000_000
+MEMO_UNITS = 120_000
+MEMO_PAIRS = 250_000
 
 
 class MergeCoder:

@@ -58,7 +58,7 @@ class Resync:
             else:
                 joined = (self.pieces[left] + self.pieces[right]).replace(SPACE, " ")
                 got = self.inner(joined).tolist() == [left, right]
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             self.known[left, right] = got
         return got

@@ -19,7 +19,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.columns
-    strange = spark.createDataFrame([(-1, "zzqx jjkw qqq xkcd wqpz " * 30, "en", "src1", 720), (-2, None, None, None, None)], docs.schema)
+    strange = spark.createDataFrame([(-1, "zzqx jjkw qqq xkcd wqpz " * 30, None, "src1", 720), (-2, None, None, None, None)], docs.schema)
     docs = docs.unionByName(strange)
     assert [n for n, _ in P.STAGES] == ["language identification", "n-gram jaccard join", "personal data", "mixing sources", "piece encoding"]
     stages, out = [f for _, f in P.STAGES], []
