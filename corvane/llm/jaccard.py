@@ -157,10 +157,11 @@ def _pack(pack: int, sets: list[np.ndarray], keys: list[bytes], bits: int) -> It
 
 _BLOCK = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("blob", pa.large_binary())])
 _BLOCK_DDL = "key long, kind int, blob binary"
+_BUCKET_DDL = "key int, kind int, blob binary"
 
 
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "kind", "blob"])
+def _rows(rows: list[tuple[int, int, bytes]], key: pa.DataType | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], key or pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "kind", "blob"])
 
 
 def _postings(docs: DataFrame, bits: int, size: int) -> DataFrame:
@@ -174,7 +175,7 @@ def _postings(docs: DataFrame, bits: int, size: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal held, number
             pack = int.from_bytes(xxhash.xxh3_64_digest(b"".join(keys) + struct.pack("<qq", part, number)), "little") >> 1
-            out = _rows(list(_pack(pack, sets, keys, bits)))
+            out = _rows(list(_pack(pack, sets, keys, bits)), pa.int32())
             sets.clear()
             keys.clear()
             seen.clear()
@@ -199,7 +200,7 @@ def _postings(docs: DataFrame, bits: int, size: int) -> DataFrame:
         _WORDS.clear()
         trim()
 
-    return docs.select("text").mapInArrow(run, _BLOCK_DDL)
+    return docs.select("text").mapInArrow(run, _BUCKET_DDL)
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -411,7 +412,7 @@ def similar_sets(docs: DataFrame, total: int, percent: int = PERCENT, size: int
     prepare(spark)
     bits = max(3, int(np.ceil(np.log2(max(1, total / BUCKET_POSTINGS)))))
     parts = 1 << bits
-    posted = _postings(docs, bits, size).repartition(parts, "key")
+    posted = _postings(docs, bits, size).repartitionById(parts, "key")  # a task for each bucket
     counted = posted.groupBy("key").applyInArrow(_count, _BLOCK_DDL)
     packs = max(8, int(np.ceil(total / PACK_POSTINGS)))
     sets = cut(counted.repartition(packs, "key").groupBy("key").applyInArrow(_survivors(percent), _SETS_DDL))

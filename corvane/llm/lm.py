@@ -274,7 +274,7 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
             kept.clear()
             trained.clear()
             held, packs = 0, packs + 1
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "kind", "blob"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "kind", "blob"])
 
         for batch in batches:
             flags = batch.column(batch.schema.get_field_index("__train")).to_pylist()
@@ -293,7 +293,7 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
             yield flush()
         trim()
 
-    return docs.mapInArrow(run, "key long, kind int, blob binary")
+    return docs.mapInArrow(run, "key int, kind int, blob binary")
 
 
 def _answer(hots: int):
@@ -458,7 +458,7 @@ def lm_scores(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",
     tokens = size["rows"] + (size["bytes"] or 0) / 6
     shards = 1 << max(2, int(np.ceil(np.log2(max(1.0, tokens / SHARD_TOKENS)))))
     hot = frequent_contexts(docs, size["rows"])
-    asked = _requests(source, columns, shards, hot).repartition(shards, "key")
+    asked = _requests(source, columns, shards, hot).repartitionById(shards, "key")  # a task for each shard
     answered = asked.groupBy("key").applyInArrow(_answer(len(set(hot))), "key long, kind int, blob binary")
     packs = max(8, int(np.ceil(tokens / PACK_TOKENS)))
     types = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in columns)
