@@ -58,7 +58,9 @@ class MergeCoder:
         lines = not any("\n" in p for p in self.ids)
         inner = f"[^{SPACE}\n]" if lines else f"[^{SPACE}]"
         # Signs that no piece has right after a letter: a word ends before them.
-        after_letter = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
+        # A letter is what a word's pattern takes, which is more than isalpha(): superscripts and fractions too.
+        letter = re.compile(r"[^\W\d_]")
+        after_letter = {b for p in self.ids for a, b in zip(p, p[1:], strict=False) if letter.match(a)}
         signs = re.escape("".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_" and c not in after_letter))
         word = f"{SPACE}*[^\\W\\d_]+(?=[{signs}{SPACE}" + ("\n" if lines else "") + "]|$)|" if signs else ""
         self.units = re.compile(word + ("\n|" if lines else "") + f"{SPACE}*{inner}+|{SPACE}+") if not glued else re.compile("(?s).+")

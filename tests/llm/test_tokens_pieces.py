@@ -91,3 +91,14 @@ def test_pieces_of_edges(spark, library):
     row = encode_pieces(docs.where("doc_id = 5"), model_path(), texts=True).first()
     assert np.array_equal(row.ids, library.encode(EDGES[5][1], add_eos=True)) and row.decoded == " x <s> </s>"
     assert encode_pieces(docs.limit(0), model_path()).count() == 0
+
+
+def test_pieces_over_a_unit_s_edge(library, coder):
+    """Letters that are not alphabetic, and every piece with a sign after a letter, against the library."""
+    texts = ["Area 120 km².", "m²., km². ¼. ½, x³."]
+    texts += [t + p.replace("▁", " ") for p in coder.ids if any(a.isalnum() and not b.isalnum() for a, b in zip(p, p[1:], strict=False)) for t in ("", "x", "Area 120 km")]
+    assert any("²." in t for t in texts[2:])
+    for t in texts:
+        assert coder.encode(t) == library.encode(t, add_eos=True), t
+    for p in coder.ids:
+        assert len(coder.units.findall(p)) == 1, p
