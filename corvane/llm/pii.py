@@ -196,14 +196,65 @@ def pii_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), generalise_a
     )
 
 
-def sanitise(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95, min_texts: int = 3) -> DataFrame:
+def free_terms(text: Column, spans: Column) -> Column:
+    """The terms within reach of a base span that no base span touches: (term, start, end)."""
+    near = lambda t: F.exists(spans, lambda b: (t["start"] >= b["start"] - REACH) & (t["end"] <= b["end"] + REACH))
+    free = F.filter(find(text, TERM, 4), lambda t: near(t) & ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    return F.transform(free, lambda t: F.struct(F.xxhash64(F.lower(t["value"])).alias("term"), t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end")))
+
+
+def find_whole(docs: DataFrame) -> DataFrame:
+    """For each row with base spans: key of the text, its entities and its terms, written once to the shared folder."""
+    rows = docs.select(F.col("text").alias("__text"), F.xxhash64("text", F.length("text"), F.reverse("text")).alias("__key"), base_spans(F.col("text")).alias("__spans")).where(F.size("__spans") > 0)
+    entities = F.array_distinct(F.transform("__spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    return rows.select("__key", entities.alias("__entities"), free_terms(F.col("__text"), F.col("__spans")).alias("__words"))
+
+
+def disclosing_whole(docs: DataFrame, base: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
+    """(__key, term, remove) of the terms of each text that disclose an entity of it, from counts over all documents.
+
+    An entity and a term meet where they stand near in one document. The share of an entity's documents
+    that have the term is shrunk by one document more, in which the term stands as often as anywhere, p = df(t) / N:
+
+        disclosure(e, t) = log(((n(e, t) + p) / (df(e) + 1)) / p) / log(N / df(e)),
+
+    so that an entity of one text is judged too, a chance meeting counts half, and many meetings count in full.
+    """
+    n = float(max(docs.count(), 2))
+    held = base.select("__key", F.explode("__entities").alias("entity")).groupBy("__key", "entity").agg(F.count(F.lit(1)).alias("copies"))
+    # Entities of the same texts have the same counts; they are one, so that a list of contacts is no product with its words.
+    alike = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("n"), F.bit_xor("__key").alias("a"), F.bit_xor(F.xxhash64("__key", F.lit(1))).alias("b"))
+    alike = alike.where(F.col("df_entity") < n).select("entity", "df_entity", F.xxhash64("df_entity", "n", "a", "b").alias("group"))
+    groups = cut(held.join(alike, "entity").select("__key", "group", "df_entity").distinct())
+    words = base.select("__key", F.explode(F.array_distinct(F.transform("__words", lambda w: w["term"]))).alias("term")).groupBy("__key", "term").agg(F.count(F.lit(1)).alias("copies"))
+    every = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
+    df = every.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    content = lambda c: F.log(F.lit(n) / F.col(c))
+    # No meeting is worth more than the term's own content, so terms that are too common for all entities of a text go first.
+    most = groups.groupBy("__key").agg(F.max("df_entity").alias("most"))
+    rare = words.join(most, "__key").join(df, "term").where(content("df_term") >= generalise_at * content("most"))
+    met = cut(rare.join(groups, "__key").where(content("df_term") >= generalise_at * content("df_entity")).select("__key", "term", "copies", "df_term", "group", "df_entity"))
+    both = met.groupBy("group", "term").agg(F.sum("copies").alias("both"), F.any_value("df_term").alias("df_term"), F.any_value("df_entity").alias("df_entity"))
+    p = F.col("df_term") / n
+    verdicts = both.withColumn("disclosure", F.log((F.col("both") + p) / (F.col("df_entity") + 1) / p) / content("df_entity")).where(F.col("disclosure") >= generalise_at)
+    return met.join(verdicts.select("group", "term", "disclosure"), ["group", "term"]).groupBy("__key", "term").agg((F.max("disclosure") >= remove_at).alias("remove"))
+
+
+def whole_term_spans(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
+    """For each text that has any, its term spans (start, end, remove): the near occurrences of a term that discloses."""
+    base = cut(find_whole(docs))
+    verdicts = disclosing_whole(docs, base, generalise_at, remove_at)
+    places = base.select("__key", F.explode("__words").alias("w")).select("__key", "w.*").distinct()
+    return places.join(verdicts, ["__key", "term"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "remove"))).alias("__terms"))
+
+
+def sanitise(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
     """The same rows and columns with spans replaced in ``text``: base spans by a label, terms by a neutral word or nothing.
 
-    Spans that overlap become one, under the first one's label. Rows without base spans, and null texts, stay as they are.
+    Terms are judged by ``disclosing_whole``, for entities of any number of texts. Spans that overlap become one, under the first one's label. Rows without base spans, and null texts, stay as they are.
     """
     columns = docs.columns
-    base = cut(find_base(docs, []))
-    terms = _term_spans(base, disclosing(docs, base, generalise_at, remove_at, min_texts))
+    terms = whole_term_spans(docs, generalise_at, remove_at)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text").alias("__text"), F.xxhash64("text", F.length("text"), F.reverse("text")).alias("__key"), base_spans(F.col("text")).alias("__spans"))
     clean = marked.where(F.size("__spans") == 0).select("__row.*")
     some = marked.where(F.size("__spans") > 0).join(terms, "__key", "left")

@@ -119,3 +119,38 @@ def test_rewriting(spark, text):
 def test_no_python_in_the_plan(spark):
     plan = pii_spans(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def brute_whole(rows, at=0.85, remove=0.95):
+    """Rewritten texts by the shrunk disclosure over whole documents, in plain Python."""
+    n, df, entity, pairs, words = len(rows), collections.Counter(), collections.Counter(), collections.Counter(), {}
+    for i, t in rows:
+        df.update(set(re.findall(r"[^\W\d_]{3,}", t.lower())))
+        spans = base(t)
+        free = [m for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(x < m.end() and y > m.start() for x, _, y, _ in spans)]
+        words[i] = ({(k, t[a:b].lower()) for a, k, b, _ in spans}, free, spans)
+        entity.update(words[i][0])
+        pairs.update({(e, m[0].lower()) for e in words[i][0] for m in free})
+    out = {}
+    for i, t in rows:
+        entities, free, spans = words[i]
+
+        def value(w, entities=entities):
+            p = df[w] / n
+            return max((math.log((pairs[e, w] + p) / (entity[e] + 1) / p) / math.log(n / entity[e]) for e in entities if entity[e] < n), default=0)
+
+        marks = [(a, b, f"<{k.upper()}>") for a, _, b, k in spans] + [(m.start(), m.end(), "" if value(m[0].lower()) >= remove else "<TERM>") for m in free if value(m[0].lower()) >= at]
+        done, new = 0, ""
+        for a, b, label in sorted(marks):
+            new, done = new + t[done:a] + label, b
+        out[i] = new + t[done:]
+    return out
+
+
+def test_terms_of_an_entity_in_one_text(spark):
+    """An entity of one or two texts has terms too; common words stay."""
+    rows = disclosure_corpus() + [(300, "Only quokka words stand around bob@corp.example today."), (301, "Some wombat and cy@corp.example again."), (302, "The wombat wrote as cy@corp.example to dee@corp.example again.")]
+    rows += [(1000 + i, f"Some common words again and today {i}.") for i in range(300)]
+    new = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert new == brute_whole(rows)
+    assert new[300] == "<TERM> <TERM> words stand around <EMAIL> today." and "wombat" not in new[301] + new[302] and "again" in new[301]
