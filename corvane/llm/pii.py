@@ -197,9 +197,8 @@ def pii_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), generalise_a
 
 
 def free_terms(text: Column, spans: Column) -> Column:
-    """The terms within reach of a base span that no base span touches: (term, start, end)."""
-    near = lambda t: F.exists(spans, lambda b: (t["start"] >= b["start"] - REACH) & (t["end"] <= b["end"] + REACH))
-    free = F.filter(find(text, TERM, 4), lambda t: near(t) & ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    """All terms of a text that no base span touches: (term, start, end)."""
+    free = F.filter(find(text, TERM, 4), lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
     return F.transform(free, lambda t: F.struct(F.xxhash64(F.lower(t["value"])).alias("term"), t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end")))
 
 
@@ -213,7 +212,7 @@ def find_whole(docs: DataFrame) -> DataFrame:
 def disclosing_whole(docs: DataFrame, base: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
     """(__key, term, remove) of the terms of each text that disclose an entity of it, from counts over all documents.
 
-    An entity and a term meet where they stand near in one document. The share of an entity's documents
+    An entity and a term meet where they stand in one document, however far apart. The share of an entity's documents
     that have the term is shrunk by one document more, in which the term stands as often as anywhere, p = df(t) / N:
 
         disclosure(e, t) = log(((n(e, t) + p) / (df(e) + 1)) / p) / log(N / df(e)),
@@ -241,7 +240,7 @@ def disclosing_whole(docs: DataFrame, base: DataFrame, generalise_at: float = 0.
 
 
 def whole_term_spans(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
-    """For each text that has any, its term spans (start, end, remove): the near occurrences of a term that discloses."""
+    """For each text that has any, its term spans (start, end, remove): every occurrence of a term that discloses."""
     base = cut(find_whole(docs))
     verdicts = disclosing_whole(docs, base, generalise_at, remove_at)
     places = base.select("__key", F.explode("__words").alias("w")).select("__key", "w.*").distinct()
@@ -251,7 +250,7 @@ def whole_term_spans(docs: DataFrame, generalise_at: float = 0.85, remove_at: fl
 def sanitise(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
     """The same rows and columns with spans replaced in ``text``: base spans by a label, terms by a neutral word or nothing.
 
-    Terms are judged by ``disclosing_whole``, for entities of any number of texts. Spans that overlap become one, under the first one's label. Rows without base spans, and null texts, stay as they are.
+    Terms are judged by ``disclosing_whole``, over whole documents and for entities of any number of texts. Spans that overlap become one, under the first one's label. Rows without base spans, and null texts, stay as they are.
     """
     columns = docs.columns
     terms = whole_term_spans(docs, generalise_at, remove_at)

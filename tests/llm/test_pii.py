@@ -154,3 +154,13 @@ def test_terms_of_an_entity_in_one_text(spark):
     new = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert new == brute_whole(rows)
     assert new[300] == "<TERM> <TERM> words stand around <EMAIL> today." and "wombat" not in new[301] + new[302] and "again" in new[301]
+
+
+def test_terms_of_the_whole_document(spark):
+    """A term far from the entity, and its second occurrence, are replaced; so are terms of a long list of entities."""
+    rows = [(i, f"Some common words again and today {i}.") for i in range(300)]
+    rows += [(300, "Quokka words. " + "some common words again and " * 40 + "bob@corp.example today " + "again and " * 90 + "the QUOKKA, quokka.")]
+    rows += [(301, " ".join(f"user{i}@corp.example" for i in range(400)) + " numbat again")]
+    new = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert new == brute_whole(rows)
+    assert "quokka" not in new[300].lower() and new[300].endswith("<TERM>, <TERM>.") and new[301].endswith("<TERM> again")
