@@ -1,9 +1,10 @@
-"""Main text of web pages by tag-path ratios.
+"""Main text of web pages: the article element, or what tag-path ratios select.
 
-A page becomes a list of text nodes, each with its path of tags from the root. For each path the length and the
-punctuation of all its nodes are summed and divided by the number of nodes; the two ratios are smoothed along the page
-and fused; paths over a threshold of the fused score are content. The content nodes vote for the element that holds the
-article, and the article's blocks are what that element holds, less what its own tags and names mark as furniture.
+A page becomes a list of text nodes, each with its path of tags from the root. Where a page has an <article> or <main>, its
+blocks are what that element holds, less what its own tags and names mark as furniture: ratios alone lose its short blocks.
+Elsewhere, for each path the length and the punctuation of all its nodes are summed and divided by the number of nodes; the
+two ratios are smoothed along the page and fused; paths over a threshold of the fused score are content, which
+votes for the element that holds the article.
 """
 
 from __future__ import annotations
