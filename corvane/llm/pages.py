@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +40,15 @@ FURNITURE = frozenset("nav footer aside form script style noscript template head
 NAMES = frozenset(
     "ad ads advert advertisement adverts adsense banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer form header masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion reader-comments related remark reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+#: Names of elements beside the story that may be articles themselves, and of what readers write.
+BESIDE = frozenset("ad ads advert advertisement adverts adsense promo promoted promotion related sponsor sponsored sidebar sidebars widget widgets newsletter".split())
+READERS = frozenset("comment comments discussion disqus reader-comments reply replies respond".split())
+#: Names of articles that only announce another one; they mark nothing else.
+TEASERS = frozenset("teaser teasers card cards preview previews recommended recommendation recommendations".split())
+#: Names that also head parts of a story: inside it they mark furniture only where the text is no prose.
+SOFT = frozenset("respond reply replies remark tags notice disclaimer discussion search share sharing social copyright".split())
+#: Words that say where an element is and may stand in a compound name.
+PLACES = frozenset("site main left right top bottom primary secondary section area box block list item container wrapper bar inner outer the posts articles stories links buttons icons slot unit group holder feed panel".split())
 CONTENT_TAGS = ("article", "main")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -58,6 +68,7 @@ class Node:
     furniture: bool
     article: bool
     depth: int
+    names: frozenset[str] = frozenset()
 
 
 @dataclass
@@ -77,18 +88,20 @@ class Page:
     texts: list[Text] = field(default_factory=list)
 
 
-def _furniture(tag: str, attrs: str, parent: Node | None) -> bool:
-    if tag in FURNITURE or tag == "header":
-        return True
-    if attrs:
-        if _HIDDEN.search(attrs):
-            return True
-        if tag not in ("html", "body", *CONTENT_TAGS):
-            for m in _NAMED.finditer(attrs):
-                value = (m[1] or m[2] or m[3] or "").lower()
-                if any(w in NAMES for w in re.split(r"[\s_]+", value)) or any(w in NAMES for w in re.split(r"[^a-z]+", value)):
-                    return True
-    return False
+def _furniture(tag: str, attrs: str) -> bool:
+    """Whether the element's own tag or attributes hide it or make it furniture, whatever it holds."""
+    return tag in FURNITURE or tag == "header" or bool(attrs and _HIDDEN.search(attrs))
+
+
+def _names(attrs: str) -> frozenset[str]:
+    """The words of NAMES and TEASERS in tokens of class, id, role and aria-label that have no other words than places."""
+    found: set[str] = set()
+    for m in _NAMED.finditer(attrs):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = {token} if token in NAMES else set(re.findall("[a-z]+", token))
+            if words & (NAMES | TEASERS) and words <= NAMES | TEASERS | PLACES:
+                found |= words & (NAMES | TEASERS)
+    return frozenset(found)
 
 
 def parse(source: str) -> Page:
@@ -160,10 +173,10 @@ def parse(source: str) -> Page:
         names = _NAMED.search(attrs) if attrs else None
         label = f"{parent.label}/{tag}" + (f".{next((x for x in names.groups() if x), '').lower()}" if names else "")
         inside = parent.article or tag in CONTENT_TAGS
-        odd = parent.furniture or _furniture(tag, attrs, parent)
+        odd = parent.furniture or _furniture(tag, attrs)
         if parent.furniture and parent.tag == "header" and parent.article and tag in HEADINGS:
             odd = bool(parent.parent and parent.parent.furniture)  # an article's own heading
-        stack.append(Node(tag, label[-400:], parent, made, odd, inside, parent.depth + 1))
+        stack.append(Node(tag, label[-400:], parent, made, odd, inside, parent.depth + 1, _names(attrs) if attrs and tag not in ("html", "body") else frozenset()))
     return page
 
 
@@ -186,9 +199,69 @@ def scores(texts: list[Text], sigma: float = 1.0) -> np.ndarray:
     return smooth(ratio) * (1 + smooth(marks))
 
 
+def _around(node: Node | None) -> Iterator[Node]:
+    """A node and the elements around it."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _size(t: Text) -> int:
+    return len(t.value.strip())
+
+
+def _prose(held: list[Text]) -> bool:
+    """Whether a text is sentences: long nodes with punctuation, by the ratios of an element."""
+    length = sum(map(_size, held))
+    return length >= 40 * len(held) and sum(len(PUNCTUATION.findall(t.value)) for t in held) * 200 >= length
+
+
+def judge(texts: list[Text]) -> list[Text]:
+    """The texts that no name makes furniture.
+
+    A name does not count on an element that holds most of the page's text (nine tenths for readers' comments), on one of
+    the SOFT names that holds prose inside the story, or on one around an outermost article unless it is BESIDE or READERS.
+    """
+    held: dict[int, list[Text]] = defaultdict(list)
+    nodes: dict[int, Node] = {}
+    for t in texts:
+        for x in _around(t.node):
+            if x.names - TEASERS:
+                held[x.number].append(t)
+                nodes[x.number] = x
+    if not nodes:
+        return texts
+    total = sum(map(_size, texts))
+    marks: set[int] = set()
+    for i, x in nodes.items():
+        names = x.names - TEASERS
+        if x.tag in CONTENT_TAGS and not (names & (BESIDE | READERS)):
+            continue
+        share = sum(map(_size, held[i])) / max(total, 1)
+        if share > (0.9 if names & READERS and names & READERS - SOFT else 0.5):
+            continue
+        if names <= SOFT and not any(y.names & READERS - SOFT for y in _around(x.parent)) and x.article and _prose(held[i]):
+            continue
+        marks.add(i)
+
+    def odd(t: Text) -> bool:
+        free = False  # whether an outermost article lies between the text and the element
+        below: Node | None = None
+        for x in _around(t.node):
+            # The heading of an article's own header does not take the header's name.
+            heading = below is not None and below.tag in HEADINGS and x.tag == "header" and x.article
+            if x.number in marks and not heading and not (free and not x.names & (BESIDE | READERS)):
+                return True
+            free = free or (x.tag in CONTENT_TAGS and not (x.parent and x.parent.article))
+            below = x
+        return False
+
+    return [t for t in texts if not odd(t)]
+
+
 def article(page: Page, share: float = 0.5) -> list[Text]:
     """The text nodes of the article, in page order."""
-    texts = [t for t in page.texts if not t.node.furniture]
+    texts = judge([t for t in page.texts if not t.node.furniture])
     if not texts:
         return []
     fused = scores(texts)

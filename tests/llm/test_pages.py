@@ -63,3 +63,22 @@ def test_edges(spark):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n_chars", F.lit("clash"))).collect()
     assert sorted((str(r.page_id), r.text) for r in got) == sorted((str(i), main_text(h or "")) for i, _, h in rows)
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+STORY = ["The first paragraph of the story has a good many words, commas, and stops.", "Short."]
+
+
+@pytest.mark.parametrize("attrs", ["class='layout no-sidebar'", "class='has-sidebar'", "class='with-comments'", "class='ad-free'", "id='search-page'", "id='search'", "class='widget'"])
+def test_names_around_the_article(attrs):
+    """A wrapper's name does not empty the article, whether the page has an article element or not."""
+    menu = "<div class='menu'><a>Home</a></div>"
+    assert main_text(f"<body><div {attrs}>{menu}<article>{BODY * 2}</article><div class='comments'><p>I say, no.</p></div></div></body>") == "\n".join(STORY * 2)
+    assert main_text(f"<body><div {attrs}>{menu}<div>{BODY * 2}</div></div></body>") == "\n".join(STORY * 2)
+
+
+@pytest.mark.parametrize("name", ["response", "reply", "remark", "tags"])
+def test_named_section_of_prose(name):
+    page = f"<article>{BODY * 3}<section class='{name}'><p>The minister gave an answer to this, and it was long, and it was firm.</p></section></article>"
+    assert main_text(page) == "\n".join([*STORY * 3, "The minister gave an answer to this, and it was long, and it was firm."])
+    if name != "response":  # never a name of furniture
+        assert main_text(f"<article>{BODY * 3}<div class='{name}'><a>one</a> <a>two</a></div></article>") == "\n".join(STORY * 3)
