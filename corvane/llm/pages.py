@@ -3,8 +3,8 @@
 A page becomes a list of text nodes, each with its path of tags from the root. Where a page has an <article> or <main>, its
 blocks are what that element holds, less what its own tags and names mark as furniture: ratios alone lose its short blocks.
 Elsewhere, for each path the length and the punctuation of all its nodes are summed and divided by the number of nodes; the
-two ratios are smoothed along the page and fused; paths over a threshold of the fused score are content, which
-votes for the element that holds the article.
+two ratios are smoothed along the page and fused; paths over a threshold of the fused score are content. Content is then
+every node of these paths, the headings before and between them, and all else in the element that most of them stand in.
 """
 
 from __future__ import annotations
@@ -259,38 +259,54 @@ def judge(texts: list[Text]) -> list[Text]:
     return [t for t in texts if not odd(t)]
 
 
+def _announces(node: Node, held: list[Text]) -> bool:
+    """Whether an article only announces another one or is a comment: by its names, those around it, or its links."""
+    if any(x.names & (TEASERS | BESIDE | READERS) for x in _around(node)):
+        return True
+    linked = sum(_size(t) for t in held if any(x.tag == "a" for x in _around(t.node)))
+    return 2 * linked >= sum(map(_size, held))
+
+
 def article(page: Page, share: float = 0.5) -> list[Text]:
     """The text nodes of the article, in page order."""
     texts = judge([t for t in page.texts if not t.node.furniture])
     if not texts:
         return []
+    nodes = {x.number: x for t in texts for x in _around(t.node)}
+    marked = [x for x in nodes.values() if x.tag in CONTENT_TAGS]
+    if marked:
+        # Articles that are in no other one, but for those that announce others; a <main> only where it has none.
+        tags = ("article",) if any(x.tag == "article" for x in marked) else CONTENT_TAGS
+        outer = {x.number: x for x in marked if x.tag in tags and not _nested(x, tags)}
+        held: dict[int, list[Text]] = {i: [] for i in outer}
+        for t in texts:
+            for x in _around(t.node):
+                if x.number in held:
+                    held[x.number].append(t)
+        most = max(sum(map(_size, h)) for h in held.values())
+        roots = {i for i, x in outer.items() if 2 * sum(map(_size, held[i])) >= most or not _announces(x, held[i])}
+        return [t for t in texts if _under(t.node, roots)]
     fused = scores(texts)
     by_path: dict[str, list[int]] = defaultdict(list)
     for i, t in enumerate(texts):
         by_path[t.path].append(i)
     best = {p: float(np.mean(fused[i])) for p, i in by_path.items()}
     threshold = share * float(np.std(list(best.values())))
-    seeds = [i for i, t in enumerate(texts) if best[t.path] >= threshold]
-    # Votes: each text gives its length, a text that is no seed a tenth of it, to every element around it.
+    chosen = {i for i, t in enumerate(texts) if best[t.path] >= threshold}
+    # Each text gives its length, a text that is no seed a tenth of it, to every element around it.
     mass: dict[int, float] = defaultdict(float)
-    nodes: dict[int, Node] = {}
-    chosen = set(seeds)
     for i, t in enumerate(texts):
-        weight, node = (len(t.value.strip()) + 1e-9) * (1.0 if i in chosen else 0.1), t.node
-        while node is not None:
-            mass[node.number] += weight
-            nodes[node.number] = node
-            node = node.parent
-    marked = [x for x in nodes.values() if x.tag in CONTENT_TAGS]
-    if marked:
-        # Articles that are in no other one and hold at least half of what the largest holds; a <main> only where it has none.
-        tags = ("article",) if any(x.tag == "article" for x in marked) else CONTENT_TAGS
-        outer = [x for x in marked if x.tag in tags and not _nested(x, tags)]
-        most = max(mass[x.number] for x in outer)
-        roots = {x.number for x in outer if mass[x.number] >= 0.5 * most}
-    else:  # the deepest element that most of the content stands in
-        roots = {max((x for x in nodes.values() if mass[x.number] >= 0.8 * mass[0] and x.tag not in ("p", *HEADINGS) and (x.tag in BLOCKS or not x.tag)), key=lambda x: x.depth).number}
-    return [t for t in texts if _under(t.node, roots)]
+        for x in _around(t.node):
+            mass[x.number] += (len(t.value.strip()) + 1e-9) * (1.0 if i in chosen else 0.1)
+    # The deepest element that most of the content stands in is whole content, and so are chosen paths elsewhere.
+    root = {max((x for x in nodes.values() if mass[x.number] >= 0.8 * mass[0] and x.tag not in ("p", *HEADINGS) and (x.tag in BLOCKS or not x.tag)), key=lambda x: x.depth).number}
+    chosen |= {i for i, t in enumerate(texts) if _under(t.node, root)}
+    # Headings between the first and last content, and those right before the first.
+    heads = [any(x.tag in HEADINGS for x in _around(t.node)) for t in texts]
+    first, last = min(chosen), max(chosen)
+    while first > 0 and heads[first - 1]:
+        first -= 1
+    return [t for i, t in enumerate(texts) if i in chosen or (first <= i <= last and heads[i])]
 
 
 def _nested(node: Node, tags: tuple[str, ...]) -> bool:

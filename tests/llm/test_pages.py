@@ -82,3 +82,17 @@ def test_named_section_of_prose(name):
     assert main_text(page) == "\n".join([*STORY * 3, "The minister gave an answer to this, and it was long, and it was firm."])
     if name != "response":  # never a name of furniture
         assert main_text(f"<article>{BODY * 3}<div class='{name}'><a>one</a> <a>two</a></div></article>") == "\n".join(STORY * 3)
+
+
+def test_content_beside_the_largest_block():
+    """Without an article element: headings before the body, and an introduction beside the story."""
+    assert main_text(f"<body><div class='menu'>Home</div><h1>Head</h1><div class='body'>{BODY * 3}</div></body>") == "\n".join(["Head", *STORY * 3])
+    intro = "The introduction of the story is short, but has commas, and belongs to it."
+    assert main_text(f"<body><div class='intro'><p>{intro}</p></div><h2>Then</h2><div class='story'>{BODY * 7}</div></body>") == "\n".join([intro, "Then", *STORY * 7])
+
+
+def test_unequal_articles():
+    """An article in unequal parts is whole; a small one goes where names or links show that it is a teaser or a comment."""
+    part = "<article><h2>Part two</h2><p>A shorter part, which ends the story.</p></article>"
+    small = "<article class='card'><p>Read on.</p></article><article><h3><a href='/x'>Another story</a></h3></article><div class='comments'><article><p>I say, no.</p></article></div>"
+    assert main_text(f"<body><article>{BODY * 4}</article>{part}{small}</body>") == "\n".join([*STORY * 4, "Part two", "A shorter part, which ends the story."])
