@@ -21,24 +21,31 @@ SELECT n.doc_id, n.n::BIGINT AS n_shingles, least(n.doc_id, coalesce(min(r.b), n
 
 def quality_sql() -> str:
     """Measures, host rates shrunk by a moment-fitted beta prior, verdicts."""
-    rules = {"few_words": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": "n_symbols > greatest(n_words, 1)", "dup_lines": "2 * n_dup_lines > greatest(n_words, 1)"}
+    least, most = quality.WORD_LENGTH
+    rules = {
+        "few_words": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": f"n_symbols > {quality.SYMBOL_SHARE}::DOUBLE * n_words",
+        "dup_lines": f"n_dup_lines > {quality.DUP_LINE_SHARE}::DOUBLE * n_lines", "word_length": f"(word_chars < {least} * n_words OR word_chars > {most} * n_words)",
+    }
     counts = ", ".join(f"sum(({c})::INT)::DOUBLE AS k_{r}" for r, c in rules.items())
     sums = ", ".join(f"sum(k_{r}) / sum(n) AS m_{r}, var_pop(k_{r} / n) AS v_{r}" for r in rules)
     inner = lambda r: f"m_{r} * (1 - m_{r})"
     strengths = ", ".join(f"least(greatest({inner(r)} / greatest(v_{r} - {inner(r)} * inverse / hosts, 1e-12) - 1, {quality.LEAST_STRENGTH}), 1e6) AS s_{r}, m_{r}" for r in rules)
-    good = " AND ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) < {quality.THRESHOLDS[r]}" for r in rules)
+    rates = ", ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r}) AS rate_{r}, m_{r}, n + s_{r} + 1 AS w_{r}" for r in rules)
+    good = " AND ".join(f"rate_{r} < {quality.THRESHOLDS[r]}" for r in rules)
+    flags = ", ".join(f"CASE WHEN rate_{r} > 0 AND rate_{r} - {quality.EXCESS}::DOUBLE * m_{r} >= {quality.QUANTILE}::DOUBLE * sqrt(rate_{r} * (1 - rate_{r}) / w_{r}) THEN '{r}' END" for r in rules)
+    base, failed = f"({rules['few_words']} OR {rules['repeats']})", "(" + " OR ".join(rules.values()) + ")"
     return rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 i AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS c FROM i),
 q AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g WHERE c > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS lines, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{_WORD}') GROUP BY doc_id),
 m AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id)),
+  coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words, coalesce(l.lines, 0)::BIGINT AS n_lines FROM d LEFT JOIN q USING (doc_id) LEFT JOIN l USING (doc_id)),
 h AS (SELECT source, count(*)::DOUBLE AS n, {counts} FROM m WHERE source IS NOT NULL GROUP BY source),
 z AS (SELECT count(*) AS hosts, sum(1 / n) AS inverse, {sums} FROM h), p AS (SELECT {strengths} FROM z),
-v AS (SELECT source, {good} AS ok FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({rules['few_words']}) OR ({rules['repeats']}) AS base_failed, coalesce(ok, TRUE) AS host_ok,
-  NOT (({rules['few_words']}) OR ({rules['repeats']})) AND coalesce(ok, TRUE) AS kept FROM m LEFT JOIN v USING (source)"""
+r AS (SELECT source, {rates} FROM h, p), v AS (SELECT source, {good} AS ok, concat_ws(',', {flags}) AS flags, {', '.join(f'round(rate_{r}, 9) AS rate_{r}' for r in rules)} FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, {base} AS base_failed, {failed} AS rule_failed, coalesce(ok, TRUE) AS host_ok, coalesce(flags, '') AS host_flags, {', '.join(f'rate_{r}' for r in rules)},
+  NOT {base} AND coalesce(ok, TRUE) AND NOT ({failed} AND coalesce(flags, '') <> '') AS kept FROM m LEFT JOIN v USING (source)"""
 
 
 def pii_sql(generalise_at: float = 0.85, least: int = 3) -> str:
