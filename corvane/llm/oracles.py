@@ -48,8 +48,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_li
   NOT {base} AND coalesce(ok, TRUE) AND NOT ({failed} AND coalesce(flags, '') <> '') AS kept FROM m LEFT JOIN v USING (source)"""
 
 
-def pii_sql(generalise_at: float = 0.85, least: int = 3) -> str:
-    """Base spans by the gaps between matches, and the terms near them that disclose their entity."""
+def pii_sql() -> str:
+    """Base spans by the gaps between matches, and the terms of their documents that disclose an entity, by class."""
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     digits = "regexp_replace(v, '[^0-9]', '', 'g')"
     luhn = f"(SELECT sum(CASE WHEN j % 2 = 1 THEN CASE WHEN c > 4 THEN 2 * c - 9 ELSE 2 * c END ELSE c END) % 10 = 0 FROM (SELECT unnest(range(length(g))) AS j, unnest(list_transform(range(length(g)), lambda j: substr(g, length(g) - j, 1)::INT)) AS c FROM (SELECT {digits} AS g)))"
@@ -61,26 +61,32 @@ def pii_sql(generalise_at: float = 0.85, least: int = 3) -> str:
   SELECT {key}, unnest(range(len(vs))) AS o, unnest(vs) AS v, unnest(gs[1:len(vs)]) AS g FROM (SELECT {key}, regexp_extract_all({text}, '{pattern}') AS vs, string_split_regex({text}, '{pattern}') AS gs FROM {rows}) WHERE len(vs) > 0))"""
 
     base = " UNION ALL ".join(f"SELECT doc_id, start, {k} AS kind, start + length(v) AS stop, v FROM {spans('d', 'doc_id', 't', p)} WHERE {valid[name]}" for k, (name, p) in enumerate(patterns.items()))
-    reach = pii.REACH
     word = r"\p{L}{3,}"
     named = lambda alias: "['email', 'ip', 'card', 'phone', 'term'][" + alias + ".kind + 1]"
     listed = lambda alias: f"coalesce(string_agg({named(alias)} || ':' || {alias}.start::BIGINT || ':' || {alias}.stop::BIGINT, ',' ORDER BY {alias}.start, {alias}.kind, {alias}.stop), '')"
+    wide, wider = (f"CASE WHEN length(term) > {n} THEN substr(term, 1, {n}) || '*' END" for n in pii.CLASSES)
+    a, b, c = (f"'{v}'" for v in pii.VERDICTS)
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS ({base}),
-c AS (SELECT row_number() OVER () AS id, doc_id, kind || ':' || lower(v) AS entity, greatest(start - {reach}, 0) AS lo, stop + {reach} AS hi, t FROM b JOIN d USING (doc_id)),
-f AS (SELECT id, substr(t, lo::INT + 1, (hi - lo)::INT) AS s FROM c),
-w AS (SELECT c.doc_id, c.entity, lower(x.v) AS term, (x.start + lo)::BIGINT AS start, (x.start + length(x.v) + lo)::BIGINT AS stop FROM c JOIN f USING (id) JOIN {spans('f', 'id', 's', word)} x USING (id)
-  WHERE (lo = 0 OR x.start > 0) AND (x.start + length(x.v) < length(s) OR hi >= length(t))),
-o AS (SELECT w.* FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = w.doc_id AND b.start < w.stop AND b.stop > w.start)),
-e AS (SELECT entity, count(DISTINCT doc_id)::DOUBLE AS df_entity FROM o GROUP BY entity),
-r AS (SELECT entity, term, count(DISTINCT doc_id)::DOUBLE AS met, count(DISTINCT t) AS texts FROM o JOIN d USING (doc_id) GROUP BY ALL HAVING texts >= {least}),
-k AS (SELECT term, count(*)::DOUBLE AS df_term FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(t), '{word}'))) AS term FROM d) GROUP BY term),
-z AS (SELECT entity, term FROM r JOIN e USING (entity) JOIN k USING (term), (SELECT greatest(count(*), 2)::DOUBLE AS n FROM d)
-  WHERE df_entity < n AND ln(met * n / (df_entity * greatest(df_term, met))) / ln(n / df_entity) >= {generalise_at}),
-y AS (SELECT DISTINCT doc_id, start, 4 AS kind, stop FROM o JOIN z USING (entity, term)),
+en AS (SELECT DISTINCT doc_id, kind || ':' || lower(v) AS entity FROM b), e AS (SELECT entity, count(*)::DOUBLE AS df_entity FROM en GROUP BY entity),
+f AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM b)),
+o AS (SELECT doc_id, lower(x.v) AS term, x.start::BIGINT AS start, (x.start + length(x.v))::BIGINT AS stop FROM {spans('f', 'doc_id', 't', word)} x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.start < x.start + length(x.v) AND b.stop > x.start)),
+g AS (SELECT DISTINCT doc_id, term, {wide} AS wide, {wider} AS wider FROM o),
+i AS (SELECT doc_id, term AS item FROM g UNION SELECT doc_id, wide FROM g WHERE wide IS NOT NULL UNION SELECT doc_id, wider FROM g WHERE wider IS NOT NULL),
+v AS (SELECT doc_id, term FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(t), '{word}'))) AS term FROM d)),
+k AS (SELECT item, count(DISTINCT doc_id)::DOUBLE AS df FROM (SELECT doc_id, term AS item FROM v UNION ALL SELECT doc_id, {wide} FROM v UNION ALL SELECT doc_id, {wider} FROM v) WHERE item IS NOT NULL GROUP BY item),
+m AS (SELECT entity, item, count(*)::DOUBLE AS met FROM en JOIN i USING (doc_id) GROUP BY ALL),
+z AS (SELECT entity, item FROM m JOIN e USING (entity) JOIN k USING (item), (SELECT greatest(count(*), 2)::DOUBLE AS n FROM d)
+  WHERE df_entity < n AND ln((met + df / n) / (df_entity + 1) / (df / n)) / ln(n / df_entity) >= {pii.THRESHOLD}),
+x AS (SELECT DISTINCT doc_id, item FROM i JOIN en USING (doc_id) JOIN z USING (entity, item)),
+j AS (SELECT g.doc_id, g.term, CASE WHEN wide IS NOT NULL AND x1.item IS NULL THEN {a} WHEN wider IS NOT NULL AND x2.item IS NULL THEN {b} ELSE {c} END AS verdict FROM g JOIN x x0 ON x0.doc_id = g.doc_id AND x0.item = g.term
+  LEFT JOIN x x1 ON x1.doc_id = g.doc_id AND x1.item = g.wide LEFT JOIN x x2 ON x2.doc_id = g.doc_id AND x2.item = g.wider),
+y AS (SELECT doc_id, start, 4 AS kind, stop, verdict FROM o JOIN j USING (doc_id, term)),
 u AS (SELECT doc_id, start, kind, stop FROM b UNION ALL SELECT doc_id, start, kind, stop FROM y),
 bs AS (SELECT doc_id, {listed('b')} AS base, {', '.join(f'count(*) FILTER (kind = {i}) AS n{i}' for i in range(4))} FROM b GROUP BY doc_id),
-us AS (SELECT doc_id, {listed('u')} AS spans, count(*) FILTER (kind = 4) AS n4 FROM u GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n{i}, 0) AS n_{k}' for i, k in enumerate(pii.KINDS))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN us USING (doc_id)"""
+us AS (SELECT doc_id, {listed('u')} AS spans FROM u GROUP BY doc_id),
+ys AS (SELECT doc_id, count(*) AS n4, count(*) FILTER (verdict = {c}) AS n5, string_agg(start || ':' || stop || ':' || verdict, ',' ORDER BY start) AS terms FROM y GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n{i}, 0) AS n_{k}' for i, k in enumerate(pii.KINDS))}, coalesce(n5, 0) AS n_removed, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(terms, '') AS terms
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN us USING (doc_id) LEFT JOIN ys USING (doc_id)"""
 
 
 def statements() -> dict[str, str]:

@@ -1,15 +1,18 @@
-"""Personal data: patterns, and information-theoretic sanitisation of the words around them.
+"""Personal data: patterns, and information-theoretic sanitisation of the words that disclose it.
 
 Everything here is DataFrame expressions: no Python runs on the executors.
 
-Base spans are matches of four patterns. A term (a word of letters) near a base span discloses the entity, that is the
-matched value, as far as knowing the term points to it: with document counts df over the whole corpus,
+Base spans are matches of four patterns. Their values are the protected entities. A term (a word of letters) discloses an
+entity as far as knowing the term points to it, by counts over the whole corpus; entity and term meet where they stand
+in one document, however far apart. With p = df(t) / N, and the share of an entity's documents that have the term shrunk
+by one document more in which the term stands as often as anywhere,
 
-    disclosure(e, t) = PMI(e; t) / IC(e) = log(n(e, t) * N / (df(e) * df(t))) / log(N / df(e)),
+    disclosure(e, t) = log(((n(e, t) + p) / (df(e) + 1)) / p) / log(N / df(e)),
 
-which is 1 where the term occurs only with the entity and 0 where the two are independent. Terms from ``generalise_at``
-on are generalised (replaced by a neutral word), from ``remove_at`` on removed; both need ``min_texts`` different texts,
-so that a chance meeting in one text does not count. A document without base spans is left as it is.
+so an entity of one text is judged too, a chance meeting counts half, and many meetings count in full. A term that reaches
+the threshold for an entity of its document is generalised: to the words that share its first four letters, else to those
+that share its first two, whichever class is the first to stay under the threshold itself; where none does, it is removed.
+A document without base spans is left as it is.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, heavy_join
 
 #: Kinds in their order, with pattern, a cheap condition that every match implies, and what becomes of a match.
 #: Possessive repeats give the same matches and cannot backtrack; a match starts a run or follows the match before.
@@ -27,11 +30,13 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
-#: Code points on either side of a base span whose terms count as near it.
-REACH = 160
+#: Disclosure from which a term or a class of terms points to an entity.
+THRESHOLD = 0.85
+#: Letters that the classes of a term keep, from the narrowest on, and what a verdict is called.
+CLASSES = (4, 2)
+VERDICTS = ("prefix4", "prefix2", "removed")
 BLOCK = 256
 LABELS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>"}
-GENERAL = "<TERM>"
 
 _SPAN = "struct<start:bigint,kind:int,end:bigint,value:string>"
 
@@ -119,52 +124,87 @@ def base_spans(text: Column) -> Column:
     return F.when(text.isNull(), none).otherwise(F.sort_array(F.concat(*parts)))
 
 
-def contexts(text: Column, spans: Column) -> Column:
-    """For each base span, the terms within reach that no base span touches: (entity, term, start, end)."""
+def _key(text: Column) -> Column:
+    """A key of 128 bits."""
+    return F.unhex(F.md5(text.cast("binary")))
 
-    def near(s: Column) -> Column:
-        begin = F.greatest(s["start"] - REACH, F.lit(0).cast("bigint"))
-        snippet = F.substr(text, (begin + 1).cast("int"), (s["end"] + REACH - begin).cast("int"))
-        whole = lambda t: (  # noqa: E731  a word that the edge of the reach cuts is left out
-            ((begin == 0) | (t["start"] > 0)) & ((t["end"] < F.length(snippet)) | (s["end"] + REACH >= F.length(text)))
-        )
-        free = lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"] + begin) & (b["end"] > t["start"] + begin))
-        terms = F.filter(find(snippet, TERM, 4), lambda t: whole(t) & free(t))
-        entity = F.xxhash64(s["kind"], F.lower(s["value"]))
-        return F.transform(terms, lambda t: F.struct(entity.alias("entity"), F.xxhash64(F.lower(t["value"])).alias("term"), (t["start"] + begin).alias("start"), (t["end"] + begin).alias("end")))
 
-    return F.flatten(F.transform(spans, near))
+def _class(word: Column, letters: int) -> Column:
+    """The class of a small-lettered word; null where the word is no longer than its class."""
+    return F.when(F.length(word) > letters, F.concat(F.substring(word, 1, letters), F.lit("*")))
+
+
+def free_terms(text: Column, spans: Column) -> Column:
+    """All terms of a text that no base span touches: (term, wide, wider, start, end), the first three as hashes."""
+    free = F.filter(find(text, TERM, 4), lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+
+    def item(t: Column) -> Column:
+        word = F.lower(t["value"])
+        classes = [F.when(F.length(word) > n, F.xxhash64(_class(word, n))) for n in CLASSES]
+        return F.struct(F.xxhash64(word).alias("term"), classes[0].alias("wide"), classes[1].alias("wider"), t["start"].alias("start"), t["end"].alias("end"))
+
+    return F.transform(free, item)
 
 
 def find_base(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Kept columns, a key of the text, base spans and their contexts, written once to the shared folder."""
-    rows = docs.select(*keep, "text", F.xxhash64("text", F.length("text"), F.reverse("text")).alias("__key"), base_spans(F.col("text")).alias("__spans"))
+    """Kept columns, a key of the text, base spans and, where there are any, entities and free terms; written once to the shared folder."""
+    rows = docs.select(*keep, "text", _key(F.col("text")).alias("__key"), base_spans(F.col("text")).alias("__spans"))
     some = F.size("__spans") > 0
-    return rows.select(*keep, "__key", "__spans", F.when(some, contexts(F.col("text"), F.col("__spans"))).alias("__near"))
+    entities = F.array_distinct(F.transform("__spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    return cut(rows.select(*keep, "__key", "__spans", F.when(some, entities).alias("__entities"), F.when(some, free_terms(F.col("text"), F.col("__spans"))).alias("__words")))
+
+
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(item, df) of all terms and classes of terms, summed before the shuffle."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
+    items = F.flatten(F.transform(words, lambda w: F.array(F.xxhash64(w), *[F.when(F.length(w) > n, F.xxhash64(_class(w, n))) for n in CLASSES])))
+    return docs.select(F.explode(F.array_compact(F.array_distinct(items))).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+
 
+def disclosing(docs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(__key, item): the terms and classes of each text that disclose an entity of it.
+
+    ``texts`` has __key, copies, __entities and __words. Entities of the same texts have the same counts and are one, so
+    a list of contacts is no product with its words. Entities that stand in every document have nothing to disclose.
+    """
+    n = float(max(docs.count(), 2))
+    held = texts.select("__key", "copies", F.explode("__entities").alias("entity"))
+    alike = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("__key")).alias("a"), F.bit_xor(F.xxhash64("__key", F.lit(1))).alias("b"))
+    alike = cut(alike.where(F.col("df_entity") < n).select("entity", "df_entity", "n", F.xxhash64("df_entity", "n", "a", "b").alias("group")))
+    groups = cut(heavy_join(held, alike, ["entity"], "n").select("__key", "group", "df_entity").distinct())
+    items = F.array_compact(F.array_distinct(F.flatten(F.transform("__words", lambda w: F.array(w["term"], w["wide"], w["wider"])))))
+    words = texts.select("__key", "copies", F.explode(items).alias("item"))
+    counts = cut(document_counts(docs).join(words.select("item").distinct(), "item", "left_semi"))
+    content = lambda c: F.log(F.lit(n) / F.col(c))
+    # No meeting is worth more than the item's own content, so items that are too common for all entities of a text go first.
+    most = groups.groupBy("__key").agg(F.max("df_entity").alias("most"))
+    rare = heavy_join(words.join(most, "__key"), counts, ["item"], "df").where(content("df") >= threshold * content("most"))
+    met = cut(rare.join(groups, "__key").where(content("df") >= threshold * content("df_entity")).select("__key", "item", "copies", "df", "group", "df_entity"))
+    both = met.groupBy("group", "item").agg(F.sum("copies").alias("both"), F.any_value("df").alias("df"), F.any_value("df_entity").alias("df_entity"))
+    p = F.col("df") / n
+    verdicts = both.where(F.log((F.col("both") + p) / (F.col("df_entity") + 1) / p) / content("df_entity") >= threshold).select("group", "item", "both")
+    return cut(heavy_join(met, cut(verdicts), ["group", "item"], "both").select("__key", "item").distinct())
 
-def disclosing(docs: DataFrame, base: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95, min_texts: int = 3) -> DataFrame:
-    """(entity, term, disclosure, remove) of all pairs over the threshold, from counts over all documents."""
-    texts = base.where(F.size("__spans") > 0).groupBy("__key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("__near").alias("__near"))
-    near = texts.select("__key", "copies", F.explode("__near").alias("n")).select("__key", "copies", "n.entity", "n.term").distinct()
-    pairs = near.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_texts)
-    entities = near.select("__key", "copies", "entity").distinct().groupBy("entity").agg(F.sum("copies").alias("df_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    n = float(max(base.count(), 2))
-    joined = pairs.join(entities, "entity").join(df, "term")
-    content = F.log(F.lit(n) / F.col("df_entity"))
-    gain = F.log(F.col("both") * n / (F.col("df_entity") * F.greatest(F.col("df_term"), F.col("both"))))
-    # An entity that stands in every document has no content to disclose.
-    return joined.select("entity", "term", F.when(content > 0, gain / content).otherwise(F.lit(0.0)).alias("disclosure")).where(F.col("disclosure") >= generalise_at).withColumn("remove", F.col("disclosure") >= remove_at)
 
+def term_spans(docs: DataFrame, base: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """For each text that has any: copies and __terms, its term spans (start, end, verdict) in order.
 
-def _term_spans(base: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """For each text that has any, its term spans (start, end, remove)."""
-    texts = base.where(F.size("__spans") > 0).dropDuplicates(["__key"])
-    near = texts.select("__key", F.explode("__near").alias("n")).select("__key", "n.*")
-    hits = near.join(verdicts, ["entity", "term"])
-    return hits.groupBy("__key", "start", "end").agg(F.max("remove").alias("remove")).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("__terms"))
+    Every occurrence of a term that discloses is a span; the verdict numbers VERDICTS from 0.
+    """
+    texts = base.where(F.size("__spans") > 0).groupBy("__key").agg(F.count(F.lit(1)).alias("copies"), F.any_value("__entities").alias("__entities"), F.any_value("__words").alias("__words"))
+    texts = cut(texts)
+    bad = disclosing(docs, texts, threshold)
+    places = texts.select("__key", F.explode("__words").alias("w")).select("__key", "w.*")
+    terms = places.select("__key", "term", "wide", "wider").distinct().join(bad.select("__key", F.col("item").alias("term")), ["__key", "term"])
+    for name in ("wide", "wider"):
+        terms = terms.join(bad.select("__key", F.col("item").alias(name), F.lit(True).alias(f"__{name}")), ["__key", name], "left")
+    open_class = lambda c: F.col(c).isNotNull() & F.col(f"__{c}").isNull()
+    judged = terms.select("__key", "term", F.when(open_class("wide"), 0).when(open_class("wider"), 1).otherwise(2).alias("verdict"))
+    spans = places.join(judged, ["__key", "term"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "verdict"))).alias("__terms"))
+    return cut(spans.join(texts.select("__key", "copies"), "__key"))
+
+
+_TERMS = "array<struct<start:bigint,end:bigint,verdict:int>>"
 
 
 def _written(spans: Column) -> Column:
@@ -172,105 +212,65 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def pii_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), generalise_at: float = 0.85, remove_at: float = 0.95, min_texts: int = 3) -> DataFrame:
+def pii_spans(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
     """Spans of personal data in each row's ``text``.
 
-    Adds n_email, n_ip, n_card, n_phone, n_term, base_sha256 and spans. A null or empty text has no spans; equal texts
-    have equal spans; repeated rows stay repeated and count in the statistics as often as they stand there; an empty
-    table gives an empty result; columns other than ``keep`` and the text are ignored. Texts are never shuffled: only
-    hashes of terms, summed before the shuffle, and the spans of documents that have any.
+    Adds n_email, n_ip, n_card, n_phone, n_term, n_removed, base_sha256, spans and terms (start:end:verdict of each term
+    span, comma-joined). A null or empty text has no spans; equal texts have equal spans; repeated rows stay repeated and
+    count in the statistics as often as they stand there; an empty table gives an empty result; columns other than
+    ``keep`` and the text are ignored. Texts are never shuffled: only hashes of terms, summed before the shuffle, and the
+    spans of documents that have any. Building the frame runs jobs.
     """
-    base = cut(find_base(docs, list(keep)))
-    terms = _term_spans(base, disclosing(docs, base, generalise_at, remove_at, min_texts))
-    without = base.where(F.size("__spans") == 0).withColumn("__terms", F.lit(None).cast("array<struct<start:bigint,end:bigint,remove:boolean>>"))
-    some = base.where(F.size("__spans") > 0).join(terms, "__key", "left").select(*without.columns)
-    every = without.unionByName(some)
-    added = F.transform(F.coalesce("__terms", F.expr("cast(array() as array<struct<start:bigint,end:bigint,remove:boolean>>)")), lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), F.lit("").alias("value")))
+    base = find_base(docs, list(keep))
+    without = base.where(F.size("__spans") == 0).select(*keep, "__spans", F.lit(None).cast(_TERMS).alias("__terms"))
+    some = base.where(F.size("__spans") > 0).select(*keep, "__key", "__spans")
+    joined = heavy_join(some, term_spans(docs, base, threshold), ["__key"], "copies", "left").select(*without.columns)
+    every = without.unionByName(joined).withColumn("__terms", F.coalesce("__terms", F.expr(f"cast(array() as {_TERMS})")))
+    added = F.transform("__terms", lambda t: F.struct(t["start"].alias("start"), F.lit(4).alias("kind"), t["end"].alias("end"), F.lit("").alias("value")))
     count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long")
+    verdicts = F.array(*[F.lit(v) for v in VERDICTS])
     return every.select(
         *keep,
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(4)],
-        F.coalesce(F.size("__terms"), F.lit(0)).cast("long").alias("n_term"),
+        F.size("__terms").cast("long").alias("n_term"),
+        F.size(F.filter("__terms", lambda t: t["verdict"] == 2)).cast("long").alias("n_removed"),
         F.sha2(_written(F.col("__spans")).cast("binary"), 256).alias("base_sha256"),
         _written(F.sort_array(F.concat("__spans", added))).alias("spans"),
+        F.array_join(F.transform("__terms", lambda t: F.concat_ws(":", t["start"].cast("string"), t["end"].cast("string"), F.element_at(verdicts, t["verdict"] + 1))), ",").alias("terms"),
     )
 
 
-def free_terms(text: Column, spans: Column) -> Column:
-    """All terms of a text that no base span touches: (term, start, end)."""
-    free = F.filter(find(text, TERM, 4), lambda t: ~F.exists(spans, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    return F.transform(free, lambda t: F.struct(F.xxhash64(F.lower(t["value"])).alias("term"), t["start"].cast("int").alias("start"), t["end"].cast("int").alias("end")))
-
-
-def find_whole(docs: DataFrame) -> DataFrame:
-    """For each row with base spans: key of the text, its entities and its terms, written once to the shared folder."""
-    rows = docs.select(F.col("text").alias("__text"), F.xxhash64("text", F.length("text"), F.reverse("text")).alias("__key"), base_spans(F.col("text")).alias("__spans")).where(F.size("__spans") > 0)
-    entities = F.array_distinct(F.transform("__spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    return rows.select("__key", entities.alias("__entities"), free_terms(F.col("__text"), F.col("__spans")).alias("__words"))
-
-
-def disclosing_whole(docs: DataFrame, base: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
-    """(__key, term, remove) of the terms of each text that disclose an entity of it, from counts over all documents.
-
-    An entity and a term meet where they stand in one document, however far apart. The share of an entity's documents
-    that have the term is shrunk by one document more, in which the term stands as often as anywhere, p = df(t) / N:
-
-        disclosure(e, t) = log(((n(e, t) + p) / (df(e) + 1)) / p) / log(N / df(e)),
-
-    so that an entity of one text is judged too, a chance meeting counts half, and many meetings count in full.
-    """
-    n = float(max(docs.count(), 2))
-    held = base.select("__key", F.explode("__entities").alias("entity")).groupBy("__key", "entity").agg(F.count(F.lit(1)).alias("copies"))
-    # Entities of the same texts have the same counts; they are one, so that a list of contacts is no product with its words.
-    alike = held.groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count(F.lit(1)).alias("n"), F.bit_xor("__key").alias("a"), F.bit_xor(F.xxhash64("__key", F.lit(1))).alias("b"))
-    alike = alike.where(F.col("df_entity") < n).select("entity", "df_entity", F.xxhash64("df_entity", "n", "a", "b").alias("group"))
-    groups = cut(held.join(alike, "entity").select("__key", "group", "df_entity").distinct())
-    words = base.select("__key", F.explode(F.array_distinct(F.transform("__words", lambda w: w["term"]))).alias("term")).groupBy("__key", "term").agg(F.count(F.lit(1)).alias("copies"))
-    every = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda w: F.xxhash64(w)))).alias("term"))
-    df = every.groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
-    content = lambda c: F.log(F.lit(n) / F.col(c))
-    # No meeting is worth more than the term's own content, so terms that are too common for all entities of a text go first.
-    most = groups.groupBy("__key").agg(F.max("df_entity").alias("most"))
-    rare = words.join(most, "__key").join(df, "term").where(content("df_term") >= generalise_at * content("most"))
-    met = cut(rare.join(groups, "__key").where(content("df_term") >= generalise_at * content("df_entity")).select("__key", "term", "copies", "df_term", "group", "df_entity"))
-    both = met.groupBy("group", "term").agg(F.sum("copies").alias("both"), F.any_value("df_term").alias("df_term"), F.any_value("df_entity").alias("df_entity"))
-    p = F.col("df_term") / n
-    verdicts = both.withColumn("disclosure", F.log((F.col("both") + p) / (F.col("df_entity") + 1) / p) / content("df_entity")).where(F.col("disclosure") >= generalise_at)
-    return met.join(verdicts.select("group", "term", "disclosure"), ["group", "term"]).groupBy("__key", "term").agg((F.max("disclosure") >= remove_at).alias("remove"))
-
-
-def whole_term_spans(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
-    """For each text that has any, its term spans (start, end, remove): every occurrence of a term that discloses."""
-    base = cut(find_whole(docs))
-    verdicts = disclosing_whole(docs, base, generalise_at, remove_at)
-    places = base.select("__key", F.explode("__words").alias("w")).select("__key", "w.*").distinct()
-    return places.join(verdicts, ["__key", "term"]).groupBy("__key").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "remove"))).alias("__terms"))
-
+def sanitise(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The same rows and columns with spans replaced in ``text``: base spans by a label, terms by their class or nothing.
 
-def sanitise(docs: DataFrame, generalise_at: float = 0.85, remove_at: float = 0.95) -> DataFrame:
-    """The same rows and columns with spans replaced in ``text``: base spans by a label, terms by a neutral word or nothing.
-
-    Terms are judged by ``disclosing_whole``, over whole documents and for entities of any number of texts. Spans that overlap become one, under the first one's label. Rows without base spans, and null texts, stay as they are.
+    Spans that overlap become one, under the first one's label. Rows without base spans, and null or empty texts, stay as
+    they are; equal texts become equal; repeated rows stay repeated; an empty table stays empty; other columns, whatever
+    their names, are carried along. Building the frame runs jobs.
     """
     columns = docs.columns
-    terms = whole_term_spans(docs, generalise_at, remove_at)
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text").alias("__text"), F.xxhash64("text", F.length("text"), F.reverse("text")).alias("__key"), base_spans(F.col("text")).alias("__spans"))
+    terms = term_spans(docs, find_base(docs, []), threshold)
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("text").alias("__text"), base_spans(F.col("text")).alias("__spans"))
     clean = marked.where(F.size("__spans") == 0).select("__row.*")
-    some = marked.where(F.size("__spans") > 0).join(terms, "__key", "left")
+    some = heavy_join(marked.where(F.size("__spans") > 0).withColumn("__key", _key(F.col("__text"))), terms, ["__key"], "copies", "left")
     labels = F.array(*[F.lit(LABELS[k]) for k in KINDS[:4]])
+    text = F.col("__text")
+
+    def replaced(t: Column) -> Column:
+        word = F.lower(F.substr(text, (t["start"] + 1).cast("int"), (t["end"] - t["start"]).cast("int")))
+        return F.when(t["verdict"] == 0, _class(word, CLASSES[0])).when(t["verdict"] == 1, _class(word, CLASSES[1])).otherwise(F.lit(""))
+
     pieces = F.concat(
         F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(labels, s["kind"] + 1).alias("label"))),
-        F.transform(F.coalesce("__terms", F.expr("cast(array() as array<struct<start:bigint,end:bigint,remove:boolean>>)")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["remove"], F.lit("")).otherwise(F.lit(GENERAL)).alias("label"))),
+        F.transform(F.coalesce("__terms", F.expr(f"cast(array() as {_TERMS})")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), replaced(t).alias("label"))),
     )
-    text = F.col("__text")
     rewritten = F.aggregate(
         F.sort_array(pieces),
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")),
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), s["label"])).otherwise(acc["out"]).alias("out"),
+            F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), s["label"]))).otherwise(acc["out"]).alias("out"),
         ),
-        lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))),
+        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))),
     )
     changed = some.withColumn("__new", rewritten)
     changed = changed.select(*[F.col("__new").alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in columns])
