@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import math
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -24,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is set.
+    Only where the setting is absent and Spark runs in one process (tests, a laptop) a temporary folder is set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if folder is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corvane-"))
     return folder or context.getCheckpointDir()
 
@@ -39,6 +44,81 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+#: Rows whose decisions one bitmap holds (Spark's own size, 4 kB), and bitmaps that one broadcast holds at most (32 MB).
+SLICE_ROWS, BLOCK_SLICES = 32_768, 8_192
+
+
+def filed(frame: DataFrame) -> DataFrame:
+    """The frame if it is a plain scan of Parquet files, else a copy of it in the shared folder, read again.
+
+    Rows of a plain scan are known by their file and their place in it, however often it is read.
+    """
+    plan = frame._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in plan.relation().fileFormat().toString():
+        return frame
+    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def located(frame: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of a plain scan, with __file, a hash of each row's file, and __at, its place there."""
+    about = frame.metadataColumn("_metadata")
+    return frame.select(*columns, F.xxhash64(about["file_path"]).alias("__file"), about["row_index"].alias("__at"))
+
+
+def decided(frame: DataFrame, decisions: DataFrame, most: int) -> DataFrame:
+    """(__all, __n): the rows of a plain scan as structs, with their decisions (__file, __at, n), n from 0 to ``most``, 0 where there is none.
+
+    No row of the frame is moved: decisions are packed into bitmaps, a bit or two a row, which are broadcast to the scan
+    of the files that they are of, at most BLOCK_SLICES bitmaps to one scan. More files make more such scans, each over
+    its own files. Decisions should be cheap to read again. Building the frame runs two small jobs.
+    """
+    bits = most.bit_length()
+    packed = decisions.where(F.col("n") > 0).withColumn("__slice", F.floor(F.col("__at") / SLICE_ROWS)).withColumn("__bit", F.col("__at") % SLICE_ROWS)
+    held = packed.groupBy("__file", "__slice").agg(*[F.bitmap_construct_agg(F.when(F.col("n").bitwiseAND(1 << k) > 0, F.col("__bit"))).alias(f"__b{k}") for k in range(bits)])
+    held = cut(held)
+    blocks = max(1, math.ceil(1.25 * held.count() / BLOCK_SLICES))
+    out = None
+    for block in range(blocks):
+        mine = F.pmod(F.col("__file"), F.lit(blocks)) == block
+        about, everything = frame.metadataColumn("_metadata"), F.struct(*[F.col(f"`{c}`") for c in frame.columns])
+        rows = frame.select(everything.alias("__all"), F.xxhash64(about["file_path"]).alias("__file"), about["row_index"].alias("__at"))
+        rows = rows.withColumn("__slice", F.floor(F.col("__at") / SLICE_ROWS))
+        rows = (rows.where(mine) if blocks > 1 else rows).join(F.broadcast(held.where(mine)), ["__file", "__slice"], "left")
+        at = (F.col("__at") % SLICE_ROWS).cast("int")
+
+        def bit(k: int, at: Column = at) -> Column:
+            byte = F.conv(F.hex(F.substr(F.col(f"__b{k}"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.coalesce(F.getbit(byte, at % 8).cast("int") * (1 << k), F.lit(0))
+
+        value = bit(0)
+        for k in range(1, bits):
+            value = value + bit(k)
+        part = rows.select("__all", value.alias("__n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def running(frame: DataFrame, order: list[Column], sums: dict[str, Column], rows_a_task: int = 100_000) -> DataFrame:
+    """The frame with running sums, each row's own value included, over all rows in an order that no two rows share.
+
+    Rows are dealt out by ranges, so no task holds all; one row of sums for each range reaches the driver.
+    """
+    spark = frame.sparkSession
+    ranges = max(1, math.ceil(frame.count() / rows_a_task))
+    parts = cut(frame.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    totals = parts.groupBy("__range").agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()]).collect()
+    before, at = [], dict.fromkeys(sums, 0.0)
+    for row in sorted(totals, key=lambda r: r["__range"]):
+        before.append((row["__range"], *at.values()))
+        at = {n: at[n] + (row[n] or 0.0) for n in sums}
+    starts = spark.createDataFrame(before, "__range int, " + ", ".join(f"__{n} double" for n in sums))
+    window = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = parts.join(F.broadcast(starts), "__range").withColumns({n: F.col(f"__{n}") + F.sum(c).over(window) for n, c in sums.items()})
+    return out.drop("__range", *[f"__{n}" for n in sums])
+
+
 #: Keys of over this share of all rows are dealt out over so many parts.
 HEAVY_SHARE, HEAVY_PARTS = 0.001, 32
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, per_text, prepare, slices, trim
+from .common import cut, decided, filed, located, per_text, prepare, slices, trim
 from .components import components
 
 WORDS = 5
@@ -41,7 +41,6 @@ HOT = 64
 BITS = 2048
 BLOCK_SETS = 512
 MEMO_WORDS = 100_000
-BROADCAST_ROWS = 500_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(32)
@@ -474,23 +473,16 @@ def jaccard_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), percent
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:
-    """One row of each group of linked rows, with all columns: the one of the least doc_id (nulls last), then of the least row key.
+    """One row of each group of linked rows, with all columns: the one of the least doc_id, then the first by file and place.
 
-    Rows without words stay. Rows to go are broadcast up to BROADCAST_ROWS (counted first), else joined.
+    Rows without words, null texts among them, all stay. Rows whose ids are null are groups of copies only. Ties and
+    repeated rows leave one row. An empty table stays empty; other columns, whatever their names, are carried along.
+    Decisions go back to the rows as bitmaps; no text is shuffled. Building the frame runs jobs.
     """
-    columns = docs.columns
-    row_key = F.xxhash64("doc_id", "text", F.length("text"))
-    groups = jaccard_groups(docs.select("doc_id", row_key.alias("__row"), "text"), ("doc_id", "__row"), percent, size).where(F.col("__set").isNotNull())
-    named = groups.withColumn("__group", F.coalesce(F.col("component_id").cast("string"), F.hex("__set")))
-    distinct = named.groupBy("__group", "__row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
-    best = distinct.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
-    judged = cut(distinct.join(best, "__group").select("__row", "rows", (F.col("__row") == F.col("best.__row")).alias("stays")))
-    gone = judged.where(~F.col("stays")).select("__row").distinct()
-    many = judged.where(F.col("stays") & (F.col("rows") > 1)).select("__row")
-    few = judged.where(~F.col("stays") | (F.col("rows") > 1)).count() <= BROADCAST_ROWS
-    hint = F.broadcast if few else (lambda x: x)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__all"), row_key.alias("__row"))
-    left = held.join(hint(gone), "__row", "left_anti")
-    single = left.join(hint(many), "__row", "left_anti")
-    repeated = left.join(hint(many), "__row", "left_semi").dropDuplicates(["__row"])
-    return single.unionByName(repeated).select("__all.*")
+    rows = filed(docs)
+    groups = jaccard_groups(located(rows, "doc_id", "text"), ("doc_id", "__file", "__at"), percent, size)
+    alone = groups.where(F.col("__set").isNull()).select("__file", "__at")
+    first = groups.where(F.col("__set").isNotNull() & (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))))
+    first = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("__set")).alias("__own")).agg(F.min(F.struct("__file", "__at")).alias("one")).select("one.*")
+    stays = cut(alone.unionByName(first).withColumn("n", F.lit(1)))
+    return decided(rows, stays, 1).where("__n = 1").select("__all.*")

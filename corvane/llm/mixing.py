@@ -15,17 +15,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, decided, filed, located, prepare, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 2_000
 FAN_IN = 64
 BROADCAST_SOURCES = 100_000
-#: Up to so many decisions (about 24 bytes each) are broadcast to the rows; beyond, both sides are dealt out by row key.
-BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
@@ -42,21 +40,18 @@ def targets(rows: DataFrame, limit: float = 3.0, weights: tuple[int, ...] = (1,
     are full up to the one where the rest, shared by weight, would no longer fill the next.
     """
     by_source = cut(rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size")))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")).cast("double"))
-    ranked = ranked.withColumn("cap", F.col("source_size") * F.lit(float(limit)))
-    filling = Window.orderBy((F.col("cap") / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = ranked.select(
-        "*",
-        (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))).alias("__left"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("__weights"),
-    )
-    level = F.col("__left") / F.col("__weights")
-    # The first source that its level does not fill sets the level of all after it.
-    open_level = F.first(F.when(level * F.col("weight") < F.col("cap"), level), ignorenulls=True).over(filling.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return levels.select("source", "docs", "source_size", F.coalesce(open_level * F.col("weight"), F.col("cap")).alias("target"))
+    one, name = F.lit(1.0), F.col("source").asc_nulls_last()
+    ranked = running(by_source, [name], {"rank": one})
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double"))
+    ranked = cut(ranked.withColumn("cap", F.col("source_size") * F.lit(float(limit))))
+    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    levels = cut(running(ranked, [(F.col("cap") / F.col("weight")).asc(), name], {"__caps": F.col("cap"), "__weights": F.col("weight")}))
+    # The level that all sources from this one on would share if those before were full.
+    level = (F.lit(float(whole["size"] or 0)) - (F.col("__caps") - F.col("cap"))) / (F.lit(float(whole["weight"] or 1)) - (F.col("__weights") - F.col("weight")))
+    # The first source that its level does not fill sets the level of all after it: fullness grows along the order.
+    first = levels.where(level * F.col("weight") < F.col("cap")).agg(F.min(F.struct((F.col("cap") / F.col("weight")).alias("full"), level.alias("level"))).alias("f")).first()["f"]
+    target = F.col("cap") if first is None else F.least(F.col("cap"), F.lit(float(first["level"])) * F.col("weight"))
+    return levels.select("source", "docs", "source_size", target.alias("target"))
 
 
 def pivot(x: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
@@ -107,21 +102,23 @@ def _round(frame: DataFrame, last: bool, seed: int) -> DataFrame:
     return frame.groupBy("source", "__block").applyInPandas(work, schema)
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: int = 7, limit: float = 3.0, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
+def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: int = 7, limit: float = 3.0, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN, by: tuple[str, ...] | None = None) -> DataFrame:
     """Decide how many copies of each row the mix takes.
 
     Returns ``keep``, source, size, source_size, target, copies and taken (copies * size; at most 3 * size). Draws come
-    from hashes of ``keep`` and the seed, so a rerun on the same rows, however partitioned, agrees. A null or empty text
+    from hashes of ``by`` (else of ``keep``) and the seed, so a rerun on the same rows, however partitioned, agrees. A null or empty text
     has size 0 and is taken 0 times; a null source is a source of its own, the last; repeated rows are rounded one by
     one; an empty table gives an empty result; a source of size 0 has target 0. Only ids and sizes are shuffled: a
-    source is dealt out in blocks of about ``block_rows`` rows, so a large one is spread over many tasks.
+    source is dealt out in blocks of about ``block_rows`` rows, so a large one is spread over many tasks; ids that repeat
+    are dealt out by their texts too. Building the frame runs jobs.
     """
     keys = list(keep)
-    rows = cut(sized(docs, keys))
+    rows = docs.withColumn("__text", F.xxhash64("text"))
+    rows = cut(sized(rows, [*dict.fromkeys([*keys, *(by or ())]), "__text"]))
     goal = cut(targets(rows, limit))
     totals = goal.agg(F.count(F.lit(1)).alias("sources"), F.max("docs").alias("most")).first()
     blocks = max(1, math.ceil((totals["most"] or 0) / block_rows))
-    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in keys]))
+    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in by or keys], "__text"))
     order = F.xxhash64(F.lit(seed), key)
     rows = rows.withColumns({"__key": key, "__order": order}).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__key")), F.lit(blocks)).cast("int"))
     same = rows["source"].eqNullSafe(goal["source"])
@@ -156,18 +153,12 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: int = 7, lim
 def mixed_rows(docs: DataFrame, seed: int = 7, limit: float = 3.0) -> DataFrame:
     """The rows, with all columns, as often as the mix takes them.
 
-    Decisions come back by a key of id, source and text. Rows of equal key share their decisions one by one.
+    Draws come from ids and texts, not from where rows lie. Null and empty texts are taken 0 times; a null source is a
+    source of its own; repeated rows are rounded one by one; an empty table stays empty; other columns, whatever their
+    names, are carried along. Decisions go back to the rows as bitmaps; no text is shuffled. Building the frame runs jobs.
     """
-    columns = docs.columns
-    row = F.xxhash64("doc_id", "source", "text", F.length("text"))
-    decided = mix(docs.select("doc_id", "source", "text", row.alias("__row")), ("doc_id", "__row"), seed, limit)
-    copies = cut(decided.groupBy("__row").agg(F.count(F.lit(1)).alias("__n"), F.sum("copies").alias("__sum")).where("__sum > 0"))
-    hint = F.broadcast if copies.count() <= BROADCAST_ROWS else (lambda x: x)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__all"), row.alias("__row")).join(hint(copies), "__row")
-    alone = rows.where("__n = 1").withColumn("__copies", F.col("__sum"))
-    number = F.row_number().over(Window.partitionBy("__row").orderBy(F.to_json("__all")))
-    several = rows.where("__n > 1").withColumn("__number", number)
-    share = F.floor(F.col("__sum") / F.col("__n")) + F.when(F.col("__number") <= F.col("__sum") % F.col("__n"), 1).otherwise(0)
-    several = several.withColumn("__copies", share).drop("__number")
-    every = alone.unionByName(several).where("__copies > 0")
-    return every.select("__all", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("__all.*")
+    rows = filed(docs)
+    taken = mix(located(rows, "doc_id", "source", "text"), ("doc_id", "__file", "__at"), seed, limit, by=("doc_id",))
+    copies = cut(taken.select("__file", "__at", F.col("copies").alias("n")))
+    kept = decided(rows, copies, math.ceil(limit)).where("__n > 0")
+    return kept.select("__all", F.explode(F.sequence(F.lit(1), F.col("__n")))).select("__all.*")
