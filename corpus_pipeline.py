@@ -55,12 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table; each stage's result is cut from its lineage."""
-    from corvane.llm.common import cut
+    """All stages in order over the documents table; each stage's result is written to the shared folder and read again."""
+    from corvane.llm.common import filed
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = cut(docs)
+            docs = filed(docs)
     return docs
