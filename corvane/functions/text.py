@@ -104,8 +104,11 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9]", "")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays, in doubles; null where one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+def hash_prefix(digest: Column, digits: int = 12) -> Column:
+    """The first digits of a digest, as they are shown; '?' where there is none."""
+    return F.when(F.coalesce(digest, F.lit("")) != "", F.substring(digest, 1, digits)).otherwise(F.lit("?"))
+
+
+def grouped(number: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(number, 0)

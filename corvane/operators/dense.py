@@ -2,34 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import cosine
+from ..session import ship
 from .keyword import top
 
-#: Up to so many query vectors (counted first) are broadcast to all rows; more are taken in blocks of this size.
-BLOCK_QUERIES = 4_096
+#: Query vectors that one pass over the rows takes (65,536 of 64 dimensions are 32 MB), and that a worker multiplies at a time.
+BLOCK_QUERIES, STEP_QUERIES = 65_536, 1_024
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; those of no length become nan."""
+    norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+    return np.divide(rows, norm, out=np.full_like(rows, np.nan), where=norm > 0)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """A list column as a matrix of doubles; rows of another width, with nulls or null themselves become zeros."""
+    out = np.zeros((len(column), width))
+    good = pc.fill_null(pc.equal(pc.list_value_length(column), width), False).to_numpy(zero_copy_only=False)
+    flat = column.filter(pa.array(good)).flatten().cast(pa.float64())
+    out[good] = np.nan_to_num(flat.to_numpy(zero_copy_only=False), nan=0.0).reshape(-1, width)
+    return out
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, n: int = 10, where=None) -> DataFrame:
-    """(query_id, chunk_id, similarity, distance, pos): the n nearest rows of each query vector.
+    """(query_id, chunk_id, similarity, distance, pos): the n nearest rows of each query vector, exactly.
 
     ``vectors`` has chunk_id and embedding, ``queries`` has query_id and vector. ``where`` is a condition on the rows, kept at the scan.
-    Queries are a stated set: they go to all rows in blocks of a checked size, and each partition keeps n rows a query.
+    Queries are a stated set: blocks of a fixed size go to all rows as one matrix of unit vectors; a batch of rows is
+    multiplied with it once and keeps n rows a query, ties included. Rows or queries of no length, or of another width, have no
+    similarity. Building the frame collects the queries, block by block.
     """
-    rows = vectors if where is None else vectors.where(where)
-    count = queries.count()
-    blocks = max(1, -(-count // BLOCK_QUERIES))
-    keyed = queries.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    spark = vectors.sparkSession
+    ship(spark)
+    rows = (vectors if where is None else vectors.where(where)).select("chunk_id", "embedding")
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    query_kind = queries.schema["query_id"].dataType
+    keyed = queries.select("query_id", F.transform("vector", lambda v: v.cast("double")).alias("vector"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     found = None
     for k in range(blocks):
-        block = F.broadcast(keyed.where(F.col("__block") == k).drop("__block"))
-        pairs = rows.join(block, F.size("embedding") == F.size("vector"))
-        scored = pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("vector")), 9).alias("similarity")).where(F.col("similarity").isNotNull())
-        part = top(scored, n, F.desc("similarity"), F.asc("chunk_id"))
+        block = keyed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else keyed
+        table = block.toArrow()
+        width = max((len(v) for v in table.column("vector").to_pylist() if v), default=0)
+        ids = np.array(table.column("query_id").to_pylist(), object)
+        asked = _unit(_matrix(table.column("vector").combine_chunks(), width)) if width else np.zeros((len(ids), 0))
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked, width=width) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                unit = _unit(_matrix(batch.column(1), width)) if width else np.zeros((batch.num_rows, 0))
+                for at in range(0, len(asked), STEP_QUERIES):
+                    near = np.round(unit @ asked[at : at + STEP_QUERIES].T, 9).T
+                    near[np.isnan(near)] = -np.inf
+                    least = np.partition(near, -n, axis=1)[:, -n] if near.shape[1] > n else np.full(len(near), -np.inf)
+                    q, r = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+                    yield pa.RecordBatch.from_arrays([pa.array(q + at, pa.int32()), batch.column(0).take(pa.array(r)), pa.array(near[q, r])], names=["q", "chunk_id", "similarity"])
+
+        scored = rows.mapInArrow(run, f"q int, chunk_id {kind}, similarity double")
+        names = spark.createDataFrame([(i, x) for i, x in enumerate(ids.tolist())], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", query_kind)]))
+        part = top(scored, n, F.desc("similarity"), F.asc("chunk_id"), by=("q",)).join(F.broadcast(names), "q").drop("q")
         found = part if found is None else found.unionByName(part)
-    return found.withColumn("distance", 1 - F.col("similarity"))
+    return found.select("query_id", "chunk_id", "similarity", "pos").withColumn("distance", 1 - F.col("similarity"))
 
 
 def recall_at(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import LIMITS
@@ -53,10 +53,21 @@ def differences(old: DataFrame, new: DataFrame, key: str = "fqn", scalars: tuple
 
 
 def summary(found: DataFrame, key: str = "fqn") -> DataFrame:
-    """One row: counts by kind, and up to twenty keys of each kind, sorted, as text."""
-    listed = lambda k: F.slice(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col(key).cast("string")))), 1, LIMITS.classes_shown)
+    """One row: counts by kind, and up to twenty keys of each kind, sorted, as text. Keys beyond are counted, not gathered."""
     count = lambda k: F.count(F.when(F.col("kind") == k, 1))
     kinds = ("added", "removed", "modified")
-    one = found.agg(*[count(k).alias(k) for k in kinds], *[listed(k).alias(f"{k}_shown") for k in kinds])
+    totals = found.agg(*[count(k).alias(k) for k in kinds])
+    named = found.select("kind", F.col(key).cast("string").alias("__key"))
+    first = named.withColumn("__rn", F.row_number().over(Window.partitionBy("kind").orderBy("__key"))).where(F.col("__rn") <= LIMITS.classes_shown)
+    listed = lambda k: F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("__key"))))
+    one = totals.join(F.broadcast(first.agg(*[listed(k).alias(f"{k}_shown") for k in kinds])))
     text = F.concat_ws("\n", *[F.when(F.col(k) > 0, F.concat(F.lit(f"{k} ("), F.col(k).cast("string"), F.lit("): "), F.concat_ws(", ", f"{k}_shown"))) for k in kinds])
     return one.select(*kinds, F.when(text == "", F.lit("No changes.")).otherwise(text).alias("summary"))
+
+
+def compared(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame | None, str]:
+    """(differences, summary text) of a snapshot and the one before; without one there are none, and the text says so."""
+    if old is None:
+        return None, NO_SNAPSHOT
+    found = differences(old, new)
+    return found, summary(found).first()["summary"]

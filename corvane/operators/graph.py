@@ -27,27 +27,35 @@ def ancestors(nodes: DataFrame, starts: DataFrame, depth: int = LIMITS.ancestors
 
     ``nodes`` has a row for each name with its ``parent``; the depth bounds cycles. One recursive query for all starts.
     """
-    spark = nodes.sparkSession
-    tag = f"__graph_{id(nodes)}"
-    nodes.select("name", "parent").createOrReplaceTempView(f"{tag}_nodes")
-    starts.select("query_id", "name").createOrReplaceTempView(f"{tag}_starts")
-    return spark.sql(f"""
+    return nodes.sparkSession.sql(
+        f"""
         WITH RECURSIVE walk(query_id, depth, name) AS (
-            SELECT s.query_id, 0, n.parent FROM {tag}_starts s JOIN {tag}_nodes n ON s.name = n.name WHERE n.parent <> ''
+            SELECT s.query_id, 0, n.parent FROM {{starts}} s JOIN {{nodes}} n ON s.name = n.name WHERE n.parent <> ''
             UNION ALL
-            SELECT w.query_id, w.depth + 1, n.parent FROM walk w JOIN {tag}_nodes n ON w.name = n.name
+            SELECT w.query_id, w.depth + 1, n.parent FROM walk w JOIN {{nodes}} n ON w.name = n.name
             WHERE n.parent <> '' AND w.depth + 1 < {depth})
-        SELECT query_id, depth, name FROM walk""")
+        SELECT query_id, depth, name FROM walk""",
+        nodes=nodes.select("name", "parent"),
+        starts=starts.select("query_id", "name"),
+    )
 
 
 def inherited_methods(chunks: DataFrame, starts: DataFrame) -> DataFrame:
-    """(query_id, depth, class_name, method_name, signature): public and protected methods of known ancestors."""
+    """(query_id, depth, class_name, fqn, method_name, signature): public and protected methods of known ancestors of a class."""
+    parents = one_per_name(chunks).select(F.col("class_name").alias("name"), F.coalesce("extends", F.lit("")).alias("__up"))
+    up = starts.join(parents, "name").select("query_id", F.col("__up").alias("name")).where("name <> ''")
+    return inherited_from(chunks, up)
+
+
+def inherited_from(chunks: DataFrame, parents: DataFrame) -> DataFrame:
+    """The same for a parent's name and its ancestors: the chain ends at the first name that has no overview."""
     classes = one_per_name(chunks)
-    chain = ancestors(classes.select(F.col("class_name").alias("name"), F.coalesce("extends", F.lit("")).alias("parent")), starts)
+    chain = ancestors(classes.select(F.col("class_name").alias("name"), F.coalesce("extends", F.lit("")).alias("parent")), parents, LIMITS.ancestors - 1)
+    chain = parents.select("query_id", F.lit(0).alias("depth"), "name").unionByName(chain.withColumn("depth", F.col("depth") + 1))
     known = chain.join(classes.select(F.col("class_name").alias("name"), "fqn"), "name")
     methods = chunks.where((F.col("type") == "method") & F.col("visibility").isin("public", "protected"))
-    signature = X.shortened(F.trim(X.second_line(F.col("body"))), LIMITS.signature_chars)
-    return known.join(methods.select("fqn", "method_name", signature.alias("signature")), "fqn").select("query_id", "depth", F.col("name").alias("class_name"), "method_name", "signature")
+    signature = F.trim(X.shortened(X.second_line(F.col("body")), LIMITS.signature_chars))
+    return known.join(methods.select("fqn", "method_name", signature.alias("signature")), "fqn").select("query_id", "depth", F.col("name").alias("class_name"), "fqn", "method_name", "signature")
 
 
 def class_info(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -72,19 +80,27 @@ def class_info(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return best.where(F.col("tier") == F.col("__best")).drop("__best")
 
 
+def first_members(members: DataFrame, group: str, member: str, shown: int) -> DataFrame:
+    """(group, total, shown): how many distinct members each group has, and the first of them, sorted.
+
+    Ranks are pruned before their shuffle, so no list is longer than what is shown.
+    """
+    once = members.select(group, member).where(F.col(member).isNotNull()).distinct()
+    total = once.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("total"))
+    first = once.withColumn("__rn", F.row_number().over(Window.partitionBy(group).orderBy(member))).where(F.col("__rn") <= shown)
+    return total.join(first.groupBy(group).agg(F.sort_array(F.collect_list(member)).alias("shown")), group)
+
+
 def subclasses(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """(query_id, total, shown): classes that extend a name, distinct and sorted, the first thirty shown."""
     found = names.join(overviews(chunks).select("extends", "class_name"), F.col("name") == F.col("extends"))
-    grouped = found.groupBy("query_id").agg(F.sort_array(F.collect_set("class_name")).alias("all"))
-    return grouped.select("query_id", F.size("all").alias("total"), F.slice("all", 1, LIMITS.relations_shown).alias("shown"))
+    return first_members(found, "query_id", "class_name", LIMITS.relations_shown)
 
 
 def implementors(chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, total, shown): classes whose list of interfaces has a name, sorted, the first thirty shown."""
+    """(query_id, total, shown): classes whose list of interfaces has a name, distinct and sorted, the first thirty shown."""
     edges = overviews(chunks).where(F.col("implements") != "").select("class_name", F.explode(X.csv(F.col("implements"))).alias("interface"))
-    found = names.join(edges, F.col("name") == F.col("interface"))
-    grouped = found.groupBy("query_id").agg(F.sort_array(F.collect_list("class_name")).alias("all"))
-    return grouped.select("query_id", F.size("all").alias("total"), F.slice("all", 1, LIMITS.relations_shown).alias("shown"))
+    return first_members(names.join(edges, F.col("name") == F.col("interface")), "query_id", "class_name", LIMITS.relations_shown)
 
 
 def hierarchy(chunks: DataFrame, names: DataFrame) -> DataFrame:
@@ -100,5 +116,32 @@ def hierarchy(chunks: DataFrame, names: DataFrame) -> DataFrame:
 
 def packages(members: DataFrame, shown: int = LIMITS.packages_shown) -> DataFrame:
     """(package, classes, shown, more) of (package, class_name) rows: distinct sorted names, the first twenty, and how many are left out."""
-    grouped = members.groupBy(F.coalesce(F.nullif(F.col("package"), F.lit("")), F.lit("(default)")).alias("package")).agg(F.sort_array(F.collect_set("class_name")).alias("all"))
-    return grouped.select("package", F.size("all").alias("classes"), F.slice("all", 1, shown).alias("shown"), F.greatest(F.size("all") - shown, F.lit(0)).alias("more"))
+    named = members.select(F.coalesce(F.nullif(F.col("package"), F.lit("")), F.lit("(default)")).alias("package"), "class_name")
+    return first_members(named, "package", "class_name", shown).select("package", F.col("total").alias("classes"), "shown", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
+
+
+def package_totals(found: DataFrame) -> DataFrame:
+    """One row: the packages and the classes of a package list."""
+    return found.agg(F.count(F.lit(1)).alias("packages"), F.coalesce(F.sum("classes"), F.lit(0)).cast("long").alias("classes"))
+
+
+def class_report(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, text): all that a name stands for, with the inherited methods of its first overview; or suggestions.
+
+    Parts of one name are a few chunks and the methods of at most six ancestors, sorted before they are joined.
+    """
+    info = class_info(chunks, names).join(chunks.select("chunk_id", "fqn", "type", "extends"), "chunk_id")
+    part = F.when(F.col("tier") < 3, F.concat(F.lit("### "), F.coalesce("fqn", F.lit("")), F.lit(" ("), F.coalesce("type", F.lit("")), F.lit(")\n"), F.coalesce("body", F.lit(""))))
+    own = info.groupBy("query_id").agg(
+        F.min("tier").alias("tier"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fqn", "chunk_id", part.alias("part")))), lambda x: x["part"]), "\n\n---\n\n").alias("parts"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("distance", "fqn"))), lambda x: F.concat(F.lit("  - "), x["fqn"])), "\n").alias("near"),
+        F.min(F.when(F.col("type") == OVERVIEW, F.struct("fqn", "chunk_id", "extends"))).alias("first"),
+    )
+    lines = inherited_from(chunks, own.where("tier < 3").select("query_id", F.col("first.extends").alias("name")).where("name <> ''"))
+    block = lines.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("depth", "method_name", F.concat(F.lit("  "), F.col("signature"), F.lit(";  // inherited from "), F.col("fqn")).alias("line")))).alias("l"))
+    inherited = F.when(F.col("l").isNotNull(), F.concat(F.lit("\n\n---\n\n### Inherited Methods\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).otherwise("")
+    every = names.join(own, "query_id", "left").join(block, "query_id", "left")
+    missing = F.concat(F.lit("Class '"), F.col("name"), F.lit("' not found"))
+    text = F.when(F.col("tier") < 3, F.concat("parts", inherited)).when(F.col("tier") == 3, F.concat(missing, F.lit(" exactly. Did you mean:\n"), F.col("near"))).otherwise(F.concat(missing, F.lit(" in the index.")))
+    return every.select("query_id", text.alias("text"))

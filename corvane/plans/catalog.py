@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import boosts, code, dense, diff, fusion, graph, keyword, shaping
+from ..operators.dense import vector_search as dense_search
+from ..session import shared, spread
 from ..sources import store
 from . import catalog_sql, literals
-from .search import Search
+from .search import Search, as_json, rendered
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,7 +35,7 @@ def _queries(spark: SparkSession) -> DataFrame:
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as API chunks: the first capitalised word of five letters or more is the class name."""
     empty = F.lit(None).cast("string")
-    return _table(spark, folder, "documents").select(
+    return spread(_table(spark, folder, "documents")).select(
         F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), F.lit("api").alias("source"), F.lit("class_overview").alias("type"), F.concat_ws(".", "source", "lang").alias("fqn"),
         F.regexp_extract("text", r"[A-Z][a-z]{4,}", 0).alias("class_name"), empty.alias("method_name"), F.col("source").alias("package"), empty.alias("heading"), F.col("text").alias("body"),
     )
@@ -62,20 +65,60 @@ def _ranked(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("rrf_score", 9).alias("score"), F.col("pos").cast("int").alias("pos"))
 
 
-def bm25_topk(spark, folder):
-    hits = keyword.keyword_search(document_chunks(spark, folder), _queries(spark), 10)
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("body",)) -> keyword.Index:
+    """The index of all chunks of a folder, written to the shared folder once a session and read by every query after."""
+    name = hashlib.md5(repr((folder, fields)).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _WRITTEN:
+        path = f"{shared(spark).rstrip('/')}/index-{'-'.join(key)}"
+        keyword.Index.of(all_chunks(spark, folder), fields).write(path)
+        _WRITTEN[key] = path
+    return keyword.Index.read(spark, _WRITTEN[key])
+
+
+def _keyword(spark, folder, queries, n, fields=("body",), **options):
+    return keyword.keyword_search(stored_index(spark, folder, fields).only("api"), queries, n, **options)
+
+
+def _scored(hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("int").alias("pos"))
 
 
+def bm25_topk(spark, folder):
+    return _scored(_keyword(spark, folder, _queries(spark), 10))
+
+
 def bm25_batch_queries(spark, folder):
     asked = _table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    hits = keyword.keyword_search(document_chunks(spark, folder), asked, 5, parser=keyword.plain_phrases)
-    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("int").alias("pos"))
+    return _scored(_keyword(spark, folder, asked, 5, parser=keyword.plain_phrases))
+
+
+def bm25_fields(spark, folder):
+    """Keyword ranking over several fields."""
+    return _scored(_keyword(spark, folder, _frame(spark, literals.FIELD_QUERIES, "query_id int, query string"), 10, ("fqn", "class_name", "body"), parser=keyword.plain_phrases))
 
 
 def phrase_topk(spark, folder):
-    hits = keyword.keyword_search(document_chunks(spark, folder), _frame(spark, literals.PHRASES, "query_id int, query string"), 10, parser=keyword.whole_phrases)
-    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("pos").cast("int").alias("pos"))
+    return _scored(_keyword(spark, folder, _frame(spark, literals.PHRASES, "query_id int, query string"), 10, parser=keyword.whole_phrases))
+
+
+def index_build(spark, folder):
+    """Tokens, distinct terms and statistics of the stored index, by source."""
+    index = stored_index(spark, folder)
+    terms = index.postings.groupBy("source").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("terms"))
+    return terms.join(F.broadcast(index.stats), "source").select("source", "tokens", "terms", F.col("n").cast("long").alias("chunks"), F.round("average", 6).alias("average"))
+
+
+def porter_terms(spark, folder):
+    """Stems of published examples."""
+    from ..functions.porter import analysed
+    from ..session import ship
+
+    ship(spark)
+    return _frame(spark, [(w,) for w, _ in literals.STEMS], "word string").select("word", analysed(F.col("word")).alias("stem"))
 
 
 def query_parse_terms(spark, folder):
@@ -83,14 +126,13 @@ def query_parse_terms(spark, folder):
 
 
 def mini_stem_df(spark, folder):
-    words = _table(spark, folder, "documents").select("doc_id", F.explode(F.array_distinct(F.transform(X.tokens(F.col("text")), X.stem))).alias("stem"))
+    words = spread(_table(spark, folder, "documents")).select("doc_id", F.explode(F.array_distinct(F.transform(X.tokens(F.col("text")), X.stem))).alias("stem"))
     return words.groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
 
 
 def postings_stats(spark, folder):
     """Document and corpus frequency of each term of the inverted index."""
-    found = keyword.postings(document_chunks(spark, folder)).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return keyword.term_counts(document_chunks(spark, folder))
 
 
 def vector_topk(spark, folder):
@@ -118,13 +160,17 @@ def prefix_filter(spark, folder):
 
 
 def rrf_fusion(spark, folder):
-    chunks, asked = document_chunks(spark, folder), _queries(spark)
-    words = keyword.keyword_search(chunks, asked, 30)
+    asked = _queries(spark)
     graded = _table(spark, folder, "labels").join(_table(spark, folder, "documents").select("doc_id", "n_chars"), "doc_id")
-    best = graded.orderBy(F.desc("quality"), F.desc("n_chars"), "doc_id").limit(30)
-    near = best.select(F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "quality", "n_chars", "doc_id").join(F.broadcast(asked), F.lit(30) >= F.col("query_id"))
-    near = keyword.top(near, 30, F.desc("quality"), F.desc("n_chars"), F.asc("doc_id"))
-    return _ranked(fusion.fuse(near, words, 10, chunks))
+    best = graded.orderBy(F.desc("quality"), F.desc("n_chars"), "doc_id").limit(30).select(F.concat(F.lit("d"), F.col("doc_id")).alias("chunk_id"), "quality", "n_chars", "doc_id").collect()
+    near = _for_each(asked, [(r["chunk_id"], i) for i, r in enumerate(sorted(best, key=lambda r: (-r["quality"], -r["n_chars"], r["doc_id"])))])
+    return _ranked(fusion.fuse(near.withColumn("source", F.lit("api")), _keyword(spark, folder, asked, 30), 10, document_chunks(spark, folder)))
+
+
+def _for_each(asked: DataFrame, hits: list[tuple[str, int]]) -> DataFrame:
+    """The same few hits for each query."""
+    rows = F.array(*[F.struct(F.lit(c).alias("chunk_id"), F.lit(p).alias("pos")) for c, p in hits])
+    return asked.select("query_id", F.explode(rows).alias("h")).select("query_id", "h.*")
 
 
 def identifier_gate(spark, folder):
@@ -149,12 +195,12 @@ def source_slots(spark, folder):
 
 def exact_boost(spark, folder):
     chunks, asked = document_chunks(spark, folder), _queries(spark)
-    hits = fusion.fuse(_none(asked), keyword.keyword_search(chunks, asked, 30), 10)
+    hits = fusion.fuse(_none(asked), _keyword(spark, folder, asked, 30), 10).drop("source")
     return _ranked(boosts.exact_identifier_boost(hits, asked, chunks, ("api",)))
 
 
 def _none(asked: DataFrame) -> DataFrame:
-    return asked.where(F.lit(False)).select("query_id", F.lit("").alias("chunk_id"), F.lit(0).alias("pos"))
+    return asked.where(F.lit(False)).select("query_id", F.lit("").alias("source"), F.lit("").alias("chunk_id"), F.lit(0).alias("pos"))
 
 
 def token_overlap_boost(spark, folder):
@@ -169,25 +215,105 @@ def bridge_boost(spark, folder):
     guides = _table(spark, folder, "pages").select((F.col("page_id") % 7).cast("int").alias("query_id"), "page_id", F.when(word != "", F.concat(F.lit("About `"), word, F.lit("`"))).alias("heading"), F.col("html").alias("body"))
     guides = shaping.renumber(guides, F.asc("page_id"))
     chunks = document_chunks(spark, folder)
-    start = chunks.select("chunk_id").orderBy("chunk_id").limit(5)
-    hits = shaping.renumber(guides.select("query_id").distinct().join(F.broadcast(start), F.length("chunk_id") > 0).withColumn("rrf_score", F.lit(0.01)), F.asc("chunk_id"))
+    start = [(r["chunk_id"], i) for i, r in enumerate(chunks.select("chunk_id").orderBy("chunk_id").limit(5).collect())]
+    hits = _for_each(guides.select("query_id").distinct(), start).withColumn("rrf_score", F.lit(0.01))
     return _ranked(boosts.guide_bridge_boost(hits, guides, chunks))
 
 
+def _engine(spark, folder, **options) -> Search:
+    return Search(all_chunks(spark, folder), index=stored_index(spark, folder), **options)
+
+
+def _dense(spark, folder):
+    """Dense hits by the embeddings table: query i asks with vector i; vectors stand for documents and for pages."""
+    rows = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+
+    def dense(queries: DataFrame, n: int, known: DataFrame | None) -> DataFrame:
+        asked = rows.join(keyword.light(queries.select("query_id")), F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector"))
+        found = None
+        for source, mark in (("api", "d"), ("guide", "p")):
+            held = rows.withColumn("chunk_id", F.concat(F.lit(mark), F.col("vec_id")))
+            held = held if known is None else held.join(known.select("chunk_id"), "chunk_id", "left_semi")
+            hits = dense_search(held.select("chunk_id", "embedding"), asked, n).select("query_id", F.lit(source).alias("source"), "chunk_id", "pos")
+            found = hits if found is None else found.unionByName(hits)
+        return found
+
+    return dense
+
+
+def _hybrid_engine(spark, folder) -> Search:
+    return _engine(spark, folder, dense=_dense(spark, folder), descriptions=_frame(spark, literals.DESCRIPTIONS, "ord int, fqn string"))
+
+
 def search_all_pipeline(spark, folder):
-    return _ranked(Search(all_chunks(spark, folder)).docs(_queries(spark)))
+    return _ranked(_engine(spark, folder).docs(_queries(spark)))
 
 
 def search_single_pipeline(spark, folder):
-    return _ranked(Search(all_chunks(spark, folder)).single(_queries(spark), "api", package="src1"))
+    return _ranked(_engine(spark, folder).single(_queries(spark), "api", package="src1"))
 
 
 def search_guides_pipeline(spark, folder):
-    return _ranked(Search(all_chunks(spark, folder)).single(_queries(spark), "guide"))
+    return _ranked(_engine(spark, folder).single(_queries(spark), "guide"))
+
+
+def search_mods_pipeline(spark, folder):
+    return _ranked(_engine(spark, folder).single(_queries(spark), "mod"))
+
+
+def search_api_by_type(spark, folder):
+    """The API pipeline with a type filter that leaves nothing out, and one that leaves out all."""
+    engine, asked = _engine(spark, folder), _queries(spark)
+    both = [engine.single(asked, "api", kind=k).select("query_id", "chunk_id", "rrf_score", "pos", F.lit(k).alias("kind")) for k in ("class_overview", "method")]
+    return both[0].unionByName(both[1]).select("kind", "query_id", "chunk_id", F.round("rrf_score", 9).alias("score"), F.col("pos").cast("int").alias("pos"))
 
 
 def dashboard_search(spark, folder):
-    return _ranked(Search(all_chunks(spark, folder)).dashboard(_queries(spark)))
+    return _ranked(_engine(spark, folder).dashboard(_queries(spark)))
+
+
+def dashboard_guides(spark, folder):
+    return _ranked(_engine(spark, folder).dashboard(_queries(spark), "guide"))
+
+
+def dashboard_package(spark, folder):
+    return _ranked(_engine(spark, folder).dashboard(_queries(spark), "api", package="rc1"))
+
+
+def hybrid_all_pipeline(spark, folder):
+    """All sources with dense hits and described class names."""
+    return _ranked(_hybrid_engine(spark, folder).docs(_queries(spark)))
+
+
+def hybrid_api_pipeline(spark, folder):
+    return _ranked(_hybrid_engine(spark, folder).single(_queries(spark), "api"))
+
+
+def hybrid_guides_pipeline(spark, folder):
+    return _ranked(_hybrid_engine(spark, folder).single(_queries(spark), "guide"))
+
+
+def rendered_results(spark, folder):
+    """Results of the guides' pipeline as text."""
+    engine = _engine(spark, folder)
+    chunks = engine.chunks.withColumns({"title": F.lit(None).cast("string"), "file": F.lit(None).cast("string")})
+    return rendered(engine.single(_queries(spark), "guide", 2), chunks)
+
+
+def json_results(spark, folder):
+    """Results of the mods' pipeline as objects."""
+    engine = _engine(spark, folder)
+    rows = as_json(engine.single(_queries(spark), "mod", 3), engine.chunks)
+    return rows.select("query_id", F.col("pos").cast("int").alias("pos"), *[F.get_json_object("json", f"$.{k}").alias(k) for k in ("id", "source", "text")])
+
+
+def index_fallback(spark, folder):
+    """Keyword hits with their rows, where the store has lost every other document: those take the index's own columns."""
+    chunks = document_chunks(spark, folder)
+    left = chunks.where(F.substring("chunk_id", 2, 20).cast("long") % 2 == 0)
+    hits = _keyword(spark, folder, _queries(spark), 10).select("query_id", "chunk_id", "pos")
+    found = fusion.with_rows(hits, left.withColumn("class_name", F.lit("stored")), chunks)
+    return found.select("query_id", "chunk_id", F.col("pos").cast("int").alias("pos"), "fqn", "class_name", F.length("body").alias("size"), "from_index")
 
 
 def package_rollup(spark, folder):
@@ -218,6 +344,106 @@ def recursive_ancestors(spark, folder):
     return graph.ancestors(turns, starts).select("query_id", "depth", "name")
 
 
+def package_totals(spark, folder):
+    return graph.package_totals(graph.packages(_table(spark, folder, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("class_name"))))
+
+
+def class_chunks(spark, folder) -> DataFrame:
+    """A class corpus: regions, nations that extend them, suppliers that extend nations; customers and regions' markets are methods."""
+    regions, nations = _table(spark, folder, "region"), _table(spark, folder, "nation")
+    placed = nations.join(F.broadcast(regions), F.col("n_regionkey") == F.col("r_regionkey"))
+    none = F.lit(None).cast("string")
+
+    def overviews(rows, name, package, up, interfaces):
+        fqn = F.concat_ws(".", package, name)
+        return rows.select(F.concat(F.lit("c:"), fqn).alias("chunk_id"), F.lit("class_overview").alias("type"), fqn.alias("fqn"), name.alias("class_name"), none.alias("method_name"), package.alias("package"), F.lit("public").alias("visibility"), up.alias("extends"), interfaces.alias("implements"), F.concat(F.lit("class "), name, F.lit("\n// Fields:\nint "), F.lower(name), F.lit(";\n")).alias("body"))
+
+    def methods(rows, owner, package, name, number):
+        fqn = F.concat_ws(".", package, owner)
+        kind = F.element_at(F.array(F.lit("public"), F.lit("protected"), F.lit("private")), (number % 3 + 1).cast("int"))
+        return rows.select(F.concat(F.lit("m:"), fqn, F.lit("#"), name).alias("chunk_id"), F.lit("method").alias("type"), fqn.alias("fqn"), owner.alias("class_name"), name.alias("method_name"), package.alias("package"), kind.alias("visibility"), F.lit("").alias("extends"), F.lit("").alias("implements"), F.concat(F.lit("/** about */\n  "), kind, F.lit(" void "), name, F.lit("()\n")).alias("body"))
+
+    suppliers = _table(spark, folder, "supplier").join(F.broadcast(placed), F.col("s_nationkey") == F.col("n_nationkey"))
+    customers = _table(spark, folder, "customer").join(F.broadcast(placed), F.col("c_nationkey") == F.col("n_nationkey"))
+    parts = [
+        overviews(regions, F.col("r_name"), F.lit("world"), F.lit(""), F.lit("")),
+        overviews(placed, F.col("n_name"), F.col("r_name"), F.col("r_name"), F.concat(F.lit("I"), (F.col("n_nationkey") % 3).cast("string"))),
+        overviews(suppliers, F.translate("s_name", "#", "_"), F.col("n_name"), F.col("n_name"), F.lit("")),
+        methods(customers, F.col("n_name"), F.col("r_name"), F.translate("c_name", "#", "_"), F.col("c_custkey")),
+        methods(regions, F.col("r_name"), F.lit("world"), F.concat(F.lit("market"), F.col("r_regionkey")), F.lit(0)),
+    ]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.withColumn("source", F.lit("api"))
+
+
+def _asked_suppliers(spark, folder) -> DataFrame:
+    return _table(spark, folder, "supplier").where(F.col("s_suppkey") % 50 == 0).select(F.col("s_suppkey").alias("query_id"), F.translate("s_name", "#", "_").alias("name"))
+
+
+def inherited_methods(spark, folder):
+    """Public and protected methods that a supplier's class inherits from its nation and region."""
+    return graph.inherited_methods(class_chunks(spark, folder), _asked_suppliers(spark, folder))
+
+
+def class_info(spark, folder):
+    """What a simple name, a full name, a misspelt name stand for."""
+    names = _frame(spark, literals.CLASS_NAMES, "query_id int, name string")
+    return graph.class_info(class_chunks(spark, folder), names).select("query_id", "tier", "chunk_id", F.length("body").alias("size"))
+
+
+def class_report(spark, folder):
+    names = _frame(spark, literals.CLASS_NAMES, "query_id int, name string")
+    return graph.class_report(class_chunks(spark, folder), names)
+
+
+def class_hierarchy(spark, folder):
+    regions = _table(spark, folder, "region").select(F.col("r_regionkey").alias("query_id"), F.col("r_name").alias("name"))
+    nations = _table(spark, folder, "nation").select((F.col("n_nationkey") + 100).alias("query_id"), F.col("n_name").alias("name"))
+    found = graph.hierarchy(class_chunks(spark, folder), regions.unionByName(nations))
+    return found.select("query_id", "fqn", "extends", "implements", "parent_extends", "n_subclasses", F.concat_ws(",", "subclasses").alias("subclasses"))
+
+
+def method_boost(spark, folder):
+    """Up to three methods of each method name that a query has."""
+    rows = class_chunks(spark, folder).where(F.col("type") == "method").withColumn("method_name", F.concat(F.lit("call"), F.initcap(F.translate("class_name", "_", ""))))
+    found = boosts.exact_identifiers(_frame(spark, literals.METHOD_QUERIES, "query_id int, query string"), rows, ("api",))
+    return found.select("query_id", "chunk_id", F.col("ord").cast("int").alias("ord"))
+
+
+def api_snapshot(spark, folder):
+    found = diff.snapshot(class_chunks(spark, folder))
+    return found.select("fqn", "class_name", "package", "extends", "implements", F.concat_ws(",", "methods").alias("methods"), F.concat_ws(",", "fields").alias("fields"))
+
+
+def diff_summary(spark, folder):
+    """The summary of the differences of two halves of the orders, by clerk's priority lists."""
+    orders = _table(spark, folder, "orders")
+    cut = F.lit(literals.CUT).cast("timestamp")
+    half = lambda d: diff.sets(d, "o_custkey", "o_orderpriority", "priorities")
+    found = diff.differences(half(orders.where(F.col("o_orderdate") < cut)), half(orders.where(F.col("o_orderdate") >= cut)), "o_custkey", (), ("priorities",))
+    return diff.summary(found, "o_custkey")
+
+
+def metadata_scan(spark, folder):
+    """Lists of values, inequality and ranges, with an offset and a limit, in order of id."""
+    rows = _table(spark, folder, "part").withColumn("chunk_id", F.col("p_partkey"))
+    found = store.get(rows, isin={"p_size": [1, 5, 9, 14, 23]}, differs={"p_brand": "Brand#13"}, at_least={"p_retailprice": 950.0}, below={"p_retailprice": 1800.0}, offset=5, limit=40)
+    return found.select("p_partkey", "p_brand", "p_size")
+
+
+def files_by_folder(spark, folder):
+    return store.files_by_folder(_table(spark, folder, "pages").select(F.col("url").alias("file")))
+
+
+def text_functions(spark, folder):
+    """Small text functions over all documents."""
+    docs = _table(spark, folder, "documents")
+    label = F.concat_ws(" ", "source", "lang", F.concat(F.lit("a/b "), F.col("doc_id")))
+    return docs.select("doc_id", X.shortened(X.second_line(F.col("text")), 200).alias("second"), X.clean_label(label).alias("label"), X.clean_name(label).alias("name"), X.hash_prefix(F.md5("text")).alias("digest"), X.grouped(F.col("n_chars")).alias("shown"))
+
+
 def find_usages(spark, folder):
     return code.usages(_table(spark, folder, "documents").select(F.col("doc_id").alias("file"), "text"), "on")
 
@@ -239,9 +465,8 @@ def field_section(spark, folder):
 
 
 def snapshot_build(spark, folder):
-    rows = _table(spark, folder, "lineitem")
-    flags = diff.sets(rows, "l_orderkey", "l_returnflag", "flags").join(diff.sets(rows, "l_orderkey", "l_linestatus", "states"), "l_orderkey")
-    return flags.select("l_orderkey", F.concat_ws(",", "flags").alias("flags"), F.concat_ws(",", "states").alias("states"))
+    rows = _table(spark, folder, "lineitem").groupBy("l_orderkey").agg(*[F.concat_ws(",", F.sort_array(F.collect_set(c))).alias(n) for c, n in (("l_returnflag", "flags"), ("l_linestatus", "states"))])
+    return rows.select("l_orderkey", "flags", "states")
 
 
 def snapshot_diff(spark, folder):
@@ -296,6 +521,8 @@ def last_writer(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        index_build, bm25_fields, porter_terms, search_mods_pipeline, search_api_by_type, dashboard_guides, dashboard_package, hybrid_all_pipeline, hybrid_api_pipeline, hybrid_guides_pipeline, rendered_results,
+        json_results, index_fallback, package_totals, inherited_methods, class_info, class_report, class_hierarchy, method_boost, api_snapshot, diff_summary, metadata_scan, files_by_folder, text_functions,
         bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, postings_stats, vector_topk, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
         exact_boost, token_overlap_boost, bridge_boost, search_all_pipeline, search_single_pipeline, search_guides_pipeline, dashboard_search, package_rollup, subclass_lookup, implementors, recursive_ancestors,
         find_usages, find_usages_topk, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,

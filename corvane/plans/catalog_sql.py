@@ -42,25 +42,70 @@ def _weighted(tag: str) -> str:
   FROM {tag}_f JOIN {tag}_m USING (term) JOIN {tag}_l USING (chunk_id) JOIN {tag}_q ON phrase = term, {tag}_n GROUP BY query_id, chunk_id)"""
 
 
-def _best(tag: str, n: int) -> str:
-    return f"SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS pos FROM {tag}_score QUALIFY pos < {n}"
+def _best(tag: str, n: int, where: str = "TRUE") -> str:
+    return f"SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS pos FROM {tag}_score WHERE {where} QUALIFY pos < {n}"
 
 
-def _fused(tag: str, n: int) -> str:
+def _fused(tag: str, n: int, where: str = "TRUE") -> str:
     """A keyword ranking alone, fused: {tag}(query_id, chunk_id, rrf_score, pos)."""
-    return f"""{tag} AS (SELECT query_id, chunk_id, round(0.3 / (60 + pos), 12) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.3 / (60 + pos), 12) DESC, pos, chunk_id) - 1 AS pos FROM ({_best(tag, 3 * n)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.3 / (60 + pos), 12) DESC, pos, chunk_id) <= {n})"""
+    return f"""{tag} AS (SELECT query_id, chunk_id, round(0.3 / (60 + pos), 12) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY round(0.3 / (60 + pos), 12) DESC, pos, chunk_id) - 1 AS pos FROM ({_best(tag, 3 * n, where)}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(0.3 / (60 + pos), 12) DESC, pos, chunk_id) <= {n})"""
 
 
 _NAMED = f"""named AS (SELECT query_id, t, no FROM (SELECT query_id, list_distinct_ordered AS ts FROM (SELECT query_id, list_filter(regexp_extract_all(query, '\\b[A-Z][a-zA-Z0-9]{{2,}}\\b'), lambda x: length(x) >= 5) AS list_distinct_ordered FROM {_ASKED})), LATERAL (SELECT unnest(ts) AS t, unnest(range(len(ts))) AS no))"""
 
 
+def _promoted(name: str, first: str, hits: str) -> str:
+    """CTE name(query_id, chunk_id, rrf_score, pos): first(query_id, chunk_id, no), then the other hits."""
+    return f"""{name} AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY part, o, chunk_id) - 1 AS pos FROM (
+  SELECT query_id, chunk_id, 1.0 AS rrf_score, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY no, chunk_id) AS o FROM {first}
+  UNION ALL SELECT query_id, chunk_id, rrf_score, 1, pos FROM {hits} h WHERE NOT EXISTS (SELECT 1 FROM {first} f WHERE f.query_id = h.query_id AND f.chunk_id = h.chunk_id)))"""
+
+
 def _boosted(hits: str, chunks: str) -> str:
     """CTE boosted(query_id, chunk_id, rrf_score, pos): overviews of named classes first."""
     return f"""{_NAMED},
 first AS (SELECT query_id, chunk_id, min(no) AS no FROM named JOIN {chunks} x ON x.class_name = t AND x.source = 'api' GROUP BY ALL),
-boosted AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY part, o, chunk_id) - 1 AS pos FROM (
-  SELECT query_id, chunk_id, 1.0 AS rrf_score, 0 AS part, row_number() OVER (PARTITION BY query_id ORDER BY no, chunk_id) AS o FROM first
-  UNION ALL SELECT query_id, chunk_id, rrf_score, 1, pos FROM {hits} h WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.query_id = h.query_id AND f.chunk_id = h.chunk_id)))"""
+{_promoted("boosted", "first", hits)}"""
+
+
+_COSINE = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
+
+
+def _near(n: int, where: str = "TRUE", asked: str = "q.vec_id % 50 = 0") -> str:
+    return f"SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) - 1 AS pos FROM (SELECT q.vec_id AS query_id, a.vec_id AS chunk_id, round({_COSINE}, 9) AS similarity FROM embeddings a, embeddings q WHERE {asked} AND {where}) QUALIFY pos < {n}"
+
+
+#: Dense hits of a source: vectors stand for documents and pages; ties go by the text of the id.
+_DENSE_N = "(SELECT query_id, mark || chunk_id AS chunk_id, row_number() OVER (PARTITION BY query_id, mark ORDER BY similarity DESC, mark || chunk_id) - 1 AS pos, mark FROM (" + _near(10**9, asked=f"q.vec_id IN (SELECT query_id FROM {_ASKED})") + "), (VALUES ('d'), ('p')) t(mark) QUALIFY pos < 30)"
+_DENSE = {"api": f"(SELECT * FROM {_DENSE_N} WHERE mark = 'd')", "guide": f"(SELECT * FROM {_DENSE_N} WHERE mark = 'p')", "mod": f"(SELECT * FROM {_DENSE_N} WHERE FALSE)"}
+
+
+def _hybrid(tag: str, source: str, n: int) -> str:
+    """CTEs up to {tag}(query_id, chunk_id, rrf_score, pos): both rankings of a source, fused; ids without a row go after the cut."""
+    rows = f"(SELECT * FROM {_ALL} WHERE source = '{source}')"
+    return f"""{_scores(tag, rows, _WORDS)}, {tag}_d AS (SELECT * FROM {_DENSE[source]}),
+{tag}_k AS (SELECT * FROM ({_best(tag, 3 * n)}) WHERE query_id IN (SELECT query_id FROM {_ASKED} WHERE regexp_matches(query, '[A-Z._]')) OR query_id NOT IN (SELECT query_id FROM {tag}_d)),
+{tag}_b AS (SELECT query_id, chunk_id, d, k, round(coalesce(1.0::DOUBLE / (60 + d), 0) + coalesce(0.3::DOUBLE / (60 + k), 0), 12) AS s FROM (SELECT query_id, chunk_id, pos AS d FROM {tag}_d) FULL JOIN (SELECT query_id, chunk_id, pos AS k FROM {tag}_k) USING (query_id, chunk_id)),
+{tag} AS (SELECT query_id, chunk_id, rrf_score, pos FROM (SELECT query_id, chunk_id, s AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, d NULLS LAST, k NULLS LAST, chunk_id) - 1 AS pos FROM {tag}_b QUALIFY pos < {n}) WHERE chunk_id IN (SELECT chunk_id FROM {tag}_c))"""
+
+
+def _described(hits: str) -> str:
+    """CTE described(query_id, chunk_id, rrf_score, pos): overviews of described names of one hump that a query has as a word, first."""
+    names = _values([(i, n.split(".")[-1]) for i, n in literals.DESCRIPTIONS], "ord, name")
+    return f"""words AS (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z]{{3,}}')) AS w FROM {_ASKED}),
+wanted AS (SELECT DISTINCT query_id, name, ord FROM words JOIN {names} n ON w = lower(name) QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY ord) <= 2),
+known AS (SELECT query_id, arg_min(chunk_id, fqn || ' ' || chunk_id) AS chunk_id, any_value(ord) AS no FROM wanted JOIN {_DOCS} x ON x.class_name = name GROUP BY query_id, name),
+{_promoted("described", "known", hits)}"""
+
+
+_PLACED = "(SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_CLASSES = f"""(SELECT 'c:' || fqn AS chunk_id, 'class_overview' AS type, fqn, class_name, NULL::VARCHAR AS method_name, package, 'public' AS visibility, extends, implements, 'class ' || class_name || chr(10) || '// Fields:' || chr(10) || 'int ' || lower(class_name) || ';' || chr(10) AS body FROM (
+  SELECT 'world.' || r_name AS fqn, r_name AS class_name, 'world' AS package, '' AS extends, '' AS implements FROM region UNION ALL SELECT r_name || '.' || n_name, n_name, r_name, r_name, 'I' || (n_nationkey % 3) FROM {_PLACED}
+  UNION ALL SELECT n_name || '.' || translate(s_name, '#', '_'), translate(s_name, '#', '_'), n_name, n_name, '' FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+UNION ALL SELECT 'm:' || fqn || '#' || method_name, 'method', fqn, class_name, method_name, package, visibility, '', '', '/** about */' || chr(10) || '  ' || visibility || ' void ' || method_name || '()' || chr(10) FROM (
+  SELECT r_name || '.' || n_name AS fqn, n_name AS class_name, translate(c_name, '#', '_') AS method_name, r_name AS package, ['public', 'protected', 'private'][c_custkey % 3 + 1] AS visibility FROM customer JOIN {_PLACED} ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'world.' || r_name, r_name, 'market' || r_regionkey, 'world', 'public' FROM region))"""
+_SIGNATURE = "trim(string_split(body, chr(10))[2])"
 
 
 def _per_class(hits: str) -> str:
@@ -111,14 +156,9 @@ WHEN {w} LIKE '%ly' AND length({w}) > 4 THEN left({w}, length({w}) - 2) WHEN {w}
 
     out["mini_stem_df"] = f"SELECT stem, count(DISTINCT id) AS df FROM (SELECT row_number() OVER () AS id, {TOKENS.format('text')} AS ws FROM documents), LATERAL (SELECT {stem('w')} AS stem FROM (SELECT unnest(ws) AS w)) GROUP BY stem"
     out["postings_stats"] = f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT row_number() OVER () AS id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term"
-    cosine = "list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
-
-    def near(n: int, where: str = "TRUE") -> str:
-        return f"SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) - 1 AS pos FROM (SELECT q.vec_id AS query_id, a.vec_id AS chunk_id, round({cosine}, 9) AS similarity FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0 AND {where}) QUALIFY pos < {n}"
-
-    out["vector_topk"] = f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, pos::INT AS pos FROM ({near(10)})"
-    out["vector_topk_filtered"] = f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, pos::INT AS pos FROM ({near(5, 'a.label = 3')})"
-    out["recall_at_k"] = f"""WITH n AS ({near(10)}), r AS (SELECT q.vec_id AS query_id, a.vec_id AS chunk_id FROM embeddings a JOIN embeddings q ON a.label = q.label WHERE q.vec_id % 50 = 0)
+    out["vector_topk"] = f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, pos::INT AS pos FROM ({_near(10)})"
+    out["vector_topk_filtered"] = f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, pos::INT AS pos FROM ({_near(5, 'a.label = 3')})"
+    out["recall_at_k"] = f"""WITH n AS ({_near(10)}), r AS (SELECT q.vec_id AS query_id, a.vec_id AS chunk_id FROM embeddings a JOIN embeddings q ON a.label = q.label WHERE q.vec_id % 50 = 0)
 SELECT query_id, round(count(n.chunk_id) / count(*)::DOUBLE, 6) AS recall FROM r LEFT JOIN n USING (query_id, chunk_id) GROUP BY query_id"""
     out["prefix_filter"] = "SELECT p_partkey, p_name, p_type FROM part WHERE starts_with(p_type, 'S') AND starts_with(p_name, 'red ')"
     out["rrf_fusion"] = f"""WITH {_scores('k', _DOCS, _WORDS)}, kw AS ({_best('k', 30)}),
@@ -148,12 +188,68 @@ SELECT query_id, chunk_id, round(score, 9) AS score, (row_number() OVER (PARTITI
     # No heading here has a name of several humps or between backticks, so the bridge adds nothing (bridge_boost shows it at work).
     out["search_all_pipeline"] = _search_all((15, 10, 7))
     out["dashboard_search"] = _search_all((10, 10, 10))
+    api = f"(SELECT * FROM {_ALL} WHERE source = 'api')"
     one = f"(SELECT * FROM {_ALL} WHERE source = 'api' AND starts_with(coalesce(package, ''), 'src1'))"
-    out["search_single_pipeline"] = f"""WITH {_scores('k', one, _WORDS)}, {_fused('k', 30)}, {_boosted('k', one)},
-r AS (SELECT query_id, chunk_id, rrf_score, fqn, pos FROM boosted JOIN {one} x USING (chunk_id)), d AS ({_per_class('r')})
+
+    def single(rows: str) -> str:
+        return f"""WITH {_scores('k', api, _WORDS)}, {_fused('k', 30, f'chunk_id IN (SELECT chunk_id FROM {rows})')}, {_boosted('k', rows)},
+r AS (SELECT query_id, chunk_id, rrf_score, fqn, pos FROM boosted JOIN {rows} x USING (chunk_id)), d AS ({_per_class('r')})
+SELECT query_id, chunk_id, round(rrf_score, 9) AS score, (p - 1)::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS p FROM d) WHERE p <= 8"""
+
+    out["search_single_pipeline"] = single(one)
+    out["search_api_by_type"] = f"SELECT 'class_overview' AS kind, * FROM ({single(api)})"
+    leg = lambda source, n: f"WITH {_scores('k', f'(SELECT * FROM {_ALL} WHERE source = ' + repr(source) + ')', _WORDS)}, {_fused('k', 30)} SELECT query_id, chunk_id, round(rrf_score, 9) AS score, pos::INT AS pos FROM k WHERE pos < {n}"
+    out["search_guides_pipeline"] = out["dashboard_guides"] = leg("guide", 8)
+    out["search_mods_pipeline"] = leg("mod", 8)
+    out["dashboard_package"] = f"""WITH {_scores('k', api, _WORDS)}, {_fused('k', 30)}, {_boosted('k', _ALL)},
+r AS (SELECT query_id, chunk_id, rrf_score, fqn, package, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) AS pos FROM boosted JOIN {_ALL} x USING (chunk_id)), d AS ({_per_class('r')})
+SELECT query_id, chunk_id, round(rrf_score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1)::INT AS pos FROM d WHERE contains(coalesce(package, ''), 'rc1') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8"""
+    legs = ", ".join(_hybrid(s, s, n) for s, n in (("api", 15), ("guide", 10), ("mod", 7)))
+    out["hybrid_all_pipeline"] = f"""WITH {legs}, {_described('api')},
+hits AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY leg, pos) - 1 AS pos FROM (SELECT *, 0 AS leg FROM described UNION ALL SELECT *, 1 FROM guide UNION ALL SELECT *, 2 FROM mod)),
+{_boosted("hits", _ALL)},
+ranked AS (SELECT query_id, chunk_id, rrf_score, x.source, x.fqn, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) - 1 AS pos FROM boosted JOIN {_ALL} x USING (chunk_id)), deduped AS ({_per_class("ranked")})
+SELECT query_id, chunk_id, round(rrf_score, 9) AS score, pos::INT AS pos FROM ({_slots("deduped", 8)})"""
+    out["hybrid_api_pipeline"] = f"""WITH {_hybrid('api', 'api', 30)}, {_boosted('api', _ALL)}, {_described('boosted')},
+r AS (SELECT query_id, chunk_id, rrf_score, fqn, pos FROM described JOIN {_ALL} x USING (chunk_id)), d AS ({_per_class('r')})
 SELECT query_id, chunk_id, round(rrf_score, 9) AS score, (p - 1)::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS p FROM d) WHERE p <= 8"""
-    guide = f"(SELECT * FROM {_ALL} WHERE source = 'guide')"
-    out["search_guides_pipeline"] = f"WITH {_scores('k', guide, _WORDS)}, {_fused('k', 30)} SELECT query_id, chunk_id, round(rrf_score, 9) AS score, pos::INT AS pos FROM k WHERE pos < 8"
+    out["hybrid_guides_pipeline"] = f"WITH {_hybrid('guide', 'guide', 30)} SELECT query_id, chunk_id, round(rrf_score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1)::INT AS pos FROM guide QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos) <= 8"
+    out["rendered_results"] = f"""SELECT query_id, string_agg('**Result ' || (pos + 1) || '** [GUIDE] | ' || CASE WHEN heading <> '' THEN heading || ' | ' ELSE '' END || 'score ' || printf('%.4f', score) || chr(10) || html, chr(10) || chr(10) ORDER BY pos) AS text
+FROM ({leg('guide', 2)}) JOIN (SELECT 'p' || page_id AS chunk_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, html FROM pages) USING (chunk_id) GROUP BY query_id"""
+    out["json_results"] = f"SELECT query_id, pos, chunk_id AS id, 'mod' AS source, CASE WHEN length(body) > 500 THEN substr(body, 1, 500) || '...' ELSE coalesce(body, '') END AS text FROM ({leg('mod', 3)}) JOIN (SELECT chunk_id, body FROM {_ALL}) USING (chunk_id)"
+    out["index_fallback"] = f"""WITH {_scores('k', _DOCS, _WORDS)} SELECT query_id, chunk_id, pos::INT AS pos, fqn, CASE WHEN substr(chunk_id, 2)::BIGINT % 2 = 0 THEN 'stored' ELSE class_name END AS class_name, length(body)::INT AS size, substr(chunk_id, 2)::BIGINT % 2 = 1 AS from_index
+FROM ({_best('k', 10)}) JOIN {_DOCS} x USING (chunk_id)"""
+    asked = "(SELECT query_id, unnest(" + TOKENS.format("query") + ") AS phrase FROM " + _values(literals.FIELD_QUERIES, "query_id, query") + ")"
+    fields = f"(SELECT chunk_id, concat_ws(' ', fqn, class_name, body) AS body FROM {_DOCS})"
+    out["bm25_fields"] = f"WITH {_scores('k', fields, asked)} SELECT query_id, chunk_id, round(score, 6) AS score, pos::INT AS pos FROM ({_best('k', 10)})"
+    out["index_build"] = f"""WITH l AS (SELECT source, {words} AS ws FROM {_ALL}), t AS (SELECT source, unnest(ws) AS term FROM l)
+SELECT source, tokens, terms, chunks, average FROM (SELECT source, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY source) JOIN (SELECT source, count(*) AS chunks, round(avg(len(ws)), 6) AS average FROM l GROUP BY source) USING (source)"""
+    out["porter_terms"] = f"SELECT word, stem FROM {_values(literals.STEMS, 'word, stem')}"
+    out["package_totals"] = "SELECT count(*) AS packages, sum(n)::BIGINT AS classes FROM (SELECT p_brand, count(DISTINCT p_name) AS n FROM part GROUP BY p_brand)"
+    out["inherited_methods"] = f"""WITH k AS {_CLASSES}, s AS (SELECT s_suppkey AS query_id, n_name, r_name FROM supplier JOIN {_PLACED} ON s_nationkey = n_nationkey WHERE s_suppkey % 50 = 0),
+up AS (SELECT query_id, 0 AS depth, r_name || '.' || n_name AS fqn FROM s UNION ALL SELECT query_id, 1, 'world.' || r_name FROM s)
+SELECT query_id, depth, class_name, fqn, method_name, {_SIGNATURE} AS signature FROM up JOIN k USING (fqn) WHERE type = 'method' AND visibility IN ('public', 'protected')"""
+    named = _values(literals.CLASS_NAMES, "query_id, name")
+    found = f"""k AS {_CLASSES}, n AS {named}, e AS (SELECT query_id, name, 0 AS tier, 0 AS distance, k.* FROM n JOIN k ON CASE WHEN contains(name, '.') THEN fqn = name ELSE class_name = name AND type = 'class_overview' END),
+m AS (SELECT query_id, name, 3 AS tier, levenshtein(class_name, name) AS distance, k.* FROM n, k WHERE type = 'class_overview' AND query_id NOT IN (SELECT query_id FROM e) AND levenshtein(class_name, name) <= length(name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, class_name, chunk_id) <= 5),
+f AS (SELECT * FROM e UNION ALL SELECT * FROM m)"""
+    out["class_info"] = f"WITH {found} SELECT query_id, tier, chunk_id, length(body)::INT AS size FROM f"
+    out["class_report"] = f"""WITH {found}, o AS (SELECT query_id, any_value(name) AS name, any_value(tier) AS tier, string_agg('### ' || fqn || ' (' || type || ')' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY fqn, chunk_id) AS parts,
+  string_agg('  - ' || fqn, chr(10) ORDER BY distance, fqn) AS near, min(extends) FILTER (type = 'class_overview' AND tier = 0) AS up FROM f GROUP BY query_id),
+i AS (SELECT query_id, string_agg('  ' || {_SIGNATURE} || ';  // inherited from ' || fqn, chr(10) ORDER BY method_name) AS lines FROM o JOIN k ON class_name = up WHERE type = 'method' AND visibility IN ('public', 'protected') GROUP BY query_id)
+SELECT query_id, CASE WHEN tier = 0 THEN parts || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### Inherited Methods' || chr(10) || lines END ELSE 'Class ' || chr(39) || name || chr(39) || ' not found exactly. Did you mean:' || chr(10) || near END AS text FROM o LEFT JOIN i USING (query_id)"""
+    out["class_hierarchy"] = f"""WITH k AS (SELECT * FROM {_CLASSES} WHERE type = 'class_overview'), c AS (SELECT extends AS name, count(DISTINCT class_name)::INT AS n, array_to_string(list_sort(list(DISTINCT class_name))[1:30], ',') AS shown FROM k GROUP BY extends)
+SELECT query_id, fqn, extends, implements, CASE WHEN extends <> '' THEN '' END AS parent_extends, n AS n_subclasses, coalesce(shown, '') AS subclasses FROM (SELECT r_regionkey AS query_id, r_name AS name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation) q JOIN k ON class_name = q.name LEFT JOIN c ON c.name = q.name"""
+    out["method_boost"] = f"""SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY no, chunk_id)::INT AS ord FROM (SELECT query_id, no, chunk_id FROM {_CLASSES} JOIN (VALUES (1, 0, 'EUROPE'), (1, 1, 'ASIA'), (2, 0, 'NATION_7')) t(query_id, no, class_name) USING (class_name) WHERE type = 'method'
+  QUALIFY row_number() OVER (PARTITION BY query_id, no ORDER BY chunk_id) <= 3)"""
+    out["api_snapshot"] = f"""WITH k AS {_CLASSES} SELECT fqn, class_name, package, extends, implements, coalesce(methods, '') AS methods, 'int ' || lower(class_name) AS fields FROM k LEFT JOIN (SELECT fqn, array_to_string(list_sort(list(DISTINCT method_name)), ',') AS methods FROM k WHERE type = 'method' GROUP BY fqn) USING (fqn) WHERE type = 'class_overview'"""
+    line = lambda k: f"CASE WHEN {k} > 0 THEN '{k} (' || {k} || '): ' || {k}_shown END"
+    kinds = ("added", "removed", "modified")
+    out["metadata_scan"] = "SELECT p_partkey, p_brand, p_size FROM part WHERE p_size IN (1, 5, 9, 14, 23) AND p_brand IS DISTINCT FROM 'Brand#13' AND p_retailprice >= 950 AND p_retailprice < 1800 ORDER BY p_partkey LIMIT 40 OFFSET 5"
+    out["files_by_folder"] = "SELECT folder, count(*) AS files FROM (SELECT regexp_extract(url, '^(?:[a-z]+://)?/*([^/]+)/', 1) AS folder FROM pages) WHERE folder <> '' GROUP BY folder"
+    second = "coalesce(string_split(text, chr(10))[2], text)"
+    label = "concat_ws(' ', source, lang, 'a/b ' || doc_id)"
+    out["text_functions"] = f"SELECT doc_id, CASE WHEN length({second}) > 200 THEN substr({second}, 1, 200) || '...' ELSE {second} END AS second, substr(translate({label}, ' /', '__'), 1, 30) AS label, regexp_replace({label}, '[^A-Za-z0-9]', '', 'g') AS name, coalesce(substr(md5(text), 1, 12), '?') AS digest, format('{{:,}}', n_chars) AS shown FROM documents"
     out["package_rollup"] = "SELECT p_brand AS package, len(a)::INT AS classes, array_to_string(a[1:20], ',') AS shown, greatest(len(a) - 20, 0)::INT AS more FROM (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS a FROM part GROUP BY p_brand)"
     nations = "(SELECT n_name AS class_name, r_name AS extends, r_name || ' , I' || (n_nationkey % 3) AS implements FROM nation JOIN region ON n_regionkey = r_regionkey)"
     out["subclass_lookup"] = f"SELECT r_regionkey AS query_id, len(a)::INT AS total, array_to_string(a[1:30], ',') AS shown FROM (SELECT r_regionkey, list_sort(list(DISTINCT class_name)) AS a FROM region JOIN {nations} ON extends = r_name GROUP BY r_regionkey)"
@@ -175,6 +271,18 @@ SELECT query_id, depth::INT AS depth, name FROM w"""
     out["snapshot_diff"] = f"""SELECT coalesce(n.o_custkey, o.o_custkey) AS o_custkey, CASE WHEN o.p IS NULL THEN 'added' WHEN n.p IS NULL THEN 'removed' ELSE 'modified' END AS kind,
 CASE WHEN o.p IS NULL OR n.p IS NULL THEN '' ELSE concat_ws('; ', {listed('priorities added', 'n.p', 'o.p')}, {listed('priorities removed', 'o.p', 'n.p')}) END AS changes
 FROM {half.format('<', literals.CUT)} o FULL JOIN {half.format('>=', literals.CUT)} n ON o.o_custkey = n.o_custkey WHERE o.p IS NULL OR n.p IS NULL OR o.p <> n.p"""
+    out["diff_summary"] = f"""WITH d AS (SELECT o_custkey::VARCHAR AS k, kind FROM ({out["snapshot_diff"]})), c AS (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}, array_to_string(list_sort(list(k) FILTER (kind = '{k}'))[1:20], ', ') AS {k}_shown" for k in kinds)} FROM d)
+SELECT added, removed, modified, concat_ws(chr(10), {', '.join(map(line, kinds))}) AS summary FROM c"""
+    # Places of the methods in the literal source, by their first and last words: a body ends where the braces since its first are level.
+    wanted = [(0, "open", "/** Opens it. */"), (0, "open", "protected <T"), (1, "close", "abstract void close()"), (2, "<init>", "/** Makes one. */")]
+    source = literals.SOURCE.replace("'", "''")
+    out["method_span"] = f"""WITH f AS (SELECT '{source}' AS t), w AS (SELECT query_id, first, instr(t, first) AS a FROM f, (SELECT row_number() OVER () AS n, * FROM {_values(wanted, 'query_id, method, first')})),
+c AS (SELECT i, substr(t, i, 1) AS c, sum(CASE substr(t, i, 1) WHEN '{{{{' THEN 1 WHEN '}}}}' THEN -1 ELSE 0 END) OVER (ORDER BY i) AS depth FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM f)),
+h AS (SELECT query_id, first, a, a + instr(substr(t, a), ')') AS past, t FROM w, f),
+b AS (SELECT h.*, (SELECT min(i) FROM c WHERE c = '{{{{' AND i > a + CASE WHEN starts_with(first, '/**') THEN length(first) ELSE 0 END) AS begin FROM h),
+e AS (SELECT b.*, (SELECT min(c.i) FROM c, c AS o WHERE o.i = b.begin AND c.i >= b.begin AND c.c = '}}}}' AND c.depth = o.depth - 1) AS finish FROM b),
+m AS (SELECT query_id, a, CASE WHEN starts_with(first, 'abstract') THEN first ELSE substr(t, a, finish - a + 1) END AS one FROM e)
+SELECT q AS query_id, coalesce(string_agg(one, chr(10) || chr(10) || '// ---' || chr(10) || chr(10) ORDER BY a), '') AS method_source FROM range(4) r(q) LEFT JOIN m ON m.query_id = q GROUP BY q""".replace("{{", "{").replace("}}", "}")
     out["chunk_windows"] = "SELECT id, k::INT AS chunk_no, substr(text, k * 1300 + 1, 1500) AS body FROM (SELECT doc_id AS id, text, unnest(range(greatest(ceil((length(text) - 200) / 1300.0)::BIGINT, 1))) AS k FROM documents WHERE length(text) > 0)"
     out["index_status"] = f"SELECT collection, coalesce(n, 0) AS chunks, coalesce(n, 0) > 0 AS indexed, indexed_at, embed_model, repo_count::BIGINT AS repo_count FROM {_values(literals.META, 'collection, indexed_at, embed_model, repo_count')} LEFT JOIN (SELECT source, count(*) AS n FROM {_ALL} GROUP BY source) ON source = collection"
     assets = _values(literals.ASSETS, "name, size")

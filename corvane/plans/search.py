@@ -8,40 +8,50 @@ from pyspark.sql import functions as F
 from ..config import LIMITS
 from ..functions import text as X
 from ..operators import boosts, fusion, keyword, shaping
+from ..session import written
 
 SOURCES = ("api", "guide", "mod")
 
 
 class Search:
-    """One engine over chunks, optional dense hits and a description table.
+    """One engine over chunks, their keyword index, optional dense hits and a description table.
 
-    ``dense(queries, source, n)`` returns (query_id, chunk_id, pos); without it keyword search stands alone.
+    ``dense(queries, n, known)`` returns (query_id, source, chunk_id, pos), the n nearest of each source, of the ``known`` ids
+    alone if they are given; without it keyword search stands alone. Without a stored ``index`` the keyword index is computed from the chunks in each search.
     """
 
-    def __init__(self, chunks: DataFrame, dense=None, descriptions: DataFrame | None = None, fields: tuple[str, ...] = ("body",), analyzer: str = "plain", parser=keyword.parse):
-        self.chunks, self.dense, self.descriptions = chunks, dense, descriptions
-        self.fields, self.analyzer, self.parser = fields, analyzer, parser
-
-    def hybrid(self, queries: DataFrame, source: str, n: int, where=None) -> DataFrame:
-        """Fused hits of one source. A filter holds for both legs."""
-        rows = self.chunks.where(F.col("source") == source)
-        rows = rows if where is None else rows.where(where)
-        words = keyword.keyword_search(rows, queries, LIMITS.keyword_fetch * n, self.fields, self.analyzer, self.parser)
+    def __init__(self, chunks: DataFrame, dense=None, descriptions: DataFrame | None = None, index: keyword.Index | None = None, parser=keyword.parse, dense_fetch: int = LIMITS.least_fetch):
+        self.dense_fetch = dense_fetch
+        self.chunks, self.dense, self.descriptions, self.parser = chunks, dense, descriptions, parser
+        self.index = index or keyword.Index.of(chunks)
+
+    def hybrid(self, queries: DataFrame, fetch: dict[str, int], where=None) -> DataFrame:
+        """Fused hits of some sources, ``fetch`` of each, in one plan over one reading of the postings; written once, as small as
+        the queries. A filter holds for both legs; keyword statistics stay those of the whole source."""
+        sources = list(fetch)
+        part = F.lit(0)
+        for source, n in fetch.items():
+            part = F.when(F.col("source") == source, F.lit(n)).otherwise(part)
+        known = None if where is None else self.chunks.where(F.col("source").isin(*sources) & where)
+        words = keyword.keyword_search(self.index.only(*sources), queries, LIMITS.keyword_fetch * max(fetch.values()), self.parser, known).where(F.col("pos") < LIMITS.keyword_fetch * part)
         if self.dense is None:
-            near = queries.select("query_id").where(F.lit(False)).select("query_id", F.lit("").alias("chunk_id"), F.lit(0).alias("pos"))
+            near = queries.select("query_id", F.lit("").alias("source"), F.lit("").alias("chunk_id"), F.lit(0).alias("pos")).where(F.lit(False))
         else:
-            near = self.dense(queries, source, n)
-            near = near if where is None else near.join(rows.select("chunk_id"), "chunk_id", "left_semi")
-        return fusion.fuse(near, fusion.gate(words, near, queries), n)
+            near = self.dense(queries, self.dense_fetch, known).where(F.col("source").isin(*sources))
+        return written(fusion.fuse(near, fusion.gate(words, near, queries), part, self.chunks if self.dense is not None else None))
 
     def _described(self, hits: DataFrame) -> DataFrame:
         """Hits with the columns that shaping needs; bodies are joined after the last cut."""
-        return hits.join(self.chunks.select("chunk_id", "source", "fqn"), "chunk_id")
+        return hits.drop("source").join(self.chunks.select("chunk_id", "source", "fqn"), "chunk_id")
+
+    def _leg(self, hits: DataFrame, source: str) -> DataFrame:
+        return hits.where(F.col("source") == source).drop("source")
 
     def docs(self, queries: DataFrame, limit: int = 8) -> DataFrame:
         """All sources: hybrid each, guide bridge, class names, exact identifiers, re-rank, two a class, quotas."""
         fetch = max(LIMITS.least_fetch, 3 * limit)
-        api, guide, mod = (self.hybrid(queries, s, fetch // k) for s, k in zip(SOURCES, (2, 3, 4), strict=True))
+        every = self.hybrid(queries, {s: fetch // k for s, k in zip(SOURCES, (2, 3, 4), strict=True)})
+        api, guide, mod = (self._leg(every, s) for s in SOURCES)
         bodies = guide.join(self.chunks.select("chunk_id", "heading", "body"), "chunk_id")
         api = boosts.guide_bridge_boost(api, bodies, self.chunks)
         if self.descriptions is not None:
@@ -61,7 +71,7 @@ class Search:
         where = None
         if package or kind:
             where = (F.coalesce("package", F.lit("")).startswith(package)) & ((F.col("type") == kind) if kind else F.lit(True))
-        hits = self.hybrid(queries, source, fetch, where)
+        hits = self._leg(self.hybrid(queries, {source: fetch}, where), source)
         scope = self.chunks if where is None else self.chunks.where(where)
         hits = boosts.exact_identifier_boost(hits, queries, scope, (source,))
         if source == "api":
@@ -75,11 +85,9 @@ class Search:
         """The dashboard's variant: an even fetch a source, no bridge and no class names, quotas only over all sources."""
         sources = SOURCES if source == "all" else (source,)
         fetch = max(LIMITS.least_fetch, 3 * limit)
-        every = None
-        for i, s in enumerate(sources):
-            part = self.hybrid(queries, s, fetch // len(sources)).withColumn("__leg", F.lit(i))
-            every = part if every is None else every.unionByName(part)
-        hits = boosts.exact_identifier_boost(shaping.renumber(every, "__leg", "pos").drop("__leg"), queries, self.chunks, sources)
+        every = self.hybrid(queries, dict.fromkeys(sources, fetch // len(sources)))
+        every = every.withColumn("__leg", F.array_position(X.literals(sources), F.col("source")))
+        hits = boosts.exact_identifier_boost(shaping.renumber(every, "__leg", "pos").drop("__leg", "source"), queries, self.chunks, sources)
         hits = shaping.first_per_key(shaping.rerank(self._described(hits)))
         if package:
             named = self.chunks.where(F.coalesce("package", F.lit("")).contains(package)).select("chunk_id")
@@ -98,7 +106,11 @@ def rendered(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def as_json(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, pos, json): each result as an object, the text cut at 500 characters, the score at four digits."""
-    rows = hits.select("query_id", "pos", "chunk_id", "rrf_score").join(chunks, "chunk_id")
-    item = F.struct(F.col("chunk_id").alias("id"), "source", F.round("rrf_score", 4).alias("score"), X.shortened(F.coalesce("body", F.lit("")), LIMITS.text_chars).alias("text"))
+    """(query_id, pos, json): each result as an object, the text cut at 500 characters, the score at four digits.
+
+    Hits with a dense ``distance`` carry a similarity, 1 - distance, at three digits.
+    """
+    near = (1 - F.col("distance")) if "distance" in hits.columns else F.lit(None).cast("double")
+    rows = hits.select("query_id", "pos", "chunk_id", "rrf_score", near.alias("similarity")).join(chunks, "chunk_id")
+    item = F.struct(F.col("chunk_id").alias("id"), "source", F.round("rrf_score", 4).alias("score"), F.round(F.col("similarity"), 3).alias("similarity"), X.shortened(F.coalesce("body", F.lit("")), LIMITS.text_chars).alias("text"))
     return rows.select("query_id", "pos", F.to_json(item).alias("json"))

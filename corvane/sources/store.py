@@ -35,13 +35,32 @@ def conditions(*parts: Column | None) -> Column:
     return out
 
 
-def get(chunks: DataFrame, ids: list[str] | None = None, where: dict[str, str] | None = None, prefix: dict[str, str] | None = None, limit: int | None = None) -> DataFrame:
-    """Chunks by id, equal values and prefixes, in order of id if limited. Conditions reach the scan."""
+def get(
+    chunks: DataFrame, ids: list[str] | None = None, where: dict[str, str] | None = None, prefix: dict[str, str] | None = None, limit: int | None = None,
+    isin: dict[str, list] | None = None, differs: dict[str, object] | None = None, at_least: dict[str, object] | None = None, below: dict[str, object] | None = None, offset: int = 0,
+) -> DataFrame:
+    """Chunks by id, values, lists of values, prefixes and ranges, in order of id if limited. Conditions reach the scan.
+
+    A missing value counts as the empty text: it equals '', and differs from all else.
+    """
     parts = [F.col("chunk_id").isin(ids)] if ids else []
-    parts += [F.coalesce(F.col(k), F.lit("")) == v for k, v in (where or {}).items()]
+    parts += [(F.col(k) == v) if v != "" else (F.col(k).isNull() | (F.col(k) == "")) for k, v in (where or {}).items()]
     parts += [F.col(k).startswith(v) for k, v in (prefix or {}).items()]
+    parts += [F.col(k).isin(list(v)) for k, v in (isin or {}).items()]
+    parts += [(F.col(k).isNull() | (F.col(k) != v)) if v != "" else (F.col(k) != "") for k, v in (differs or {}).items()]
+    parts += [F.col(k) >= v for k, v in (at_least or {}).items()]
+    parts += [F.col(k) < v for k, v in (below or {}).items()]
     found = chunks.where(conditions(*parts))
-    return found if limit is None else found.orderBy("chunk_id").limit(limit)
+    if limit is None and not offset:
+        return found
+    ordered = found.orderBy("chunk_id").offset(offset)
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def files_by_folder(files: DataFrame) -> DataFrame:
+    """(folder, files): how many files of (file) lie under each first folder of their path."""
+    folder = F.regexp_extract("file", r"^(?:[a-z]+://)?/*([^/]+)/", 1)
+    return files.where(folder != "").groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("files"))
 
 
 def chunk_windows(texts: DataFrame, size: int = LIMITS.chunk_chars, overlap: int = LIMITS.chunk_overlap) -> DataFrame:

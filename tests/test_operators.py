@@ -99,8 +99,8 @@ def test_class_name_overlap(spark):
 
 
 def test_fusion_scores_and_gate(spark):
-    dense = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "query_id int, chunk_id string, pos int")
-    words = spark.createDataFrame([(1, "c", 0), (1, "b", 1), (1, "a", 2), (2, "z", 0)], "query_id int, chunk_id string, pos int")
+    dense = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "query_id int, chunk_id string, pos int").withColumn("source", F.lit("api"))
+    words = spark.createDataFrame([(1, "c", 0), (1, "b", 1), (1, "a", 2), (2, "z", 0)], "query_id int, chunk_id string, pos int").withColumn("source", F.lit("api"))
     got = [(r.chunk_id, r.rrf_score) for r in fusion.fuse(dense, words, 3).where("query_id = 1").orderBy("pos").collect()]
     assert [c for c, _ in got] == ["a", "b", "c"] and abs(got[0][1] - (1 / 60 + 0.3 / 62)) < 1e-9
     asked = spark.createDataFrame([(1, "plain words"), (2, "also plain")], "query_id int, query string")
@@ -109,7 +109,7 @@ def test_fusion_scores_and_gate(spark):
 
 
 def test_known_ids_go_after_the_cut(spark):
-    dense = spark.createDataFrame([(1, "a", 0), (1, "gone", 1), (1, "b", 2)], "query_id int, chunk_id string, pos int")
+    dense = spark.createDataFrame([(1, "a", 0), (1, "gone", 1), (1, "b", 2)], "query_id int, chunk_id string, pos int").withColumn("source", F.lit("api"))
     known = spark.createDataFrame([("a",), ("b",)], "chunk_id string")
     assert [r.chunk_id for r in fusion.fuse(dense, dense.limit(0), 2, known).collect()] == ["a"]
 
@@ -143,7 +143,7 @@ def test_bm25_against_full_text_search(spark):
     for p in phrases:
         want = {str(r): -s for r, s in con.execute("SELECT rowid, rank FROM t WHERE t MATCH ?", (f'"{p}"',))}
         asked = spark.createDataFrame([(1, 0, p)], "query_id int, phrase_no int, phrase string")
-        got = {r.chunk_id: r.score for r in keyword.bm25(chunks, asked, analyzer="porter").collect()}
+        got = {r.chunk_id: r.score for r in keyword.bm25(keyword.Index.of(chunks, analyzer="porter"), asked).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want), p
 
 
@@ -275,9 +275,77 @@ def test_embedding_and_dense_search(spark):
 
 
 def test_stream_refresh(spark, tmp_path, classes):
-    from corvane.streaming.refresh import refresh
+    from corvane.streaming.refresh import refresh, refreshed
 
     classes.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))
     refresh(stream, str(tmp_path / "out"), str(tmp_path / "state"), ("class_name",)).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out" / "chunks")).count() == classes.count()
+    asked = spark.createDataFrame([(1, "Square")], "query_id int, query string")
+    hits = keyword.keyword_search(refreshed(spark, str(tmp_path / "out")), asked, 3).collect()
+    assert [(r.chunk_id, round(r.score, 6)) for r in hits] == [(r.chunk_id, round(r.score, 6)) for r in keyword.keyword_search(keyword.Index.of(classes, ("class_name",)), asked, 3).collect()] and hits
+
+
+def test_stored_index(spark, tmp_path, classes):
+    """A stored index answers as one computed on the way, by five fields and stems, with few terms and with many."""
+    rows = classes.withColumn("body", F.concat_ws(" ", "class_name", "method_name", F.lit("running shapes")))
+    fields = ("chunk_id", "fqn", "class_name", "method_name", "body")
+    index = keyword.Index.of(rows, fields, "porter")
+    stored = index.write(str(tmp_path / "index"))
+    stored.analyzer = "porter"
+    asked = spark.createDataFrame([(1, "runs a.b.Square"), (2, "shape Node1"), (3, "")], "query_id int, query string")
+    got = lambda i: sorted(map(tuple, keyword.keyword_search(i, asked, 5).collect()))
+    want = got(index)
+    assert want and got(stored) == want
+    few = keyword.FEW_TERMS
+    try:
+        keyword.FEW_TERMS = 0
+        assert got(stored) == want
+    finally:
+        keyword.FEW_TERMS = few
+    assert {r.source for r in stored.only("guide").postings.select("source").distinct().collect()} == set()
+
+
+def test_rows_of_the_index(spark):
+    hits = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "c", 2)], "query_id int, chunk_id string, pos int")
+    rows = [("a", "x.A", "A", None, "stored"), ("b", "x.B", "B", None, "kept")]
+    table = spark.createDataFrame(rows, "chunk_id string, fqn string, class_name string, method_name string, body string")
+    got = fusion.with_rows(hits, table.where("chunk_id = 'a'"), table.withColumn("body", F.lit("kept"))).orderBy("pos").collect()
+    assert [(r.chunk_id, r.body, r.from_index) for r in got] == [("a", "stored", False), ("b", "kept", True)]
+
+
+def test_lists_are_pruned(spark, classes):
+    rows = [("p", f"C{i:02}") for i in range(25)] + [("q", "A"), ("q", "A"), ("q", None)]
+    got = {r.package: r for r in graph.packages(spark.createDataFrame(rows, "package string, class_name string"), 3).collect()}
+    assert got["p"].shown == ["C00", "C01", "C02"] and got["p"].classes == 25 and got["q"].classes == 1 and got["q"].more == 0
+    assert diff.compared(None, classes) == (None, diff.NO_SNAPSHOT)
+    text = {r.query_id: r.text for r in graph.class_report(classes, names(spark, "Node0", "Squar")).collect()}
+    assert "### Inherited Methods" in text[0] and "// inherited from a.b.Node1" in text[0] and "Did you mean:" in text[1] and "a.b.Square" in text[1]
+
+
+def test_metadata_conditions(spark):
+    rows = spark.createDataFrame([(str(i), "ab"[i % 2] if i % 5 else None, i) for i in range(20)], "chunk_id string, kind string, n int")
+    assert store.get(rows, isin={"n": [1, 2, 30]}).count() == 2 and store.get(rows, where={"kind": ""}).count() == 4
+    assert store.get(rows, differs={"kind": "a"}).count() == 12 and store.get(rows, differs={"kind": ""}).count() == 16
+    assert [r.n for r in store.get(rows, at_least={"n": 3}, below={"n": 8}, offset=1, limit=2).collect()] == [4, 5]
+
+
+def test_vectors_of_no_length(spark):
+    """Rows and queries without length, of another width, with nulls or null have no similarity; ties go by id."""
+    from corvane.operators import dense
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [0.0, 1.0]), (7, [None, 1.0])]
+    vectors = spark.createDataFrame(rows, "chunk_id int, embedding array<float>")
+    asked = spark.createDataFrame([(1, [3.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, vector array<float>")
+    got = [(r.query_id, r.chunk_id, r.similarity, r.pos) for r in dense.vector_search(vectors, asked, 2).orderBy("pos").collect()]
+    assert got == [(1, 1, 1.0, 0), (1, 2, 1.0, 1)]
+    step, block = dense.STEP_QUERIES, dense.BLOCK_QUERIES
+    many = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.cos(F.col("id").cast("double")), F.sin(F.col("id").cast("double"))).alias("vector"))
+    held = many.select(F.col("query_id").alias("chunk_id"), F.col("vector").alias("embedding"))
+    want = sorted(map(tuple, dense.vector_search(held, many, 3).collect()))
+    try:
+        dense.STEP_QUERIES, dense.BLOCK_QUERIES = 7, 20
+        assert sorted(map(tuple, dense.vector_search(held, many, 3).collect())) == want and len(want) == 150
+    finally:
+        dense.STEP_QUERIES, dense.BLOCK_QUERIES = step, block
+    assert dense.vector_search(vectors, asked.limit(0), 2).count() == 0
