@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .common import held_out, table
 
 
@@ -19,7 +20,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), model_path())
+    return token_counts(spread(table(spark, sf_dir, "documents")), model_path())
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,7 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_pieces
 
-    return encode_pieces(table(spark, sf_dir, "documents"), model_path())
+    return encode_pieces(spread(table(spark, sf_dir, "documents")), model_path())
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,19 +44,19 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import ogg_media
 
-    return ogg_media(table(spark, sf_dir, "documents"))
+    return ogg_media(spread(table(spark, sf_dir, "documents")))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(spread(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pages import extract_pages
 
-    return extract_pages(table(spark, sf_dir, "pages"))
+    return extract_pages(spread(table(spark, sf_dir, "pages")))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +64,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, ~held_out("doc_id", 3))
-    out = predict(docs, model)
+    out = predict(spread(docs), model)
     return out.select("doc_id", held_out("doc_id", 3).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import host_rules
 
-    return host_rules(table(spark, sf_dir, "documents"))
+    return host_rules(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
