@@ -1,20 +1,24 @@
-"""Language-model scoring with sharded Elias-Fano tries.
+"""Language-model scoring of order three with sharded Elias-Fano tries.
 
-Texts are tokenised once, in packs of a few million tokens. A pack sends to each shard, which is a range of word hashes,
-its distinct words and the distinct pairs (context, word) whose context lies there, with their training counts. A shard
-adds the counts of all packs and builds its part of the trie: level one has the contexts, level two their successors,
-both as Elias-Fano sequences with monotone pointers from one to the other and one byte for each successor, the quantised
-discounted count that smoothing leaves it. The levels lie in a memory-mapped file for as long as the shard answers: for
-each pair it finds the context, then the successor inside the context's range. The answers go back to the packs, which
-sum the logarithms by document. So a frequent word or pair is sent once for each pack and answered once, no part of the
-model is larger than its shard, and the model as a whole is on no machine.
+Texts are tokenised once, in packs of about a million tokens. A pack sends to each shard, which is a range of word hashes,
+its distinct words and the distinct pairs (context, word) whose context lies there, and below each pair the words that
+follow it, all with their training counts. A shard adds the counts of all packs and builds its part of the trie: level one
+has the contexts, level two their successors, level three the successors of pairs, each level an Elias-Fano sequence with
+monotone pointers into the next one, one byte for each node, its quantised smoothed probability, and one for each pair, its
+quantised back-off weight. The levels lie packed in a memory-mapped file for as long as the shard answers: for each pair it
+finds the context, then the successor inside the context's range, then the pair's successors inside the pair's range. The
+answers go back to the packs, which combine them by document. So a frequent word, pair or triple is sent once for each pack
+and answered once, no part of the model is larger than its shard, and the model as a whole is on no machine.
 
-The model, with counts c over training tokens, discount D and N1(v) different successors of v:
+The model, with counts c over training tokens, discount D and N1(h) different successors of h:
 
+    p(w | u v) = max(c(u, v, w) - D, 0) / c(u, v) + D * N1(u, v) / c(u, v) * p(w | v),
     p(w | v) = max(c(v, w) - D, 0) / c(v) + D * N1(v) / c(v) * p1(w),    p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
 
-and p1(w) after a context that training does not have. A text starts in the context of an end.
-Contexts of a large share of all tokens are dealt out by the word that follows, not by themselves.
+and the lower order alone after a context that training does not have. A text starts in the context of an end; its first
+token has no longer one. The first terms are what the trie holds as probabilities, the factors are its back-off weights.
+Contexts of a large share of all tokens are dealt out by the word that follows, not by themselves. Words are known by 64
+bits of hash, within a context by 40 and within a pair by 32.
 """
 
 from __future__ import annotations
@@ -36,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, slices, trim
 
-PACK_TOKENS = 1_250_000
-SHARD_TOKENS = 2_500_000
+PACK_TOKENS = 1_000_000
+SHARD_TOKENS = 1_500_000
 DISCOUNT = 0.75
 #: Contexts of at least this share of tokens, in a sample of about so many rows, are dealt out by their successors.
 #: This places work and changes no result.
@@ -45,23 +49,34 @@ HOT_SHARE = 0.002
 HOT_ROWS = 2_000
 END = b""
 
-#: What a byte of a trie stands for: counts to 127 as they are, then steps of a quarter octave.
-LEVELS = np.concatenate([np.arange(128.0), 128.0 * 2.0 ** (np.arange(128) / 4)])
+_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
-def quantise(counts: np.ndarray) -> np.ndarray:
-    """The nearest level of each count."""
-    at = np.clip(np.searchsorted(LEVELS, counts), 1, 255)
-    return np.where(LEVELS[at] - counts < counts - LEVELS[at - 1], at, at - 1).astype(np.uint8)
+def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, codebook): positive values as bytes; exact up to 255 different ones, else bins of equal shares at their geometric means.
+
+    Code 0 is no value, so the codebook starts with 0.
+    """
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1)
+    kinds, number, count = np.unique(values, return_inverse=True, return_counts=True)
+    if len(kinds) <= 255:
+        return (number + 1).astype(np.uint8), np.concatenate([[0.0], kinds])
+    place = np.minimum((np.cumsum(count) - (count + 1) // 2) * 255 // len(values), 254)
+    place = np.unique(place, return_inverse=True)[1]
+    weight = np.bincount(place, count)
+    return (place[number] + 1).astype(np.uint8), np.concatenate([[0.0], np.exp(np.bincount(place, np.log(kinds) * count) / weight)])
 
 
 class EliasFano:
-    """A sorted sequence of 64-bit numbers: low bytes as they are, high parts as gaps in unary."""
+    """A sorted sequence of 64-bit numbers: low bytes as they are, high parts as gaps in unary.
+
+    Numbers are selected and searched on the packed bits; beside them there is one running count for each 64 of them.
+    """
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.width, self.low = n, width, low
-        ones = np.flatnonzero(np.unpackbits(high)[: (len(high) * 8)]) if n else np.zeros(0, np.int64)
-        self.high = ones[:n] - np.arange(n)
+        self.n, self.width, self.low, self.words = n, width, low, high
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.uint32), dtype=np.uint32)])
 
     @staticmethod
     def build(values: np.ndarray) -> bytes:
@@ -70,33 +85,62 @@ class EliasFano:
         top = int(values[-1]) if n else 0
         width = min(7, max(0, -(-max(0, (top // max(n, 1)).bit_length() - 1) // 8)))
         low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width] if n else np.zeros((0, width), np.uint8)
-        bits = np.zeros((top >> (8 * width)) + n + 1, bool)
+        bits = np.zeros(-(-((top >> (8 * width)) + n + 1) // 64) * 64, bool)
         if n:
             bits[(values >> np.uint64(8 * width)).astype(np.int64) + np.arange(n)] = True
-        high = np.packbits(bits)
-        body = struct.pack("<QQQ", n, width, len(high)) + low.tobytes() + high.tobytes()
+        high = np.packbits(bits, bitorder="little")
+        body = struct.pack("<QQQ", n, width, len(high)) + high.tobytes() + low.tobytes()
         return body + bytes(-len(body) % 8)
 
     @staticmethod
     def load(buffer, at: int) -> tuple[EliasFano, int]:
         """(sequence over the mapped bytes, where the next one begins)."""
         n, width, size = struct.unpack_from("<QQQ", buffer, at)
-        low = np.frombuffer(buffer, np.uint8, n * width, at + 24).reshape(n, width) if n * width else np.zeros((n, 0), np.uint8)
-        high = np.frombuffer(buffer, np.uint8, size, at + 24 + n * width)
+        high = np.frombuffer(buffer, "<u8", size // 8, at + 24)
+        low = np.frombuffer(buffer, np.uint8, n * width, at + 24 + size).reshape(n, width) if n * width else np.zeros((n, 0), np.uint8)
         end = at + 24 + n * width + size
         return EliasFano(n, width, low, high), end + -(end - at) % 8
 
+    def _select(self, index: np.ndarray, zeros: bool) -> np.ndarray:
+        """The place of the index-th set (or clear) bit, from 0; the number of bits where there is none."""
+        if zeros:
+            before = np.arange(len(self.words) + 1, dtype=np.int64) * 64 - self.before
+        else:
+            before = self.before
+        word = np.searchsorted(before, index, "right") - 1
+        inside = word < len(self.words)
+        out = np.full(len(index), len(self.words) * 64, np.int64)
+        left = (index - before[word])[inside].astype(np.int64)
+        bits = self.words[word[inside]]
+        rows = (~bits if zeros else bits).astype("<u8").view(np.uint8).reshape(-1, 8)
+        sums = np.cumsum(_ONES[rows], axis=1, dtype=np.int64)
+        byte = (sums <= left[:, None]).sum(axis=1)
+        pick = np.arange(len(byte))
+        left = left - np.where(byte > 0, sums[pick, np.maximum(byte - 1, 0)], 0)
+        one = np.unpackbits(rows[pick, byte][:, None], axis=1, bitorder="little")
+        bit = (np.cumsum(one, axis=1) <= left[:, None]).sum(axis=1)
+        out[inside] = word[inside] * 64 + byte * 8 + bit
+        return out
+
     def get(self, index: np.ndarray) -> np.ndarray:
         """The numbers at some places."""
         out = np.zeros((len(index), 8), np.uint8)
         out[:, : self.width] = self.low[index]
-        return out.view("<u8").ravel() | (self.high[index].astype(np.uint64) << np.uint64(8 * self.width))
+        high = (self._select(index, False) - index).astype(np.uint64)
+        return out.view("<u8").ravel() | (high << np.uint64(8 * self.width))
+
+    def _upto(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a high part below: the set bits before the high-th clear one."""
+        out = np.zeros(len(high), np.int64)
+        some = high > 0
+        out[some] = np.minimum(self._select(high[some] - 1, True) - (high[some] - 1), self.n)
+        return out
 
     def successor(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """For each value the first place in [begin, end) whose number is not less; ``end`` if there is none."""
         high = (values >> np.uint64(8 * self.width)).astype(np.int64)
-        begin = np.maximum(begin, np.searchsorted(self.high, high, "left"))
-        stop = np.maximum(np.minimum(end, np.searchsorted(self.high, high, "right")), begin)
+        begin = np.maximum(begin, self._upto(high))
+        stop = np.maximum(np.minimum(end, self._upto(high + 1)), begin)
         begin, stop = np.minimum(begin, end), np.minimum(stop, end)
         while True:  # binary search among numbers of equal high part
             open_ = np.flatnonzero(begin < stop)
@@ -108,48 +152,78 @@ class EliasFano:
             stop[open_] = np.where(less, stop[open_], middle)
 
 
+def _find(level: EliasFano, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The place of each number within its range; -1 where it is not."""
+    spot = level.successor(wanted, begin, end)
+    out = np.full(len(wanted), -1, np.int64)
+    inside = np.flatnonzero(spot < end)
+    inside = inside[level.get(spot[inside]) == wanted[inside]]
+    out[inside] = spot[inside]
+    return out
+
+
 class Trie:
-    """Contexts, pointers, successors and their bytes in one memory-mapped file."""
+    """Contexts, their successors and the successors of pairs, with pointers, probabilities and weights, in one memory-mapped file."""
 
     def __init__(self, path: str):
         self.file = open(path, "rb")  # noqa: SIM115
         self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
         self.contexts, at = EliasFano.load(self.map, 0)
         self.pointers, at = EliasFano.load(self.map, at)
-        self.successors, at = EliasFano.load(self.map, at)
-        self.codes = np.frombuffer(self.map, np.uint8, self.successors.n, at)
+        self.pairs, at = EliasFano.load(self.map, at)
+        self.ends, at = EliasFano.load(self.map, at)
+        self.triples, at = EliasFano.load(self.map, at)
+        self.codes = np.frombuffer(self.map, np.uint8, self.pairs.n, at)
+        self.weights = np.frombuffer(self.map, np.uint8, self.pairs.n, at + self.pairs.n)
+        self.leaves = np.frombuffer(self.map, np.uint8, self.triples.n, at + 2 * self.pairs.n)
 
     @staticmethod
-    def write(path: str, contexts: np.ndarray, pointers: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> None:
-        """Sorted contexts, where each one's successors begin (and the last ends), successors sorted in each context, bytes."""
-        rank = np.repeat(np.arange(len(contexts), dtype=np.uint64), np.diff(pointers).astype(np.int64))
+    def write(path: str, contexts: np.ndarray, pairs: np.ndarray, triples: np.ndarray, codes: np.ndarray, weights: np.ndarray, leaves: np.ndarray) -> None:
+        """Sorted contexts; pairs as context's place << 40 | word; triples as pair's place << 32 | word; bytes of pairs and triples.
+
+        A level's numbers stand relative to their context, which is their upper part.
+        """
+        first = np.searchsorted((pairs >> np.uint64(40)).astype(np.int64), np.arange(len(contexts) + 1))
+        second = np.searchsorted((triples >> np.uint64(32)).astype(np.int64), np.arange(len(pairs) + 1))
         with open(path, "wb") as f:
-            for x in (contexts, pointers, (rank << np.uint64(40)) | successors):
+            for x in (contexts, first, pairs, second, triples):
                 f.write(EliasFano.build(x.astype(np.uint64)))
-            f.write(codes.astype(np.uint8).tobytes() + bytes(8))
+            f.write(codes.astype(np.uint8).tobytes() + weights.astype(np.uint8).tobytes() + leaves.astype(np.uint8).tobytes() + bytes(8))
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The byte of each (context, word); 0 where the trie does not have it."""
-        out = np.zeros(len(words), np.uint8)
-        if not self.successors.n:
+        """The place of each (context, word) among the pairs; -1 where the trie does not have it."""
+        out = np.full(len(words), -1, np.int64)
+        if not self.pairs.n:
             return out
-        n = self.contexts.n
-        rank = self.contexts.successor(contexts, np.zeros(len(words), np.int64), np.full(len(words), n))
-        there = np.flatnonzero(rank < n)
-        there = there[self.contexts.get(rank[there]) == contexts[there]]
+        rank = _find(self.contexts, contexts, np.zeros(len(words), np.int64), np.full(len(words), self.contexts.n))
+        there = np.flatnonzero(rank >= 0)
         rank = rank[there]
         begin, end = self.pointers.get(rank).astype(np.int64), self.pointers.get(rank + 1).astype(np.int64)
-        # Numbers of a context are relative to it: its rank stands above the word's 40 bits.
-        wanted = (rank.astype(np.uint64) << np.uint64(40)) | words[there]
-        spot = self.successors.successor(wanted, begin, end)
-        inside = np.flatnonzero(spot < end)
-        inside = inside[self.successors.get(spot[inside]) == wanted[inside]]
-        out[there[inside]] = self.codes[spot[inside]]
+        out[there] = _find(self.pairs, (rank.astype(np.uint64) << np.uint64(40)) | words[there], begin, end)
+        return out
+
+    def follow(self, places: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The byte of each word after the pair at a place; 0 where the trie does not have it."""
+        out = np.zeros(len(words), np.uint8)
+        there = np.flatnonzero(places >= 0)
+        if not self.triples.n or not len(there):
+            return out
+        place = places[there]
+        begin, end = self.ends.get(place).astype(np.int64), self.ends.get(place + 1).astype(np.int64)
+        spot = _find(self.triples, (place.astype(np.uint64) << np.uint64(32)) | words[there], begin, end)
+        out[there[spot >= 0]] = self.leaves[spot[spot >= 0]]
         return out
 
+    def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability's byte, weight's byte) of the pairs at some places; 0 for -1."""
+        there, spot = places >= 0, np.maximum(places, 0)
+        if not self.pairs.n:
+            return np.zeros(len(places), np.uint8), np.zeros(len(places), np.uint8)
+        return np.where(there, self.codes[spot], 0).astype(np.uint8), np.where(there, self.weights[spot], 0).astype(np.uint8)
+
     def close(self) -> None:
         """Give the file back; arrays that view it must be gone."""
-        self.contexts = self.pointers = self.successors = self.codes = None
+        self.contexts = self.pointers = self.pairs = self.ends = self.triples = self.codes = self.weights = self.leaves = None
         self.map.close()
         self.file.close()
 
@@ -206,6 +280,38 @@ class _Reader:
         return out
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers from each start on, as many as its count, one run after another."""
+    past = np.cumsum(counts)
+    return np.repeat(starts - (past - counts), counts) + np.arange(int(past[-1]) if len(past) else 0)
+
+
+class _Ngrams:
+    """The distinct pairs and triples of a pack, in the order in which shards are asked.
+
+    ``flat`` numbers the tokens by the words' hashes, ``starts`` are the texts' first tokens, ``is_hot`` marks words that are
+    dealt out by their successors. Pairs are sorted by context and word; triples by pair and word.
+    """
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, end: int, n: int, is_hot: np.ndarray):
+        context = np.empty_like(flat)
+        context[1:] = flat[:-1]
+        context[starts] = end
+        pair, self.pair_of = np.unique(context.astype(np.uint64) * np.uint64(n) + flat.astype(np.uint64), return_inverse=True)
+        self.head, self.tail = (pair // np.uint64(n)).astype(np.int64), (pair % np.uint64(n)).astype(np.int64)
+        inner = np.ones(len(flat), bool)
+        inner[starts] = False
+        self.inner = np.flatnonzero(inner)  # tokens with a context of two
+        triple, self.triple_of = np.unique(self.pair_of[self.inner - 1].astype(np.uint64) * np.uint64(n) + flat[self.inner].astype(np.uint64), return_inverse=True)
+        self.over, self.last = (triple // np.uint64(n)).astype(np.int64), (triple % np.uint64(n)).astype(np.int64)
+        busy = is_hot[self.head]
+        self.cold, warm = np.flatnonzero(~busy), np.flatnonzero(busy)
+        self.warm = warm[np.argsort(self.tail[warm], kind="stable")]
+        self.follow = np.bincount(self.over, minlength=len(pair))
+        first = np.cumsum(self.follow) - self.follow
+        self.cold_triples, self.warm_triples = (_ranges(first[x], self.follow[x]) for x in (self.cold, self.warm))
+
+
 def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -> DataFrame:
     """Rows (key, kind, blob): kind 0 asks a shard, kind 1 carries a pack's tokens."""
     hot_hashes = np.unique(np.array([_hash(w) for w in hot], np.uint64))
@@ -234,33 +340,28 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
             train = np.repeat(np.array(trained, np.int64), lengths)
             n = len(hashes)
             unigrams = np.bincount(flat, train, minlength=n).astype(np.int64)
-            context = np.empty_like(flat)
-            context[1:] = flat[:-1]
-            context[starts] = end
-            pair, inverse = np.unique(context.astype(np.uint64) * np.uint64(n) + flat.astype(np.uint64), return_inverse=True)
-            bigrams = np.bincount(inverse, train, minlength=len(pair)).astype(np.int64)
-            head, tail = (pair // np.uint64(n)).astype(np.int64), (pair % np.uint64(n)).astype(np.int64)
             spot = np.minimum(np.searchsorted(hot_hashes, hashes), max(len(hot_hashes) - 1, 0))
             is_hot = hot_hashes[spot] == hashes if len(hot_hashes) else np.zeros(n, bool)
+            g = _Ngrams(flat, starts, end, n, is_hot)
+            bigrams = np.bincount(g.pair_of, train, minlength=len(g.head)).astype(np.int64)
+            trigrams = np.bincount(g.triple_of, train[g.inner], minlength=len(g.over)).astype(np.int64)
             edges = np.searchsorted(hashes, np.arange(1, shards, dtype=np.uint64) << shift) if shards > 1 else np.zeros(0, np.int64)
             edges = np.concatenate([[0], edges, [n]]).astype(np.int64)
-            busy = is_hot[head]
-            cold = np.flatnonzero(~busy)
-            cold_edges = np.searchsorted(head[cold], edges)
-            warm = np.flatnonzero(busy)
-            warm = warm[np.argsort(tail[warm], kind="stable")]
-            warm_edges = np.searchsorted(tail[warm], edges)
+            cold_edges, warm_edges = np.searchsorted(g.head[g.cold], edges), np.searchsorted(g.tail[g.warm], edges)
+            past = [np.concatenate([[0], np.cumsum(g.follow[x])]) for x in (g.cold, g.warm)]
             number = int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes() + flat.tobytes() + struct.pack("<qq", part, packs)), "little") >> 1
             rows = []
             for s in range(shards):
                 i, j = edges[s], edges[s + 1]
-                own, hots = cold[cold_edges[s] : cold_edges[s + 1]], warm[warm_edges[s] : warm_edges[s + 1]]
-                follow = np.bincount(head[own] - i, minlength=j - i)
-                words = hashes[tail[own]] & _MASK
+                own, hots = g.cold[cold_edges[s] : cold_edges[s + 1]], g.warm[warm_edges[s] : warm_edges[s + 1]]
+                below = np.concatenate([g.cold_triples[past[0][cold_edges[s]] : past[0][cold_edges[s + 1]]], g.warm_triples[past[1][warm_edges[s]] : past[1][warm_edges[s + 1]]]])
+                follow = np.bincount(g.head[own] - i, minlength=j - i)
+                words = hashes[g.tail[own]] & _MASK
                 blob = b"".join([
-                    struct.pack("<qIII", number, j - i, len(own), len(hots)), hashes[i:j].tobytes(), _counts(unigrams[i:j]), _counts(follow),
+                    struct.pack("<qIIII", number, j - i, len(own), len(hots), len(below)), hashes[i:j].tobytes(), _counts(unigrams[i:j]), _counts(follow),
                     (words & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (words >> np.uint64(32)).astype(np.uint8).tobytes(), _counts(bigrams[own]),
-                    spot[head[hots]].astype(np.uint16).tobytes(), (tail[hots] - i).astype(np.uint32).tobytes(), _counts(bigrams[hots]),
+                    spot[g.head[hots]].astype(np.uint16).tobytes(), (g.tail[hots] - i).astype(np.uint32).tobytes(), _counts(bigrams[hots]),
+                    _counts(g.follow[np.concatenate([own, hots])]), (hashes[g.last[below]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _counts(trigrams[below]),
                 ])
                 rows.append((s, 0, _squeeze(blob)))
             sink = io.BytesIO()
@@ -296,27 +397,30 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
     return docs.mapInArrow(run, "key int, kind int, blob binary")
 
 
-def _answer(hots: int):
+def _answer(hots: int, discount: float):
     """One shard: add the counts of all packs, build the trie, answer each pack."""
 
     def run(table: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
-        packs, hashes, counts, contexts, words, pair_counts = [], [], [], [], [], []
+        packs, hashes, counts, contexts, words, pair_counts, follows, lasts, triple_counts = ([] for _ in range(9))
         shard = table.column("key")[0].as_py()
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True):
             data = _loosen(blob.as_buffer())
             if kind == 1:
                 rows.append((struct.unpack_from("<q", data)[0], -1, bytes(blob.as_buffer())))
                 continue
-            number, n, cold, hot = struct.unpack_from("<qIII", data)
+            number, n, cold, hot, below = struct.unpack_from("<qIIII", data)
             r = _Reader(data)
-            r.at = 20
+            r.at = 24
             own = r.take(np.uint64, n)
             unigrams, follow = r.counts(n), r.counts(n)
             low = r.take(np.uint32, cold).astype(np.uint64) | (r.take(np.uint8, cold).astype(np.uint64) << np.uint64(32))
             cold_counts = r.counts(cold)
             which, tail = r.take(np.uint16, hot), r.take(np.uint32, hot)
             hot_counts = r.counts(hot)
+            follows.append(r.counts(cold + hot))
+            lasts.append(r.take(np.uint32, below))
+            triple_counts.append(r.counts(below))
             packs.append((number, n, cold, hot))
             hashes.append(own)
             counts.append(unigrams)
@@ -330,26 +434,44 @@ def _answer(hots: int):
         edges = np.cumsum([0, *(p[1] for p in packs)])
         # A context's rank among this shard's: those dealt out by successor first, then the shard's words.
         ranks = [np.concatenate([hots + inverse[edges[k] + place], which]) for k, (place, which) in enumerate(contexts)]
-        flat = (np.concatenate(ranks).astype(np.uint64) << np.uint64(40)) | np.concatenate(words)
-        keys, where = np.unique(flat, return_inverse=True)
+        del contexts, hashes, counts
+        keys, where = np.unique((np.concatenate(ranks).astype(np.uint64) << np.uint64(40)) | np.concatenate(words), return_inverse=True)
         sums = np.bincount(where, np.concatenate(pair_counts), minlength=len(keys)).astype(np.int64)
-        seen = sums > 0
-        head = (keys[seen] >> np.uint64(40)).astype(np.int64)
-        present, follow = np.unique(head, return_counts=True)
-        types = np.zeros(hots + len(vocabulary), np.int64)
-        types[present] = follow
+        below, back = np.unique((np.repeat(where, np.concatenate(follows)).astype(np.uint64) << np.uint64(32)) | np.concatenate(lasts), return_inverse=True)
+        below_sums = np.bincount(back, np.concatenate(triple_counts), minlength=len(below)).astype(np.int64)
+        del where, back, pair_counts, triple_counts
+        seen, deep = sums > 0, below_sums > 0
+        sums, below_sums, below = sums[seen], below_sums[deep], below[deep]
+        over = (np.cumsum(seen) - 1)[(below >> np.uint64(32)).astype(np.int64)]
+        keys = keys[seen]
+        head = (keys >> np.uint64(40)).astype(np.int64)
+        size = hots + len(vocabulary)
+        held, types = np.bincount(head, sums, minlength=size), np.bincount(head, minlength=size)
+        after, kinds = np.bincount(over, below_sums, minlength=len(keys)), np.bincount(over, minlength=len(keys))
+        codes, book = quantise(np.maximum(sums - discount, 0) / held[head])
+        leaves, leaf_book = quantise(np.maximum(below_sums - discount, 0) / after[over])
+        weights = np.zeros(len(keys), np.uint8)
+        weights[after > 0], weight_book = quantise(discount * kinds[after > 0] / after[after > 0])
+        present, place = np.unique(head, return_inverse=True)
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
             path = os.path.join(folder, "levels")
-            Trie.write(path, present, np.concatenate([[0], np.cumsum(follow)]), keys[seen] & _MASK, quantise(sums[seen]))
-            del keys, where, sums, flat
+            Trie.write(path, present, (place.astype(np.uint64) << np.uint64(40)) | (keys & _MASK), (over.astype(np.uint64) << np.uint64(32)) | (below & np.uint64(0xFFFFFFFF)), codes, weights, leaves)
+            del keys, sums, below, below_sums, over, head, place
             trie = Trie(path)
+            books = b"".join(struct.pack("<I", len(x)) + x.astype(np.float64).tobytes() for x in (book, weight_book, leaf_book))
             for k, (number, n, cold, hot) in enumerate(packs):
-                codes = trie.find(ranks[k].astype(np.uint64), words[k])
+                found = trie.find(ranks[k].astype(np.uint64), words[k])
+                pair_codes, pair_weights = trie.at(found)
+                triple_codes = trie.follow(np.repeat(found, follows[k]), lasts[k].astype(np.uint64))
                 mine = inverse[edges[k] : edges[k + 1]]
-                blob = struct.pack("<IIIqq", n, cold, hot, int(total.sum()), int((total > 0).sum())) + total[mine].astype(np.uint64).tobytes() + types[hots + mine].astype(np.uint32).tobytes() + codes.tobytes() + types[:hots].astype(np.uint32).tobytes()
+                cold_below = int(follows[k][:cold].sum())
+                blob = b"".join([
+                    struct.pack("<IIIIIqq", n, cold, hot, cold_below, len(triple_codes) - cold_below, int(total.sum()), int((total > 0).sum())), total[mine].astype(np.uint64).tobytes(), types[hots + mine].astype(np.uint32).tobytes(),
+                    types[:hots].astype(np.uint32).tobytes(), held[:hots].astype(np.float64).tobytes(), books, pair_codes.tobytes(), pair_weights.tobytes(), triple_codes.tobytes(),
+                ])
                 rows.append((number, shard, _squeeze(blob)))
             trie.close()
-        del ranks, words, pair_counts, inverse
+        del ranks, words, inverse, follows, lasts
         trim()
         return _table(rows)
 
@@ -380,47 +502,63 @@ def _sums(keep: list[str], shards: int, hots: int, discount: float):
         r.at = at + side
         lengths = r.take(np.uint32, n_docs).astype(np.int64)
         parts = [answers[s] for s in range(shards)]
-        heads = [struct.unpack_from("<IIIqq", p) for p in parts]
+        layout = "<IIIIIqq"
+        heads = [struct.unpack_from(layout, p) for p in parts]
         n = sum(h[0] for h in heads)
         hot_number = r.take(np.int16, n).astype(np.int64)
         is_hot = hot_number >= 0
         flat = np.frombuffer(bytes(data[r.at : r.at + 4 * n_tokens]), np.uint8).reshape(4, n_tokens).T.copy().view(np.uint32).ravel().astype(np.int64)
-        total_n, total_v = sum(h[3] for h in heads), sum(h[4] for h in heads)
-        counts, types, cold_codes, hot_codes = [], [], [], []
-        hot_types = np.zeros(hots, np.int64)
-        for p, (words, cold, warm, _, _) in zip(parts, heads, strict=True):
+        total_n, total_v = sum(h[5] for h in heads), sum(h[6] for h in heads)
+        counts, types = [], []
+        cold_p, warm_p, cold_w, warm_w, cold_t, warm_t, warm_held = ([] for _ in range(7))
+        hot_types, hot_held = np.zeros(hots, np.int64), np.zeros(hots)
+        for p, (words, cold, warm, cold_below, warm_below, _, _) in zip(parts, heads, strict=True):
             r = _Reader(p)
-            r.at = struct.calcsize("<IIIqq")
+            r.at = struct.calcsize(layout)
             counts.append(r.take(np.uint64, words).astype(np.int64))
             types.append(r.take(np.uint32, words).astype(np.int64))
-            cold_codes.append(r.take(np.uint8, cold))
-            hot_codes.append(r.take(np.uint8, warm))
             hot_types += r.take(np.uint32, hots).astype(np.int64)
+            held = r.take(np.float64, hots)
+            hot_held += held
+            books = []
+            for _ in range(3):
+                (size,) = r.take(np.uint32, 1)
+                books.append(r.take(np.float64, int(size)))
+            codes = books[0][r.take(np.uint8, cold + warm)]
+            cold_p.append(codes[:cold])
+            warm_p.append(codes[cold:])
+            warm_held.append(held)
+            codes = books[1][r.take(np.uint8, cold + warm)]
+            cold_w.append(codes[:cold])
+            warm_w.append(codes[cold:])
+            codes = books[2][r.take(np.uint8, cold_below + warm_below)]
+            cold_t.append(codes[:cold_below])
+            warm_t.append(codes[cold_below:])
         count, kinds = np.concatenate(counts), np.concatenate(types)
-        starts = np.cumsum(lengths) - lengths
-        context = np.empty_like(flat)
-        context[1:] = flat[:-1]
-        context[starts] = end
-        pair, inverse = np.unique(context.astype(np.uint64) * np.uint64(n) + flat.astype(np.uint64), return_inverse=True)
-        head, tail = (pair // np.uint64(n)).astype(np.int64), (pair % np.uint64(n)).astype(np.int64)
-        busy = is_hot[head]
-        codes = np.zeros(len(pair), np.uint8)
-        codes[np.flatnonzero(~busy)] = np.concatenate(cold_codes)
-        warm = np.flatnonzero(busy)
-        codes[warm[np.argsort(tail[warm], kind="stable")]] = np.concatenate(hot_codes)
         kinds[is_hot] = hot_types[hot_number[is_hot]]
+        starts = np.cumsum(lengths) - lengths
+        g = _Ngrams(flat, starts, end, n, is_hot)
+        own, weight, triple = np.zeros(len(g.head)), np.zeros(len(g.head)), np.zeros(len(g.over))
+        own[g.cold], weight[g.cold], triple[g.cold_triples] = np.concatenate(cold_p), np.concatenate(cold_w), np.concatenate(cold_t)
+        own[g.warm], weight[g.warm], triple[g.warm_triples] = np.concatenate(warm_p), np.concatenate(warm_w), np.concatenate(warm_t)
+        # A shard knows its own share of a context that is dealt out; probabilities are scaled to all of it.
+        which = hot_number[g.head[g.warm]]
+        shares = np.array(warm_held).reshape(len(parts), hots)
+        shard_of = np.repeat(np.arange(len(parts)), [len(x) for x in warm_p])
+        own[g.warm] *= shares[shard_of, which] / np.maximum(hot_held[which], 1)
         p1 = (count + 0.5) / (total_n + 0.5 * (total_v + 1))
-        got = np.where(codes > 0, np.maximum(LEVELS[codes] - discount, 0), 0.0)
-        below = count[head]
-        known = below > 0
-        safe = np.where(known, below, 1)
-        p = np.where(known, got / safe + discount * kinds[head] / safe * p1[tail], p1[tail])
+        below = count[g.head]
+        safe = np.where(below > 0, below, 1)
+        p2 = np.where(below > 0, own + discount * kinds[g.head] / safe * p1[g.tail], p1[g.tail])
+        p = p2[g.pair_of]
+        back = weight[g.over]
+        p[g.inner] = triple[g.triple_of] + np.where(back > 0, back, 1.0)[g.triple_of] * p[g.inner]
         owner = np.repeat(np.arange(n_docs), lengths)
         base = np.bincount(owner, np.log10(p1)[flat], minlength=n_docs)
-        score = np.bincount(owner, np.log10(p)[inverse], minlength=n_docs)
+        score = np.bincount(owner, np.log10(p), minlength=n_docs)
         known_tokens = np.bincount(owner, (count > 0)[flat], minlength=n_docs).astype(np.int64)
         out = {name: kept.column(name) for name in keep}
-        del context, pair, inverse, codes, flat
+        del g, flat, p, p2
         trim()
         return pa.table(out | {"n_tokens": lengths, "n_known": known_tokens, "train_tokens": np.full(n_docs, total_n), "base_score": base, "score": score})
 
@@ -459,7 +597,7 @@ def lm_scores(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",
     shards = 1 << max(2, int(np.ceil(np.log2(max(1.0, tokens / SHARD_TOKENS)))))
     hot = frequent_contexts(docs, size["rows"])
     asked = _requests(source, columns, shards, hot).repartitionById(shards, "key")  # a task for each shard
-    answered = asked.groupBy("key").applyInArrow(_answer(len(set(hot))), "key long, kind int, blob binary")
+    answered = asked.groupBy("key").applyInArrow(_answer(len(set(hot)), discount), "key long, kind int, blob binary")
     packs = max(8, int(np.ceil(tokens / PACK_TOKENS)))
     types = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in columns)
     done = answered.repartition(packs, "key").groupBy("key").applyInArrow(_sums(columns, shards, len(set(hot)), discount), f"{types}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
