@@ -40,16 +40,21 @@ from pyspark.sql import functions as F
 
 from .common import prepare, slices, trim
 
-PACK_TOKENS = 1_000_000
-SHARD_TOKENS = 1_500_000
+PACK_TOKENS = 1_250_000
+SHARD_TOKENS = 2_000_000
 DISCOUNT = 0.75
+#: N-grams that are looked up at a time.
+STEP = 500_000
 #: Contexts of at least this share of tokens, in a sample of about so many rows, are dealt out by their successors.
 #: This places work and changes no result.
 HOT_SHARE = 0.002
 HOT_ROWS = 2_000
 END = b""
 
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+#: The place of the r-th set bit of each byte, at 8 * byte + r.
+_NTH = np.array([([i for i in range(8) if b >> i & 1] + [8] * 8)[:8] for b in range(256)], np.uint8).ravel()
+_L, _H, _5, _3, _F = (np.uint64(int(x * 8, 16)) for x in ("01", "80", "55", "33", "0f"))
+_U = [np.uint64(i) for i in range(9)]
 
 
 def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,24 +115,21 @@ class EliasFano:
         word = np.searchsorted(before, index, "right") - 1
         inside = word < len(self.words)
         out = np.full(len(index), len(self.words) * 64, np.int64)
-        left = (index - before[word])[inside].astype(np.int64)
-        bits = self.words[word[inside]]
-        rows = (~bits if zeros else bits).astype("<u8").view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_ONES[rows], axis=1, dtype=np.int64)
-        byte = (sums <= left[:, None]).sum(axis=1)
-        pick = np.arange(len(byte))
-        left = left - np.where(byte > 0, sums[pick, np.maximum(byte - 1, 0)], 0)
-        one = np.unpackbits(rows[pick, byte][:, None], axis=1, bitorder="little")
-        bit = (np.cumsum(one, axis=1) <= left[:, None]).sum(axis=1)
-        out[inside] = word[inside] * 64 + byte * 8 + bit
+        word = word[inside]
+        bits = ~self.words[word] if zeros else self.words[word]
+        left = (index[inside] - before[word]).astype(np.uint64)
+        sums = bits - ((bits >> _U[1]) & _5)
+        sums = (sums & _3) + ((sums >> _U[2]) & _3)
+        sums = ((sums + (sums >> _U[4])) & _F) * _L  # set bits up to each byte's end
+        skip = np.bitwise_count(((left * _L | _H) - sums) & _H).astype(np.uint64) * _U[8]
+        left -= ((sums << _U[8]) >> skip) & np.uint64(255)
+        out[inside] = word * 64 + (skip.astype(np.int64) + _NTH[(((bits >> skip) & np.uint64(255)) * _U[8] + left).astype(np.int64)])
         return out
 
     def get(self, index: np.ndarray) -> np.ndarray:
         """The numbers at some places."""
-        out = np.zeros((len(index), 8), np.uint8)
-        out[:, : self.width] = self.low[index]
         high = (self._select(index, False) - index).astype(np.uint64)
-        return out.view("<u8").ravel() | (high << np.uint64(8 * self.width))
+        return self._low(index) | (high << np.uint64(8 * self.width))
 
     def _upto(self, high: np.ndarray) -> np.ndarray:
         """How many numbers have a high part below: the set bits before the high-th clear one."""
@@ -136,30 +138,39 @@ class EliasFano:
         out[some] = np.minimum(self._select(high[some] - 1, True) - (high[some] - 1), self.n)
         return out
 
-    def successor(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each value the first place in [begin, end) whose number is not less; ``end`` if there is none."""
+    def successor(self, values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each value the first place in [begin, end) whose number is not less (``end`` if there is none), and whether it is the value.
+
+        Numbers of equal high part are a run of places, in which the low parts alone decide.
+        """
         high = (values >> np.uint64(8 * self.width)).astype(np.int64)
-        begin = np.maximum(begin, self._upto(high))
-        stop = np.maximum(np.minimum(end, self._upto(high + 1)), begin)
-        begin, stop = np.minimum(begin, end), np.minimum(stop, end)
-        while True:  # binary search among numbers of equal high part
+        low = values & np.uint64((1 << (8 * self.width)) - 1)
+        begin = np.minimum(np.maximum(begin, self._upto(high)), end)
+        stop = np.minimum(np.maximum(np.minimum(end, self._upto(high + 1)), begin), end)
+        past = stop.copy()
+        while True:
             open_ = np.flatnonzero(begin < stop)
             if not len(open_):
-                return begin
+                break
             middle = (begin[open_] + stop[open_]) >> 1
-            less = self.get(middle) < values[open_]
+            less = self._low(middle) < low[open_]
             begin[open_] = np.where(less, middle + 1, begin[open_])
             stop[open_] = np.where(less, stop[open_], middle)
+        same = np.flatnonzero(begin < past)
+        equal = np.zeros(len(values), bool)
+        equal[same] = self._low(begin[same]) == low[same]
+        return begin, equal
+
+    def _low(self, index: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(index), 8), np.uint8)
+        out[:, : self.width] = self.low[index]
+        return out.view("<u8").ravel()
 
 
 def _find(level: EliasFano, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The place of each number within its range; -1 where it is not."""
-    spot = level.successor(wanted, begin, end)
-    out = np.full(len(wanted), -1, np.int64)
-    inside = np.flatnonzero(spot < end)
-    inside = inside[level.get(spot[inside]) == wanted[inside]]
-    out[inside] = spot[inside]
-    return out
+    spot, equal = level.successor(wanted, begin, end)
+    return np.where(equal, spot, -1)
 
 
 class Trie:
@@ -247,7 +258,7 @@ def _hash(word: bytes) -> int:
 
 
 def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _loosen(data) -> memoryview:
@@ -436,10 +447,13 @@ def _answer(hots: int, discount: float):
         ranks = [np.concatenate([hots + inverse[edges[k] + place], which]) for k, (place, which) in enumerate(contexts)]
         del contexts, hashes, counts
         keys, where = np.unique((np.concatenate(ranks).astype(np.uint64) << np.uint64(40)) | np.concatenate(words), return_inverse=True)
+        del ranks, words
         sums = np.bincount(where, np.concatenate(pair_counts), minlength=len(keys)).astype(np.int64)
         below, back = np.unique((np.repeat(where, np.concatenate(follows)).astype(np.uint64) << np.uint64(32)) | np.concatenate(lasts), return_inverse=True)
         below_sums = np.bincount(back, np.concatenate(triple_counts), minlength=len(below)).astype(np.int64)
-        del where, back, pair_counts, triple_counts
+        where, back = where.astype(np.uint32), back.astype(np.uint32)
+        del pair_counts, triple_counts
+        every, every_below = keys, below
         seen, deep = sums > 0, below_sums > 0
         sums, below_sums, below = sums[seen], below_sums[deep], below[deep]
         over = (np.cumsum(seen) - 1)[(below >> np.uint64(32)).astype(np.int64)]
@@ -459,10 +473,17 @@ def _answer(hots: int, discount: float):
             del keys, sums, below, below_sums, over, head, place
             trie = Trie(path)
             books = b"".join(struct.pack("<I", len(x)) + x.astype(np.float64).tobytes() for x in (book, weight_book, leaf_book))
+            # Each distinct pair and triple is looked up once, in order.
+            found = np.concatenate([trie.find(x >> np.uint64(40), x & _MASK) for x in np.array_split(every, 1 + len(every) // STEP)])
+            all_codes, all_weights = trie.at(found)
+            all_leaves = np.concatenate([trie.follow(found[(x >> np.uint64(32)).astype(np.int64)], x & np.uint64(0xFFFFFFFF)) for x in np.array_split(every_below, 1 + len(every_below) // STEP)])
+            del every, every_below, found
+            at_pair = at_triple = 0
             for k, (number, n, cold, hot) in enumerate(packs):
-                found = trie.find(ranks[k].astype(np.uint64), words[k])
-                pair_codes, pair_weights = trie.at(found)
-                triple_codes = trie.follow(np.repeat(found, follows[k]), lasts[k].astype(np.uint64))
+                mine = where[at_pair : at_pair + cold + hot]
+                pair_codes, pair_weights = all_codes[mine], all_weights[mine]
+                triple_codes = all_leaves[back[at_triple : at_triple + len(lasts[k])]]
+                at_pair, at_triple = at_pair + cold + hot, at_triple + len(lasts[k])
                 mine = inverse[edges[k] : edges[k + 1]]
                 cold_below = int(follows[k][:cold].sum())
                 blob = b"".join([
@@ -471,7 +492,7 @@ def _answer(hots: int, discount: float):
                 ])
                 rows.append((number, shard, _squeeze(blob)))
             trie.close()
-        del ranks, words, inverse, follows, lasts
+        del inverse, follows, lasts, where, back
         trim()
         return _table(rows)
 

@@ -90,8 +90,8 @@ def test_elias_fano():
         seq, end = lm.EliasFano.load(data, 0)
         assert end == len(data) and (seq.get(np.arange(n)) == values).all()
         asked = np.concatenate([values, rng.integers(0, top, 200).astype(np.uint64)])
-        got = seq.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
-        assert (got == np.searchsorted(values, asked)).all()
+        got, equal = seq.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
+        assert (got == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
     dense = np.arange(10_000, dtype=np.uint64) * np.uint64(3)
     assert len(lm.EliasFano.build(dense)) < 12_000  # little over a byte a number
 
