@@ -271,6 +271,16 @@ def _counts(values: np.ndarray) -> bytes:
     return np.minimum(values, 255).astype(np.uint8).tobytes() + struct.pack("<I", len(large)) + large.astype(np.uint32).tobytes() + values[large].astype(np.uint32).tobytes()
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte by byte: all first bytes, all second bytes, and so on, which compress on their own."""
+    return values.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def _merged(data, kind, n: int) -> np.ndarray:
+    """Numbers from their planes."""
+    return np.frombuffer(bytes(data), np.uint8).reshape(np.dtype(kind).itemsize, n).T.copy().view(kind).ravel()
+
+
 class _Reader:
     """Arrays one after another in a block of bytes."""
 
@@ -283,6 +293,12 @@ class _Reader:
         self.at += size
         return out
 
+    def planes(self, kind, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize * n
+        out = _merged(self.data[self.at : self.at + size], kind, n)
+        self.at += size
+        return out
+
     def counts(self, n: int) -> np.ndarray:
         out = self.take(np.uint8, n).astype(np.int64)
         (m,) = self.take(np.uint32, 1)
@@ -369,7 +385,7 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
                 follow = np.bincount(g.head[own] - i, minlength=j - i)
                 words = hashes[g.tail[own]] & _MASK
                 blob = b"".join([
-                    struct.pack("<qIIII", number, j - i, len(own), len(hots), len(below)), hashes[i:j].tobytes(), _counts(unigrams[i:j]), _counts(follow),
+                    struct.pack("<qIIII", number, j - i, len(own), len(hots), len(below)), _planes(np.diff(hashes[i:j], prepend=np.uint64(0))), _counts(unigrams[i:j]), _counts(follow),
                     (words & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (words >> np.uint64(32)).astype(np.uint8).tobytes(), _counts(bigrams[own]),
                     spot[g.head[hots]].astype(np.uint16).tobytes(), (g.tail[hots] - i).astype(np.uint32).tobytes(), _counts(bigrams[hots]),
                     _counts(g.follow[np.concatenate([own, hots])]), (hashes[g.last[below]] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), _counts(trigrams[below]),
@@ -379,7 +395,11 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
             with pa.ipc.new_stream(sink, table.schema) as w:
                 w.write_table(table)
             side = sink.getvalue()
-            blob = struct.pack("<qIIII", number, len(flat), len(lengths), end, len(side)) + side + lengths.astype(np.uint32).tobytes() + np.where(is_hot, spot, -1).astype(np.int16).tobytes() + flat.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+            # Tokens go as ranks by frequency, whose upper bytes are mostly zero.
+            common = np.argsort(-np.bincount(flat, minlength=n), kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[common] = np.arange(n)
+            blob = struct.pack("<qIIII", number, len(flat), len(lengths), end, len(side)) + side + lengths.astype(np.uint32).tobytes() + np.where(is_hot, spot, -1).astype(np.int16).tobytes() + _planes(common.astype(np.uint32)) + _planes(rank[flat].astype(np.uint32))
             rows.append((number % shards, 1, _squeeze(blob)))
             numbers.clear()
             tokens.clear()
@@ -423,7 +443,7 @@ def _answer(hots: int, discount: float):
             number, n, cold, hot, below = struct.unpack_from("<qIIII", data)
             r = _Reader(data)
             r.at = 24
-            own = r.take(np.uint64, n)
+            own = np.cumsum(r.planes(np.uint64, n), dtype=np.uint64)
             unigrams, follow = r.counts(n), r.counts(n)
             low = r.take(np.uint32, cold).astype(np.uint64) | (r.take(np.uint8, cold).astype(np.uint64) << np.uint64(32))
             cold_counts = r.counts(cold)
@@ -528,7 +548,8 @@ def _sums(keep: list[str], shards: int, hots: int, discount: float):
         n = sum(h[0] for h in heads)
         hot_number = r.take(np.int16, n).astype(np.int64)
         is_hot = hot_number >= 0
-        flat = np.frombuffer(bytes(data[r.at : r.at + 4 * n_tokens]), np.uint8).reshape(4, n_tokens).T.copy().view(np.uint32).ravel().astype(np.int64)
+        common = r.planes(np.uint32, n).astype(np.int64)
+        flat = common[r.planes(np.uint32, n_tokens)]
         total_n, total_v = sum(h[5] for h in heads), sum(h[6] for h in heads)
         counts, types = [], []
         cold_p, warm_p, cold_w, warm_w, cold_t, warm_t, warm_held = ([] for _ in range(7))
