@@ -36,7 +36,7 @@ PERCENT = 75
 #: Postings that a bucket holds on average, and that a task packs at a time.
 BUCKET_POSTINGS = 1_500_000
 PACK_POSTINGS = 1_500_000
-#: A shingle in so many sets of one pack is not listed set by set: it comes last in every order.
+#: A shingle in so many sets of one pack is not listed set by set, but sent once with its number.
 HOT = 64
 BITS = 2048
 BLOCK_SETS = 512
@@ -88,6 +88,13 @@ def linked(a: int, b: int, both: int, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (a + b - both)
 
 
+def frequency_codes(counts: np.ndarray) -> np.ndarray:
+    """Numbers of sets as bytes that keep their order: exact below 64, above it in quarters of each doubling (to 2^53)."""
+    fraction, power = np.frexp(counts.astype(np.float64))
+    above = 64 + 4 * (power.astype(np.int64) - 7) + (8 * fraction - 4).astype(np.int64)
+    return np.where(counts < 64, counts, np.minimum(above, 255)).astype(np.uint8)
+
+
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """Hashed bitmap of a set, as words of 64 bits."""
     bits = np.zeros(BITS, bool)
@@ -203,7 +210,8 @@ def _postings(docs: DataFrame, bits: int, size: int) -> DataFrame:
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One bucket: for each pack, its postings whose shingle stands in two sets or more, and its sets that an earlier pack has."""
+    """One bucket: for each pack, its postings whose shingle stands in two sets or more, its sets that an earlier pack has,
+    and how frequent the shingles are that it sent once."""
     out: list[tuple[int, int, bytes]] = []
     packs, ids, owners, source, marks, mark_counts = [], [], [], [], [], []
     keys: list[tuple[bytes, int, int]] = []
@@ -233,16 +241,19 @@ def _count(table: pa.Table) -> pa.Table:
         flat = flat[order]
         starts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(flat)))
-        mark, mark_count = np.concatenate(marks), np.concatenate(mark_counts)
-        if len(mark) and len(starts):
-            heads = flat[starts]
+        mark, place = np.unique(np.concatenate(marks), return_inverse=True)
+        totals, heads = np.bincount(place, np.concatenate(mark_counts), len(mark)).astype(np.int64), flat[starts]
+        if len(mark) and len(heads):
             spot = np.minimum(np.searchsorted(heads, mark), len(heads) - 1)
             fits = heads[spot] == mark
-            counts_all = counts.copy()
-            np.add.at(counts_all, spot[fits], mark_count[fits].astype(np.int64))
+            spot = spot[fits]
+            totals[fits] += counts[spot]
+            everywhere = counts.copy()
+            everywhere[spot] = totals[fits]
         else:
-            counts_all = counts
-        df = np.repeat(np.minimum(counts_all, HOT), counts).astype(np.uint8)
+            everywhere = counts
+        mark_codes = np.split(frequency_codes(totals)[place], np.cumsum([len(m) for m in marks])[:-1])
+        df = np.repeat(frequency_codes(everywhere), counts)
         some = df >= 2
         flat, df, order = flat[some], df[some], order[some]
         owner, src = owner[order], src[order]
@@ -257,8 +268,8 @@ def _count(table: pa.Table) -> pa.Table:
         for p, pack in enumerate(packs):
             own = by[edges[p] : edges[p + 1]]
             dup = later.get(pack, [])
-            if len(own) or dup:
-                out.append((pack, 2, struct.pack("<qII", bucket, len(own), len(dup)) + _split(flat[own]) + df[own].tobytes() + owner[own].tobytes() + np.array(dup, np.uint16).tobytes()))
+            if len(own) or dup or len(mark_codes[p]):
+                out.append((pack, 2, struct.pack("<qIII", bucket, len(own), len(dup), len(mark_codes[p])) + _split(flat[own]) + df[own].tobytes() + owner[own].tobytes() + np.array(dup, np.uint16).tobytes() + mark_codes[p].tobytes()))
         del flat, owner, src, order, df, by, keys
     trim()
     return pa.Table.from_batches([_rows(out)])
@@ -274,6 +285,7 @@ def _survivors(percent: int):
         out: dict[str, list] = {"node": [], "size": [], "shared": [], "bits": [], "prefix": []}
         ids, dfs, owners, dups = [], [], [], []
         sizes, keys = np.zeros(0, np.uint32), b""
+        hot_ids, hot_owner, hot_codes = np.zeros(0, np.uint64), np.zeros(0, np.uint16), {}
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob"), strict=True):
             view = memoryview(blob.as_buffer())
             if kind == 1:
@@ -281,17 +293,23 @@ def _survivors(percent: int):
                 at = 16
                 sizes = np.frombuffer(view, np.uint8, 4 * n, at).view(np.uint32)
                 at += 4 * n
-                ids.append(np.frombuffer(bytes(view[at : at + 8 * m]), np.uint64))
-                dfs.append(np.full(m, HOT, np.uint8))
-                owners.append(np.frombuffer(bytes(view[at + 8 * m : at + 10 * m]), np.uint16))
+                hot_ids = np.frombuffer(bytes(view[at : at + 8 * m]), np.uint64)
+                hot_owner = np.frombuffer(bytes(view[at + 8 * m : at + 10 * m]), np.uint16)
                 keys = bytes(view[at + 10 * m :])
             else:
-                bucket, n, d = struct.unpack_from("<qII", view)
-                at = 16
+                bucket, n, d, m = struct.unpack_from("<qIII", view)
+                at = 20
                 ids.append(_joined(view[at:], n) | (np.uint64(bucket) << np.uint64(40)))
                 dfs.append(np.frombuffer(view, np.uint8, n, at + 5 * n))
                 owners.append(np.frombuffer(bytes(view[at + 6 * n : at + 8 * n]), np.uint16))
                 dups.append(np.frombuffer(bytes(view[at + 8 * n : at + 8 * n + 2 * d]), np.uint16))
+                hot_codes[bucket] = np.frombuffer(view, np.uint8, m, at + 8 * n + 2 * d)
+        if len(hot_ids):
+            # Codes come back in the order of the sorted distinct shingles, as buckets are their leading bits.
+            codes = np.concatenate([hot_codes[b] for b in sorted(hot_codes)])
+            ids.append(hot_ids)
+            dfs.append(codes[np.unique(hot_ids, return_inverse=True)[1]])
+            owners.append(hot_owner)
         if ids and len(sizes):
             flat, df, owner = np.concatenate(ids), np.concatenate(dfs), np.concatenate(owners)
             shared = np.bincount(owner, minlength=len(sizes))
