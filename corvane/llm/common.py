@@ -123,18 +123,19 @@ def running(frame: DataFrame, order: list[Column], sums: dict[str, Column], rows
 HEAVY_SHARE, HEAVY_PARTS = 0.001, 32
 
 
-def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner") -> DataFrame:
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], weight: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join rows with a table that has one row for each key, where one key may hold a large share of the rows.
 
     ``weight`` of a right row is at least the number of left rows of its key. Keys of over HEAVY_SHARE of the weight, at
     most 1 / HEAVY_SHARE of them, are broadcast (the keys alone); their left rows are dealt out by a hash of the whole
     row, their right rows repeated for each part. ``how`` is inner or left. Both frames should be cheap to read again.
-    Building the frame runs one aggregation. Null keys match nothing.
+    Building the frame runs one aggregation, unless ``total``, the whole weight or more, is given. Null keys match nothing.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
     is_heavy = F.col(weight) > F.lit(HEAVY_SHARE * float(total))
     heavy = right.where(is_heavy).select(*on, F.lit(True).alias("__heavy"))
-    spread = left.withColumn("__part", F.pmod(F.xxhash64(*left.columns), F.lit(HEAVY_PARTS)).cast("int")).join(F.broadcast(heavy), on, "left")
+    spread = left.withColumn("__part", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(HEAVY_PARTS)).cast("int")).join(F.broadcast(heavy), on, "left")
     spread = spread.withColumn("__part", F.when(F.col("__heavy"), F.col("__part")).otherwise(F.lit(0))).drop("__heavy")
     parts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(HEAVY_PARTS - 1))).otherwise(F.array(F.lit(0)))
     return spread.join(right.withColumn("__part", F.explode(parts)), [*on, "__part"], how).drop("__part")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, decided, filed, located, per_text, prepare, slices, trim
+from .common import cut, decided, filed, heavy_join, located, per_text, prepare, slices, trim
 from .components import components
 
 WORDS = 5
@@ -437,27 +437,33 @@ def similar_sets(docs: DataFrame, total: int, percent: int = PERCENT, size: int
     release(spark)
 
     prefix = cut(sets.select("node", F.explode("prefix").alias("h")))
+    # Keys that many sets share (shingles, leaders, bands of tiles) are joined by their small rows, heavy ones dealt out.
     heads = prefix.groupBy("h").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = prefix.join(heads, "h").where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
+    met = heavy_join(prefix, heads, ["h"], "n", total=prefix.count()).where(F.col("node") != F.col("leader")).groupBy("node", "leader").agg(F.count(F.lit(1)).alias("c"))
     chosen = cut(met.groupBy("node").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")))
-    stars = cut(chosen.groupBy(F.col("leader").alias("node")).agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts")))
-    # A leader goes to all parts of its star, a member to one.
-    member = sets.drop("prefix").join(chosen, "node").join(stars.select(F.col("node").alias("leader"), "parts"), "leader")
-    member = member.select(F.col("leader").alias("tile"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("leads"), "node", "size", "shared", "bits")
+    stars = cut(chosen.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK_SETS).cast("int")))
+    # A leader goes to all parts of its star, a member to one, from its own place and not by way of the leader's.
+    seats = heavy_join(chosen, stars, ["leader"], "n").select("node", F.col("leader").alias("tile"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    member = sets.drop("prefix").join(seats, "node").select("tile", "part", F.lit(False).alias("leads"), "node", "size", "shared", "bits")
+    stars = stars.withColumnRenamed("leader", "node")
     leader = sets.drop("prefix").join(stars, "node").select(F.col("node").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"), "node", "size", "shared", "bits")
     first = cut(member.unionByName(leader).groupBy("tile", "part").applyInArrow(_star(percent), "a binary, b binary"))
     roots = components(first)
 
     placed = prefix.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    open_lists = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("tile")).where(F.col("low") != F.col("high")).select("h", "tile")
+    open_lists = placed.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("tile"), F.count(F.lit(1)).alias("n"))
+    open_lists = cut(open_lists.where(F.col("low") != F.col("high")).select("h", "tile", "n"))
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
-    inside = cut(placed.join(open_lists, "h").select("tile", "node", "root").distinct())
+    inside = cut(heavy_join(placed, open_lists, ["h"], "n").select("tile", "node", "root").distinct())
     banded = inside.join(sets.select("node", "size"), "node").withColumn("band", band)
-    blocks = banded.groupBy("tile", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("blocks"))
-    own = banded.join(blocks, ["tile", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks")
-    wide = own.withColumn("other", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    wide = wide.join(blocks.select("tile", F.col("band").alias("other"), "blocks"), ["tile", "other"])
-    wide = wide.withColumn("against", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # One row for each band of a tile: its blocks, and those of the bands next to it.
+    held = banded.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int"))
+    near = held.withColumn("at", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).groupBy("tile", F.col("at").alias("band"))
+    mine = F.col("at") == F.col("band")
+    near = near.agg(F.max(F.when(mine, F.col("n"))).alias("n"), F.max(F.when(mine, F.col("blocks"))).alias("blocks"), F.collect_list(F.struct("band", "blocks")).alias("others"))
+    own = heavy_join(banded, cut(near.where("n is not null")), ["tile", "band"], "n")
+    own = own.select("tile", "band", "node", "root", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.explode("others").alias("next"))
+    wide = own.withColumn("other", F.col("next.band")).withColumn("against", F.explode(F.sequence(F.lit(0), F.col("next.blocks") - 1)))
     me, it = F.struct(F.col("band").alias("band"), F.col("block").alias("block")), F.struct(F.col("other").alias("band"), F.col("against").alias("block"))
     pairs = wide.select("tile", F.least(me, it).alias("p"), F.greatest(me, it).alias("q"), F.when(me == it, 1).when(me < it, 0).otherwise(2).alias("side"), "node", "root")
     tiles = pairs.join(sets.drop("prefix"), "node")
@@ -478,16 +484,19 @@ def jaccard_groups(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), percent
     spark = docs.sparkSession
     rows = cut(set_table(docs, list(keep), size))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    firsts = rows.where(F.col("__set").isNotNull()).groupBy("__set").agg(F.min("doc_id").alias("least"))
     if not total:
         return rows.select(*keep, "n_shingles", F.col("doc_id").alias("component_id"), "__set")
+    firsts = rows.where(F.col("__set").isNotNull()).groupBy("__set").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("__copies"))
     roots = similar_sets(docs, total, percent, size)
     release(spark)
-    joined = firsts.join(roots.select(F.col("node").alias("__set"), "root"), "__set", "left").withColumn("root", F.coalesce("root", "__set"))
-    groups = joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(joined.join(groups, "root").select("__set", "component_id"))
-    out = rows.join(named, "__set", "left")
-    return out.select(*keep, "n_shingles", F.when(F.col("__set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "__set")
+    joined = cut(firsts.join(roots.select(F.col("node").alias("__set"), "root"), "__set", "left"))
+    groups = joined.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("sets"))
+    # Few groups may hold most sets, and few sets most rows.
+    grouped = heavy_join(joined.where(F.col("root").isNotNull()), groups, ["root"], "sets").select("__set", "component_id", "__copies")
+    named = cut(grouped.unionByName(joined.where(F.col("root").isNull()).select("__set", F.col("least").alias("component_id"), "__copies")))
+    having = heavy_join(rows.where(F.col("__set").isNotNull()), named, ["__set"], "__copies")
+    lacking = rows.where(F.col("__set").isNull()).withColumn("component_id", F.col("doc_id"))
+    return having.select(*keep, "n_shingles", "component_id", "__set").unionByName(lacking.select(*keep, "n_shingles", "component_id", "__set"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, size: int = WORDS) -> DataFrame:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.llm import common
 from corvane.llm import jaccard as J
 from corvane.llm.components import components
 
@@ -60,8 +61,11 @@ def corpus(seed, groups=40):
 EDGES = [(9001, None), (9002, ""), (9003, " \n"), (9004, "a b"), (9005, "A  B"), (9004, "a b"), (9006, "a b c"), (None, "a b"), (9007, "x " * 40_000), (9008, None), (9008, None)]
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_groups(spark, seed):
+@pytest.mark.parametrize(("seed", "share", "block"), [(3, 0.001, 512), (4, 10.0, 8)])
+def test_groups(spark, monkeypatch, seed, share, block):
+    """With heavy keys dealt out and one block a band, and with none and many small blocks."""
+    monkeypatch.setattr(common, "HEAVY_SHARE", share)
+    monkeypatch.setattr(J, "BLOCK_SETS", block)
     docs = corpus(seed) + EDGES
     frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component_id", F.lit("clash")).repartition(5)
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_groups(frame).collect())
@@ -134,7 +138,39 @@ def test_bitmap_bound():
         assert len(np.intersect1d(a, b)) <= bound <= min(len(a), len(b))
 
 
-def test_components(spark):
+def test_frequency_codes():
+    """Exact below 64, in order above: a shingle of ten million sets comes after one of 64."""
+    counts = np.unique(np.concatenate([np.arange(3000), 2 ** np.arange(46), 3 * 2 ** np.arange(45)])).astype(np.int64)
+    codes = J.frequency_codes(counts).astype(int)
+    assert (codes[:64] == np.arange(64)).all() and (np.diff(codes) >= 0).all()
+    assert list(J.frequency_codes(np.array([64, 80, 127, 128, 10**7]))) == [64, 65, 67, 68, 64 + 4 * 17]
+
+
+def test_frequent_shingles_come_last(monkeypatch):
+    """A shingle of 120 sets of three packs, sent once by each, ranks behind one of 20; sets agree on every place."""
+    monkeypatch.setattr(J, "HOT", 10)
+    draw = np.random.default_rng(2)
+    everywhere, often = np.uint64(1 << 24 | 5), np.uint64(1 << 25 | 3)
+    rows = []
+    for pack in range(3):
+        own = draw.integers(1 << 40, 1 << 63, (40, 3)).astype(np.uint64)
+        sets = [np.unique(np.append(x, [everywhere, often] if i < (18, 1, 1)[pack] else [everywhere])) for i, x in enumerate(own)]
+        rows += list(J._pack(pack + 1, sets, [J.set_key(x) for x in sets], 3))
+    buckets, packs = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        buckets[r[0]].append(r)
+    for group in buckets.values():
+        for r in J._count(pa.Table.from_batches([J._rows(group)])).to_pylist():
+            packs[r["key"]].append((r["key"], r["kind"], r["blob"]))
+    found = [r for group in packs.values() for r in J._survivors(30)(pa.Table.from_batches([J._rows(group)])).to_pylist()]
+    ids = [int(x & np.uint64(7)) << 40 | int(x) >> 24 for x in (often, everywhere)]
+    assert len(found) == 20 and all([i for i in r["prefix"] if i in ids] == ids[: len(r["prefix"])] for r in found)
+
+
+@pytest.mark.parametrize("share", [0.001, 10.0])
+def test_components(spark, monkeypatch, share):
+    """With all nodes dealt out as heavy ones, and with none."""
+    monkeypatch.setattr(common, "HEAVY_SHARE", share)
     edges = [(f"c{i}", f"c{i + 1}") for i in range(37)] + [("x", "y"), ("y", "x"), ("z", "x")] + [("hub", f"s{i}") for i in range(50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
     assert len({got[f"c{i}"] for i in range(38)}) == 1 and got["x"] == got["y"] == got["z"] == "x" and {got[f"s{i}"] for i in range(50)} == {"hub"}
