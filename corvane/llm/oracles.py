@@ -89,6 +89,36 @@ SELECT d.doc_id, {', '.join(f'coalesce(n{i}, 0) AS n_{k}' for i, k in enumerate(
 FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN us USING (doc_id) LEFT JOIN ys USING (doc_id)"""
 
 
+def negatives_sql() -> str:
+    """All products of anchors and rows; positives, then the window of each."""
+    fine = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE)))"
+    return f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND {fine}),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+g AS (SELECT * FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT g.anchor_id, g.id AS positive_id, (row_number() OVER w)::INT AS rank, n.id AS negative_id, g.score AS positive_score, n.score AS negative_score
+FROM g JOIN p n ON n.anchor_id = g.anchor_id AND NOT n.same AND 80 * g.score <= 100 * n.score AND 100 * n.score <= 100 * g.score
+WINDOW w AS (PARTITION BY g.anchor_id, g.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 5"""
+
+
+def resample_sql(buckets: int = 10_000) -> str:
+    """CRC-32 by bytes over the distinct features; totals, gains, weights and the draw."""
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    runs = "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    crc = "xor(4294967295, list_reduce(list_transform(range(octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+    head = "(('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE"
+    return f"""WITH k AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, i::BIGINT) AS v FROM range(256) r(i))),
+d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents), x AS MATERIALIZED (SELECT doc_id, unnest({runs}) AS f FROM d),
+y AS (SELECT unnest({runs}) AS f FROM (SELECT {words} AS w FROM benchmark)),
+c AS MATERIALIZED (SELECT f, {crc} % {buckets} AS b FROM (SELECT DISTINCT f FROM (SELECT f FROM x UNION ALL SELECT f FROM y)), k),
+s AS (SELECT b, count(*) AS n FROM x JOIN c USING (f) GROUP BY b), t AS (SELECT b, count(*) AS n FROM y JOIN c USING (f) GROUP BY b),
+g AS MATERIALIZED (SELECT z.b, floor(1000::DOUBLE * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM s) + {buckets})::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM t) + {buckets})::DOUBLE)))::BIGINT AS gain
+  FROM range({buckets}) z(b) LEFT JOIN s ON s.b = z.b LEFT JOIN t ON t.b = z.b),
+u AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM x JOIN c USING (f) JOIN g USING (b) GROUP BY doc_id),
+v AS (SELECT d.doc_id, len(w) AS words, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000::DOUBLE * ln(-ln({head})))::BIGINT AS score FROM d LEFT JOIN u USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM v WHERE words >= 20)
+SELECT v.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 25 * count(*) // 100 FROM r) THEN rank END AS rank FROM v LEFT JOIN r USING (doc_id)"""
+
+
 def statements() -> dict[str, str]:
     """SQL by name of query."""
-    return {"op2_pii": pii_sql(), "op3_ngram_jaccard": jaccard_sql(), "op9_quality_rules": quality_sql()}
+    return {"op2_pii": pii_sql(), "op3_ngram_jaccard": jaccard_sql(), "op9_quality_rules": quality_sql(), "op12_hard_negatives": negatives_sql(), "op13_importance_resampling": resample_sql()}
