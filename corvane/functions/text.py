@@ -104,9 +104,9 @@ def clean_name(name: Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9]", "")
 
 
-def hash_prefix(digest: Column, digits: int = 12) -> Column:
-    """The first digits of a digest, as they are shown; '?' where there is none."""
-    return F.when(F.coalesce(digest, F.lit("")) != "", F.substring(digest, 1, digits)).otherwise(F.lit("?"))
+def hash_prefix(digest: Column, digits: int = 16) -> Column:
+    """The first digits of a digest and dots, as they are shown; nothing where there is none."""
+    return F.when(F.coalesce(digest, F.lit("")) != "", F.concat(F.substring(digest, 1, digits), F.lit("..."))).otherwise(F.lit(""))
 
 
 def grouped(number: Column) -> Column:

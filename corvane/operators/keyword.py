@@ -17,6 +17,8 @@ from ..session import ship
 
 #: Up to so many query terms (counted first) are broadcast to the postings; beyond, both sides are dealt out by term.
 BROADCAST_TERMS = 200_000
+#: Up to so many phrases of all queries are held by the driver, as a table of its own.
+FEW_PHRASES = 10_000
 #: Up to so many distinct terms are a condition on the stored postings; parts that a common term is dealt out over.
 FEW_TERMS, TERM_PARTS = 1_000, 64
 
@@ -146,8 +148,11 @@ def top(scored: DataFrame, n: int | Column, *order: Column, by: tuple[str, ...]
 def keyword_search(index: Index, queries: DataFrame, n: int = 30, parser=parse, known: DataFrame | None = None) -> DataFrame:
     """(query_id, source, chunk_id, score, pos): the n best chunks of each query and source; ties by chunk_id.
 
-    With ``known`` ids only those are ranked; statistics stay those of the whole source.
+    With ``known`` ids only those are ranked; statistics stay those of the whole source. A stored index of blocks skips what
+    cannot be among the best.
     """
+    if hasattr(index, "ranked"):
+        return index.ranked(parser(queries), n, known)
     scored = bm25(index, parser(queries)).withColumn("score", F.round("score", 9))
     scored = scored if known is None else scored.join(known.select("chunk_id"), "chunk_id", "left_semi")
     return top(scored, n, F.desc("score"), F.asc("chunk_id"), by=("query_id", "source"))

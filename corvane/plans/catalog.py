@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import boosts, code, dense, diff, fusion, graph, keyword, shaping
+from ..operators import blocks, boosts, code, dense, diff, fusion, graph, keyword, shaping, vector_index
 from ..operators.dense import vector_search as dense_search
 from ..session import shared, spread
 from ..sources import store
@@ -68,15 +69,15 @@ def _ranked(hits: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
-def stored_index(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("body",)) -> keyword.Index:
+def stored_index(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("body",)) -> blocks.BlockIndex:
     """The index of all chunks of a folder, written to the shared folder once a session and read by every query after."""
     name = hashlib.md5(repr((folder, fields)).encode()).hexdigest()
     key = (spark.sparkContext.applicationId, name)
     if key not in _WRITTEN:
         path = f"{shared(spark).rstrip('/')}/index-{'-'.join(key)}"
-        keyword.Index.of(all_chunks(spark, folder), fields).write(path)
+        blocks.BlockIndex.write(all_chunks(spark, folder), path, fields)
         _WRITTEN[key] = path
-    return keyword.Index.read(spark, _WRITTEN[key])
+    return blocks.BlockIndex.read(spark, _WRITTEN[key])
 
 
 def _keyword(spark, folder, queries, n, fields=("body",), **options):
@@ -108,21 +109,23 @@ def phrase_topk(spark, folder):
 def index_build(spark, folder):
     """Tokens, distinct terms and statistics of the stored index, by source."""
     index = stored_index(spark, folder)
-    terms = index.postings.groupBy("source").agg(F.count(F.lit(1)).alias("tokens"), F.countDistinct("term").alias("terms"))
-    return terms.join(F.broadcast(index.stats), "source").select("source", "tokens", "terms", F.col("n").cast("long").alias("chunks"), F.round("average", 6).alias("average"))
+    terms = index.blocks.groupBy("source").agg(F.sum("total").alias("tokens"), F.countDistinct("term").alias("terms"))
+    return terms.join(F.broadcast(index.stats), "source").select("source", "tokens", "terms", F.col("chunks").cast("long").alias("chunks"), F.round("average", 6).alias("average"))
 
 
 def porter_terms(spark, folder):
-    """Stems of published examples."""
+    """Stems of the vocabulary of all documents."""
     from ..functions.porter import analysed
     from ..session import ship
 
     ship(spark)
-    return _frame(spark, [(w,) for w, _ in literals.STEMS], "word string").select("word", analysed(F.col("word")).alias("stem"))
+    words = spread(_table(spark, folder, "documents")).select(F.explode(F.array_distinct(X.tokens(F.coalesce("text", F.lit(""))))).alias("word"))
+    return words.distinct().select("word", analysed(F.col("word")).alias("stem"))
 
 
 def query_parse_terms(spark, folder):
-    return keyword.parse(_frame(spark, literals.PARSED, "query_id int, query string"))
+    """Phrases of all benchmark texts, taken as queries."""
+    return keyword.parse(_table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
 
 
 def mini_stem_df(spark, folder):
@@ -141,6 +144,30 @@ def vector_topk(spark, folder):
     return hits.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("pos").cast("int").alias("pos"))
 
 
+def stored_vectors(spark: SparkSession, folder: str) -> vector_index.VectorIndex:
+    """The inverted lists of a folder's embeddings, written to the shared folder once a session."""
+    key = (spark.sparkContext.applicationId, hashlib.md5(repr((folder, "vectors")).encode()).hexdigest())
+    if key not in _WRITTEN:
+        path = f"{shared(spark).rstrip('/')}/vectors-{'-'.join(key)}"
+        vector_index.VectorIndex.write(_vectors(spark, folder)[0], path)
+        _WRITTEN[key] = path
+    return vector_index.VectorIndex.read(spark, _WRITTEN[key])
+
+
+def vector_index_topk(spark, folder):
+    """The exact nearest rows by the stored lists, without the lists that their bounds rule out."""
+    hits = stored_vectors(spark, folder).search(_vectors(spark, folder)[1], 10, exact=True)
+    return hits.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("pos").cast("int").alias("pos"))
+
+
+def vector_index_recall(spark, folder):
+    """The share of each query's exact neighbours that the probed lists give."""
+    rows, asked = _vectors(spark, folder)
+    exact = dense.vector_search(rows, asked, 10).select("query_id", "chunk_id")
+    found = dense.recall_at(stored_vectors(spark, folder).search(asked, 10), exact, 10)
+    return found.select("query_id", F.round("recall", 6).alias("recall"))
+
+
 def vector_topk_filtered(spark, folder):
     rows, asked = _vectors(spark, folder)
     hits = dense.vector_search(rows, asked, 5, F.col("label") == 3)
@@ -324,7 +351,7 @@ def package_rollup(spark, folder):
 def _nations(spark, folder) -> DataFrame:
     regions = _table(spark, folder, "region")
     rows = _table(spark, folder, "nation").join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.select(F.lit("api").alias("source"), F.lit("class_overview").alias("type"), F.col("n_name").alias("class_name"), F.col("r_name").alias("extends"), F.concat(F.col("r_name"), F.lit(" , I"), (F.col("n_nationkey") % 3).cast("string")).alias("implements"))
+    return rows.select(F.lit("api").alias("source"), F.lit("class_overview").alias("type"), F.col("n_name").alias("class_name"), F.concat_ws(".", "r_name", "n_name").alias("fqn"), F.col("r_name").alias("extends"), F.concat(F.col("r_name"), F.lit(" , I"), (F.col("n_nationkey") % 3).cast("string")).alias("implements"))
 
 
 def subclass_lookup(spark, folder):
@@ -453,14 +480,56 @@ def find_usages_topk(spark, folder):
     return code.first_usages(_table(spark, folder, "documents").select(F.col("doc_id").alias("file"), "text"), "stupid", 10, code.usages(pages, "stupid"))
 
 
+def example_usages(spark, folder):
+    """Usages of a name in documents, then in the best conversations for it, labelled by where they are."""
+    files = _table(spark, folder, "documents").select(F.format_string("%012d", "doc_id").alias("file"), "text")
+    asked = _frame(spark, [(1, literals.USED)], "query_id int, query string")
+    hits = keyword.keyword_search(stored_index(spark, folder).only("mod"), asked, 10)
+    repo = F.when(F.col("chunk_id").endswith("_0"), F.lit(None)).otherwise(F.regexp_extract("chunk_id", "^c([0-9]+)_", 1))
+    chunks = all_chunks(spark, folder).where(F.col("source") == "mod").select("chunk_id", F.col("chunk_id").alias("file"), repo.alias("repo"), "body")
+    return code.labelled_usages(files, literals.USED, code.example_usages(hits, chunks), 40)
+
+
+def _filled(template: str, **columns) -> Column:
+    """A text whose names between < and > are columns."""
+    return F.concat(*[columns[part] if i % 2 else F.lit(part) for i, part in enumerate(re.split("<([a-z]+)>", template)) if part])
+
+
+def class_files(spark, folder) -> DataFrame:
+    """A source file for each customer, a class whose methods are the orders, named by their priorities: (file, text)."""
+    word = F.lower(F.regexp_extract("o_orderpriority", "-([A-Z]+)", 1))
+    body = _filled(literals.METHOD_TEXT, key=F.col("o_orderkey").cast("string"), word=word, priority=F.col("o_orderpriority"))
+    orders = _table(spark, folder, "orders").select("o_custkey", F.struct("o_orderkey", body.alias("body")).alias("m"))
+    methods = orders.groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["body"]), "").alias("methods"))
+    name = F.translate("c_name", "#", "_")
+    rows = _table(spark, folder, "customer").join(methods, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(F.concat(F.lit("shop/"), name, F.lit(".java")).alias("file"), _filled(literals.CLASS_TEXT, name=name, methods=F.coalesce("methods", F.lit(""))).alias("text"))
+
+
+def class_members(spark, folder):
+    """Methods and constructors of all customers' files, with their places."""
+    return code.members(class_files(spark, folder)).select("file", "name", "constructor", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
 def method_span(spark, folder):
-    files = _frame(spark, [("Door.java", literals.SOURCE)], "file string, text string")
-    wanted = _frame(spark, [(i, "Door.java", "Door", m) for i, m in enumerate(("open", "close", "<init>", "absent"))], "query_id int, file string, class_name string, method_name string")
-    return code.method_sources(files, wanted)
+    """Whole sources of a method, of constructors and of what is missing, looked up by class, for every tenth customer."""
+    none, name = F.lit(None).cast("string"), F.translate("c_name", "#", "_")
+    rows, place = _table(spark, folder, "customer"), F.col("c_custkey") % 7
+    file = F.when(place == 1, F.lit("")).when(place == 2, F.concat(F.lit("gone/"), name)).otherwise(F.concat(F.lit("shop/"), name, F.lit(".java")))
+    chunks = rows.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("chunk_id"), F.lit("api").alias("source"), F.lit("class_overview").alias("type"), F.concat(F.lit("shop."), name).alias("fqn"), name.alias("class_name"), none.alias("method_name"), file.alias("file"))
+    asked = rows.where(F.col("c_custkey") % 10 == 0)
+    fqn = F.when(F.col("c_custkey") % 20 == 0, F.concat(F.lit("shop."), name)).when(F.col("c_custkey") % 50 == 0, F.lit("Nobody")).otherwise(name)
+    methods = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(m).alias("m")) for i, m in enumerate(("urgent", "<init>", "low", "absent"))]))
+    wanted = asked.select(F.col("c_custkey"), fqn.alias("class_name"), methods.alias("w")).select((F.col("c_custkey") * 10 + F.col("w.no")).alias("query_id"), "class_name", F.col("w.m").alias("method_name"))
+    return code.method_report(chunks, class_files(spark, folder), wanted)
 
 
 def field_section(spark, folder):
-    rows = _frame(spark, literals.OVERVIEWS, "id int, body string")
+    """Fields of overviews that are made of all parts."""
+    head = F.concat(F.lit("class P"), F.col("p_partkey"), F.when(F.col("p_size") % 5 == 0, F.lit("\n// Extends: Q")).otherwise(F.lit("")))
+    fields = F.concat(F.lit("\n// Fields:\n  int size"), F.col("p_size"), F.lit(";\n\n "), F.translate("p_type", " ", "_"), F.lit(" kind ;;\n"), F.translate("p_name", " ", ";"), F.lit("\n"))
+    end = F.when(F.col("p_size") % 3 == 0, F.lit("// Methods:\nrun();")).when(F.col("p_size") % 3 == 1, F.lit("// Implements: A, B\n// Inherited methods:\nint y;")).otherwise(F.lit(""))
+    rows = _table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.concat(head, F.when(F.col("p_size") % 7 == 0, F.lit("\n")).otherwise(fields), end).alias("body"))
     return rows.select("id", F.concat_ws("|", X.fields_of(F.col("body"))).alias("fields"))
 
 
@@ -487,7 +556,9 @@ def index_status(spark, folder):
 
 
 def tier_asset_sizes(spark, folder):
-    assets = _frame(spark, literals.ASSETS, "name string, size long")
+    """Files and sizes of each tier, of assets named after all parts."""
+    name = F.concat(F.when(F.col("p_size") % 4 == 0, F.lit("notes-")).otherwise(F.lit("data-")), F.col("p_brand"), F.when(F.col("p_size") % 3 == 0, F.lit("-vectors-")).otherwise(F.lit("-")), F.col("p_partkey"), F.lit(".zip"))
+    assets = _table(spark, folder, "part").select(name.alias("name"), (F.col("p_partkey") * 1000 + F.col("p_size")).cast("long").alias("size"))
     parts = [store.tier_assets(assets, "data-", t).agg(F.lit(t).alias("tier"), F.count(F.lit(1)).alias("files"), F.sum("size").alias("size")) for t in ("lite", "full")]
     return parts[0].unionByName(parts[1])
 
@@ -523,9 +594,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         index_build, bm25_fields, porter_terms, search_mods_pipeline, search_api_by_type, dashboard_guides, dashboard_package, hybrid_all_pipeline, hybrid_api_pipeline, hybrid_guides_pipeline, rendered_results,
         json_results, index_fallback, package_totals, inherited_methods, class_info, class_report, class_hierarchy, method_boost, api_snapshot, diff_summary, metadata_scan, files_by_folder, text_functions,
-        bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, postings_stats, vector_topk, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
+        bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, postings_stats, vector_topk, vector_index_topk, vector_index_recall, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
         exact_boost, token_overlap_boost, bridge_boost, search_all_pipeline, search_single_pipeline, search_guides_pipeline, dashboard_search, package_rollup, subclass_lookup, implementors, recursive_ancestors,
-        find_usages, find_usages_topk, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,
+        find_usages, find_usages_topk, example_usages, class_members, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,
     )
 }
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from ..config import STOPWORDS
+from ..operators.code import ANNOTATION, CONSTRUCTOR, METHOD, PIECES
 from . import literals
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}]+')"
@@ -132,6 +135,36 @@ deduped AS ({_per_class("ranked")})
 SELECT query_id, chunk_id, round(rrf_score, 9) AS score, pos::INT AS pos FROM ({_slots("deduped", 8)})"""
 
 
+def _filled(template: str, **columns: str) -> str:
+    """A text whose names between < and > are expressions."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return " || ".join(columns[part] if i % 2 else quoted(part) for i, part in enumerate(re.split("<([a-z]+)>", template)) if part)
+
+
+def _members() -> str:
+    """CTEs files(file, text) and members(file, name, constructor, start, stop): declarations by the depth of braces."""
+    name = "replace(c_name, '#', '_')"
+    method = _filled(literals.METHOD_TEXT, key="o_orderkey", word="lower(regexp_extract(o_orderpriority, '-([A-Z]+)', 1))", priority="o_orderpriority")
+    text = _filled(literals.CLASS_TEXT, name=name, methods="coalesce(methods, '')")
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    flat = "translate(code, chr(10) || chr(13) || chr(9), '   ')"
+    return f"""m0 AS (SELECT o_custkey, string_agg({method}, '' ORDER BY o_orderkey) AS methods FROM orders GROUP BY o_custkey),
+files AS MATERIALIZED (SELECT 'shop/' || {name} || '.java' AS file, {text} AS text FROM customer LEFT JOIN m0 ON c_custkey = o_custkey),
+m1 AS (SELECT file, unnest(range(len(p))) AS no, unnest(p) AS piece FROM (SELECT file, regexp_extract_all(text, {quoted(PIECES)}) AS p FROM files)),
+m2 AS (SELECT *, CASE WHEN left(piece, 2) IN ('//', '/*') THEN ' ' WHEN length(piece) > 1 AND left(piece, 1) IN ('"', chr(39)) THEN '""' ELSE piece END AS code, sum(length(piece)) OVER w AS stop,
+  sum(CASE piece WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS after FROM m1 WINDOW w AS (PARTITION BY file ORDER BY no)),
+m3 AS (SELECT *, stop - length(piece) AS start, CASE WHEN piece = '}}' THEN after + 1 ELSE after END AS level,
+  piece = '{{' AND coalesce(last_value(CASE WHEN trim({flat}) <> '' THEN right(rtrim({flat}), 1) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IN ('(', ',', '='), FALSE) AS is_list FROM m2),
+m4 AS (SELECT *, lag(is_list) OVER w AS was, lead(stop) OVER w AS closes FROM m3 WINDOW w AS (PARTITION BY file, level, piece IN ('{{', '}}') ORDER BY no)),
+m5 AS (SELECT *, piece = ';' OR piece = '{{' AND NOT is_list OR piece = '}}' AND NOT coalesce(was, FALSE) AS shapes FROM m4),
+m6 AS (SELECT *, coalesce(sum(shapes::INT) OVER (PARTITION BY file ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part, NOT shapes AND trim({flat}) <> '' AS solid FROM m5),
+m7 AS (SELECT file, part, string_agg(code, '' ORDER BY no) FILTER (NOT shapes) AS code, arg_min(start, no) FILTER (solid) AS first, min(no) FILTER (solid) AS first_no, list({{'no': no, 'start': start}}) FILTER (starts_with(piece, '/**')) AS docs,
+  any_value(piece) FILTER (shapes) AS piece, any_value(start) FILTER (shapes) AS close, any_value(closes) FILTER (shapes) AS closes FROM m6 GROUP BY file, part),
+m8 AS (SELECT file, trim(regexp_replace(regexp_replace(code, {quoted(ANNOTATION)}, ' ', 'g'), '\\s+', ' ', 'g')) AS code, coalesce(list_max(list_filter(docs, lambda d: d.no < first_no)).start, first) AS start, CASE WHEN piece = '{{' THEN coalesce(closes, close) ELSE close END AS stop FROM m7 WHERE piece IN ('{{', ';') AND contains(code, '(')),
+m9 AS (SELECT *, CASE WHEN regexp_matches(code, '\\brecord\\s+\\w+\\s*\\(') THEN '' ELSE regexp_extract(code, {quoted(METHOD)}, 1) END AS method, regexp_extract(code, {quoted(CONSTRUCTOR)}, 1) AS made FROM m8),
+members AS (SELECT file, CASE WHEN method <> '' THEN method ELSE made END AS name, method = '' AND made <> '' AS constructor, start, stop FROM m9 WHERE method <> '' OR made <> '')"""
+
+
 def statements() -> dict[str, str]:
     """SQL by name of query."""
     out: dict[str, str] = {}
@@ -146,7 +179,7 @@ k_l AS (SELECT chunk_id, len({words}) AS length FROM k_c), k_n AS (SELECT count(
 k_f AS (SELECT a.chunk_id, p.phrase AS term, count(*)::DOUBLE AS f FROM (SELECT DISTINCT phrase FROM k_p) p JOIN k_t a ON a.term = split_part(p.phrase, '.', 1) JOIN k_t b ON b.chunk_id = a.chunk_id AND b.at = a.at + 1 AND b.term = split_part(p.phrase, '.', 2) GROUP BY ALL),
 {_weighted('k')} SELECT query_id, chunk_id, round(score, 6) AS score, pos::INT AS pos FROM ({_best('k', 10)})"""
     humps = "regexp_extract_all(regexp_replace(regexp_replace(w, '([A-Z][a-z]+)', ' \\1 ', 'g'), '[A-Z]([^A-Za-z ])', ' \\1', 'g'), '[A-Z][a-z]+|[A-Z]+|[a-z]+')"
-    out["query_parse_terms"] = f"""WITH w AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(trim(query), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}._]', '', 'g')), lambda w: length(w) >= 2 AND lower(w) NOT IN ({_STOP})) AS ws FROM {_values(literals.PARSED, 'query_id, query')}),
+    out["query_parse_terms"] = f"""WITH w AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(trim(query), '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}._]', '', 'g')), lambda w: length(w) >= 2 AND lower(w) NOT IN ({_STOP})) AS ws FROM (SELECT item_id AS query_id, text AS query FROM benchmark)),
 p AS (SELECT query_id, flatten(list_transform(ws, lambda w: list_concat([w], CASE WHEN len({humps}) > 1 THEN list_filter({humps}, lambda h: length(h) >= 2 AND lower(h) NOT IN ({_STOP})) ELSE [] END))) AS ps FROM w)
 SELECT query_id, unnest(range(len(ps)))::INT AS phrase_no, unnest(ps) AS phrase FROM p"""
 
@@ -157,6 +190,7 @@ WHEN {w} LIKE '%ly' AND length({w}) > 4 THEN left({w}, length({w}) - 2) WHEN {w}
     out["mini_stem_df"] = f"SELECT stem, count(DISTINCT id) AS df FROM (SELECT row_number() OVER () AS id, {TOKENS.format('text')} AS ws FROM documents), LATERAL (SELECT {stem('w')} AS stem FROM (SELECT unnest(ws) AS w)) GROUP BY stem"
     out["postings_stats"] = f"SELECT term, count(DISTINCT id) AS df, count(*) AS cf FROM (SELECT row_number() OVER () AS id, unnest({TOKENS.format('text')}) AS term FROM documents) GROUP BY term"
     out["vector_topk"] = f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, pos::INT AS pos FROM ({_near(10)})"
+    out["vector_index_topk"] = out["vector_topk"]
     out["vector_topk_filtered"] = f"SELECT query_id, chunk_id, round(similarity, 6) AS similarity, pos::INT AS pos FROM ({_near(5, 'a.label = 3')})"
     out["recall_at_k"] = f"""WITH n AS ({_near(10)}), r AS (SELECT q.vec_id AS query_id, a.vec_id AS chunk_id FROM embeddings a JOIN embeddings q ON a.label = q.label WHERE q.vec_id % 50 = 0)
 SELECT query_id, round(count(n.chunk_id) / count(*)::DOUBLE, 6) AS recall FROM r LEFT JOIN n USING (query_id, chunk_id) GROUP BY query_id"""
@@ -224,8 +258,7 @@ FROM ({_best('k', 10)}) JOIN {_DOCS} x USING (chunk_id)"""
     out["bm25_fields"] = f"WITH {_scores('k', fields, asked)} SELECT query_id, chunk_id, round(score, 6) AS score, pos::INT AS pos FROM ({_best('k', 10)})"
     out["index_build"] = f"""WITH l AS (SELECT source, {words} AS ws FROM {_ALL}), t AS (SELECT source, unnest(ws) AS term FROM l)
 SELECT source, tokens, terms, chunks, average FROM (SELECT source, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY source) JOIN (SELECT source, count(*) AS chunks, round(avg(len(ws)), 6) AS average FROM l GROUP BY source) USING (source)"""
-    out["porter_terms"] = f"SELECT word, stem FROM {_values(literals.STEMS, 'word, stem')}"
-    out["package_totals"] = "SELECT count(*) AS packages, sum(n)::BIGINT AS classes FROM (SELECT p_brand, count(DISTINCT p_name) AS n FROM part GROUP BY p_brand)"
+    out["package_totals"] = "SELECT count(*) AS packages, sum(n)::BIGINT AS classes FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand)"
     out["inherited_methods"] = f"""WITH k AS {_CLASSES}, s AS (SELECT s_suppkey AS query_id, n_name, r_name FROM supplier JOIN {_PLACED} ON s_nationkey = n_nationkey WHERE s_suppkey % 50 = 0),
 up AS (SELECT query_id, 0 AS depth, r_name || '.' || n_name AS fqn FROM s UNION ALL SELECT query_id, 1, 'world.' || r_name FROM s)
 SELECT query_id, depth, class_name, fqn, method_name, {_SIGNATURE} AS signature FROM up JOIN k USING (fqn) WHERE type = 'method' AND visibility IN ('public', 'protected')"""
@@ -238,7 +271,7 @@ f AS (SELECT * FROM e UNION ALL SELECT * FROM m)"""
   string_agg('  - ' || fqn, chr(10) ORDER BY distance, fqn) AS near, min(extends) FILTER (type = 'class_overview' AND tier = 0) AS up FROM f GROUP BY query_id),
 i AS (SELECT query_id, string_agg('  ' || {_SIGNATURE} || ';  // inherited from ' || fqn, chr(10) ORDER BY method_name) AS lines FROM o JOIN k ON class_name = up WHERE type = 'method' AND visibility IN ('public', 'protected') GROUP BY query_id)
 SELECT query_id, CASE WHEN tier = 0 THEN parts || CASE WHEN lines IS NULL THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### Inherited Methods' || chr(10) || lines END ELSE 'Class ' || chr(39) || name || chr(39) || ' not found exactly. Did you mean:' || chr(10) || near END AS text FROM o LEFT JOIN i USING (query_id)"""
-    out["class_hierarchy"] = f"""WITH k AS (SELECT * FROM {_CLASSES} WHERE type = 'class_overview'), c AS (SELECT extends AS name, count(DISTINCT class_name)::INT AS n, array_to_string(list_sort(list(DISTINCT class_name))[1:30], ',') AS shown FROM k GROUP BY extends)
+    out["class_hierarchy"] = f"""WITH k AS (SELECT * FROM {_CLASSES} WHERE type = 'class_overview'), c AS (SELECT extends AS name, count(DISTINCT fqn)::INT AS n, array_to_string(list_sort(list(DISTINCT fqn))[1:30], ',') AS shown FROM k GROUP BY extends)
 SELECT query_id, fqn, extends, implements, CASE WHEN extends <> '' THEN '' END AS parent_extends, n AS n_subclasses, coalesce(shown, '') AS subclasses FROM (SELECT r_regionkey AS query_id, r_name AS name FROM region UNION ALL SELECT n_nationkey + 100, n_name FROM nation) q JOIN k ON class_name = q.name LEFT JOIN c ON c.name = q.name"""
     out["method_boost"] = f"""SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY no, chunk_id)::INT AS ord FROM (SELECT query_id, no, chunk_id FROM {_CLASSES} JOIN (VALUES (1, 0, 'EUROPE'), (1, 1, 'ASIA'), (2, 0, 'NATION_7')) t(query_id, no, class_name) USING (class_name) WHERE type = 'method'
   QUALIFY row_number() OVER (PARTITION BY query_id, no ORDER BY chunk_id) <= 3)"""
@@ -249,11 +282,11 @@ SELECT query_id, fqn, extends, implements, CASE WHEN extends <> '' THEN '' END A
     out["files_by_folder"] = "SELECT folder, count(*) AS files FROM (SELECT regexp_extract(url, '^(?:[a-z]+://)?/*([^/]+)/', 1) AS folder FROM pages) WHERE folder <> '' GROUP BY folder"
     second = "coalesce(string_split(text, chr(10))[2], text)"
     label = "concat_ws(' ', source, lang, 'a/b ' || doc_id)"
-    out["text_functions"] = f"SELECT doc_id, CASE WHEN length({second}) > 200 THEN substr({second}, 1, 200) || '...' ELSE {second} END AS second, substr(translate({label}, ' /', '__'), 1, 30) AS label, regexp_replace({label}, '[^A-Za-z0-9]', '', 'g') AS name, coalesce(substr(md5(text), 1, 12), '?') AS digest, format('{{:,}}', n_chars) AS shown FROM documents"
-    out["package_rollup"] = "SELECT p_brand AS package, len(a)::INT AS classes, array_to_string(a[1:20], ',') AS shown, greatest(len(a) - 20, 0)::INT AS more FROM (SELECT p_brand, list_sort(list(DISTINCT p_name)) AS a FROM part GROUP BY p_brand)"
-    nations = "(SELECT n_name AS class_name, r_name AS extends, r_name || ' , I' || (n_nationkey % 3) AS implements FROM nation JOIN region ON n_regionkey = r_regionkey)"
-    out["subclass_lookup"] = f"SELECT r_regionkey AS query_id, len(a)::INT AS total, array_to_string(a[1:30], ',') AS shown FROM (SELECT r_regionkey, list_sort(list(DISTINCT class_name)) AS a FROM region JOIN {nations} ON extends = r_name GROUP BY r_regionkey)"
-    out["implementors"] = f"SELECT query_id, len(a)::INT AS total, array_to_string(a[1:30], ',') AS shown FROM (SELECT query_id, list_sort(list(class_name)) AS a FROM (SELECT class_name, trim(unnest(string_split(implements, ','))) AS i FROM {nations}) JOIN (VALUES (0, 'I0'), (1, 'I1'), (2, 'I2'), (3, 'ASIA')) t(query_id, name) ON i = name GROUP BY query_id)"
+    out["text_functions"] = f"SELECT doc_id, CASE WHEN length({second}) > 200 THEN substr({second}, 1, 200) || '...' ELSE {second} END AS second, substr(translate({label}, ' /', '__'), 1, 30) AS label, regexp_replace({label}, '[^A-Za-z0-9]', '', 'g') AS name, coalesce(substr(md5(text), 1, 16) || '...', '') AS digest, format('{{:,}}', n_chars) AS shown FROM documents"
+    out["package_rollup"] = "SELECT p_brand AS package, len(a)::INT AS classes, array_to_string(a[1:20], ',') AS shown, greatest(len(a) - 20, 0)::INT AS more FROM (SELECT p_brand, list_sort(list(p_name)) AS a FROM part GROUP BY p_brand)"
+    nations = "(SELECT r_name || '.' || n_name AS fqn, r_name AS extends, r_name || ' , I' || (n_nationkey % 3) AS implements FROM nation JOIN region ON n_regionkey = r_regionkey)"
+    out["subclass_lookup"] = f"SELECT r_regionkey AS query_id, len(a)::INT AS total, array_to_string(a[1:30], ',') AS shown FROM (SELECT r_regionkey, list_sort(list(DISTINCT fqn)) AS a FROM region JOIN {nations} ON extends = r_name GROUP BY r_regionkey)"
+    out["implementors"] = f"SELECT query_id, len(a)::INT AS total, array_to_string(a[1:30], ',') AS shown FROM (SELECT query_id, list_sort(list(fqn)) AS a FROM (SELECT fqn, trim(unnest(string_split(implements, ','))) AS i FROM {nations}) JOIN (VALUES (0, 'I0'), (1, 'I1'), (2, 'I2'), (3, 'ASIA')) t(query_id, name) ON i = name GROUP BY query_id)"
     out["recursive_ancestors"] = """WITH RECURSIVE n AS (SELECT conv_id || '_' || turn AS name, CASE WHEN turn > 0 THEN conv_id || '_' || (turn - 1) ELSE '' END AS parent, turn FROM conversations),
 w(query_id, depth, name) AS (SELECT name, 0, parent FROM n WHERE turn = 7 AND parent <> '' UNION ALL SELECT w.query_id, w.depth + 1, n.parent FROM w JOIN n ON n.name = w.name WHERE n.parent <> '' AND w.depth + 1 < 6)
 SELECT query_id, depth::INT AS depth, name FROM w"""
@@ -264,7 +297,21 @@ SELECT query_id, depth::INT AS depth, name FROM w"""
     out["find_usages"] = used("(SELECT doc_id AS file, text FROM documents)", "on")
     out["find_usages_topk"] = f"""SELECT file, line, text FROM (SELECT * FROM (SELECT *, 0 AS part FROM ({used('(SELECT doc_id AS file, text FROM documents)', 'stupid')}) ORDER BY file, line LIMIT 30)
   UNION ALL SELECT *, 1 FROM ({used('(SELECT page_id AS file, html AS text FROM pages)', 'stupid')})) ORDER BY part, file, line LIMIT 10"""
-    out["field_section"] = f"""SELECT id, array_to_string(list_filter(list_transform(string_split(regexp_extract(body, '(?s)// Fields:(.*?)(?:// Methods:|// Extends:|// Implements:|// Inherited methods:|$)', 1), chr(10)), lambda x: trim(regexp_replace(trim(x), ';+$', ''))), lambda x: x <> ''), '|') AS fields FROM {_values(literals.OVERVIEWS, 'id, body')}"""
+    parts = """(SELECT p_partkey AS id, 'class P' || p_partkey || CASE WHEN p_size % 5 = 0 THEN chr(10) || '// Extends: Q' ELSE '' END || CASE WHEN p_size % 7 = 0 THEN chr(10) ELSE chr(10) || '// Fields:' || chr(10) || '  int size' || p_size || ';' || chr(10) || chr(10) || ' ' || replace(p_type, ' ', '_') || ' kind ;;' || chr(10) || replace(p_name, ' ', ';') || chr(10) END
+  || CASE p_size % 3 WHEN 0 THEN '// Methods:' || chr(10) || 'run();' WHEN 1 THEN '// Implements: A, B' || chr(10) || '// Inherited methods:' || chr(10) || 'int y;' ELSE '' END AS body FROM part)"""
+    out["field_section"] = f"""SELECT id, array_to_string(list_filter(list_transform(string_split(regexp_extract(body, '(?s)// Fields:(.*?)(?:// Methods:|// Extends:|// Implements:|// Inherited methods:|$)', 1), chr(10)), lambda x: trim(regexp_replace(trim(x), ';+$', ''))), lambda x: x <> ''), '|') AS fields FROM {parts}"""
+    out["example_usages"] = f"""WITH a AS (SELECT 'api' AS source, 0 AS part, 0 AS pos, file, line, text FROM ({used("(SELECT printf('%012d', doc_id) AS file, text FROM documents)", literals.USED)}) ORDER BY file, line LIMIT 40),
+{_scores('k', f"(SELECT * FROM {_ALL} WHERE source = 'mod')", f"(SELECT 1 AS query_id, '{literals.USED}' AS phrase)")}, b AS (SELECT 'mod:' || CASE WHEN ends_with(chunk_id, '_0') THEN '?' ELSE regexp_extract(chunk_id, '^c([0-9]+)_', 1) END AS source, 1 AS part, pos, chunk_id AS file, 0 AS line, left(body, 200) AS text FROM ({_best('k', 10)}) JOIN {_ALL} x USING (chunk_id))
+SELECT row_number() OVER (ORDER BY part, pos, file, line)::INT AS no, source, file, line::INT AS line, text FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY no <= 40"""
+    out["class_members"] = f"WITH {_members()} SELECT file, name, constructor, start::BIGINT AS start, stop::BIGINT AS stop FROM members"
+    name = "replace(c_name, '#', '_')"
+    out["method_span"] = f"""WITH {_members()},
+asked AS (SELECT c_custkey * 10 + no AS query_id, c_custkey AS k, {name} AS own, CASE WHEN c_custkey % 20 = 0 THEN 'shop.' || {name} WHEN c_custkey % 50 = 0 THEN 'Nobody' ELSE {name} END AS class_name, m
+  FROM customer, (VALUES (0, 'urgent'), (1, '<init>'), (2, 'low'), (3, 'absent')) t(no, m) WHERE c_custkey % 10 = 0),
+bodies AS (SELECT query_id, string_agg(regexp_replace(substr(text, start::BIGINT + 1, (stop - start)::BIGINT), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || '// ---' || chr(10) || chr(10) ORDER BY start) AS s
+  FROM asked JOIN members ON file = 'shop/' || own || '.java' AND constructor = (m = '<init>') AND name = CASE WHEN m = '<init>' THEN own ELSE m END JOIN files USING (file) GROUP BY query_id)
+SELECT query_id, CASE WHEN class_name = 'Nobody' THEN 'Class ''Nobody'' not found.' WHEN k % 7 = 1 THEN 'No file path found for this class.' WHEN k % 7 = 2 THEN 'Source file not found: gone/' || own
+  WHEN s IS NULL THEN 'Method ''' || m || ''' not found in ' || class_name || '.' ELSE '// shop.' || own || '.' || m || ' — full source' || chr(10) || chr(10) || s END AS text FROM asked LEFT JOIN bodies USING (query_id)"""
     out["snapshot_build"] = "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS states FROM lineitem GROUP BY l_orderkey"
     half = "(SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders WHERE o_orderdate {0} TIMESTAMP '{1}' GROUP BY o_custkey)"
     listed = lambda label, a, b: f"CASE WHEN len(list_filter({a}, lambda x: NOT list_contains({b}, x))) > 0 THEN '{label}: ' || array_to_string(list_filter({a}, lambda x: NOT list_contains({b}, x)), ', ') END"
@@ -273,19 +320,9 @@ CASE WHEN o.p IS NULL OR n.p IS NULL THEN '' ELSE concat_ws('; ', {listed('prior
 FROM {half.format('<', literals.CUT)} o FULL JOIN {half.format('>=', literals.CUT)} n ON o.o_custkey = n.o_custkey WHERE o.p IS NULL OR n.p IS NULL OR o.p <> n.p"""
     out["diff_summary"] = f"""WITH d AS (SELECT o_custkey::VARCHAR AS k, kind FROM ({out["snapshot_diff"]})), c AS (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}, array_to_string(list_sort(list(k) FILTER (kind = '{k}'))[1:20], ', ') AS {k}_shown" for k in kinds)} FROM d)
 SELECT added, removed, modified, concat_ws(chr(10), {', '.join(map(line, kinds))}) AS summary FROM c"""
-    # Places of the methods in the literal source, by their first and last words: a body ends where the braces since its first are level.
-    wanted = [(0, "open", "/** Opens it. */"), (0, "open", "protected <T"), (1, "close", "abstract void close()"), (2, "<init>", "/** Makes one. */")]
-    source = literals.SOURCE.replace("'", "''")
-    out["method_span"] = f"""WITH f AS (SELECT '{source}' AS t), w AS (SELECT query_id, first, instr(t, first) AS a FROM f, (SELECT row_number() OVER () AS n, * FROM {_values(wanted, 'query_id, method, first')})),
-c AS (SELECT i, substr(t, i, 1) AS c, sum(CASE substr(t, i, 1) WHEN '{{{{' THEN 1 WHEN '}}}}' THEN -1 ELSE 0 END) OVER (ORDER BY i) AS depth FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM f)),
-h AS (SELECT query_id, first, a, a + instr(substr(t, a), ')') AS past, t FROM w, f),
-b AS (SELECT h.*, (SELECT min(i) FROM c WHERE c = '{{{{' AND i > a + CASE WHEN starts_with(first, '/**') THEN length(first) ELSE 0 END) AS begin FROM h),
-e AS (SELECT b.*, (SELECT min(c.i) FROM c, c AS o WHERE o.i = b.begin AND c.i >= b.begin AND c.c = '}}}}' AND c.depth = o.depth - 1) AS finish FROM b),
-m AS (SELECT query_id, a, CASE WHEN starts_with(first, 'abstract') THEN first ELSE substr(t, a, finish - a + 1) END AS one FROM e)
-SELECT q AS query_id, coalesce(string_agg(one, chr(10) || chr(10) || '// ---' || chr(10) || chr(10) ORDER BY a), '') AS method_source FROM range(4) r(q) LEFT JOIN m ON m.query_id = q GROUP BY q""".replace("{{", "{").replace("}}", "}")
     out["chunk_windows"] = "SELECT id, k::INT AS chunk_no, substr(text, k * 1300 + 1, 1500) AS body FROM (SELECT doc_id AS id, text, unnest(range(greatest(ceil((length(text) - 200) / 1300.0)::BIGINT, 1))) AS k FROM documents WHERE length(text) > 0)"
     out["index_status"] = f"SELECT collection, coalesce(n, 0) AS chunks, coalesce(n, 0) > 0 AS indexed, indexed_at, embed_model, repo_count::BIGINT AS repo_count FROM {_values(literals.META, 'collection, indexed_at, embed_model, repo_count')} LEFT JOIN (SELECT source, count(*) AS n FROM {_ALL} GROUP BY source) ON source = collection"
-    assets = _values(literals.ASSETS, "name, size")
+    assets = "(SELECT CASE WHEN p_size % 4 = 0 THEN 'notes-' ELSE 'data-' END || p_brand || CASE WHEN p_size % 3 = 0 THEN '-vectors-' ELSE '-' END || p_partkey || '.zip' AS name, p_partkey * 1000 + p_size AS size FROM part)"
     out["tier_asset_sizes"] = f"SELECT 'lite' AS tier, count(*) AS files, sum(size)::BIGINT AS size FROM {assets} WHERE name LIKE 'data-%' AND name NOT LIKE '%-vectors-%' UNION ALL SELECT 'full', count(*), sum(size)::BIGINT FROM {assets} WHERE name LIKE 'data-%'"
     jobs = "(SELECT event_id AS job_id, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, ts FROM events)"
     out["job_status"] = f"SELECT job_id, status FROM {jobs} WHERE status = 'running' UNION ALL (SELECT job_id, status FROM {jobs} WHERE status <> 'running' ORDER BY ts DESC, job_id DESC LIMIT 5)"

@@ -2,46 +2,38 @@
 
 QUERIES = [(1, "the worthless trash"), (2, "how to license the Apache software"), (3, "Erreth was of retihaou"), (4, "disgusting stupid password"), (5, "Geieen ererie der")]
 PHRASES = [(1, "of.the"), (2, "de.la that.the"), (3, "der.die")]
-PARSED = [(1, "BlockType getBlock the"), (2, "how do I cancel a BlockBreakEvent"), (3, "ECS2 HTTPServer x.Y.Zed"), (4, "place_block!! in a World"), (5, "  Vector3d   of ")]
 OVERLAPS = [(1, "small red rings"), (2, "the bolts of old gears"), (3, "blue widgets"), (4, "hot")]
 FIELD_QUERIES = [(1, "src1 license"), (2, "Erreth"), (3, "src10 fr the")]
 DESCRIPTIONS = [(0, "a.b.Erreth"), (1, "a.Geieen"), (2, "Apache")]
 CLASS_NAMES = [(1, "NATION_7"), (2, "AMERICA.NATION_1"), (3, "NATIOM_7"), (4, "world.ASIA"), (5, "ASIA")]
 METHOD_QUERIES = [(1, "please callEurope and callAsia"), (2, "callNation7 or callNobody"), (3, "nothing")]
-# Published examples of the stemming algorithm.
-STEMS = [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"), ("relational", "relat"), ("conditional", "condit"), ("digitizer", "digit"), ("operator", "oper"), ("hopefulness", "hope"), ("triplicate", "triplic"), ("electrical", "electr"), ("revival", "reviv"), ("adjustment", "adjust"), ("effective", "effect"), ("probate", "probat"), ("controlling", "control")]
 CUT = "1998-04-25"
+USED = "stupid"
 META = [("api", "2024-05-01T00:00:00Z", "nomic-embed-text", None), ("guide", "2024-05-02T00:00:00Z", "nomic-embed-text", None), ("mod", None, None, 30), ("other", None, None, None)]
-ASSETS = [("data-lite.zip", 36_700_160), ("data-vectors-api.zip", 400_000_000), ("data-vectors-guides.zip", 12_000_000), ("notes.txt", 100)]
-OVERVIEWS = [
-    (1, "class Door\n// Fields:\n  int width;\n\n String name ;\n// Methods:\nopen()"),
-    (2, "class Wall\n// Methods:\nbuild()"),
-    (3, "class Gate\n// Extends: Door\n// Fields:\nint a;;\nint b;\n"),
-    (4, "// Fields:\nint x;\n// Implements: A, B\n// Inherited methods:\nint y;"),
-]
-SOURCE = """package a.b;
+# Source files that are made of customers and their orders; names between < and > stand for columns.
+CLASS_TEXT = """package shop;
 
-/** A door. */
-public class Door {
-    /** Width of {@code open}. */
-    private int width;
+/** A customer; not { open. */
+public class <name> {
+    private int[] sizes = {1, 2, 3};
 
     /** Makes one. */
-    public Door(int width) {
-        this.width = width;
+    public <name>(int n) {
+        this.n = n;
     }
 
-    /** Opens it. */
-    @Override
-    public boolean open(String key, int times) throws LockedException {
-        if (times > 0) { return check(key); }
-        return false;
+<methods>}
+"""
+METHOD_TEXT = """    /** Order { <key>. */
+    @Marks({"a;", "}"})
+    public String <word>(int a, String b) {
+        // } <priority>
+        if (a > 0) { return "{ <key>"; }
+        char c = '{'; /* } */
+        int[] l = {1, 2};
+        return b;
     }
 
-    protected <T extends Key> boolean open(T key) {
-        return open(key.name(), 1);
-    }
+    abstract void close<key>();
 
-    abstract void close();
-}
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 
 import pytest
@@ -13,7 +14,6 @@ from corvane.config import CHUNKS, LIMITS, SNAPSHOT
 from corvane.functions import text as X
 from corvane.functions.porter import folded, porter
 from corvane.operators import boosts, code, diff, fusion, graph, keyword, shaping
-from corvane.plans.literals import SOURCE
 from corvane.plans.search import Search, as_json, rendered
 from corvane.sources import store
 
@@ -49,7 +49,7 @@ def test_ancestors_stop_at_depth_and_cycles(spark, classes):
     nodes = graph.one_per_name(classes).select(F.col("class_name").alias("name"), F.coalesce("extends", F.lit("")).alias("parent"))
     got = sorted((r.query_id, r.depth, r.name) for r in graph.ancestors(nodes, names(spark, "Node0", "Ping", "Node8", "None")).collect())
     assert [x for x in got if x[0] == 0] == [(0, d, f"Node{d + 1}") for d in range(LIMITS.ancestors)]
-    assert len([x for x in got if x[0] == 1]) == LIMITS.ancestors
+    assert [x for x in got if x[0] == 1] == [(1, 0, "Pong")]
     assert not [x for x in got if x[0] > 1]
 
 
@@ -69,8 +69,8 @@ def test_class_info_tiers(spark, classes):
 
 def test_hierarchy(spark, classes):
     got = {r.query_id: r for r in graph.hierarchy(classes, names(spark, "Node1", "Shape")).collect()}
-    assert got[0].extends == "Node2" and got[0].parent_extends == "Node3" and got[0].subclasses == ["Node0"]
-    assert got[1].implementors == ["Blob", "Circle", "Square"]
+    assert got[0].extends == "Node2" and got[0].parent_extends == "Node3" and got[0].subclasses == ["a.b.Node0"]
+    assert got[1].implementors == ["a.b.Blob", "a.b.Circle", "a.b.Square"]
 
 
 def test_packages_default_and_cap(spark):
@@ -153,12 +153,117 @@ def test_porter(word, want):
     assert folded("Éçole") == "ecole"
 
 
+SOURCE = """package a.b;
+
+/** A door. */
+public class Door {
+    /** Width of {@code open}. */
+    private int width = 3;
+    static final int[] SIZES = { 1, 2 };
+
+    /** Makes one. */
+    public Door(int width) {
+        this.width = width;
+    }
+
+    /** Opens it. */
+    @Override
+    @Marks({"a;", "}"})
+    public boolean open(String key, int times) throws LockedException {
+        if (times > 0) { return check("} \\" {" + key); } // }
+        char c = '{'; /* } */
+        return false;
+    }
+
+    // a remark
+    protected <T extends Key> boolean open(final T key) {
+        new Thread(new Runnable() { public void run() { open(key.name(), 1); } });
+        for (int i = 0; i < 3; i++) { check(i); }
+        return open(key.name(), 1);
+    }
+
+    abstract void close();
+
+    public record Point(int x, int y) { }
+
+    private void torn() {
+        if (width > 0) {
+"""
+
+
 def test_method_sources(spark):
-    assert code.method_text(SOURCE, "open", "Door").count(code.BETWEEN) == 1
-    text = code.method_text(SOURCE, "open", "Door")
-    assert text.startswith("/** Opens it. */") and "Width" not in text and text.endswith("return open(key.name(), 1);\n    }")
-    assert code.method_text(SOURCE, "close", "Door") == "abstract void close()"
-    assert code.method_text(SOURCE, "<init>", "Door").startswith("/** Makes one. */") and code.method_text(SOURCE, "absent", "Door") == ""
+    files = spark.createDataFrame([("D", SOURCE), ("E", ""), ("F", None)], "file string, text string")
+    found = {(r.file, r.name, r.constructor) for r in code.members(files).collect()}
+    assert found == {("D", "Door", True), ("D", "open", False), ("D", "run", False), ("D", "close", False), ("D", "torn", False)}
+    wanted = spark.createDataFrame([(i, f, "a.b.Door", m) for i, (f, m) in enumerate([("D", "open"), ("D", "close"), ("D", "<init>"), ("D", "absent"), ("D", "run"), ("E", "open"), ("G", "open"), ("D", "torn")])], "query_id int, file string, class_name string, method_name string")
+    got = {r.query_id: r.method_source for r in code.method_sources(files, wanted).collect()}
+    one, two = got[0].split(code.BETWEEN)
+    assert one.startswith("/** Opens it. */") and one.endswith("return false;\n    }") and two.startswith("protected <T") and two.endswith("return open(key.name(), 1);\n    }")
+    assert got[1] == "abstract void close()" and got[2] == "/** Makes one. */\n    public Door(int width) {\n        this.width = width;\n    }"
+    assert got[3] == got[5] == "" and 6 not in got and got[4] == "public void run() { open(key.name(), 1); }" and got[7] == "private void torn()"
+
+
+def test_method_report(spark):
+    chunks = spark.createDataFrame([overview("Door", file="D"), overview("Wall"), overview("Gone", file="X"), method("Only", "x"), overview("Door", package="z", file="Z")], CHUNKS)
+    files = spark.createDataFrame([("D", SOURCE)], "file string, text string")
+    asked = [("Door", "close"), ("a.b.Door", "none"), ("Nobody", "x"), ("Wall", "x"), ("Gone", "x"), ("Only", "x"), ("q.Door", "x")]
+    wanted = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "query_id int, class_name string, method_name string")
+    got = {r.query_id: r.text for r in code.method_report(chunks, files, wanted).collect()}
+    assert got == {0: "// a.b.Door.close — full source\n\nabstract void close()", 1: "Method 'none' not found in a.b.Door.", 2: "Class 'Nobody' not found.", 3: "No file path found for this class.", 4: "Source file not found: X", 5: "No file path found for this class.", 6: "Class 'q.Door' not found."}
+
+
+def test_labelled_usages(spark):
+    files = spark.createDataFrame([(f"f{i}", "no\nturn on\non") for i in range(4)], "file string, text string")
+    chunks = spark.createDataFrame([("m1", "A.java", "repo", "x on " * 90), ("m2", None, "", None)], "chunk_id string, file string, repo string, body string")
+    hits = spark.createDataFrame([("m2", 1), ("m1", 0), ("lost", 2)], "chunk_id string, pos int")
+    rows = code.labelled_usages(files, "on", code.example_usages(hits, chunks), 9).orderBy("no").collect()
+    assert [(r.source, r.file, r.line) for r in rows] == [("api", f"f{i}", k) for i in range(4) for k in (2, 3)] + [("mod:repo", "A.java", 0)] and len(rows[-1].text) == 200
+    text = code.usage_report(code.labelled_usages(files, "on", code.example_usages(hits, chunks), 12), "on").first().text
+    assert text.startswith("# Usages of 'on' (10 results)\n\n[api] f0:2\n  turn on") and text.endswith("[mod:?] \n  ")
+    assert code.usage_report(code.labelled_usages(files, "off", code.example_usages(hits.limit(0), chunks)), "off").first().text == "No usages of 'off' found."
+
+
+def test_walks_have_no_row_limit(spark):
+    """More walks than a recursive query would allow rows."""
+    nodes = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", None), ("x", "x")], "name string, parent string")
+    starts = spark.range(400_000).select(F.col("id").alias("query_id"), F.concat(F.lit("n"), (F.col("id") % 5).cast("string")).alias("name"))
+    got = graph.ancestors(nodes, starts, 4)
+    assert got.count() == 1_600_000 and got.where("query_id = 7").orderBy("depth").select("name").collect() == [("n3",), ("n4",), ("n5",), ("n6",)]
+    assert graph.ancestors(nodes, starts.limit(0)).count() == 0 and graph.ancestors(nodes, names(spark, "x", "n9")).count() == 0
+
+
+def test_names_within_edits(spark):
+    """Equal keys give all names within k edits, as comparing all pairs does."""
+    import random
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abAB") for _ in range(rng.randrange(1, 13))) for _ in range(300)})
+    held = spark.createDataFrame([(w,) for w in words], "class_name string")
+    asked = spark.createDataFrame(list(enumerate(["".join(rng.choice("abAB") for _ in range(rng.randrange(1, 13))) for _ in range(40)] + [""])), "query_id int, word string")
+    for k in (1, 2, 4):
+        got = {(r.query_id, r.class_name, r.distance) for r in graph.within_edits(held, asked, k).collect()}
+        pairs = asked.where(F.length("word") > 2 * k).crossJoin(held).withColumn("d", F.levenshtein("word", "class_name")).where(F.col("d") <= k)
+        assert got == {(r.query_id, r.class_name, r.d) for r in pairs.collect()}
+
+
+def test_suggestions_are_the_nearest(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [overview("".join(rng.choice("abcA") for _ in range(rng.randrange(1, 12))), chunk_id=f"c{i}") for i in range(200)] + [overview("", chunk_id="e"), overview(None, chunk_id="n")]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = names(spark, "abcabcabc", "abA", "q.abcAbcA", "zzzzzzzzzzzz", "x", "")
+    passes, graph.WORDS_A_PASS = graph.WORDS_A_PASS, 2
+    try:
+        got = {(r.query_id, r.chunk_id, r.distance) for r in graph.suggestions(chunks, asked).collect()}
+    finally:
+        graph.WORDS_A_PASS = passes
+    pairs = asked.crossJoin(chunks.where(F.length("class_name") > 0)).withColumn("d", F.levenshtein(X.last_segment(F.col("name")), F.col("class_name"))).where(F.col("d") <= F.length("name")).collect()
+    want = set()
+    for q in range(6):
+        mine = sorted((r.d, r.class_name, r.chunk_id) for r in pairs if r.query_id == q)[:5]
+        want |= {(q, c, d) for d, _, c in mine}
+    assert got == want
 
 
 def test_usages(spark):
@@ -288,22 +393,84 @@ def test_stream_refresh(spark, tmp_path, classes):
 
 def test_stored_index(spark, tmp_path, classes):
     """A stored index answers as one computed on the way, by five fields and stems, with few terms and with many."""
+    from corvane.operators import blocks
+
     rows = classes.withColumn("body", F.concat_ws(" ", "class_name", "method_name", F.lit("running shapes")))
     fields = ("chunk_id", "fqn", "class_name", "method_name", "body")
     index = keyword.Index.of(rows, fields, "porter")
-    stored = index.write(str(tmp_path / "index"))
-    stored.analyzer = "porter"
-    asked = spark.createDataFrame([(1, "runs a.b.Square"), (2, "shape Node1"), (3, "")], "query_id int, query string")
-    got = lambda i: sorted(map(tuple, keyword.keyword_search(i, asked, 5).collect()))
-    want = got(index)
-    assert want and got(stored) == want
-    few = keyword.FEW_TERMS
+    asked = spark.createDataFrame([(1, "runs a.b.Square"), (2, "shape Node1"), (3, ""), (4, "shape shape nothing.here")], "query_id int, query string")
+    got = lambda i, n=5, **o: sorted(map(tuple, keyword.keyword_search(i, asked, n, **o).select("query_id", "source", "chunk_id", "score", "pos").collect()))
+    want, sizes = got(index), (blocks.RANGE_CHUNKS, blocks.FIRST_RANGES, blocks.FEW_RANGES, keyword.FEW_TERMS, keyword.FEW_PHRASES)
+    known = rows.where(F.col("class_name").startswith("N")).select("chunk_id")
+    few = got(index, 3, known=known)
+    assert want and few
+    try:
+        for i, (size, first, ranges, terms, phrases) in enumerate([sizes, (3, 1, 1000, 1000, 10_000), (2, 1, 1, 0, 0), (4, 2, 1000, 0, 10_000)]):
+            blocks.RANGE_CHUNKS, blocks.FIRST_RANGES, blocks.FEW_RANGES, keyword.FEW_TERMS, keyword.FEW_PHRASES = size, first, ranges, terms, phrases
+            stored = blocks.BlockIndex.write(rows, str(tmp_path / f"index{i}"), fields, "porter")
+            assert got(stored) == want and got(stored, 3, known=known) == few
+    finally:
+        blocks.RANGE_CHUNKS, blocks.FIRST_RANGES, blocks.FEW_RANGES, keyword.FEW_TERMS, keyword.FEW_PHRASES = sizes
+    assert got(stored.only("guide")) == [] and stored.only("guide").blocks.count() == 0
+
+
+def test_blocks_that_cannot_win_are_not_scored(spark, tmp_path):
+    """The ranges that hold the best chunks are scored, ranges below their scores are not; ties and added batches stay right."""
+    from corvane.operators import blocks
+
+    texts = [(f"c{i:04}", "api", ("door " * (1 + 30 * (i < 12)) + f"word{i} other " * (3 if i < 12 else 40))) for i in range(400)] + [("null", "api", None)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, source string, body string").coalesce(1)
+    asked = spark.createDataFrame([(1, "door"), (2, "door.word7"), (3, "other")], "query_id int, query string")
+    got = lambda i: sorted(map(tuple, keyword.keyword_search(i, asked, 5, keyword.whole_phrases).select("query_id", "chunk_id", "score", "pos").collect()))
+    want, scored, size = got(keyword.Index.of(chunks)), [], blocks.RANGE_CHUNKS
+    real = blocks.BlockIndex._scores
+    try:
+        blocks.RANGE_CHUNKS = 10
+        one = blocks.BlockIndex.write(chunks, str(tmp_path / "one"))
+        blocks.BlockIndex._scores = lambda self, ranges, *a: (scored.append(ranges.where("query_id = 1").count()), real(self, ranges, *a))[1]
+        assert got(one) == want and one.docs.count() == 41 and sum(scored) <= 3
+        blocks.BlockIndex._scores = real
+        for name, part in (("a", "chunk_id < 'c02'"), ("b", "chunk_id >= 'c02'")):
+            blocks.BlockIndex.write(chunks.where(part), str(tmp_path / name))
+        assert got(blocks.BlockIndex.read(spark, [str(tmp_path / "a"), str(tmp_path / "b")])) == want
+    finally:
+        blocks.RANGE_CHUNKS, blocks.BlockIndex._scores = size, real
+    none = blocks.BlockIndex.write(chunks.limit(0), str(tmp_path / "none"))
+    assert got(none) == []
+
+
+def test_vector_index(spark, tmp_path):
+    """Probes find nine of ten neighbours and read few files; the exact search equals the exhaustive one; odd rows are kept."""
+    import numpy as np
+    from corvane.operators import dense, vector_index
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    points = centres[rng.integers(0, 20, 3000)] + 0.35 * rng.normal(size=(3000, 16))
+    rows = [(i, p.tolist(), i % 3) for i, p in enumerate(points)] + [(5000, None, 0), (5001, [0.0] * 16, 0), (5002, [1.0], 0)] + [(6000 + i, points[0].tolist(), 0) for i in range(30)]
+    vectors = spark.createDataFrame(rows, "chunk_id int, embedding array<float>, label int")
+    asked = spark.createDataFrame([(i, points[i].tolist()) for i in range(0, 3000, 60)] + [(9001, [0.0] * 16), (9002, None), (9003, [1.0])], "query_id int, vector array<float>")
+    index = vector_index.VectorIndex.write(vectors, str(tmp_path / "v"), lists=25, sample=1500)
+    assert index.rows.count() == len(rows) and index.rows.where("__list = -1").count() == 3 and index.probes < 12
+    exact = dense.vector_search(vectors, asked, 10)
+    found = index.search(asked, 10)
+    assert dense.recall_at(found, exact.select("query_id", "chunk_id"), 10).agg(F.avg("recall")).first()[0] >= 0.9
+    key = lambda d: sorted((r.query_id, r.chunk_id, r.similarity, r.pos) for r in d.collect())
+    assert key(index.search(asked, 10, exact=True)) == key(exact) == key(index.search(asked, 10, probes=25))
+    assert key(index.search(asked, 4, exact=True, where=F.col("label") == 1)) == key(dense.vector_search(vectors, asked, 4, F.col("label") == 1))
+    unit = vector_index._unit(points[:1])
+    lists = index.lists_of(unit, 2)
+    plan = index._scan(unit, lists, 5, None)._jdf.queryExecution().executedPlan().toString()
+    read = index.rows.where(F.col("__list").isin(lists[0].tolist())).select(F.input_file_name()).distinct().count()
+    assert re.search(r"PartitionFilters: \[[^]]*__list", plan) and read == 2 < len(index.rows.inputFiles())
+    block = vector_index.BLOCK_QUERIES
     try:
-        keyword.FEW_TERMS = 0
-        assert got(stored) == want
+        vector_index.BLOCK_QUERIES = 9
+        assert key(index.search(asked, 10, exact=True)) == key(exact)
     finally:
-        keyword.FEW_TERMS = few
-    assert {r.source for r in stored.only("guide").postings.select("source").distinct().collect()} == set()
+        vector_index.BLOCK_QUERIES = block
+    none = vector_index.VectorIndex.write(vectors.limit(0), str(tmp_path / "none"))
+    assert none.search(asked, 3, exact=True).count() == 0
 
 
 def test_rows_of_the_index(spark):
@@ -317,7 +484,7 @@ def test_rows_of_the_index(spark):
 def test_lists_are_pruned(spark, classes):
     rows = [("p", f"C{i:02}") for i in range(25)] + [("q", "A"), ("q", "A"), ("q", None)]
     got = {r.package: r for r in graph.packages(spark.createDataFrame(rows, "package string, class_name string"), 3).collect()}
-    assert got["p"].shown == ["C00", "C01", "C02"] and got["p"].classes == 25 and got["q"].classes == 1 and got["q"].more == 0
+    assert got["p"].shown == ["C00", "C01", "C02"] and got["p"].classes == 25 and got["q"].classes == 3 and got["q"].shown == ["?", "A", "A"] and got["q"].more == 0
     assert diff.compared(None, classes) == (None, diff.NO_SNAPSHOT)
     text = {r.query_id: r.text for r in graph.class_report(classes, names(spark, "Node0", "Squar")).collect()}
     assert "### Inherited Methods" in text[0] and "// inherited from a.b.Node1" in text[0] and "Did you mean:" in text[1] and "a.b.Square" in text[1]
