@@ -5,7 +5,7 @@ its distinct words and the distinct pairs (context, word) whose context lies the
 follow it, all with their training counts. A shard adds the counts of all packs and builds its part of the trie: level one
 has the contexts, level two their successors, level three the successors of pairs, each level an Elias-Fano sequence with
 monotone pointers into the next one, one byte for each node, its quantised smoothed probability, and one for each pair, its
-quantised back-off weight. The levels lie packed in a memory-mapped file for as long as the shard answers: for each pair it
+quantised back-off weight, with finer codes for frequent ones. The levels lie packed in a memory-mapped file for as long as the shard answers: for each pair it
 finds the context, then the successor inside the context's range, then the pair's successors inside the pair's range. The
 answers go back to the packs, which combine them by document. So a frequent word, pair or triple is sent once for each pack
 and answered once, no part of the model is larger than its shard, and the model as a whole is on no machine.
@@ -17,7 +17,8 @@ The model, with counts c over training tokens, discount D and N1(h) different su
 
 and the lower order alone after a context that training does not have. A text starts in the context of an end; its first
 token has no longer one. The first terms are what the trie holds as probabilities, the factors are its back-off weights.
-Contexts of a large share of all tokens are dealt out by the word that follows, not by themselves. Words are known by 64
+Codes are the same in every shard and model, so scores depend neither on shards nor on where words lie. Contexts of a large
+share of all tokens are dealt out by the word that follows, not by themselves. Words are known by 64
 bits of hash, within a context by 40 and within a pair by 32.
 """
 
@@ -45,7 +46,7 @@ SHARD_TOKENS = 2_000_000
 DISCOUNT = 0.75
 #: N-grams that are looked up at a time.
 STEP = 500_000
-#: Contexts of at least this share of tokens, in a sample of about so many rows, are dealt out by their successors.
+#: Contexts of at least this share of tokens, in a sample of about so many rows (drawn by a hash), are dealt out by their successors.
 #: This places work and changes no result.
 HOT_SHARE = 0.002
 HOT_ROWS = 2_000
@@ -57,20 +58,45 @@ _L, _H, _5, _3, _F = (np.uint64(int(x * 8, 16)) for x in ("01", "80", "55", "33"
 _U = [np.uint64(i) for i in range(9)]
 
 
-def quantise(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, codebook): positive values as bytes; exact up to 255 different ones, else bins of equal shares at their geometric means.
+#: Ratios of counts up to so many are exact codes of their own; n-grams and contexts seen this often get finer codes.
+EXACT, FINE_COUNT, FINE_CONTEXT = 15, 8, 64
+ESCAPE = 255
+_RATIOS = EXACT * (EXACT + 1) // 2
+#: Bounds of the other codes in -log2: steps of 0.08 up to 4, 0.25 up to 20, wider ones up to 40; and numbers of a finer code in one of these.
+_BINS = np.concatenate([np.linspace(0, 4, 51), np.linspace(4, 20, 65)[1:], np.linspace(20, 40, ESCAPE - 1 - _RATIOS - 114 + 1)[1:]])
+_FINE = 1 << 24
 
-    Code 0 is no value, so the codebook starts with 0.
+
+def coded(part: np.ndarray, whole: np.ndarray, value: np.ndarray, fine: np.ndarray) -> np.ndarray:
+    """Codes of ``value``, which follows from two counts: the byte, and above it 32 bits more where the byte is ESCAPE.
+
+    The codes are the same for every model: ratios of counts up to EXACT are exact, else a bin of logarithms, and where
+    ``fine`` is true a logarithm to seven digits. So a score depends on nothing but the counts. Code 0 is no value.
     """
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    kinds, number, count = np.unique(values, return_inverse=True, return_counts=True)
-    if len(kinds) <= 255:
-        return (number + 1).astype(np.uint8), np.concatenate([[0.0], kinds])
-    place = np.minimum((np.cumsum(count) - (count + 1) // 2) * 255 // len(values), 254)
-    place = np.unique(place, return_inverse=True)[1]
-    weight = np.bincount(place, count)
-    return (place[number] + 1).astype(np.uint8), np.concatenate([[0.0], np.exp(np.bincount(place, np.log(kinds) * count) / weight)])
+    part, whole = part.astype(np.int64), whole.astype(np.int64)
+    depth = -np.log2(np.where(value > 0, value, 1.0))
+    bins = _RATIOS + np.clip(np.searchsorted(_BINS, depth, side="right"), 1, len(_BINS) - 1)
+    out = np.where(whole <= EXACT, whole * (whole - 1) // 2 + part, np.where(fine, ESCAPE, bins)).astype(np.uint64)
+    deep = out == ESCAPE
+    out[deep] |= np.minimum(np.rint(depth[deep] * _FINE), 0xFFFFFFFF).astype(np.uint64) << np.uint64(8)
+    return np.where(value > 0, out, 0).astype(np.uint64)
+
+
+def decoded(codes: np.ndarray, ratio) -> np.ndarray:
+    """Values of codes; ``ratio(part, whole)`` is what two small counts stand for."""
+    small = [(p, w) for w in range(1, EXACT + 1) for p in range(1, w + 1)]
+    plain = np.zeros(ESCAPE + 1)
+    plain[1 : _RATIOS + 1] = [ratio(p, w) for p, w in small]
+    plain[_RATIOS + 1 : ESCAPE] = np.exp2(-(_BINS[1:] + _BINS[:-1]) / 2)
+    byte = (codes & np.uint64(255)).astype(np.int64)
+    return np.where(byte == ESCAPE, np.exp2(-(codes >> np.uint64(8)).astype(float) / _FINE), plain[byte])
+
+
+def _pack_codes(codes: np.ndarray) -> bytes:
+    """The bytes of codes, and what stands above those that are ESCAPE."""
+    byte = (codes & np.uint64(255)).astype(np.uint8)
+    more = (codes[byte == ESCAPE] >> np.uint64(8)).astype(np.uint32)
+    return byte.tobytes() + struct.pack("<I", len(more)) + _planes(more)
 
 
 class EliasFano:
@@ -184,13 +210,17 @@ class Trie:
         self.pairs, at = EliasFano.load(self.map, at)
         self.ends, at = EliasFano.load(self.map, at)
         self.triples, at = EliasFano.load(self.map, at)
-        self.codes = np.frombuffer(self.map, np.uint8, self.pairs.n, at)
-        self.weights = np.frombuffer(self.map, np.uint8, self.pairs.n, at + self.pairs.n)
-        self.leaves = np.frombuffer(self.map, np.uint8, self.triples.n, at + 2 * self.pairs.n)
+        self.codes, self.weights, self.leaves = [], [], []
+        for held, n in ((self.codes, self.pairs.n), (self.weights, self.pairs.n), (self.leaves, self.triples.n)):
+            (more,) = struct.unpack_from("<Q", self.map, at)
+            held += [np.frombuffer(self.map, np.uint8, n, at + 8), np.frombuffer(self.map, "<u4", more, at + 8 + n + -n % 8), np.frombuffer(self.map, "<u4", more, at + 8 + n + -n % 8 + 4 * more)]
+            at += 8 + n + -n % 8 + 8 * more
 
     @staticmethod
     def write(path: str, contexts: np.ndarray, pairs: np.ndarray, triples: np.ndarray, codes: np.ndarray, weights: np.ndarray, leaves: np.ndarray) -> None:
-        """Sorted contexts; pairs as context's place << 40 | word; triples as pair's place << 32 | word; bytes of pairs and triples.
+        """Sorted contexts; pairs as context's place << 40 | word; triples as pair's place << 32 | word; codes of pairs and triples.
+
+        Codes are bytes; beside them stand the places of those that are ESCAPE, and what they stand for.
 
         A level's numbers stand relative to their context, which is their upper part.
         """
@@ -199,7 +229,19 @@ class Trie:
         with open(path, "wb") as f:
             for x in (contexts, first, pairs, second, triples):
                 f.write(EliasFano.build(x.astype(np.uint64)))
-            f.write(codes.astype(np.uint8).tobytes() + weights.astype(np.uint8).tobytes() + leaves.astype(np.uint8).tobytes() + bytes(8))
+            for x in (codes, weights, leaves):
+                byte = (x.astype(np.uint64) & np.uint64(255)).astype(np.uint8)
+                at = np.flatnonzero(byte == ESCAPE)
+                f.write(struct.pack("<Q", len(at)) + byte.tobytes() + bytes(-len(byte) % 8) + at.astype("<u4").tobytes() + (x.astype(np.uint64)[at] >> np.uint64(8)).astype("<u4").tobytes())
+            f.write(bytes(8))
+
+    @staticmethod
+    def _codes(held: list[np.ndarray], places: np.ndarray) -> np.ndarray:
+        """The codes at some places."""
+        out = held[0][places].astype(np.uint64)
+        deep = np.flatnonzero(out == ESCAPE)
+        out[deep] |= held[2][np.searchsorted(held[1], places[deep])].astype(np.uint64) << np.uint64(8)
+        return out
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The place of each (context, word) among the pairs; -1 where the trie does not have it."""
@@ -214,23 +256,23 @@ class Trie:
         return out
 
     def follow(self, places: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The byte of each word after the pair at a place; 0 where the trie does not have it."""
-        out = np.zeros(len(words), np.uint8)
+        """The code of each word after the pair at a place; 0 where the trie does not have it."""
+        out = np.zeros(len(words), np.uint64)
         there = np.flatnonzero(places >= 0)
         if not self.triples.n or not len(there):
             return out
         place = places[there]
         begin, end = self.ends.get(place).astype(np.int64), self.ends.get(place + 1).astype(np.int64)
         spot = _find(self.triples, (place.astype(np.uint64) << np.uint64(32)) | words[there], begin, end)
-        out[there[spot >= 0]] = self.leaves[spot[spot >= 0]]
+        out[there[spot >= 0]] = self._codes(self.leaves, spot[spot >= 0])
         return out
 
     def at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability's byte, weight's byte) of the pairs at some places; 0 for -1."""
-        there, spot = places >= 0, np.maximum(places, 0)
-        if not self.pairs.n:
-            return np.zeros(len(places), np.uint8), np.zeros(len(places), np.uint8)
-        return np.where(there, self.codes[spot], 0).astype(np.uint8), np.where(there, self.weights[spot], 0).astype(np.uint8)
+        """(probability's code, weight's code) of the pairs at some places; 0 for -1."""
+        there, out = np.flatnonzero(places >= 0), np.zeros((2, len(places)), np.uint64)
+        if self.pairs.n:
+            out[0, there], out[1, there] = self._codes(self.codes, places[there]), self._codes(self.weights, places[there])
+        return out[0], out[1]
 
     def close(self) -> None:
         """Give the file back; arrays that view it must be gone."""
@@ -307,6 +349,13 @@ class _Reader:
         return out
 
 
+    def codes(self, n: int) -> np.ndarray:
+        out = self.take(np.uint8, n).astype(np.uint64)
+        (m,) = self.take(np.uint32, 1)
+        out[out == ESCAPE] |= self.planes(np.uint32, int(m)).astype(np.uint64) << np.uint64(8)
+        return out
+
+
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Numbers from each start on, as many as its count, one run after another."""
     past = np.cumsum(counts)
@@ -428,6 +477,11 @@ def _requests(docs: DataFrame, keep: list[str], shards: int, hot: list[bytes]) -
     return docs.mapInArrow(run, "key int, kind int, blob binary")
 
 
+def _probability(count: np.ndarray, context: np.ndarray, discount: float) -> np.ndarray:
+    """Codes of discounted probabilities."""
+    return coded(count, context, np.maximum(count - discount, 0) / np.maximum(context, 1), count >= FINE_COUNT)
+
+
 def _answer(hots: int, discount: float):
     """One shard: add the counts of all packs, build the trie, answer each pack."""
 
@@ -482,17 +536,18 @@ def _answer(hots: int, discount: float):
         size = hots + len(vocabulary)
         held, types = np.bincount(head, sums, minlength=size), np.bincount(head, minlength=size)
         after, kinds = np.bincount(over, below_sums, minlength=len(keys)), np.bincount(over, minlength=len(keys))
-        codes, book = quantise(np.maximum(sums - discount, 0) / held[head])
-        leaves, leaf_book = quantise(np.maximum(below_sums - discount, 0) / after[over])
-        weights = np.zeros(len(keys), np.uint8)
-        weights[after > 0], weight_book = quantise(discount * kinds[after > 0] / after[after > 0])
+        # A shard has but its share of a context that is dealt out: there the code is the count.
+        counted = np.where(sums < ESCAPE, sums, ESCAPE | (sums << 8)).astype(np.uint64)
+        codes = np.where(head < hots, counted, _probability(sums, held[head], discount))
+        leaves = _probability(below_sums, after[over], discount)
+        some = np.maximum(after, 1)
+        weights = coded(kinds, some, np.where(after > 0, discount * kinds / some, 0.0), after >= FINE_CONTEXT)
         present, place = np.unique(head, return_inverse=True)
         with tempfile.TemporaryDirectory(prefix="trie-") as folder:
             path = os.path.join(folder, "levels")
             Trie.write(path, present, (place.astype(np.uint64) << np.uint64(40)) | (keys & _MASK), (over.astype(np.uint64) << np.uint64(32)) | (below & np.uint64(0xFFFFFFFF)), codes, weights, leaves)
             del keys, sums, below, below_sums, over, head, place
             trie = Trie(path)
-            books = b"".join(struct.pack("<I", len(x)) + x.astype(np.float64).tobytes() for x in (book, weight_book, leaf_book))
             # Each distinct pair and triple is looked up once, in order.
             found = np.concatenate([trie.find(x >> np.uint64(40), x & _MASK) for x in np.array_split(every, 1 + len(every) // STEP)])
             all_codes, all_weights = trie.at(found)
@@ -508,7 +563,7 @@ def _answer(hots: int, discount: float):
                 cold_below = int(follows[k][:cold].sum())
                 blob = b"".join([
                     struct.pack("<IIIIIqq", n, cold, hot, cold_below, len(triple_codes) - cold_below, int(total.sum()), int((total > 0).sum())), total[mine].astype(np.uint64).tobytes(), types[hots + mine].astype(np.uint32).tobytes(),
-                    types[:hots].astype(np.uint32).tobytes(), held[:hots].astype(np.float64).tobytes(), books, pair_codes.tobytes(), pair_weights.tobytes(), triple_codes.tobytes(),
+                    types[:hots].astype(np.uint32).tobytes(), held[:hots].astype(np.float64).tobytes(), _pack_codes(pair_codes), _pack_codes(pair_weights), _pack_codes(triple_codes),
                 ])
                 rows.append((number, shard, _squeeze(blob)))
             trie.close()
@@ -552,7 +607,7 @@ def _sums(keep: list[str], shards: int, hots: int, discount: float):
         flat = common[r.planes(np.uint32, n_tokens)]
         total_n, total_v = sum(h[5] for h in heads), sum(h[6] for h in heads)
         counts, types = [], []
-        cold_p, warm_p, cold_w, warm_w, cold_t, warm_t, warm_held = ([] for _ in range(7))
+        cold_p, warm_p, cold_w, warm_w, cold_t, warm_t = ([] for _ in range(6))
         hot_types, hot_held = np.zeros(hots, np.int64), np.zeros(hots)
         for p, (words, cold, warm, cold_below, warm_below, _, _) in zip(parts, heads, strict=True):
             r = _Reader(p)
@@ -560,34 +615,28 @@ def _sums(keep: list[str], shards: int, hots: int, discount: float):
             counts.append(r.take(np.uint64, words).astype(np.int64))
             types.append(r.take(np.uint32, words).astype(np.int64))
             hot_types += r.take(np.uint32, hots).astype(np.int64)
-            held = r.take(np.float64, hots)
-            hot_held += held
-            books = []
-            for _ in range(3):
-                (size,) = r.take(np.uint32, 1)
-                books.append(r.take(np.float64, int(size)))
-            codes = books[0][r.take(np.uint8, cold + warm)]
+            hot_held += r.take(np.float64, hots)
+            codes = r.codes(cold + warm)
             cold_p.append(codes[:cold])
             warm_p.append(codes[cold:])
-            warm_held.append(held)
-            codes = books[1][r.take(np.uint8, cold + warm)]
+            codes = r.codes(cold + warm)
             cold_w.append(codes[:cold])
             warm_w.append(codes[cold:])
-            codes = books[2][r.take(np.uint8, cold_below + warm_below)]
+            codes = r.codes(cold_below + warm_below)
             cold_t.append(codes[:cold_below])
             warm_t.append(codes[cold_below:])
         count, kinds = np.concatenate(counts), np.concatenate(types)
         kinds[is_hot] = hot_types[hot_number[is_hot]]
         starts = np.cumsum(lengths) - lengths
         g = _Ngrams(flat, starts, end, n, is_hot)
+        ratio, share = (lambda c, n: max(c - discount, 0) / n), (lambda k, n: discount * k / n)
         own, weight, triple = np.zeros(len(g.head)), np.zeros(len(g.head)), np.zeros(len(g.over))
-        own[g.cold], weight[g.cold], triple[g.cold_triples] = np.concatenate(cold_p), np.concatenate(cold_w), np.concatenate(cold_t)
-        own[g.warm], weight[g.warm], triple[g.warm_triples] = np.concatenate(warm_p), np.concatenate(warm_w), np.concatenate(warm_t)
-        # A shard knows its own share of a context that is dealt out; probabilities are scaled to all of it.
-        which = hot_number[g.head[g.warm]]
-        shares = np.array(warm_held).reshape(len(parts), hots)
-        shard_of = np.repeat(np.arange(len(parts)), [len(x) for x in warm_p])
-        own[g.warm] *= shares[shard_of, which] / np.maximum(hot_held[which], 1)
+        own[g.cold], weight[g.cold], triple[g.cold_triples] = decoded(np.concatenate(cold_p), ratio), decoded(np.concatenate(cold_w), share), decoded(np.concatenate(cold_t), ratio)
+        weight[g.warm], triple[g.warm_triples] = decoded(np.concatenate(warm_w), share), decoded(np.concatenate(warm_t), ratio)
+        # Counts after a context that is dealt out become the codes that they would be in one shard.
+        counted = np.concatenate(warm_p)
+        counted = np.where(counted & np.uint64(255) == ESCAPE, counted >> np.uint64(8), counted).astype(np.int64)
+        own[g.warm] = decoded(_probability(counted, hot_held[hot_number[g.head[g.warm]]], discount), ratio)
         p1 = (count + 0.5) / (total_n + 0.5 * (total_v + 1))
         below = count[g.head]
         safe = np.where(below > 0, below, 1)
@@ -612,8 +661,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def frequent_contexts(docs: DataFrame, rows: int) -> list[bytes]:
-    """Words of at least HOT_SHARE of the tokens of a sample; at most 1 / HOT_SHARE of them."""
-    some = docs.select("text").sample(fraction=min(1.0, HOT_ROWS / max(rows, 1)), seed=5)
+    """Words of at least HOT_SHARE of the tokens of a sample drawn by a hash of the text; at most 1 / HOT_SHARE of them."""
+    drawn = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 20)) < int(np.ceil(min(1.0, HOT_ROWS / max(rows, 1)) * (1 << 20)))
+    some = docs.select("text").where(drawn)
     words = F.filter(F.split(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     counted = some.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     top = counted.orderBy(F.desc("n"), "w").limit(int(1 / HOT_SHARE)).collect()

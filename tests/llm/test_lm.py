@@ -45,9 +45,26 @@ def plain(rows, trained):
     return out
 
 
-def same(got, want, each=1e-9):
-    """Counts and base as they are; the score up to ``each`` a token, for a codebook of 255 values may round."""
-    return got[:3] == want[:3] and math.isclose(got[3], want[3], rel_tol=1e-9, abs_tol=1e-9) and abs(got[4] - want[4]) <= each * want[0] + 1e-9 * abs(want[4])
+def same(got, want, share=0.01):
+    """Counts and base as they are; the score up to a share of itself, as codes of rare n-grams after frequent contexts round."""
+    return got[:3] == want[:3] and math.isclose(got[3], want[3], rel_tol=1e-9, abs_tol=1e-9) and abs(got[4] - want[4]) <= share * abs(want[4])
+
+
+def test_every_document_of_a_larger_table(spark, monkeypatch):
+    """Within 1 % of the exact model, and equal for other shards, words dealt out and partitions."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    trained = [zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
+    want = dict(zip([i for i, _ in rows], plain(rows, trained), strict=True))
+    frame = docs.withColumn("yes", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
+    score = lambda d: {r.doc_id: (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.lm_scores(d, d["yes"]).collect()}
+    first = score(frame)
+    assert len(first) == len(rows) and all(same(first[i], want[i]) for i in want) and sum(same(first[i], want[i], 0.002) for i in want) > 0.95 * len(rows)
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(lm, "HOT_SHARE", 0.02)
+    monkeypatch.setattr(lm, "PACK_TOKENS", 60_000)
+    other = score(frame.repartition(5))
+    assert all(other[i][:3] == first[i][:3] and math.isclose(other[i][4], first[i][4], rel_tol=1e-9) for i in want)
 
 
 def test_query(spark):
@@ -57,7 +74,7 @@ def test_query(spark):
     want = plain(rows, [not h for h in out])
     for (i, _), h, w in zip(rows, out, want, strict=True):
         r = got[i]
-        assert r.held_out == h and same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), w, 0.005)
+        assert r.held_out == h and same((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score), w)
     held = [w for h, w in zip(out, want, strict=True) if h]
     assert sum(w[4] for w in held) > sum(w[3] for w in held)  # the model beats single words on texts it has not seen
 
@@ -101,7 +118,7 @@ def test_trie(tmp_path):
     pairs = sorted({(int(c), int(w)) for c, w in zip(rng.integers(0, 60, 4000), rng.integers(0, 1 << 40, 4000) // (1 << 28) << 28, strict=True)})
     triples = sorted({(int(p), int(w)) for p, w in zip(rng.integers(0, len(pairs), 9000), rng.integers(0, 1 << 32, 9000) >> 20 << 20, strict=True)})
     present = sorted({c for c, _ in pairs})
-    codes, weights, leaves = (rng.integers(1, 256, n) for n in (len(pairs), len(pairs), len(triples)))
+    codes, weights, leaves = (np.where((x := rng.integers(1, 256, n)) == 255, 255 | rng.integers(0, 1 << 32, n) << 8, x).astype(np.uint64) for n in (len(pairs), len(pairs), len(triples)))
     path = str(tmp_path / "levels")
     lm.Trie.write(path, np.array(present), np.array([(present.index(c) << 40) | w for c, w in pairs], np.uint64), np.array([(p << 32) | w for p, w in triples], np.uint64), codes, weights, leaves)
     trie = lm.Trie(path)
@@ -116,12 +133,17 @@ def test_trie(tmp_path):
     trie.close()
 
 
-def test_quantised():
-    """Few values are exact; many keep their order, and most of them their size."""
-    few = np.array([0.25, 0.5, 0.25, 1e-9])
-    codes, book = lm.quantise(few)
-    assert (book[codes] == few).all() and book[0] == 0 and (codes > 0).all()
-    many = np.sort(np.random.default_rng(1).random(50_000)) ** 3 + 1e-9
-    codes, book = lm.quantise(many)
-    assert len(book) <= 256 and (np.diff(book[codes]) >= 0).all() and np.abs(book[codes] / many - 1)[500:].max() < 0.7 and np.median(np.abs(book[codes] / many - 1)) < 0.01
-    assert len(lm.quantise(np.zeros(0))[0]) == 0
+def test_codes():
+    """Ratios of small counts are exact, frequent n-grams to seven digits, the rest to their bin."""
+    rng = np.random.default_rng(1)
+    whole = np.concatenate([rng.integers(1, 16, 500), rng.integers(16, 1_000_000, 3000)])
+    part = np.minimum(rng.integers(1, 400, 3500), whole)
+    value, ratio = (part - 0.75) / whole, lambda c, n: (c - 0.75) / n
+    codes = lm.coded(part, whole, value, part >= lm.FINE_COUNT)
+    got = lm.decoded(codes, ratio)
+    assert (got[whole <= 15] == value[whole <= 15]).all() and (codes > 0).all()
+    fine = (whole > 15) & (part >= 16)
+    assert np.allclose(got[fine], value[fine], rtol=1e-6) and np.abs(np.log2(got / value)).max() <= 0.125 + 1e-9
+    assert lm.coded(np.array([0]), np.array([5]), np.array([0.0]), np.array([True])).tolist() == [0] and lm.decoded(np.zeros(1, np.uint64), ratio).tolist() == [0.0]
+    reader = lm._Reader(lm._pack_codes(codes) + lm._pack_codes(codes[:0]))
+    assert (reader.codes(len(codes)) == codes).all() and len(reader.codes(0)) == 0
