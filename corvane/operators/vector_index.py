@@ -103,11 +103,12 @@ class VectorIndex:
         placed = vectors.mapInArrow(assign, schema)
         dealt = placed.repartition("__list", F.pmod(F.xxhash64("chunk_id"), F.col("__files"))).drop("__files")
         dealt.write.mode("overwrite").partitionBy("__list").parquet(f"{path}/rows")
-        about = spark.read.parquet(f"{path}/rows").where(F.col("__list") >= 0).groupBy("__list").agg(F.max("__angle").alias("radius")).collect() if count else []
+        about = spark.read.schema(T.StructType([*vectors.schema.fields, *schema.fields[-3:-1]])).parquet(f"{path}/rows").where(F.col("__list") >= 0).groupBy("__list").agg(F.max("__angle").alias("radius")).collect() if count else []
         radius = np.zeros(len(centres))
         for r in about:
             radius[r["__list"]] = r["radius"]
-        held = [(json.dumps({"centres": centres[i].tolist(), "radius": radius[i], "probes": probes}), i) for i in range(len(centres))]
+        shape = T.StructType([f for f in schema.fields if f.name != "__files"]).json()
+        held = [(json.dumps({"centres": centres[i].tolist(), "radius": radius[i], "probes": probes, "schema": shape}), i) for i in range(len(centres))]
         spark.createDataFrame(held, "about string, list int").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
         return cls.read(spark, path)
 
@@ -115,7 +116,7 @@ class VectorIndex:
     def read(cls, spark: SparkSession, path: str) -> VectorIndex:
         """A stored index."""
         lists = [json.loads(r["about"]) for r in spark.read.parquet(f"{path}/lists").orderBy("list").collect()]
-        rows = spark.read.parquet(f"{path}/rows")
+        rows = spark.read.schema(T.StructType.fromJson(json.loads(lists[0]["schema"]))).parquet(f"{path}/rows")
         return cls(rows, np.array([x["centres"] for x in lists]), np.array([x["radius"] for x in lists]), lists[0]["probes"])
 
     def lists_of(self, asked: np.ndarray, probes: int) -> list[np.ndarray]:
