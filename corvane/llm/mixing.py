@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, decided, filed, located, prepare, running
+from .common import cut, decided, filed, heavy_join, located, prepare, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_ROWS = 2_000
@@ -107,28 +107,30 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: int = 7, lim
 
     Returns ``keep``, source, size, source_size, target, copies and taken (copies * size; at most 3 * size). Draws come
     from hashes of ``by`` (else of ``keep``) and the seed, so a rerun on the same rows, however partitioned, agrees. A null or empty text
-    has size 0 and is taken 0 times; a null source is a source of its own, the last; repeated rows are rounded one by
-    one; an empty table gives an empty result; a source of size 0 has target 0. Only ids and sizes are shuffled: a
-    source is dealt out in blocks of about ``block_rows`` rows, so a large one is spread over many tasks; ids that repeat
-    are dealt out by their texts too. Building the frame runs jobs.
+    has size 0 and is taken 0 times; a null source is a source of its own, the last; equal rows are rounded as one item
+    and share its copies evenly; an empty table gives an empty result; a source of size 0 has target 0. Only ids and sizes are shuffled: a
+    source is dealt out in blocks of about ``block_rows`` different rows, so a large one is spread over many tasks. Building the
+    frame runs jobs.
     """
     keys = list(keep)
     rows = docs.withColumn("__text", F.xxhash64("text"))
-    rows = cut(sized(rows, [*dict.fromkeys([*keys, *(by or ())]), "__text"]))
+    named = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in by or keys], "__text"))
+    rows = sized(rows, [*dict.fromkeys([*keys, *(by or ())]), "__text"]).withColumn("__key", named)
+    rows = cut(rows.withColumns({"__item": F.to_json(F.struct("__key", "source")), "__row": F.monotonically_increasing_id()}).drop("__text"))
     goal = cut(targets(rows, limit))
-    totals = goal.agg(F.count(F.lit(1)).alias("sources"), F.max("docs").alias("most")).first()
+    # Equal rows are one item that is taken so many times more often: no block holds their number of rows.
+    items = cut(rows.groupBy("__item", "__key", "source", "size").agg(F.count(F.lit(1)).alias("__same")))
+    totals = items.groupBy("source").agg(F.count(F.lit(1)).alias("items")).agg(F.count(F.lit(1)).alias("sources"), F.max("items").alias("most")).first()
     blocks = max(1, math.ceil((totals["most"] or 0) / block_rows))
-    key = F.to_json(F.struct(*[F.col(k).cast("string").alias(k) for k in by or keys], "__text"))
-    order = F.xxhash64(F.lit(seed), key)
-    rows = rows.withColumns({"__key": key, "__order": order}).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__key")), F.lit(blocks)).cast("int"))
-    same = rows["source"].eqNullSafe(goal["source"])
+    items = items.withColumn("__order", F.xxhash64(F.lit(seed), F.col("__key"))).withColumn("__block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("__key")), F.lit(blocks)).cast("int"))
+    same = items["source"].eqNullSafe(goal["source"])
     if totals["sources"] <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(goal), same)
+        joined = items.join(F.broadcast(goal), same)
     else:
         salted = goal.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(salted, same & (F.pmod(rows["__order"], F.lit(SALTS)) == salted["__salt"])).drop("__salt")
-    joined = joined.select(*[rows[c] for c in rows.columns], "source_size", "target")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        joined = items.join(salted, same & (F.pmod(items["__order"], F.lit(SALTS)) == salted["__salt"])).drop("__salt")
+    joined = joined.select(*[items[c] for c in items.columns], "source_size", "target")
+    rate = F.when(F.col("source_size") > 0, F.col("__same") * (F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     near = F.abs(rate - F.round(rate)) < 1e-9
     work = joined.withColumn("__whole", F.when(near, F.round(rate)).otherwise(F.floor(rate)).cast("long"))
     work = work.withColumn("__x", F.when(near, F.lit(0.0)).otherwise(rate - F.col("__whole")))
@@ -146,15 +148,34 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), seed: int = 7, lim
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)
-    copies = F.when(F.col("size") > 0, F.col("__whole") + F.round("__x").cast("long")).otherwise(F.lit(0))
-    return every.select(*keys, "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    every = cut(every.select("__item", "__same", "source_size", "target", F.when(F.col("size") > 0, F.col("__whole") + F.round("__x").cast("long")).otherwise(F.lit(0)).alias("__taken")))
+    copies = _shared(rows, every)
+    return copies.select(*keys, "source", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _shared(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows with their item's columns and copies: equal rows share what their item takes, the first of them one more where it does not divide.
+
+    Equal rows are counted through by ranges of all repeated rows, so a row that stands there often is in many tasks.
+    """
+    repeated = items.where("__same > 1")
+    starts = running(repeated, [F.col("__item").asc()], {"__past": F.col("__same").cast("double")}).select("__item", (F.col("__past") - F.col("__same")).alias("__start"))
+    known = items.join(starts, "__item", "left")
+    met = heavy_join(rows, known, ["__item"], "__same")
+    single = met.where("__same = 1").withColumn("copies", F.col("__taken"))
+    several = running(met.where("__same > 1"), [F.col("__item").asc(), F.col("__row").asc()], {"__number": F.lit(1.0)})
+    each = F.floor(F.col("__taken") / F.col("__same"))
+    more = (F.col("__number") - F.col("__start") <= F.col("__taken") % F.col("__same")).cast("long")
+    shared = several.withColumn("copies", each + more)
+    columns = [*rows.columns, "source_size", "target", "copies"]
+    return single.select(*columns).unionByName(shared.select(*columns))
 
 
 def mixed_rows(docs: DataFrame, seed: int = 7, limit: float = 3.0) -> DataFrame:
     """The rows, with all columns, as often as the mix takes them.
 
     Draws come from ids and texts, not from where rows lie. Null and empty texts are taken 0 times; a null source is a
-    source of its own; repeated rows are rounded one by one; an empty table stays empty; other columns, whatever their
+    source of its own; equal rows share their copies evenly; an empty table stays empty; other columns, whatever their
     names, are carried along. Decisions go back to the rows as bitmaps; no text is shuffled. Building the frame runs jobs.
     """
     rows = filed(docs)

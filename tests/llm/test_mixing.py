@@ -89,3 +89,21 @@ def test_rows_are_repeated(corpus):
     assert counts and max(counts.values()) <= 6
     assert not any(s == "none" for _, s in counts)
     assert mixed_rows(extra.limit(0)).count() == 0 and mix(extra.limit(0)).count() == 0
+
+
+def test_equal_rows_share_their_copies(spark, monkeypatch):
+    """A third of all rows are one row: no block holds them, and they are taken evenly."""
+    from corvane.llm import mixing
+
+    rows = [(7, "one two three", "a")] * 30_000 + [(7, "other", "a")] * 3 + [(i, "w " * (i % 9), "b" if i % 2 else None) for i in range(100, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks, real = [], mixing._round
+    monkeypatch.setattr(mixing, "_round", lambda frame, last, seed: (blocks.append(frame.groupBy("source", "__block").count().agg(F.max("count")).first()[0]), real(frame, last, seed))[1])
+    got = mix(docs.repartition(5), block_rows=100).collect()
+    assert len(got) == len(rows) and max(blocks) < 200
+    mine = collections.Counter(r.copies for r in got if r.doc_id == 7 and r.size == 3)
+    target = next(r.target for r in got if r.doc_id == 7)
+    assert len(mine) <= 2 and max(mine) - min(mine) <= 1 and abs(sum(r.taken for r in got if r.doc_id == 7) - target) <= 3
+    again = mix(docs.repartition(3), block_rows=100).collect()
+    key = lambda r: (r.doc_id, r.size, str(r.source), r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
