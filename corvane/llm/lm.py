@@ -59,19 +59,20 @@ _U = [np.uint64(i) for i in range(9)]
 
 
 #: Ratios of counts up to so many are exact codes of their own; n-grams and contexts seen this often get finer codes.
-EXACT, FINE_COUNT, FINE_CONTEXT = 15, 8, 64
+EXACT, FINE_COUNT, FINE_CONTEXT = 15, 4, 16
 ESCAPE = 255
 _RATIOS = EXACT * (EXACT + 1) // 2
-#: Bounds of the other codes in -log2: steps of 0.08 up to 4, 0.25 up to 20, wider ones up to 40; and numbers of a finer code in one of these.
-_BINS = np.concatenate([np.linspace(0, 4, 51), np.linspace(4, 20, 65)[1:], np.linspace(20, 40, ESCAPE - 1 - _RATIOS - 114 + 1)[1:]])
-_FINE = 1 << 24
+#: Bounds of the other codes in -log2, for counts below FINE_COUNT of more than EXACT: steps of 0.1 up to 13.9, wider ones up to 40.
+_BINS = np.concatenate([np.linspace(2.4, 13.9, 116), np.linspace(13.9, 20, 13)[1:], np.linspace(20, 40, ESCAPE - 1 - _RATIOS - 127 + 1)[1:]])
+#: Steps of the finer code in one of -log2.
+_FINE = 1 << 10
 
 
 def coded(part: np.ndarray, whole: np.ndarray, value: np.ndarray, fine: np.ndarray) -> np.ndarray:
     """Codes of ``value``, which follows from two counts: the byte, and above it 32 bits more where the byte is ESCAPE.
 
     The codes are the same for every model: ratios of counts up to EXACT are exact, else a bin of logarithms, and where
-    ``fine`` is true a logarithm to seven digits. So a score depends on nothing but the counts. Code 0 is no value.
+    ``fine`` is true a logarithm to one part in two thousand. So a score depends on nothing but the counts. Code 0 is no value.
     """
     part, whole = part.astype(np.int64), whole.astype(np.int64)
     depth = -np.log2(np.where(value > 0, value, 1.0))
@@ -562,7 +563,7 @@ def _answer(hots: int, discount: float):
                 mine = inverse[edges[k] : edges[k + 1]]
                 cold_below = int(follows[k][:cold].sum())
                 blob = b"".join([
-                    struct.pack("<IIIIIqq", n, cold, hot, cold_below, len(triple_codes) - cold_below, int(total.sum()), int((total > 0).sum())), total[mine].astype(np.uint64).tobytes(), types[hots + mine].astype(np.uint32).tobytes(),
+                    struct.pack("<IIIIIqq", n, cold, hot, cold_below, len(triple_codes) - cold_below, int(total.sum()), int((total > 0).sum())), _planes(total[mine].astype(np.uint64)), _planes(types[hots + mine].astype(np.uint32)),
                     types[:hots].astype(np.uint32).tobytes(), held[:hots].astype(np.float64).tobytes(), _pack_codes(pair_codes), _pack_codes(pair_weights), _pack_codes(triple_codes),
                 ])
                 rows.append((number, shard, _squeeze(blob)))
@@ -612,8 +613,8 @@ def _sums(keep: list[str], shards: int, hots: int, discount: float):
         for p, (words, cold, warm, cold_below, warm_below, _, _) in zip(parts, heads, strict=True):
             r = _Reader(p)
             r.at = struct.calcsize(layout)
-            counts.append(r.take(np.uint64, words).astype(np.int64))
-            types.append(r.take(np.uint32, words).astype(np.int64))
+            counts.append(r.planes(np.uint64, words).astype(np.int64))
+            types.append(r.planes(np.uint32, words).astype(np.int64))
             hot_types += r.take(np.uint32, hots).astype(np.int64)
             hot_held += r.take(np.float64, hots)
             codes = r.codes(cold + warm)
