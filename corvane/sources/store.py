@@ -8,9 +8,11 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BACKUPS, CHUNKS, LIMITS, SNAPSHOT
 from ..functions import text as X
+from .ledger import Ledger
 
 #: Names of collections and the sources they hold.
 COLLECTIONS = {"api": "api", "guides": "guide", "mods": "mod"}
@@ -22,8 +24,9 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def collection(spark: SparkSession, path: str, name: str = "all") -> DataFrame:
-    """The chunks of a collection, or all."""
-    chunks = spark.read.schema(CHUNKS).parquet(path)
+    """The chunks of a collection, or all; under a root of versions those of the current one."""
+    current = Ledger(spark, path).read()[1]["current"]
+    chunks = spark.read.schema(CHUNKS).parquet(f"{path.rstrip('/')}/{current}" if current else path)
     return chunks if name == "all" else chunks.where(F.col("source") == COLLECTIONS[name])
 
 
@@ -102,50 +105,83 @@ def folder_mb(spark: SparkSession, root: str) -> float:
 
 
 class Versions:
-    """Versioned tables under one root: snapshots and backups are new folders, and a manifest says which is current."""
+    """Versioned tables under one root: snapshots and backups are new folders, and numbered commits say which is current."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        self.spark, self.root, self.ledger = spark, root.rstrip("/"), Ledger(spark, root)
 
-    def _manifest(self) -> DataFrame:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return self.spark.createDataFrame([], BACKUPS)
-        return self.spark.read.schema(BACKUPS).json(f"{self.root}/manifest")
+    def backup(self, table: DataFrame, label: str = "", meta: dict | None = None, current: bool = False) -> str:
+        """Write a table as a new version; the name has the time, the label and a unique end.
 
-    def backup(self, table: DataFrame, label: str = "") -> str:
-        """Write a table as a new version; the name has the time, the label and a unique end."""
+        The version and its record, with the metadata (else what is in force), appear in one commit; with ``current`` the
+        version is what ``collection`` reads from then on. Tables with a source lie by source.
+        """
         now = datetime.now(UTC)
         clean = self.spark.range(1).select(X.clean_label(F.lit(label))).first()[0]
         name = "_".join(x for x in ("backup", now.strftime("%Y%m%d_%H%M%S"), clean, uuid.uuid4().hex[:6]) if x)
-        table.write.parquet(f"{self.root}/{name}")
-        row = (name, self.spark.read.parquet(f"{self.root}/{name}").count(), label, now.isoformat(), folder_mb(self.spark, f"{self.root}/{name}"))
-        self.spark.createDataFrame([row], BACKUPS).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
+        by = ["source"] if "source" in table.columns and len(table.columns) > 1 else []
+        table.write.partitionBy(*by).parquet(f"{self.root}/{name}")
+        count, size = self.spark.read.schema(table.schema).parquet(f"{self.root}/{name}").count(), folder_mb(self.spark, f"{self.root}/{name}")
+        record = {"file": name, "count": count, "label": label, "created_at": now.isoformat(), "size_mb": size, "schema": table.schema.json()}
+
+        def add(state: dict) -> dict:
+            held = state["meta"] if meta is None else meta
+            state["records"].append(record | {"meta": held})
+            return state | ({"current": name, "meta": held} if current else {})
+
+        self.ledger.commit(add)
         return name
 
     def list(self) -> DataFrame:
         """Backups that are there, newest first."""
-        there = [r for r in self._manifest().collect() if self._exists(r["file"])]
-        return self.spark.createDataFrame(there, BACKUPS).orderBy(F.desc("created_at"), F.desc("file"))
+        path, files = self._path("")
+        there = {s.getPath().getName() for s in files.listStatus(path)} if files.exists(path) else set()
+        rows = [tuple(r[f.name] for f in BACKUPS.fields) for r in self.ledger.read()[1]["records"] if r["file"] in there]
+        return self.spark.createDataFrame(rows, BACKUPS).orderBy(F.desc("created_at"), F.desc("file"))
+
+    def _record(self, state: dict, name: str) -> dict:
+        found = next((r for r in state["records"] if r["file"] == name), None)
+        if found is None or not self._exists(name):
+            raise ValueError(f"no backup {name}")
+        return found
 
     def restore(self, name: str) -> DataFrame:
-        """The table of a version; nothing is copied or replaced."""
-        if not self._exists(name):
-            raise ValueError(f"no backup {name}")
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """Make a version, and its metadata, the current one, in one commit; nothing is copied. Returns its table."""
+
+        def switch(state: dict) -> dict:
+            return state | {"current": name, "meta": self._record(state, name)["meta"]}
+
+        self.ledger.commit(switch)
+        return self.current()
+
+    def current(self) -> DataFrame | None:
+        """The table of the current version; None where none has been made current."""
+        state = self.ledger.read()[1]
+        if not state["current"]:
+            return None
+        schema = T.StructType.fromJson(json.loads(self._record(state, state["current"])["schema"]))
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{state['current']}")
+
+    def meta(self) -> dict:
+        """The metadata in force."""
+        return self.ledger.read()[1]["meta"]
+
+    def update_meta(self, key: str, value: object) -> None:
+        """Set one key of the metadata; other writers' keys stay."""
+        self.ledger.commit(lambda state: state | {"meta": state["meta"] | {key: value}})
 
     def delete(self, name: str) -> bool:
-        """Delete a version and its record."""
-        if not self._exists(name) or "/" in name or name.startswith("."):
+        """Delete a version and its record; the current one stays."""
+        if not name or "/" in name or name.startswith(".") or not self._exists(name):
+            return False
+        if self.ledger.read()[1]["current"] == name:
             return False
-        kept = [r for r in self._manifest().collect() if r["file"] != name]
-        self._path(name)[1].delete(self._path(name)[0], True)
-        self.spark.createDataFrame(kept, BACKUPS).coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest")
-        return True
+        self.ledger.commit(lambda state: state | {"records": [r for r in state["records"] if r["file"] != name]})
+        path, files = self._path(name)
+        return bool(files.delete(path, True))
 
     def _path(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def _exists(self, name: str) -> bool:

@@ -306,6 +306,48 @@ def test_backups(spark, tmp_path, classes):
         versions.restore("absent")
 
 
+def test_restore_switches_what_is_read(spark, tmp_path, classes):
+    root = str(tmp_path)
+    versions = store.Versions(spark, root)
+    one = versions.backup(classes, "one", {"jar": "a"}, current=True)
+    two = versions.backup(classes.limit(3), "two", {"jar": "b"}, current=True)
+    assert store.collection(spark, root).count() == 3 and versions.meta() == {"jar": "b"}
+    versions.restore(one)
+    assert store.collection(spark, root, "api").count() == classes.count() and versions.meta() == {"jar": "a"}
+    assert not versions.delete(one) and versions.delete(two) and [r.file for r in versions.list().collect()] == [one]
+    with pytest.raises(ValueError):
+        versions.restore(two)
+    assert versions.current().count() == classes.count() and "PartitionFilters: [isnotnull(source" in store.collection(spark, root, "api")._jdf.queryExecution().toString()
+
+
+def test_writers_do_not_lose_records(spark, tmp_path):
+    """Writers at the same time all end up in the ledger; a commit that was overtaken starts again."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from corvane.sources.ledger import Ledger
+
+    ledger, tries = Ledger(spark, str(tmp_path)), []
+
+    def add(i):
+        Ledger(spark, str(tmp_path)).commit(lambda state: (tries.append(i), state | {"meta": state["meta"] | {str(i): i}})[1])
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(add, range(24)))
+    number, state = ledger.read()
+    assert number == 24 and state["meta"] == {str(i): i for i in range(24)} and len(tries) >= 24 and len(ledger._numbers()) == 20
+
+    def late(state):
+        if len(tries) < 1000:
+            tries.extend(range(1000))
+            ledger.commit(lambda other: other | {"current": "other"})
+        return state | {"meta": {}}
+
+    assert ledger.commit(late)["current"] == "other"
+    versions = store.Versions(spark, str(tmp_path))
+    versions.update_meta("k", 1)
+    assert versions.meta() == {"k": 1}
+
+
 def test_collections(spark, tmp_path, classes):
     path = str(tmp_path / "chunks")
     store.write_chunks(classes, path)
