@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..config import LIMITS
 from ..functions import text as X
 
+#: Up to so many changed groups are a condition on the scans of both snapshots.
+FEW_GROUPS = 1_000
 NO_SNAPSHOT = "No previous snapshot to compare with."
 
 
@@ -33,6 +35,38 @@ def _some(label: str, items: Column, shown: int = LIMITS.changes_shown) -> Colum
     return F.when(F.size(items) > 0, F.concat(F.lit(label + ": "), F.concat_ws(", ", F.slice(items, 1, shown), tail)))
 
 
+def digests(snapshot: DataFrame, group: str = "package") -> DataFrame:
+    """(group, members, digest) of each group of a snapshot: sums of the digests of its rows, which no order of rows changes."""
+    rows = snapshot.select(F.coalesce(F.col(group).cast("string"), F.lit("")).alias(group), F.xxhash64(*[F.col(c) for c in sorted(snapshot.columns)]).alias("d"))
+    wide = F.col("d").cast("decimal(38,0)")
+    mixed = F.xxhash64("d", F.lit(1)).cast("decimal(38,0)")
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"), F.struct(F.sum(wide).alias("one"), F.sum(mixed).alias("two")).alias("digest"))
+
+
+def changed_groups(old: DataFrame, new: DataFrame, group: str = "package") -> DataFrame:
+    """(group) of the groups whose digests differ, or that only one side has."""
+    o, n = old.alias("o"), new.alias("n")
+    both = o.join(n, F.col(f"o.{group}") == F.col(f"n.{group}"), "full_outer")
+    same = F.col("o.members").eqNullSafe(F.col("n.members")) & F.col("o.digest").eqNullSafe(F.col("n.digest"))
+    return both.where(~same).select(F.coalesce(f"n.{group}", f"o.{group}").alias(group))
+
+
+def changed_rows(old: DataFrame, new: DataFrame, group: str = "package", known: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both snapshots without the groups that did not change: one row a group is compared before any member is joined.
+
+    ``known`` are digests that were stored with the snapshots. Up to FEW_GROUPS changed groups are a condition on the scans;
+    building the frames compares the digests.
+    """
+    one, two = known or (digests(old, group), digests(new, group))
+    groups = [r[group] for r in changed_groups(one, two, group).limit(FEW_GROUPS + 1).collect()]
+    key = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    if len(groups) <= FEW_GROUPS:
+        plain = F.col(group).isin(groups) | (F.col(group).isNull() if "" in groups else F.lit(False))
+        return old.where(plain), new.where(plain)
+    some = changed_groups(one, two, group).withColumnRenamed(group, "__group")
+    return tuple(d.join(some, key == F.col("__group"), "left_semi") for d in (old, new))
+
+
 def differences(old: DataFrame, new: DataFrame, key: str = "fqn", scalars: tuple[str, ...] = ("extends", "implements"), lists: tuple[str, ...] = ("methods", "fields")) -> DataFrame:
     """(key, kind, changes): keys added, removed or modified between two snapshots; unchanged ones are left out.
 
@@ -69,5 +103,5 @@ def compared(old: DataFrame | None, new: DataFrame) -> tuple[DataFrame | None, s
     """(differences, summary text) of a snapshot and the one before; without one there are none, and the text says so."""
     if old is None:
         return None, NO_SNAPSHOT
-    found = differences(old, new)
+    found = differences(*changed_rows(old, new))
     return found, summary(found).first()["summary"]

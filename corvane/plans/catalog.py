@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import blocks, boosts, code, dense, diff, fusion, graph, keyword, shaping, vector_index
+from ..operators import blocks, boosts, code, dense, diff, fusion, grams, graph, keyword, shaping, vector_index
 from ..operators.dense import vector_search as dense_search
 from ..session import shared, spread
 from ..sources import store
@@ -480,6 +480,31 @@ def find_usages_topk(spark, folder):
     return code.first_usages(_table(spark, folder, "documents").select(F.col("doc_id").alias("file"), "text"), "stupid", 10, code.usages(pages, "stupid"))
 
 
+def stored_grams(spark: SparkSession, folder: str) -> grams.GramIndex:
+    """The gram index of a folder's documents, written to the shared folder once a session."""
+    key = (spark.sparkContext.applicationId, hashlib.md5(repr((folder, "grams")).encode()).hexdigest())
+    if key not in _WRITTEN:
+        path = f"{shared(spark).rstrip('/')}/grams-{'-'.join(key)}"
+        grams.GramIndex.write(spread(_table(spark, folder, "documents")).select(F.col("doc_id").alias("file"), "text"), path)
+        _WRITTEN[key] = path
+    return grams.GramIndex.read(spark, _WRITTEN[key])
+
+
+def indexed_usages(spark, folder):
+    """Usages of a name in all documents, from those that the gram index leaves."""
+    return stored_grams(spark, folder).usages(literals.USED)
+
+
+def snapshot_diff_by_group(spark, folder):
+    """The differences of two versions of the customers' order priorities, of which most segments did not change, by digests of segments."""
+    orders = _table(spark, folder, "orders").join(_table(spark, folder, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = lambda d: d.groupBy("o_custkey", "c_mktsegment").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("priorities"))
+    later = orders.where((F.col("c_mktsegment") != literals.SEGMENT) | (F.col("o_orderdate") < F.lit(literals.CUT).cast("timestamp")))
+    old, new = diff.changed_rows(rows(later), rows(orders), "c_mktsegment")
+    found = diff.differences(old, new, "o_custkey", (), ("priorities",))
+    return found.select("o_custkey", "kind", F.concat_ws("; ", "changes").alias("changes"))
+
+
 def example_usages(spark, folder):
     """Usages of a name in documents, then in the best conversations for it, labelled by where they are."""
     files = _table(spark, folder, "documents").select(F.format_string("%012d", "doc_id").alias("file"), "text")
@@ -596,7 +621,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         json_results, index_fallback, package_totals, inherited_methods, class_info, class_report, class_hierarchy, method_boost, api_snapshot, diff_summary, metadata_scan, files_by_folder, text_functions,
         bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, postings_stats, vector_topk, vector_index_topk, vector_index_recall, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
         exact_boost, token_overlap_boost, bridge_boost, search_all_pipeline, search_single_pipeline, search_guides_pipeline, dashboard_search, package_rollup, subclass_lookup, implementors, recursive_ancestors,
-        find_usages, find_usages_topk, example_usages, class_members, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,
+        find_usages, find_usages_topk, indexed_usages, snapshot_diff_by_group, example_usages, class_members, method_span, field_section, snapshot_build, snapshot_diff, chunk_windows, index_status, tier_asset_sizes, job_status, log_tail, class_hits_by_source, last_writer,
     )
 }
 

@@ -318,6 +318,12 @@ SELECT query_id, CASE WHEN class_name = 'Nobody' THEN 'Class ''Nobody'' not foun
     out["snapshot_diff"] = f"""SELECT coalesce(n.o_custkey, o.o_custkey) AS o_custkey, CASE WHEN o.p IS NULL THEN 'added' WHEN n.p IS NULL THEN 'removed' ELSE 'modified' END AS kind,
 CASE WHEN o.p IS NULL OR n.p IS NULL THEN '' ELSE concat_ws('; ', {listed('priorities added', 'n.p', 'o.p')}, {listed('priorities removed', 'o.p', 'n.p')}) END AS changes
 FROM {half.format('<', literals.CUT)} o FULL JOIN {half.format('>=', literals.CUT)} n ON o.o_custkey = n.o_custkey WHERE o.p IS NULL OR n.p IS NULL OR o.p <> n.p"""
+    out["indexed_usages"] = used("(SELECT doc_id AS file, text FROM documents)", literals.USED)
+    grouped = "(SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS p FROM orders JOIN customer ON o_custkey = c_custkey WHERE {0} GROUP BY o_custkey)"
+    was = grouped.format(f"c_mktsegment <> '{literals.SEGMENT}' OR o_orderdate < TIMESTAMP '{literals.CUT}'")
+    out["snapshot_diff_by_group"] = f"""SELECT coalesce(n.o_custkey, o.o_custkey) AS o_custkey, CASE WHEN o.p IS NULL THEN 'added' WHEN n.p IS NULL THEN 'removed' ELSE 'modified' END AS kind,
+CASE WHEN o.p IS NULL OR n.p IS NULL THEN '' ELSE concat_ws('; ', {listed('priorities added', 'n.p', 'o.p')}, {listed('priorities removed', 'o.p', 'n.p')}) END AS changes
+FROM {was} o FULL JOIN {grouped.format('TRUE')} n ON o.o_custkey = n.o_custkey WHERE o.p IS NULL OR n.p IS NULL OR o.p <> n.p"""
     out["diff_summary"] = f"""WITH d AS (SELECT o_custkey::VARCHAR AS k, kind FROM ({out["snapshot_diff"]})), c AS (SELECT {', '.join(f"count(*) FILTER (kind = '{k}') AS {k}, array_to_string(list_sort(list(k) FILTER (kind = '{k}'))[1:20], ', ') AS {k}_shown" for k in kinds)} FROM d)
 SELECT added, removed, modified, concat_ws(chr(10), {', '.join(map(line, kinds))}) AS summary FROM c"""
     out["chunk_windows"] = "SELECT id, k::INT AS chunk_no, substr(text, k * 1300 + 1, 1500) AS body FROM (SELECT doc_id AS id, text, unnest(range(greatest(ceil((length(text) - 200) / 1300.0)::BIGINT, 1))) AS k FROM documents WHERE length(text) > 0)"

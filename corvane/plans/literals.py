@@ -9,6 +9,7 @@ CLASS_NAMES = [(1, "NATION_7"), (2, "AMERICA.NATION_1"), (3, "NATIOM_7"), (4, "w
 METHOD_QUERIES = [(1, "please callEurope and callAsia"), (2, "callNation7 or callNobody"), (3, "nothing")]
 CUT = "1998-04-25"
 USED = "stupid"
+SEGMENT = "BUILDING"
 META = [("api", "2024-05-01T00:00:00Z", "nomic-embed-text", None), ("guide", "2024-05-02T00:00:00Z", "nomic-embed-text", None), ("mod", None, None, 30), ("other", None, None, None)]
 # Source files that are made of customers and their orders; names between < and > stand for columns.
 CLASS_TEXT = """package shop;

@@ -223,6 +223,78 @@ def test_labelled_usages(spark):
     assert code.usage_report(code.labelled_usages(files, "off", code.example_usages(hits.limit(0), chunks)), "off").first().text == "No usages of 'off' found."
 
 
+def test_gram_index(spark, tmp_path):
+    """Candidates hold every file that has the name; others are not read; short names and odd texts are right."""
+    import random
+
+    from corvane.operators import grams
+
+    rng = random.Random(2)
+    texts = [(f"f{i:04}", " ".join(rng.choice(["one", "door", "dooor", "é😀x", "a.b"]) for _ in range(30)) + ("\nneedle\n" if i % 50 == 0 else "\nneed led\n")) for i in range(400)] + [("long", "x" * 9000 + " needle " + "y" * 9000), ("null", None), ("tiny", "ne")]
+    files = spark.createDataFrame(texts, "file string, text string")
+    piece = grams.PIECE
+    grams.PIECE = 100
+    try:
+        index = grams.GramIndex.write(files.repartition(3), str(tmp_path))
+    finally:
+        grams.PIECE = piece
+    key = lambda d: sorted((r.file, r.line, r.text) for r in d.collect())
+    for name in ("needle", "é😀x", "a.b", "on", "absent", "door"):
+        assert key(index.usages(name)) == key(code.usages(files, name))
+    assert {r.file for r in index.candidates("needle").collect()} == {f"f{i:04}" for i in range(0, 400, 50)} | {"long"} and index.candidates("on") is None
+    assert "In(file" in index.texts("needle")._jdf.queryExecution().executedPlan().toString() or "file IN" in index.texts("needle")._jdf.queryExecution().executedPlan().toString()
+    few = grams.FEW_FILES
+    try:
+        grams.FEW_FILES = 2
+        assert key(index.usages("needle")) == key(code.usages(files, "needle"))
+    finally:
+        grams.FEW_FILES = few
+    assert {(r.gram, r.file) for r in grams.file_grams(files).where("file = 'tiny' OR file = 'null'").collect()} == set()
+
+
+def test_log_sink(spark, tmp_path):
+    """Several batches, a restart and a batch that runs again leave the last rows, and every row once."""
+    from corvane.streaming import logs
+
+    schema = "time timestamp, log_id long, module string, message string"
+    row = lambda i: (f"2024-01-01 00:{i // 60:02}:{i % 60:02}", i, f"m{i % 3}", f"text {i}")
+    write = lambda part: spark.createDataFrame([row(i) for i in part], "time string, log_id long, module string, message string").withColumn("time", F.to_timestamp("time")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    root, state = str(tmp_path / "out"), str(tmp_path / "state")
+    assert logs.tail(spark, root, schema).count() == 0
+    write(range(40))
+    write(range(40, 45))
+    logs.sink(stream(), root, state, kept=10).awaitTermination(120)
+    assert [r.log_id for r in logs.tail(spark, root, schema).collect()] == list(range(44, 34, -1))
+    write(range(45, 48))
+    write([3, 4])  # late rows
+    logs.sink(stream(), root, state, kept=10).awaitTermination(120)
+    assert [r.log_id for r in logs.tail(spark, root, schema).collect()] == list(range(47, 37, -1))
+    assert spark.read.schema(schema).parquet(root + "/all/*").count() == 50 and len(logs._batches(spark, root + "/last")) == 2
+    for left in ("3", ".3.crc"):  # the last batch was not committed: it runs again
+        (tmp_path / "state" / "commits" / left).unlink()
+    logs.sink(stream(), root, state, kept=10).awaitTermination(120)
+    assert [r.log_id for r in logs.tail(spark, root, schema).collect()] == list(range(47, 37, -1)) and spark.read.schema(schema).parquet(root + "/all/*").count() == 50
+    logs.sink(stream(), root + "2", state + "2", kept=2, by=("module",)).awaitTermination(120)
+    assert [r.log_id for r in logs.tail(spark, root + "2", schema).collect()] == list(range(47, 41, -1))
+
+
+def test_unchanged_groups_are_not_joined(spark):
+    make = lambda changed: spark.createDataFrame([(f"p{i % 9}.C{i}", f"C{i}", None if i % 9 == 8 else f"p{i % 9}", "", "", [f"m{i}"] + (["new"] if i in changed else []), []) for i in range(90) if i != 80 or not changed], SNAPSHOT)
+    old, new = make(()), make((3, 12, 44))
+    parts = diff.changed_rows(old, new)
+    assert parts[0].count() == 20 and parts[1].count() == 19
+    key = lambda d: sorted((r.fqn, r.kind, r.changes) for r in d.collect())
+    assert key(diff.differences(*parts)) == key(diff.differences(old, new)) and len(key(diff.differences(*parts))) == 4
+    few = diff.FEW_GROUPS
+    try:
+        diff.FEW_GROUPS = 0
+        assert key(diff.differences(*diff.changed_rows(old, new, known=(diff.digests(old), diff.digests(new))))) == key(diff.differences(old, new))
+    finally:
+        diff.FEW_GROUPS = few
+    assert diff.changed_groups(diff.digests(old), diff.digests(old.orderBy("class_name"))).count() == 0 and diff.changed_rows(old.limit(0), old)[1].count() == 90
+
+
 def test_walks_have_no_row_limit(spark):
     """More walks than a recursive query would allow rows."""
     nodes = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", None), ("x", "x")], "name string, parent string")
