@@ -61,6 +61,24 @@ def filed(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(frame: DataFrame) -> bool:
+    """Delete the copy that ``filed`` wrote, if the frame is a plain scan of one; nothing else is ever deleted.
+
+    For copies that no frame still to be computed reads.
+    """
+    spark = frame.sparkSession
+    plan = frame._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    paths = plan.relation().location().rootPaths()
+    if paths.size() != 1 or not re.fullmatch(r"rows-[0-9a-f]{32}", paths.head().getName()):
+        return False
+    path = paths.head()
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    home = files.makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)))
+    return files.makeQualified(path.getParent()).equals(home) and bool(files.delete(path, True))
+
+
 def located(frame: DataFrame, *columns: str) -> DataFrame:
     """Some columns of a plain scan, with __file, a hash of each row's file, and __at, its place there."""
     about = frame.metadataColumn("_metadata")
@@ -212,7 +230,10 @@ def per_text(
 
 
 def where_text(frame: DataFrame, make: Callable[[], Callable[[list[bytes]], list[bool]]], column: str = "text") -> DataFrame:
-    """The rows, with all columns, whose text a worker's function keeps."""
+    """The rows, with all columns, whatever their names, whose text a worker's function keeps.
+
+    A null text reaches the function as b''; repeated rows are judged row by row; an empty table stays empty.
+    """
     prepare(frame.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

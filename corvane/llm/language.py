@@ -298,7 +298,11 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows, with all columns, that the model does not reject; without languages in the model, all rows."""
+    """The rows, with all columns, whatever their names, that the model does not reject; without languages in the model, all rows.
+
+    Null and empty texts, and those without a letter, are rejected; equal texts fare alike, so repeated rows stay or go
+    together; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
