@@ -17,28 +17,45 @@ from corvane.llm.queries import model_path
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit language models to the labelled documents and drop documents that they reject."""
+    """Fit language models to the labelled documents and drop documents that they reject.
+
+    Null, empty and letterless texts go; equal texts fare alike; an empty table stays empty; all columns stay, whatever their names.
+    """
     return language.accepted(docs, language.fit(docs, F.lit(True)))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group."""
+    """Keep one document of each group, of the least id; ties and repeated rows leave one.
+
+    Null and empty texts are in no group and stay; an empty table stays empty; all columns stay, whatever their names.
+    """
     return jaccard.one_of_each(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data and what discloses it; n_chars follows the text."""
+    """Replace personal data and what discloses it; n_chars follows the text.
+
+    Null and empty texts stay as they are; equal texts become equal; an empty table stays empty; all columns stay, whatever their names.
+    """
     out = pii.sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents so that sources come near their targets."""
+    """Repeat or leave out documents so that sources come near their targets.
+
+    Null and empty texts are left out; a null source is one of its own; equal rows share their copies; an empty table stays
+    empty; all columns stay, whatever their names.
+    """
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode each document: its ids, their number and digests."""
+    """Encode each document: its ids, their number and digests.
+
+    A null or empty text has the end id alone; repeated rows are encoded row by row; an empty table gives an empty result;
+    columns other than doc_id, source and text are left out.
+    """
     return pieces.encode_pieces(docs, model_path(), ("doc_id", "source"), texts=True).drop("decoded")
 
 
@@ -55,12 +72,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents table; each stage's result is written to the shared folder and read again."""
-    from corvane.llm.common import filed
+    """All stages in order over the documents table; each stage's result is written to the shared folder and read again.
+
+    A copy is deleted once the next one is written; the last stage reads the one that stays.
+    """
+    from corvane.llm.common import discard, filed
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = filed(docs)
+        made = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return made
+        made = filed(made)
+        discard(docs)
+        docs = made
     return docs
