@@ -39,11 +39,22 @@ class Limits:
 LIMITS = Limits()
 
 # Words that keyword queries leave out.
-STOPWORDS = "a all an and are at be been but by can do does for from had has have how in is it not of on or that the their there this to was what which will with would".split()
+STOPWORDS = [
+    "a", "all", "an", "and", "are", "at", "be", "been", "but", "by", "can", "do", "does", "for", "from", "had", "has", "have", "how", "in", "is",
+    "it", "not", "of", "on", "or", "that", "the", "their", "there", "this", "to", "was", "what", "which", "will", "with", "would",
+]
 # Words that are no class name in a query.
-BOOST_SKIP = "add all also any are been can did does each end for from get has have how into its just let may new not now out own per put run say see set that the this try use used via was way what when why will with yet".split()
+BOOST_SKIP = [
+    "add", "all", "also", "any", "are", "been", "can", "did", "does", "each", "end", "for", "from", "get", "has", "have", "how", "into", "its",
+    "just", "let", "may", "new", "not", "now", "out", "own", "per", "put", "run", "say", "see", "set", "that", "the", "this", "try", "use", "used",
+    "via", "was", "way", "what", "when", "why", "will", "with", "yet",
+]
 # Stems that say nothing about a class.
-CLASS_NOISE = "abstract add all and any are base been can component default does ecs event for from get has have how impl into new not over post pre set system that the this type use was what when where which who with".split()
+CLASS_NOISE = [
+    "abstract", "add", "all", "and", "any", "are", "base", "been", "can", "component", "default", "does", "ecs", "event", "for", "from", "get", "has",
+    "have", "how", "impl", "into", "new", "not", "over", "post", "pre", "set", "system", "that", "the", "this", "type", "use", "was", "what", "when",
+    "where", "which", "who", "with",
+]
 # Section marks of a class overview.
 SECTIONS = ("// Fields:", "// Methods:", "// Extends:", "// Implements:", "// Inherited methods:")
 

@@ -320,6 +320,18 @@ def hybrid_guides_pipeline(spark, folder):
     return _ranked(_hybrid_engine(spark, folder).single(_queries(spark), "guide"))
 
 
+def hybrid_dashboard(spark, folder):
+    """The dashboard's search over all sources with dense hits."""
+    return _ranked(_hybrid_engine(spark, folder).dashboard(_queries(spark)))
+
+
+def chunk_bodies(spark, folder):
+    """Documents with their bodies from a store that has lost every third."""
+    docs = _table(spark, folder, "documents").withColumn("chunk_id", F.concat(F.lit("d"), F.col("doc_id")))
+    found = store.with_bodies(docs.select("chunk_id", "source"), docs.where(F.col("doc_id") % 3 != 0).select("chunk_id", F.col("text").alias("body")))
+    return found.select("chunk_id", "source", F.length("body").cast("long").alias("size"), F.md5("body").alias("digest"))
+
+
 def rendered_results(spark, folder):
     """Results of the guides' pipeline as text."""
     engine = _engine(spark, folder)
@@ -617,7 +629,7 @@ def last_writer(spark, folder):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        index_build, bm25_fields, porter_terms, search_mods_pipeline, search_api_by_type, dashboard_guides, dashboard_package, hybrid_all_pipeline, hybrid_api_pipeline, hybrid_guides_pipeline, rendered_results,
+        index_build, bm25_fields, porter_terms, search_mods_pipeline, search_api_by_type, dashboard_guides, dashboard_package, hybrid_all_pipeline, hybrid_api_pipeline, hybrid_guides_pipeline, hybrid_dashboard, chunk_bodies, rendered_results,
         json_results, index_fallback, package_totals, inherited_methods, class_info, class_report, class_hierarchy, method_boost, api_snapshot, diff_summary, metadata_scan, files_by_folder, text_functions,
         bm25_topk, bm25_batch_queries, phrase_topk, query_parse_terms, mini_stem_df, postings_stats, vector_topk, vector_index_topk, vector_index_recall, vector_topk_filtered, recall_at_k, prefix_filter, rrf_fusion, identifier_gate, dedup_per_key, source_slots,
         exact_boost, token_overlap_boost, bridge_boost, search_all_pipeline, search_single_pipeline, search_guides_pipeline, dashboard_search, package_rollup, subclass_lookup, implementors, recursive_ancestors,

@@ -244,6 +244,13 @@ hits AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY q
 {_boosted("hits", _ALL)},
 ranked AS (SELECT query_id, chunk_id, rrf_score, x.source, x.fqn, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) - 1 AS pos FROM boosted JOIN {_ALL} x USING (chunk_id)), deduped AS ({_per_class("ranked")})
 SELECT query_id, chunk_id, round(rrf_score, 9) AS score, pos::INT AS pos FROM ({_slots("deduped", 8)})"""
+    boards = ", ".join(_hybrid(s, s, 10) for s in ("api", "guide", "mod"))
+    out["hybrid_dashboard"] = f"""WITH {boards},
+hits AS (SELECT query_id, chunk_id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY leg, pos) - 1 AS pos FROM (SELECT query_id, chunk_id, rrf_score, pos, 0 AS leg FROM api UNION ALL SELECT query_id, chunk_id, rrf_score, pos, 1 FROM guide UNION ALL SELECT query_id, chunk_id, rrf_score, pos, 2 FROM mod)),
+{_boosted("hits", _ALL)},
+ranked AS (SELECT query_id, chunk_id, rrf_score, x.source, x.fqn, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, pos) - 1 AS pos FROM boosted JOIN {_ALL} x USING (chunk_id)), deduped AS ({_per_class("ranked")})
+SELECT query_id, chunk_id, round(rrf_score, 9) AS score, pos::INT AS pos FROM ({_slots("deduped", 8)})"""
+    out["chunk_bodies"] = "SELECT 'd' || doc_id AS chunk_id, source, CASE WHEN doc_id % 3 <> 0 THEN length(coalesce(text, '')) ELSE 0 END AS size, md5(CASE WHEN doc_id % 3 <> 0 THEN coalesce(text, '') ELSE '' END) AS digest FROM documents"
     out["hybrid_api_pipeline"] = f"""WITH {_hybrid('api', 'api', 30)}, {_boosted('api', _ALL)}, {_described('boosted')},
 r AS (SELECT query_id, chunk_id, rrf_score, fqn, pos FROM described JOIN {_ALL} x USING (chunk_id)), d AS ({_per_class('r')})
 SELECT query_id, chunk_id, round(rrf_score, 9) AS score, (p - 1)::INT AS pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS p FROM d) WHERE p <= 8"""

@@ -97,7 +97,7 @@ class Search:
 
 
 def rendered(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, text): results of each query as text, in order."""
+    """(query_id, text): results of each query as text, in order. Chunks whose body is missing are shown without one."""
     rows = hits.select("query_id", "pos", "chunk_id", "rrf_score").join(chunks, "chunk_id")
     place = F.concat_ws(" | ", F.concat(F.lit("["), F.upper("source"), F.lit("]")), F.nullif(F.coalesce("fqn", "title", F.lit("")), F.lit("")), F.nullif(F.coalesce("heading", "file", F.lit("")), F.lit("")), F.format_string("score %.4f", F.col("rrf_score")))
     block = F.concat(F.lit("**Result "), (F.col("pos") + 1).cast("string"), F.lit("** "), place, F.lit("\n"), F.coalesce("body", F.lit("")))

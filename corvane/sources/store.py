@@ -60,6 +60,11 @@ def get(
     return ordered if limit is None else ordered.limit(limit)
 
 
+def with_bodies(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows with the body of their chunk_id from (chunk_id, body), '' where there is none; a lost body loses no row."""
+    return rows.drop("body").join(bodies.select("chunk_id", "body"), "chunk_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+
+
 def files_by_folder(files: DataFrame) -> DataFrame:
     """(folder, files): how many files of (file) lie under each first folder of their path."""
     folder = F.regexp_extract("file", r"^(?:[a-z]+://)?/*([^/]+)/", 1)
