@@ -69,12 +69,21 @@ def _ranked(hits: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def _stored_at(spark: SparkSession, folder: str, kind: str, about: tuple, tables: tuple[str, ...]) -> tuple[tuple[str, str], str]:
+    """(key, path) of something stored for tables of a folder; other files, sizes or times of the tables make another one."""
+    seen = []
+    for name in tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        seen.append(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, hashlib.md5(repr((folder, kind, about, seen)).encode()).hexdigest())
+    return key, f"{shared(spark).rstrip('/')}/{kind}-{'-'.join(key)}"
+
+
 def stored_index(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("body",)) -> blocks.BlockIndex:
     """The index of all chunks of a folder, written to the shared folder once a session and read by every query after."""
-    name = hashlib.md5(repr((folder, fields)).encode()).hexdigest()
-    key = (spark.sparkContext.applicationId, name)
+    key, path = _stored_at(spark, folder, "index", fields, ("documents", "pages", "conversations"))
     if key not in _WRITTEN:
-        path = f"{shared(spark).rstrip('/')}/index-{'-'.join(key)}"
         blocks.BlockIndex.write(all_chunks(spark, folder), path, fields)
         _WRITTEN[key] = path
     return blocks.BlockIndex.read(spark, _WRITTEN[key])
@@ -146,9 +155,8 @@ def vector_topk(spark, folder):
 
 def stored_vectors(spark: SparkSession, folder: str) -> vector_index.VectorIndex:
     """The inverted lists of a folder's embeddings, written to the shared folder once a session."""
-    key = (spark.sparkContext.applicationId, hashlib.md5(repr((folder, "vectors")).encode()).hexdigest())
+    key, path = _stored_at(spark, folder, "vectors", (), ("embeddings",))
     if key not in _WRITTEN:
-        path = f"{shared(spark).rstrip('/')}/vectors-{'-'.join(key)}"
         vector_index.VectorIndex.write(_vectors(spark, folder)[0], path)
         _WRITTEN[key] = path
     return vector_index.VectorIndex.read(spark, _WRITTEN[key])
@@ -494,9 +502,8 @@ def find_usages_topk(spark, folder):
 
 def stored_grams(spark: SparkSession, folder: str) -> grams.GramIndex:
     """The gram index of a folder's documents, written to the shared folder once a session."""
-    key = (spark.sparkContext.applicationId, hashlib.md5(repr((folder, "grams")).encode()).hexdigest())
+    key, path = _stored_at(spark, folder, "grams", (), ("documents",))
     if key not in _WRITTEN:
-        path = f"{shared(spark).rstrip('/')}/grams-{'-'.join(key)}"
         grams.GramIndex.write(spread(_table(spark, folder, "documents")).select(F.col("doc_id").alias("file"), "text"), path)
         _WRITTEN[key] = path
     return grams.GramIndex.read(spark, _WRITTEN[key])

@@ -57,3 +57,17 @@ def test_plans(spark):
     assert "WindowGroupLimit" in plan("dedup_per_key")
     assert "StringStartsWith" in plan("prefix_filter")
     assert "BatchEvalPython" not in plan("bm25_topk") and "ArrowEvalPython" not in plan("bm25_topk")
+
+
+def test_stored_index_follows_its_tables(spark, tmp_path):
+    """An index is read again while its tables stay as they are, and written anew when they change."""
+    small = spark.createDataFrame([(1, "door gate", "en", "src1", 9), (2, "door", "en", "src1", 4)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "u", "<h1>x</h1>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, 0, "user", "hello")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    small.write.parquet(str(tmp_path / "documents.parquet"))
+    count = lambda: catalog.stored_index(spark, str(tmp_path)).blocks.where("term = 'door'").agg({"n": "sum"}).first()[0]
+    assert count() == 2
+    held = dict(catalog._WRITTEN)
+    assert count() == 2 and held == catalog._WRITTEN
+    small.where("doc_id = 2").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert count() == 1 and len(catalog._WRITTEN) == len(held) + 1
