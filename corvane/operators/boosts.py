@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOOST_SKIP, CLASS_NOISE, LIMITS
 from ..functions import text as X
+from ..session import written
 from .keyword import light
 from .shaping import promote
 
@@ -40,7 +41,8 @@ def exact_identifier_boost(hits: DataFrame, queries: DataFrame, chunks: DataFram
 
 def _overviews(names: DataFrame, chunks: DataFrame) -> DataFrame:
     """The first overview of each (query_id, name): adds chunk_id; homonyms go by least fqn, then id."""
-    found = names.join(chunks.where((F.col("type") == OVERVIEW) & (F.col("source") == "api")).select("class_name", "fqn", "chunk_id"), F.col("name") == F.col("class_name"))
+    named = chunks.where((F.col("type") == OVERVIEW) & (F.col("source") == "api")).select("class_name", "fqn", "chunk_id")
+    found = named.join(light(written(names)), F.col("name") == F.col("class_name"))
     first = found.withColumn("__rn", F.row_number().over(Window.partitionBy("query_id", "name").orderBy("fqn", "chunk_id"))).where("__rn = 1")
     return first.drop("__rn", "class_name", "fqn")
 

@@ -42,7 +42,13 @@ class Search:
 
     def _described(self, hits: DataFrame) -> DataFrame:
         """Hits with the columns that shaping needs; bodies are joined after the last cut."""
-        return hits.drop("source").join(self.chunks.select("chunk_id", "source", "fqn"), "chunk_id")
+        hits = written(hits.drop("source"))
+        return self._rows(hits, "source", "fqn")
+
+    def _rows(self, hits: DataFrame, *columns: str) -> DataFrame:
+        """Written hits, as few as the queries ask for, with columns of their chunks; other chunks are not moved."""
+        some = self.chunks.select("chunk_id", *columns).join(keyword.light(hits.select("chunk_id").distinct()), "chunk_id", "left_semi")
+        return hits.join(some, "chunk_id")
 
     def _leg(self, hits: DataFrame, source: str) -> DataFrame:
         return hits.where(F.col("source") == source).drop("source")
@@ -52,7 +58,7 @@ class Search:
         fetch = max(LIMITS.least_fetch, 3 * limit)
         every = self.hybrid(queries, {s: fetch // k for s, k in zip(SOURCES, (2, 3, 4), strict=True)})
         api, guide, mod = (self._leg(every, s) for s in SOURCES)
-        bodies = guide.join(self.chunks.select("chunk_id", "heading", "body"), "chunk_id")
+        bodies = self._rows(guide, "heading", "body")
         api = boosts.guide_bridge_boost(api, bodies, self.chunks)
         if self.descriptions is not None:
             api = boosts.class_name_boost(api, queries, self.descriptions, self.chunks)
