@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from ..session import ship
 from .keyword import top
 
-#: Query vectors that one pass over the rows takes (65,536 of 64 dimensions are 32 MB), and that a worker multiplies at a time.
-BLOCK_QUERIES, STEP_QUERIES = 65_536, 1_024
+#: Query vectors that one pass over the rows takes (65,536 of 64 dimensions are 32 MB); queries and rows that a worker multiplies at a
+#: time: 512 by 1,024 products are 4 MB, whatever the batches and however many queries there are.
+BLOCK_QUERIES, STEP_QUERIES, STEP_ROWS = 65_536, 512, 1_024
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -37,8 +38,8 @@ def vector_search(vectors: DataFrame, queries: DataFrame, n: int = 10, where=Non
     """(query_id, chunk_id, similarity, distance, pos): the n nearest rows of each query vector, exactly.
 
     ``vectors`` has chunk_id and embedding, ``queries`` has query_id and vector. ``where`` is a condition on the rows, kept at the scan.
-    Queries are a stated set: blocks of a fixed size go to all rows as one matrix of unit vectors; a batch of rows is
-    multiplied with it once and keeps n rows a query, ties included. Rows or queries of no length, or of another width, have no
+    Queries are a stated set: blocks of a fixed size go to all rows as one matrix of unit vectors; tiles of fixed size are
+    multiplied, and of a task's rows those leave it that are among a query's n best so far, ties included. Rows or queries of no length, or of another width, have no
     similarity. Building the frame collects the queries, block by block.
     """
     spark = vectors.sparkSession
@@ -57,14 +58,20 @@ def vector_search(vectors: DataFrame, queries: DataFrame, n: int = 10, where=Non
         asked = _unit(_matrix(table.column("vector").combine_chunks(), width)) if width else np.zeros((len(ids), 0))
 
         def run(batches: Iterator[pa.RecordBatch], asked=asked, width=width) -> Iterator[pa.RecordBatch]:
+            best = np.full((len(asked), n), -np.inf)
             for batch in batches:
-                unit = _unit(_matrix(batch.column(1), width)) if width else np.zeros((batch.num_rows, 0))
-                for at in range(0, len(asked), STEP_QUERIES):
-                    near = np.round(unit @ asked[at : at + STEP_QUERIES].T, 9).T
-                    near[np.isnan(near)] = -np.inf
-                    least = np.partition(near, -n, axis=1)[:, -n] if near.shape[1] > n else np.full(len(near), -np.inf)
-                    q, r = np.nonzero((near >= least[:, None]) & (near > -np.inf))
-                    yield pa.RecordBatch.from_arrays([pa.array(q + at, pa.int32()), batch.column(0).take(pa.array(r)), pa.array(near[q, r])], names=["q", "chunk_id", "similarity"])
+                for start in range(0, batch.num_rows, STEP_ROWS):
+                    part = batch.slice(start, STEP_ROWS)
+                    unit = _unit(_matrix(part.column(1), width)) if width else np.zeros((part.num_rows, 0))
+                    for at in range(0, len(asked), STEP_QUERIES):
+                        near = asked[at : at + STEP_QUERIES] @ unit.T
+                        np.round(near, 9, out=near)
+                        near[np.isnan(near)] = -np.inf
+                        held = best[at : at + len(near)]
+                        top_n = np.partition(near, -n, axis=1)[:, -n:] if near.shape[1] > n else near
+                        held[:] = np.partition(np.concatenate([held, top_n], axis=1), -n, axis=1)[:, -n:]
+                        q, r = np.nonzero((near >= held.min(axis=1)[:, None]) & (near > -np.inf))
+                        yield pa.RecordBatch.from_arrays([pa.array(q + at, pa.int32()), part.column(0).take(pa.array(r)), pa.array(near[q, r])], names=["q", "chunk_id", "similarity"])
 
         scored = rows.mapInArrow(run, f"q int, chunk_id {kind}, similarity double")
         names = spark.createDataFrame([(i, x) for i, x in enumerate(ids.tolist())], T.StructType([T.StructField("q", T.IntegerType()), T.StructField("query_id", query_kind)]))
@@ -78,3 +85,15 @@ def recall_at(found: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     hits = found.where(F.col("pos") < k).join(relevant, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     total = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
     return total.join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall"))
+
+
+def recall_of_groups(found: DataFrame, groups: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall): as ``recall_at``, where all rows of a query's group are relevant: ``groups`` (chunk_id, group), ``asked`` (query_id, group).
+
+    Groups are counted and hits compare their group with their query's, so no pair of a query and a relevant row is made. A
+    null group has no rows.
+    """
+    total = asked.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("rows")), "group").groupBy("query_id").agg(F.sum("rows").alias("total"))
+    near = found.where(F.col("pos") < k).select("query_id", "chunk_id").join(asked.distinct(), "query_id")
+    hits = near.join(groups, ["chunk_id", "group"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return total.join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("total")).alias("recall"))

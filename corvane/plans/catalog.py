@@ -184,9 +184,9 @@ def vector_topk_filtered(spark, folder):
 
 def recall_at_k(spark, folder):
     rows, asked = _vectors(spark, folder)
-    labels = rows.select("chunk_id", "label")
-    relevant = labels.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "label").join(labels, "label").select("query_id", "chunk_id")
-    found = dense.recall_at(dense.vector_search(rows, asked, 10), relevant, 10)
+    labels = rows.select("chunk_id", F.col("label").alias("group"))
+    grouped = labels.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "group")
+    found = dense.recall_of_groups(dense.vector_search(rows, asked, 10), labels, grouped, 10)
     return found.select("query_id", F.round("recall", 6).alias("recall"))
 
 
