@@ -50,13 +50,17 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+#: Units that a worker's encoder remembers: fewer than alone, as the executors are grown by the stages before.
+MEMO_UNITS = 40_000
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode each document: its ids, their number and digests.
 
     A null or empty text has the end id alone; repeated rows are encoded row by row; an empty table gives an empty result;
     columns other than doc_id, source and text are left out.
     """
-    return pieces.encode_pieces(docs, model_path(), ("doc_id", "source"), texts=True).drop("decoded")
+    return pieces.encode_pieces(docs, model_path(), ("doc_id", "source"), texts=True, decoded=False, units=MEMO_UNITS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -183,6 +183,24 @@ def trim() -> None:
         pass
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, build: Callable[[], object]) -> object:
+    """What a worker keeps for its next task, built once; a worker keeps one such thing, the last."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Give up what this worker kept of another operator: workers are used again, and what they keep counts beside what they do."""
+    if _HELD:
+        _HELD.clear()
+        trim()
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Yield (first row, texts as bytes) over a batch, about ``limit`` bytes at a time; null becomes b''."""
     values = batch.column(batch.schema.get_field_index(column))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_text, where_text
+from .common import per_text, release, where_text
 
 ORDER = 4
 UNKNOWN = "und"
@@ -28,7 +28,7 @@ LONGEST_TEXT = 200_000
 #: Every fifth sampled document is held back from counting, for calibration.
 HELD_BACK = 5
 LEAST_CALIBRATION = 5
-MEMO_WORDS = 150_000
+MEMO_WORDS, STEP_WORDS = 150_000, 4_096
 _WORDS = re.compile(r"[^\W\d_]+")
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -186,7 +186,8 @@ class Scorer:
             self.clear()
         new = sorted(set().union(*split).difference(self.number)) if split else []
         if new:
-            logs, chars = self.model.words(new)
+            parts = [self.model.words(new[i : i + STEP_WORDS]) for i in range(0, len(new), STEP_WORDS)]
+            logs, chars = (np.concatenate(x) for x in zip(*parts, strict=True))
             lettered = np.array([any(map(str.isalpha, w)) for w in new])
             logs[~lettered], chars[~lettered] = 0, 0
             at = len(self.number)
@@ -274,6 +275,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        release()
         scorer = Scorer(shared.value)
 
         def work(texts: list[bytes]) -> dict[str, list]:
@@ -306,6 +308,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        release()
         scorer = Scorer(shared.value)
 
         def work(texts: list[bytes]) -> list[bool]:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import held, per_text
 
 SPACE = "▁"
 MEMO_UNITS = 120_000
@@ -26,9 +26,11 @@ MEMO_PAIRS = 250_000
 class MergeCoder:
     """Encoder and decoder of one model."""
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, units: int = MEMO_UNITS):
         import sentencepiece
 
+        self.most_units, self.most_pairs = units, units * MEMO_PAIRS // MEMO_UNITS
+
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = sp.get_piece_size()
         self.end = sp.eos_id()
@@ -101,7 +103,7 @@ class MergeCoder:
         got = self.pair_memo.get((left, right))
         if got is None:
             got = left not in self.ids or right not in self.ids or self.merge(left + right) == [left, right]
-            if len(self.pair_memo) >= MEMO_PAIRS:
+            if len(self.pair_memo) >= self.most_pairs:
                 self.pair_memo.clear()
             self.pair_memo[left, right] = got
         return got
@@ -161,7 +163,7 @@ class MergeCoder:
         text = self.older.get(unit)
         if text is None:
             text = self._unit_ids(unit)
-        if len(self.memo) >= MEMO_UNITS:
+        if len(self.memo) >= self.most_units:
             self.older, self.memo = self.memo, {}
         if len(unit) <= 64:
             self.memo[unit] = text
@@ -249,41 +251,41 @@ class MergeCoder:
         return self.decode_many([np.array(ids, np.int64)])[0].decode()
 
 
-_CODERS: dict[str, MergeCoder] = {}
-
+def coder_of(model: str, units: int = MEMO_UNITS) -> MergeCoder:
+    """One coder for each model and worker process, with its memos, until the worker runs another operator."""
+    return held(("pieces", model, units), lambda: MergeCoder(model, units))
 
-def coder_of(model: str) -> MergeCoder:
-    """One coder for each model and worker process, with its memos."""
-    if model not in _CODERS:
-        _CODERS[model] = MergeCoder(model)
-    return _CODERS[model]
 
-
-def encode_pieces(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), texts: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, keep: tuple[str, ...] = ("doc_id",), texts: bool = False, decoded: bool | None = None, units: int = MEMO_UNITS) -> DataFrame:
     """Encode each row's ``text`` with an end id and decode it again.
 
     Adds n_tokens, ids_sha256 (of the decimal ids joined by a space) and decoded_sha256 (of the decoded UTF-8), and with
-    ``texts`` also ids (array of int) and decoded. A null or empty text has the end id alone and decodes to ''. Equal
+    ``texts`` also ids (array of int) and decoded, which ``decoded`` switches alone. A null or empty text has the end id alone and decodes to ''. Equal
     texts have equal values, repeated rows stay repeated, an empty table gives an empty result, and columns other than
-    ``keep`` are ignored. No shuffle; memos are bounded, so memory does not grow with the data or with a long text
+    ``keep`` are ignored. No shuffle; memos are bounded (by ``units``), so memory does not grow with the data or with a long text
     beyond the text itself.
     """
 
+    decoded = texts if decoded is None else decoded
+
     def make():
-        coder = coder_of(model)
+        coder = coder_of(model, units)
 
         def work(rows: list[bytes]) -> dict[str, list]:
             coded = [coder.encode_text(t.decode()) for t in rows]
             ids = [np.fromstring(c, dtype=np.int64, sep=" ") for c in coded]
-            decoded = coder.decode_many(ids)
-            out = {"n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(c.encode()).hexdigest() for c in coded], "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in decoded]}
-            return out | ({"ids": ids, "decoded": [d.decode() for d in decoded]} if texts else {})
+            back = coder.decode_many(ids)
+            out = {"n_tokens": [len(x) for x in ids], "ids_sha256": [hashlib.sha256(c.encode()).hexdigest() for c in coded], "decoded_sha256": [hashlib.sha256(d).hexdigest() for d in back]}
+            return out | ({"ids": ids} if texts else {}) | ({"decoded": [d.decode() for d in back]} if decoded else {})
 
         return work
 
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     if texts:
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
-        ddl += ", ids array<int>, decoded string"
+        fields.append(("ids", pa.list_(pa.int32())))
+        ddl += ", ids array<int>"
+    if decoded:
+        fields.append(("decoded", pa.string()))
+        ddl += ", decoded string"
     return per_text(docs, list(keep), make, fields, ddl)
