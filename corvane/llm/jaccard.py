@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, decided, filed, heavy_join, located, per_text, prepare, release, slices, trim
+from .common import cut, decided, filed, heavy_join, located, per_text, prepare, slices, trim
+from .common import release as give_up
 from .components import components
 
 WORDS = 5
@@ -172,7 +173,7 @@ def _rows(rows: list[tuple[int, int, bytes]], key: pa.DataType | None = None) ->
 
 def _postings(docs: DataFrame, bits: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        give_up()
         sets: list[np.ndarray] = []
         keys: list[bytes] = []
         seen: set[bytes] = set()
