@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import jaccard, language, mixing, pieces, pii
+from corvane.llm.common import rest
 from corvane.llm.queries import model_path
 
 
@@ -21,6 +22,7 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null, empty and letterless texts go; equal texts fare alike; an empty table stays empty; all columns stay, whatever their names.
     """
+    rest(spark)
     return language.accepted(docs, language.fit(docs, F.lit(True)))
 
 
@@ -29,6 +31,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are in no group and stay; an empty table stays empty; all columns stay, whatever their names.
     """
+    rest(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -37,6 +40,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay as they are; equal texts become equal; an empty table stays empty; all columns stay, whatever their names.
     """
+    rest(spark)
     out = pii.sanitise(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -47,6 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are left out; a null source is one of its own; equal rows share their copies; an empty table stays
     empty; all columns stay, whatever their names.
     """
+    rest(spark)
     return mixing.mixed_rows(docs)
 
 
@@ -60,6 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has the end id alone; repeated rows are encoded row by row; an empty table gives an empty result;
     columns other than doc_id, source and text are left out.
     """
+    rest(spark)
     return pieces.encode_pieces(docs, model_path(), ("doc_id", "source"), texts=True, decoded=False, units=MEMO_UNITS)
 
 

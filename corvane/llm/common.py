@@ -131,7 +131,9 @@ def running(frame: DataFrame, order: list[Column], sums: dict[str, Column], rows
     for row in sorted(totals, key=lambda r: r["__range"]):
         before.append((row["__range"], *at.values()))
         at = {n: at[n] + (row[n] or 0.0) for n in sums}
-    starts = spark.createDataFrame(before, "__range int, " + ", ".join(f"__{n} double" for n in sums))
+    # As an Arrow table: rows of Python objects would start workers of another kind on every executor, which stay beside the operators' own.
+    kinds = {"__range": pa.int32()} | {f"__{n}": pa.float64() for n in sums}
+    starts = spark.createDataFrame(pa.table({n: pa.array([b[i] for b in before], t) for i, (n, t) in enumerate(kinds.items())}))
     window = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = parts.join(F.broadcast(starts), "__range").withColumns({n: F.col(f"__{n}") + F.sum(c).over(window) for n, c in sums.items()})
     return out.drop("__range", *[f"__{n}" for n in sums])
@@ -183,6 +185,16 @@ def trim() -> None:
         pass
 
 
+def rest(spark: SparkSession) -> None:
+    """Have the executors collect their garbage and give free heap back to the system: what a stage of sorts has made of it stays else.
+
+    For the time between stages, when all cores are idle: a small task on each asks its executor.
+    """
+    tasks = spark.sparkContext.defaultParallelism
+    asked = spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("gc"))
+    asked.write.format("noop").mode("overwrite").save()
+
+
 _HELD: dict[object, object] = {}
 
 

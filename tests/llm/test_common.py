@@ -42,3 +42,29 @@ def test_heavy_join(spark, monkeypatch, share, how):
     right = left.where("k is not null and k <> 'k4'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     plain = left.join(right, ["k"], how)
     assert sorted(map(tuple, C.heavy_join(left, right, ["k"], "n", how).select(plain.columns).collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_running_sums_start_no_other_workers(spark, monkeypatch):
+    """Rows that the driver hands out as Python objects are read by workers of their own kind, beside those of the operators."""
+
+    def refused(*_, **__):
+        raise AssertionError("rows of Python objects")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    got = C.running(spark.range(10), [F.col("id").asc()], {"n": F.lit(1)}, 4)
+    assert sorted(r["n"] for r in got.collect()) == list(range(1, 11))
+
+
+def test_rest_gives_heap_back(spark):
+    """Executors (here the driver) collect their whole heap between stages, and a stage asks for it."""
+    import corpus_pipeline
+
+    def whole():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName())
+
+    before = whole()
+    C.rest(spark)
+    between = whole()
+    assert between > before
+    corpus_pipeline.encode(spark, spark.createDataFrame([], "doc_id long, source string, text string"), "")
+    assert whole() > between
